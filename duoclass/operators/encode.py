@@ -60,7 +60,7 @@ def dedupe_feats(feats: Column, rule: str = "last") -> Column:
     def pick(k):
         same = F.filter(feats, lambda f: f["i"] == k)
         if rule == "last":
-            v = F.element_at(same, -1)["v"]
+            v = F.try_element_at(same, F.lit(-1))["v"]
         elif rule == "sum":
             v = F.aggregate(same, F.lit(0.0), lambda acc, f: acc + f["v"])
         else:
@@ -75,7 +75,7 @@ def densify(feats: Column, width: int, rule: str = "last") -> Column:
     def cell(k):
         same = F.filter(feats, lambda f: f["i"] == k)
         if rule == "last":
-            v = F.element_at(same, -1)["v"]
+            v = F.try_element_at(same, F.lit(-1))["v"]
         else:
             v = F.aggregate(same, F.lit(0.0), lambda acc, f: acc + f["v"])
         return F.coalesce(v, F.lit(0.0))

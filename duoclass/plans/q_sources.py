@@ -164,6 +164,75 @@ CELLS = """cells AS (
   FROM embeddings)"""
 KEPT = "abs(v) > CAST(0.1 AS DOUBLE)"
 
+ORACLE = {
+    "dense_csv_scan": """
+SELECT l_orderkey, l_linenumber,
+       CASE WHEN l_returnflag = 'R' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS label,
+       CAST(l_quantity AS DOUBLE) AS f0, CAST(l_extendedprice AS DOUBLE) AS f1,
+       CAST(l_discount AS DOUBLE) AS f2, CAST(l_tax AS DOUBLE) AS f3
+FROM lineitem""",
+    "keyed_sparse_scan": f"""
+WITH {CELLS}
+SELECT CAST(vec_id AS VARCHAR) AS key, CAST(label01 AS DOUBLE) AS label,
+       CAST(row_number() OVER (PARTITION BY vec_id ORDER BY i) - 1 AS INTEGER) AS pos,
+       CAST(i AS INTEGER) AS i, v
+FROM cells WHERE {KEPT}""",
+    "sparse_triples": f"""
+WITH {CELLS}, r AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS row_id FROM embeddings)
+SELECT CAST(r.row_id AS BIGINT) AS row_id, CAST(i AS INTEGER) AS col, sum(v) AS value
+FROM cells JOIN r USING (vec_id) WHERE {KEPT} GROUP BY r.row_id, i""",
+    "svmlight_scan": f"""
+WITH {CELLS}
+SELECT vec_id, CASE WHEN label01 = 1 THEN CAST(1 AS DOUBLE) ELSE CAST(-1 AS DOUBLE) END AS label,
+       CAST(i AS INTEGER) AS i, v
+FROM cells WHERE {KEPT}""",
+    "onehot_token_scan": f"""
+WITH {CELLS}
+SELECT vec_id, CAST(label01 AS DOUBLE) AS label, CAST(i + 1 AS INTEGER) AS k,
+       CAST(CAST(floor(abs(v) * CAST(100 AS DOUBLE)) AS BIGINT) % 10 AS INTEGER) AS f
+FROM cells
+UNION ALL
+SELECT vec_id, CAST(CASE WHEN label < 5 THEN 1 ELSE 0 END AS DOUBLE) AS label, CAST(0 AS INTEGER) AS k,
+       CAST(CASE WHEN label < 5 THEN 1 ELSE 0 END AS INTEGER) AS f
+FROM embeddings""",
+    "row_cap": """
+SELECT o_orderkey, o_totalprice, CAST((SELECT count(*) FROM orders) AS BIGINT) AS n_total
+FROM orders ORDER BY o_orderkey LIMIT 10000""",
+    "onehot_pair": """
+SELECT vec_id, CAST(CASE WHEN label < 5 THEN 1 ELSE 0 END AS DOUBLE) AS y0,
+       CAST(CASE WHEN label < 5 THEN 0 ELSE 1 END AS DOUBLE) AS y1
+FROM embeddings""",
+    "label_binarize": """
+SELECT vec_id, CASE WHEN label < 5 THEN CAST(1 AS DOUBLE) ELSE CAST(-1 AS DOUBLE) END AS label_raw,
+       CAST(CASE WHEN label < 5 THEN 1 ELSE 0 END AS INTEGER) AS label_bin
+FROM embeddings""",
+    "label_indicator_k": """
+WITH cls AS (SELECT label AS c, CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS k
+             FROM (SELECT DISTINCT label FROM embeddings))
+SELECT e.vec_id, cls.k AS k, CAST(CASE WHEN e.label = cls.c THEN 1 ELSE 0 END AS INTEGER) AS indicator
+FROM embeddings e, cls""",
+    "feature_width": """
+WITH l AS (SELECT concat_ws(',', l_quantity, l_extendedprice, l_discount, l_tax,
+                            CASE WHEN l_returnflag = 'R' THEN '1' ELSE '0' END) AS line FROM lineitem)
+SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(min(len(string_split(line, ',')) - 1) AS INTEGER) AS min_width,
+       CAST(max(len(string_split(line, ',')) - 1) AS INTEGER) AS max_width FROM l""",
+    "truncate_features": truncate_features,
+    "densify": densify,
+    "dup_index_last": dup_index_last,
+    "dup_index_sum": dup_index_sum,
+    "csr_triples": csr_triples,
+    "row_slice": row_slice,
+    "zero_ratio_filter": zero_ratio_filter,
+}
+
+# ----------------------------------------------------------------- oracles ---
+# Shared CTE: embedding cells with their 0-based index, as DOUBLE.
+CELLS = """cells AS (
+  SELECT vec_id, label AS cls, CASE WHEN label < 5 THEN 1 ELSE 0 END AS label01,
+         CAST(unnest(embedding) AS DOUBLE) AS v, unnest(range(len(embedding))) AS i
+  FROM embeddings)"""
+KEPT = "abs(v) > CAST(0.1 AS DOUBLE)"
+
 ORACLE = {
     "dense_csv_scan": """
 SELECT l_orderkey, l_linenumber,
