@@ -72,9 +72,11 @@ def _group_key(pdf: pd.DataFrame, group_cols: list[str]):
 # --------------------------------------------------------------- moments -----
 
 def layer_moments(df: DataFrame, model: Model, layer: int, moments: dict,
-                  group_cols: list[str] = ()) -> DataFrame:
+                  group_cols: list[str] = (), dropout: dict | None = None,
+                  row_id: str | None = None) -> DataFrame:
     """Per (group, unit): n, mean and population variance of hidden layer ``layer``'s
-    pre-activation.  ``moments`` holds the earlier layers (see :func:`collect_moments`)."""
+    pre-activation.  ``moments`` holds the earlier layers (see :func:`collect_moments`).
+    ``dropout`` (seed, step, keep, input) applies training masks keyed by ``row_id``."""
     _check_model_size(model)
     group_cols = list(group_cols)
     d = model.n_inputs
@@ -83,7 +85,7 @@ def layer_moments(df: DataFrame, model: Model, layer: int, moments: dict,
                                      T.StructField("n", T.LongType()),
                                      T.StructField("mean", T.DoubleType()),
                                      T.StructField("m2", T.DoubleType())])
-    cols = group_cols + _input_cols(df)
+    cols = group_cols + _input_cols(df) + ([row_id] if dropout else [])
 
     def fn(it):
         acc: dict = {}
@@ -91,7 +93,8 @@ def layer_moments(df: DataFrame, model: Model, layer: int, moments: dict,
             for key, g in _group_key(pdf, group_cols):
                 x = _inputs_of(g, d)
                 mom = [moments[(key, l)] for l in range(1, layer)]
-                z = forward(x, model, mom, stop_at=layer)["z"][-1]
+                drop = dict(dropout, row_ids=g[row_id].values.astype(np.int64)) if dropout else None
+                z = forward(x, model, mom, stop_at=layer, dropout=drop)["z"][-1]
                 acc.setdefault(key, Moments(z.shape[1])).add(z)
         for key, m in acc.items():
             k = len(m.mean)
