@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from duoclass.operators.ordering import key_buckets
+from duoclass.operators.ordering import bucketize
+from duoclass.session import reliable_checkpoint
 
 TF_EPS = 1e-7  # fixed epsilon of the streaming-AUC rates
 
@@ -39,36 +40,42 @@ def cross_entropy(df: DataFrame, label: str = "label", group_cols: list[str] = (
 
 
 def roc_auc(df: DataFrame, label: str = "label", score: str = "p0", group_cols: list[str] = (),
-            out: str = "roc_auc", rows_per_bucket: int = 1_000_000) -> DataFrame:
+            out: str = "roc_auc", rows_per_bucket: int = 1_000_000, max_buckets: int = 65_536) -> DataFrame:
     """Exact ROC AUC (Mann-Whitney; tied scores count one half).
 
     1. ``groupBy(group, score)``: positives / negatives per distinct score (partial
        aggregation first, so a score shared by a third of all rows is one row).
-    2. Distinct scores get a monotone bucket from approximate quantiles.
+       This table is checkpointed: the (often expensive) scoring upstream runs
+       once, and the bucket cut points below stay valid for it.
+    2. Distinct scores get a monotone bucket from approximate quantiles, as many
+       buckets as needed for about ``rows_per_bucket`` distinct scores each (no
+       quantile job at all when one bucket suffices).
     3. Negatives per (group, bucket) -> running sum over buckets (a table of
        groups x buckets rows) -> broadcast back as offsets.
-    4. Inside a bucket, a window gives negatives strictly below each score.
+    4. Inside a bucket, a window gives the negatives strictly below each score.
     AUC = sum(pos * (neg_below + neg_equal / 2)) / (P * N).
     """
     group_cols = list(group_cols)
     y = F.col(label).cast("double")
-    g = df.groupBy(*group_cols, F.col(score).alias("_s")).agg(
-        F.sum(y).alias("_pos"), F.sum(F.lit(1.0) - y).alias("_neg"))
-    n_distinct_hint = max(1, int(rows_per_bucket))
-    # bucket count: enough that a bucket holds about rows_per_bucket distinct scores
-    approx = g.select(F.approx_count_distinct("_s").alias("c")).first()["c"] or 1
-    nb = int(min(4096, max(1, math.ceil(approx / float(n_distinct_hint)))))
-    gb, nb = key_buckets(g, "_s", nb, out="_b")
+    g = reliable_checkpoint(df.groupBy(*group_cols, F.col(score).alias("_s")).agg(
+        F.sum(y).alias("_pos"), F.sum(F.lit(1.0) - y).alias("_neg")))
+    n_scores = g.count()  # cheap: reads the checkpoint
+    nb = int(min(max_buckets, max(1, math.ceil(n_scores / float(rows_per_bucket)))))
+    cuts = []
+    if nb > 1:
+        probs = [k / nb for k in range(1, nb)]
+        q = g.agg(F.percentile_approx(F.col("_s").cast("double"), probs, max(10_000, 10 * nb))).first()[0]
+        cuts = sorted({float(c) for c in (q or []) if c is not None})
+    gb = bucketize(g, "_s", cuts, "_b")
     per_b = gb.groupBy(*group_cols, "_b").agg(F.sum("_neg").alias("_bneg"))
     wo = Window.partitionBy(*group_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offs = per_b.select(*group_cols, "_b", F.coalesce(F.sum("_bneg").over(wo), F.lit(0.0)).alias("_off"))
-    j = gb.join(F.broadcast(offs), group_cols + ["_b"])
+    j = gb.join(F.broadcast(offs), group_cols + ["_b"])  # groups x (len(cuts)+1) rows
     wi = Window.partitionBy(*group_cols, "_b").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     below = F.coalesce(F.sum("_neg").over(wi), F.lit(0.0)) + F.col("_off")
     contrib = j.withColumn("_c", F.col("_pos") * (below + F.col("_neg") * F.lit(0.5)))
-    agg = contrib.groupBy(*group_cols).agg(
+    return contrib.groupBy(*group_cols).agg(
         (F.sum("_c") / (F.sum("_pos") * F.sum("_neg"))).alias(out))
-    return agg
 
 
 def roc_auc_macro(df: DataFrame, label: str = "label", group_cols: list[str] = (),

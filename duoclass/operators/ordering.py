@@ -89,6 +89,16 @@ def key_buckets(df: DataFrame, key: str, n_buckets: int, out: str = "_b",
     return res, len(splits)
 
 
+def bucketize(df: DataFrame, col: str, cuts: list[float], out: str = "_b") -> DataFrame:
+    """Monotone bucket index from sorted cut points (binary search in the JVM)."""
+    if not cuts:
+        return df.withColumn(out, F.lit(0.0))
+    splits = [-math.inf] + sorted(set(cuts)) + [math.inf]
+    tmp = f"{out}_in"
+    b = Bucketizer(splits=splits, inputCol=tmp, outputCol=out, handleInvalid="keep")
+    return b.transform(df.withColumn(tmp, F.col(col).cast("double"))).drop(tmp)
+
+
 def ordered_index(df: DataFrame, key: str, name: str = "ix", n_rows: int | None = None,
                   rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Position of each row in ``order by key`` (file order when ``key`` is the row id).

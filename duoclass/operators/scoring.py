@@ -123,12 +123,12 @@ def collect_moments(df: DataFrame, model: Model, group_cols: list[str] = ()) ->
     group_cols = list(group_cols)
     moments: dict = {}
     for l, layer in enumerate(model.hidden, start=1):
-        mdf = layer_moments(df, model, l, moments, group_cols)
-        n_rows = mdf.count()
-        if n_rows * 3 > MAX_BROADCAST_CELLS:
-            raise ValueError(f"{n_rows} moment rows exceed the broadcast bound; score fewer groups per pass")
+        bound = MAX_BROADCAST_CELLS // 3
+        rows = layer_moments(df, model, l, moments, group_cols).limit(bound + 1).collect()
+        if len(rows) > bound:
+            raise ValueError(f"more than {bound} moment rows: score fewer groups per pass")
         per: dict = {}
-        for r in mdf.collect():
+        for r in rows:
             key = tuple(r[c] for c in group_cols)
             per.setdefault(key, {})[r["unit"]] = (r["mean"], r["var"])
         for key, units in per.items():

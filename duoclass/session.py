@@ -72,3 +72,10 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, *parts: str) -> str:
     """A path below the checkpoint root for tables written by a job."""
     return os.path.join(checkpoint_root(spark), *parts)
+
+
+def reliable_checkpoint(df):
+    """``df.checkpoint()`` into the shared checkpoint folder (never a local one):
+    materialises once, cuts the lineage, and survives the loss of an executor."""
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)
