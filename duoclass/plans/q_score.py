@@ -164,10 +164,10 @@ def linear_score(spark, sf, w=3.0, b=0.0):
 
 def dense_sparse_reconcile(spark, sf):
     """The same keyed sparse file scored densely (after densify) and sparsely."""
-    from duoclass.operators.encode import densify
+    from duoclass.operators.vectors import densify_frame
     m = mlp2()
-    rows = _keyed_rows(spark, sf)
-    dense = rows.select("vec_id", densify(F.col("feats"), EMB_WIDTH).alias("features"))
+    rows = _keyed_rows(spark, sf).select("vec_id", "feats")
+    dense = densify_frame(rows, EMB_WIDTH)
     zd = _long(affine(dense, m.hidden[0].W, m.hidden[0].b, keep=["vec_id"]), "z", "zd")
     zs = _long(affine(rows, m.hidden[0].W, m.hidden[0].b, features="feats", sparse=True, keep=["vec_id"]),
                "z", "zs")

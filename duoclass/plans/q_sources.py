@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from duoclass.functions.columns import r6
 from duoclass.operators import encode as E
 from duoclass.operators.ordering import ordered_index, row_slices, split_ordered
+from duoclass.operators.vectors import dedupe_frame, densify_frame
 from duoclass.plans.inputs import EMB_WIDTH, embeddings_dense, table
 from duoclass.sources import standins as S
 from duoclass.sources import text as TX
@@ -79,7 +80,7 @@ def label_indicator_k(spark, sf):
 
 def feature_width(spark, sf):
     lines = S.dense_csv_lines_from_lineitem(table(spark, sf, "lineitem"))
-    return E.feature_width(TX.good_rows(TX.parse_dense_csv(lines)))
+    return E.feature_width(TX.good_rows(TX.parse_dense_csv(lines, width=None)))
 
 
 def truncate_features(spark, sf, width=48):
@@ -89,8 +90,8 @@ def truncate_features(spark, sf, width=48):
 
 
 def densify(spark, sf):
-    rows = _keyed(spark, sf)
-    return rows.select("key", F.posexplode(E.densify(F.col("feats"), EMB_WIDTH)).alias("i", "value"))
+    rows = _keyed(spark, sf).select("key", "feats")
+    return densify_frame(rows, EMB_WIDTH).select("key", F.posexplode("features").alias("i", "value"))
 
 
 def _folded(spark, sf):
@@ -99,13 +100,13 @@ def _folded(spark, sf):
 
 
 def dup_index_last(spark, sf):
-    return _folded(spark, sf).select("vec_id", F.inline(E.dedupe_feats(F.col("feats"), "last"))).select(
-        "vec_id", "i", r6("v").alias("v"))
+    rows = dedupe_frame(_folded(spark, sf).select("vec_id", "feats"), rule="last")
+    return rows.select("vec_id", F.inline("feats")).select("vec_id", "i", r6("v").alias("v"))
 
 
 def dup_index_sum(spark, sf):
-    return _folded(spark, sf).select("vec_id", F.inline(E.dedupe_feats(F.col("feats"), "sum"))).select(
-        "vec_id", "i", r6("v").alias("v"))
+    rows = dedupe_frame(_folded(spark, sf).select("vec_id", "feats"), rule="sum")
+    return rows.select("vec_id", F.inline("feats")).select("vec_id", "i", r6("v").alias("v"))
 
 
 def csr_triples(spark, sf):

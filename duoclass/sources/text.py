@@ -54,16 +54,42 @@ def _all_ok(arr: Column, pred) -> Column:
     return F.coalesce(F.forall(arr, pred), F.lit(True))
 
 
-def parse_dense_csv(lines: DataFrame, value: str = "value", sep: str = ",") -> DataFrame:
-    """``f0,...,label`` -> ``label DOUBLE, features ARRAY<DOUBLE>, ok``; other columns kept."""
+FIXED_WIDTH_LIMIT = 4096
+
+
+def csv_width(lines: DataFrame, value: str = "value", sep: str = ",") -> int:
+    """Feature width = fields of the first line minus the label (a limit-1 job)."""
+    r = lines.select(F.size(F.split(F.col(value), sep)).alias("n")).first()
+    return max(0, (r["n"] if r else 1) - 1)
+
+
+def parse_dense_csv(lines: DataFrame, value: str = "value", sep: str = ",",
+                    width: int | str | None = "first") -> DataFrame:
+    """``f0,...,label`` -> ``label DOUBLE, features ARRAY<DOUBLE>, ok``; other columns kept.
+
+    ``width='first'`` takes the width from the first line (as the layout's readers
+    did) and parses positionally with plain expressions that stay in whole-stage
+    codegen; a row with another field count is quarantined (``ok = false``).
+    ``width=None`` accepts ragged rows (lambda form, slower).
+    """
     fields = F.split(F.col(value), sep)
     n = F.size(fields)
+    w = csv_width(lines, value, sep) if width == "first" else width
+    if w is not None and w <= FIXED_WIDTH_LIMIT:
+        cells = [F.trim(F.get(fields, F.lit(k))).try_cast("double") for k in range(w)]
+        feats = F.array(*cells) if cells else F.array().cast("array<double>")
+        label = F.trim(F.get(fields, F.lit(w))).try_cast("double")
+        ok = (n == F.lit(w + 1)) & label.isNotNull()
+        for c in cells:
+            ok = ok & c.isNotNull()
+        return lines.withColumn("label", label).withColumn("features", feats).withColumn("ok", ok).drop(value)
     feats = F.transform(F.slice(fields, 1, F.greatest(n - 1, F.lit(0))),
                         lambda f: F.trim(f).try_cast("double"))
     label = F.trim(F.element_at(fields, -1)).try_cast("double")
-    out = (lines.withColumn("label", label).withColumn("features", feats)
-           .withColumn("ok", label.isNotNull() & (n >= 2)
-                       & _all_ok(F.col("features"), lambda x: x.isNotNull())))
+    ok = label.isNotNull() & (n >= 2) & _all_ok(F.col("features"), lambda x: x.isNotNull())
+    if w is not None:
+        ok = ok & (n == F.lit(w + 1))
+    out = lines.withColumn("label", label).withColumn("features", feats).withColumn("ok", ok)
     return out.drop(value)
 
 

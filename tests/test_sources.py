@@ -68,9 +68,22 @@ def test_labels_minus_one_binarised(spark):
 
 
 def test_ragged_csv_width(spark):
-    df = TX.good_rows(TX.parse_dense_csv(lines(spark, "1,2,3,0", "1,2,1", "x,1,0")))
-    w = E.feature_width(df).first()
+    raw = lines(spark, "1,2,3,0", "1,2,1", "x,1,0")
+    w = E.feature_width(TX.good_rows(TX.parse_dense_csv(raw, width=None))).first()
     assert (w["n_rows"], w["min_width"], w["max_width"]) == (2, 2, 3)
+    fixed = TX.parse_dense_csv(raw)  # width from the first line: the short row is quarantined
+    assert [r["ok"] for r in fixed.collect()] == [True, False, False]
+
+
+def test_vectorised_dedupe_and_densify(spark):
+    from duoclass.operators.vectors import dedupe_frame, densify_frame
+    df = TX.parse_keyed_sparse(lines(spark, "k\t1 0:1.5 3:2 3:4", "z\t0 ")).select("key", "feats")
+    d = {r["key"]: r["features"] for r in densify_frame(df, 5, rule="last").collect()}
+    assert d["k"] == [1.5, 0.0, 0.0, 4.0, 0.0] and d["z"] == [0.0] * 5
+    s = {r["key"]: r["features"] for r in densify_frame(df, 5, rule="sum").collect()}
+    assert s["k"] == [1.5, 0.0, 0.0, 6.0, 0.0]
+    u = {r["key"]: [(c["i"], c["v"]) for c in r["feats"]] for r in dedupe_frame(df, rule="last").collect()}
+    assert u == {"k": [(0, 1.5), (3, 4.0)], "z": []}
 
 
 def test_onehot_tokens(spark):
