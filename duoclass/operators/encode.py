@@ -17,6 +17,12 @@ def onehot_pair(label: Column) -> Column:
     return F.array(l, F.lit(1.0) - l)
 
 
+def labels_for_model(label: Column, n_outputs: int) -> Column:
+    """Targets shaped for the model: the one-hot pair when its output width is 2,
+    the plain class index otherwise (a forest takes the label itself)."""
+    return onehot_pair(label) if n_outputs == 2 else label.cast("int")
+
+
 def label_classes(df: DataFrame, label: str) -> DataFrame:
     """Distinct labels in sorted order with their 0-based class index.
 

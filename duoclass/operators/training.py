@@ -205,6 +205,28 @@ def batch_gradient(df: DataFrame, model: Model, keep_prob: float = 1.0, seed: in
     return grads, stats
 
 
+def check_width(df: DataFrame, model: Model, features: str = "features", sparse: bool = False,
+                on_mismatch: str = "raise") -> int:
+    """Compare the data's feature width with the model's input width.
+
+    Dense: ``max(size(features))``; sparse: ``max(index) + 1``.  One aggregate.
+    ``on_mismatch='warn'`` only prints (the behaviour being mirrored printed an
+    error and went on); the default refuses to continue.
+    """
+    if sparse:
+        w = df.select(F.max(F.array_max(F.transform(features, lambda f: f["i"]))) + 1).first()[0]
+        bad = w is not None and w > model.n_inputs
+    else:
+        w = df.select(F.max(F.size(features))).first()[0]
+        bad = w is not None and w != model.n_inputs
+    if bad:
+        msg = f"feature width {w} does not match the model's {model.n_inputs}"
+        if on_mismatch == "raise":
+            raise ValueError(msg)
+        print("error: " + msg)
+    return int(w or 0)
+
+
 def staircase_lr(lr0: float, rate: float, decay_steps: int, step: int) -> float:
     """lr0 * rate ** floor(step / decay_steps)."""
     return lr0 * rate ** math.floor(step / decay_steps)
@@ -228,12 +250,30 @@ def adam_update(model: Model, grads: dict, lr: float, b1: float = 0.9, b2: float
     return model
 
 
+def evaluate_rows(df: DataFrame, model: Model, split_col: str = "split", label: str = "label",
+                  features: str = "features", sparse: bool = False) -> list:
+    """:func:`evaluate`, collected (metric rows only), with the scored table released."""
+    s = _scored(df, model, split_col, label, features, sparse)
+    try:
+        return _metrics_of(s, split_col, label).collect()
+    finally:
+        s.unpersist()
+
+
+def _scored(df, model, split_col, label, features, sparse):
+    keep = [label, split_col]
+    return score(df, model, features, sparse, group_cols=[split_col], keep=keep).persist(
+        StorageLevel.MEMORY_AND_DISK)
+
+
 def evaluate(df: DataFrame, model: Model, split_col: str = "split", label: str = "label",
              features: str = "features", sparse: bool = False) -> DataFrame:
     """Per split: accuracy, mean cross-entropy and exact ROC AUC (batch-norm moments
     of each split, as when a whole split is fed at once)."""
-    keep = [label, split_col]
-    s = score(df, model, features, sparse, group_cols=[split_col], keep=keep).persist(StorageLevel.MEMORY_AND_DISK)
+    return _metrics_of(_scored(df, model, split_col, label, features, sparse), split_col, label)
+
+
+def _metrics_of(s: DataFrame, split_col: str, label: str) -> DataFrame:
     acc = M.accuracy(s, label, group_cols=[split_col])
     ce = M.cross_entropy(s, label, group_cols=[split_col])
     auc = M.roc_auc(s, label, "p0", group_cols=[split_col])
@@ -248,7 +288,8 @@ def train(spark: SparkSession, data: DataFrame, model: Model, epochs: int, batch
           seed: int = 0, eval_every: int = 10, row_id: str = "row_id", label: str = "label",
           features: str = "features", sparse: bool = False, short_batches: bool = True,
           shuffle: bool = True, input_dropout: bool = True, params_root: str | None = None,
-          metrics_root: str | None = None, model_name: str = "mlp", run: str | None = None) -> tuple[Model, DataFrame]:
+          metrics_root: str | None = None, model_name: str = "mlp", run: str | None = None,
+          warm_start: bool = False) -> tuple[Model, DataFrame]:
     """Epochs x mini-batches of Adam with a stair-case learning rate.
 
     ``data`` has ``split`` ('train'/'test'), ``row_id`` (unique), ``label`` (0/1) and
@@ -259,7 +300,12 @@ def train(spark: SparkSession, data: DataFrame, model: Model, epochs: int, batch
     Every ``eval_every`` epochs both splits are scored and metrics appended to
     ``metrics_root``; the parameters are saved (version = epoch) under ``params_root``.
     """
-    from duoclass.sources.params_store import save_params
+    from duoclass.sources.params_store import load_model, save_params
+    if warm_start:
+        if not params_root:
+            raise ValueError("warm_start needs params_root")
+        model = load_model(spark, params_root, model_name)  # restore instead of re-initialising
+    check_width(data, model, features, sparse)
     run = run or uuid.uuid4().hex[:8]
     train_rows = data.filter(F.col("split") == "train")
     n_train = train_rows.count()
@@ -267,15 +313,18 @@ def train(spark: SparkSession, data: DataFrame, model: Model, epochs: int, batch
     if n_batches == 0:
         raise ValueError("fewer training rows than one batch")
     records = []
-    parts = max(1, min(n_batches, spark.sparkContext.defaultParallelism))
+    parts = max(1, spark.sparkContext.defaultParallelism)
     for epoch in range(epochs):
         if shuffle:
             ix = shuffled_index(train_rows, row_id, f"{seed}:{epoch}", "ix", n_rows=n_train)
         else:
             from duoclass.operators.ordering import ordered_index
             ix = ordered_index(train_rows, row_id, "ix", n_rows=n_train)
+        # Rows of every batch are spread over all partitions (hash of the row id), so
+        # a step runs in parallel; sorted by batch inside each partition, the cached
+        # column statistics let a step's filter skip the other batches' data.
         ep = (minibatches(ix, batch_size, short=short_batches, n_rows=n_train)
-              .repartitionByRange(parts, "batch").sortWithinPartitions("batch")
+              .repartition(parts, row_id).sortWithinPartitions("batch")
               .persist(StorageLevel.MEMORY_AND_DISK))
         t0 = time.time()
         losses = []
@@ -293,7 +342,7 @@ def train(spark: SparkSession, data: DataFrame, model: Model, epochs: int, batch
         if params_root:
             save_params(spark, model, params_root, model_name, epoch)
         if eval_every and (epoch % eval_every == 0 or epoch == epochs - 1):
-            ev = evaluate(data, model, "split", label, features, sparse).collect()
+            ev = evaluate_rows(data, model, "split", label, features, sparse)
             records.extend((run, epoch, r["split"], r["metric"], float(r["value"])) for r in ev)
     mdf = spark.createDataFrame(records, "run string, epoch int, split string, metric string, value double")
     if metrics_root:

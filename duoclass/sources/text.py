@@ -79,9 +79,9 @@ def parse_dense_csv(lines: DataFrame, value: str = "value", sep: str = ",",
         cells = [F.trim(F.get(fields, F.lit(k))).try_cast("double") for k in range(w)]
         feats = F.array(*cells) if cells else F.array().cast("array<double>")
         label = F.trim(F.get(fields, F.lit(w))).try_cast("double")
-        ok = (n == F.lit(w + 1)) & label.isNotNull()
-        for c in cells:
-            ok = ok & c.isNotNull()
+        # The validity flag mentions the split line twice (not once per cell): a
+        # filter on it is pushed below this projection, where it is not shared.
+        ok = (n == F.lit(w + 1)) & F.forall(fields, lambda x: F.trim(x).try_cast("double").isNotNull())
         return lines.withColumn("label", label).withColumn("features", feats).withColumn("ok", ok).drop(value)
     feats = F.transform(F.slice(fields, 1, F.greatest(n - 1, F.lit(0))),
                         lambda f: F.trim(f).try_cast("double"))
