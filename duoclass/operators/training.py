@@ -37,6 +37,8 @@ from duoclass.operators.model import Model
 from duoclass.operators.ordering import minibatches, shuffled_index
 from duoclass.operators.scoring import _check_model_size, dense_input, layer_moments, score, sparse_input
 
+ROWS_PER_STEP_TASK = 50_000
+
 SUM_SCHEMA = T.StructType([T.StructField("key", T.StringType()), T.StructField("i", T.IntegerType()),
                            T.StructField("j", T.IntegerType()), T.StructField("value", T.DoubleType())])
 
@@ -314,6 +316,8 @@ def train(spark: SparkSession, data: DataFrame, model: Model, epochs: int, batch
         raise ValueError("fewer training rows than one batch")
     records = []
     parts = max(1, spark.sparkContext.defaultParallelism)
+    # tasks per step: about ROWS_PER_STEP_TASK rows each, never more than partitions
+    step_tasks = int(min(parts, max(1, math.ceil(batch_size / ROWS_PER_STEP_TASK))))
     for epoch in range(epochs):
         if shuffle:
             ix = shuffled_index(train_rows, row_id, f"{seed}:{epoch}", "ix", n_rows=n_train)
@@ -330,7 +334,7 @@ def train(spark: SparkSession, data: DataFrame, model: Model, epochs: int, batch
         losses = []
         for j in range(n_batches):
             lr = staircase_lr(lr0, decay_rate, decay_steps, model.global_step)
-            g, st = batch_gradient(ep.filter(F.col("batch") == F.lit(j)), model, keep_prob, seed,
+            g, st = batch_gradient(ep.filter(F.col("batch") == F.lit(j)).coalesce(step_tasks), model, keep_prob, seed,
                                    model.global_step, row_id, label, features, sparse, input_dropout)
             adam_update(model, g, lr)
             losses.append(st["loss"])

@@ -163,7 +163,39 @@ def _param_rows_sql() -> str:
 
 _MLP2T = (Q.emb_src("split") + ",\n" + Q.mlp_ctes("src", EMB_WIDTH, HIDDEN2))
 
+def _gradient_sql() -> str:
+    """Relational backward pass of the 64 -> 8 -> 2 network over all rows as one batch."""
+    sc = f"(CAST(1 AS DOUBLE) + {Q.intmod_sql(1, 2, '0', 'z.j')})"
+    be = Q.intmod_sql(1, 3, "0", "z.j")
+    r9 = "round(grad, 9) + CAST(0 AS DOUBLE)"
+    return f"""WITH {Q.emb_src()},
+{Q.mlp_ctes("src", EMB_WIDTH, HIDDEN2)},
+n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM labels_src),
+u1 AS (SELECT z.id, z.j AS i, (z.z - m.mu) / sqrt(m.var + CAST(0.001 AS DOUBLE)) AS zh,
+              {sc} * ((z.z - m.mu) / sqrt(m.var + CAST(0.001 AS DOUBLE))) + {be} AS u,
+              sqrt(m.var + CAST(0.001 AS DOUBLE)) AS sd, {sc} AS g
+       FROM z1 z JOIN m1 m ON z.j = m.j),
+dy AS (SELECT s.id, k.j, ((CASE WHEN k.j = 0 THEN s.p0 ELSE s.p1 END)
+              - (CASE WHEN k.j = 0 THEN CAST(s.label AS DOUBLE) ELSE CAST(1 - s.label AS DOUBLE) END)) / n.n AS d
+       FROM scored s, (SELECT range AS j FROM range(2)) k, n),
+da AS (SELECT dy.id, w.i, sum(dy.d * w.w) AS da FROM dy JOIN wo w ON dy.j = w.j GROUP BY dy.id, w.i),
+du AS (SELECT da.id, da.i, CASE WHEN u1.u > 0 THEN da.da ELSE CAST(0 AS DOUBLE) END AS du, u1.zh, u1.sd, u1.g
+       FROM da JOIN u1 ON da.id = u1.id AND da.i = u1.i),
+s AS (SELECT i, sum(du) AS s1, sum(du * zh) AS s2 FROM du GROUP BY i),
+dz AS (SELECT du.id, du.i, (du.g / du.sd) * (du.du - s.s1 / n.n - du.zh * s.s2 / n.n) AS dz
+       FROM du JOIN s ON du.i = s.i, n),
+g AS (
+  SELECT 2 AS layer, 'W' AS name, h.i AS i, dy.j AS j, sum(h.v * dy.d) AS grad FROM h1 h JOIN dy ON h.id = dy.id GROUP BY h.i, dy.j
+  UNION ALL SELECT 2, 'b', 0, j, sum(d) FROM dy GROUP BY j
+  UNION ALL SELECT 1, 'W', x.i, dz.i, sum(x.v * dz.dz) FROM src x JOIN dz ON x.id = dz.id GROUP BY x.i, dz.i
+  UNION ALL SELECT 1, 'b', 0, i, CAST(0 AS DOUBLE) FROM s
+  UNION ALL SELECT 1, 'scale', 0, i, s2 FROM s
+  UNION ALL SELECT 1, 'beta', 0, i, s1 FROM s)
+SELECT CAST(layer AS INTEGER) AS layer, name, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, {r9} AS grad FROM g"""
+
+
 ORACLE = {
+    "batch_gradient": _gradient_sql(),
     "load_params": _param_rows_sql(),
     "score_saved_model": f"""WITH {Q.emb_src("split").replace("src AS (SELECT c.id, s.split AS g", "src AS (SELECT c.id, s.split AS g") .replace("FROM emb_cells c JOIN spl s ON c.id = s.vec_id)", "FROM emb_cells c JOIN spl s ON c.id = s.vec_id WHERE s.split = 'test')")},
 {Q.mlp_ctes("src", EMB_WIDTH, HIDDEN2)}
