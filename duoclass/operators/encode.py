@@ -36,10 +36,10 @@ def label_classes(df: DataFrame, label: str) -> DataFrame:
 def label_binarize(df: DataFrame, label: str, out: str = "label_bin") -> tuple[DataFrame, int]:
     """Two classes -> one 0/1 column (1 for the larger label); K > 2 -> an
     ``ARRAY<INT>`` of K indicators in sorted class order.  Returns (df, K)."""
-    classes = label_classes(df, label)
-    k = classes.count()
+    k = df.select(label).distinct().count()  # distributed; checked before any ranking
     if k > MAX_CLASSES:
         raise ValueError(f"{k} distinct labels: too many for indicator columns")
+    classes = label_classes(df, label)
     j = df.join(F.broadcast(classes), df[label] == classes["_cls"], "left").drop("_cls")
     if k <= 2:
         return j.withColumn(out, F.col("_k")).drop("_k"), k
@@ -109,12 +109,15 @@ def zero_ratio_filter(triples: DataFrame, n_rows: int, width: int, lo: float, hi
                       row: str = "row_id") -> tuple[DataFrame, DataFrame]:
     """Drop feature columns whose share of zero cells lies outside [lo, hi].
 
-    Zero share of a column = 1 - (rows with a non-zero stored cell) / n_rows.  The
-    per-column table has at most ``width`` rows (broadcast within the bound); the
-    triples are kept with a left-semi join.  Returns (kept triples, column stats).
+    Zero share of a column = 1 - (rows with a non-zero stored cell) / n_rows.
+    ``triples`` must hold one cell per (row, col) (dedupe rows map-side first, e.g.
+    :func:`duoclass.operators.vectors.dedupe_frame`), so the count per column is a
+    partial aggregation, not a shuffle of every cell.  The per-column table has at
+    most ``width`` rows (broadcast within the bound); the triples are kept with a
+    left-semi join.  Returns (kept triples, column stats).
     """
     nz = triples.filter(F.col("value") != F.lit(0.0)).groupBy("col").agg(
-        F.countDistinct(row).alias("nnz"))
+        F.count(F.lit(1)).alias("nnz"))
     cols = triples.sparkSession.range(width).select(F.col("id").cast("int").alias("col"))
     stats = cols.join(nz, "col", "left").select(
         "col", (F.lit(1.0) - F.coalesce(F.col("nnz"), F.lit(0)).cast("double") / F.lit(float(n_rows)))

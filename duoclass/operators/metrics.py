@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from duoclass.operators.ordering import bucketize
-from duoclass.session import reliable_checkpoint
+from duoclass.session import MAX_BROADCAST_CELLS, reliable_checkpoint
 
 TF_EPS = 1e-7  # fixed epsilon of the streaming-AUC rates
 
@@ -70,7 +70,9 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "p0", group_cols:
     per_b = gb.groupBy(*group_cols, "_b").agg(F.sum("_neg").alias("_bneg"))
     wo = Window.partitionBy(*group_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offs = per_b.select(*group_cols, "_b", F.coalesce(F.sum("_bneg").over(wo), F.lit(0.0)).alias("_off"))
-    j = gb.join(F.broadcast(offs), group_cols + ["_b"])  # groups x (len(cuts)+1) rows
+    # groups x buckets rows: broadcast when bounded (always without group columns)
+    small = not group_cols or per_b.count() <= MAX_BROADCAST_CELLS // 4
+    j = gb.join(F.broadcast(offs) if small else offs, group_cols + ["_b"])
     wi = Window.partitionBy(*group_cols, "_b").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     below = F.coalesce(F.sum("_neg").over(wi), F.lit(0.0)) + F.col("_off")
     contrib = j.withColumn("_c", F.col("_pos") * (below + F.col("_neg") * F.lit(0.5)))

@@ -247,7 +247,8 @@ def batch_norm_long(df: DataFrame, unit: str = "unit", value: str = "z", scale:
     ``scale`` is a (unit, scale, beta) table; without it scale = 1, shift = 0."""
     keys = list(group_cols) + [unit]
     mom = df.groupBy(*keys).agg(F.avg(value).alias("_mu"), F.var_pop(value).alias("_var"))
-    j = df.join(F.broadcast(mom), keys)
+    small = not group_cols or mom.count() <= MAX_BROADCAST_CELLS // 4  # groups x units rows
+    j = df.join(F.broadcast(mom) if small else mom, keys)
     zh = (F.col(value) - F.col("_mu")) / F.sqrt(F.col("_var") + F.lit(eps))
     if scale is not None:
         j = j.join(F.broadcast(scale), unit)

@@ -194,7 +194,20 @@ g AS (
 SELECT CAST(layer AS INTEGER) AS layer, name, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, {r9} AS grad FROM g"""
 
 
+def _metrics_log_sql() -> str:
+    ce = "-(CAST(label AS DOUBLE) * logp0 + (CAST(1 AS DOUBLE) - CAST(label AS DOUBLE)) * logp1)"
+    hit = ("CASE WHEN pred = (CASE WHEN label = 1 THEN 0 ELSE 1 END) THEN CAST(1 AS DOUBLE) "
+           "ELSE CAST(0 AS DOUBLE) END")
+    return f"""WITH {_MLP2T}, sc AS (SELECT g AS split, * FROM scored),
+a AS (SELECT split, avg({hit}) AS accuracy, avg({ce}) AS ce FROM sc GROUP BY split),
+auc AS {Q.auc_sql('sc', 'p0', 'label', 'split')}
+SELECT 'r0' AS run, 0 AS epoch, split, 'accuracy' AS metric, {Q.r6('accuracy')} AS value FROM a
+UNION ALL SELECT 'r0', 0, split, 'cross_entropy', {Q.r6('ce')} FROM a
+UNION ALL SELECT 'r0', 0, split, 'roc_auc', {Q.r6('roc_auc')} FROM auc"""
+
+
 ORACLE = {
+    "metrics_log": _metrics_log_sql(),
     "batch_gradient": _gradient_sql(),
     "load_params": _param_rows_sql(),
     "score_saved_model": f"""WITH {Q.emb_src("split").replace("src AS (SELECT c.id, s.split AS g", "src AS (SELECT c.id, s.split AS g") .replace("FROM emb_cells c JOIN spl s ON c.id = s.vec_id)", "FROM emb_cells c JOIN spl s ON c.id = s.vec_id WHERE s.split = 'test')")},

@@ -163,19 +163,22 @@ def linear_score(spark, sf, w=3.0, b=0.0):
 
 
 def dense_sparse_reconcile(spark, sf):
-    """The same keyed sparse file scored densely (after densify) and sparsely."""
+    """The same keyed sparse file through the dense path (densify, then affine) and
+    the sparse path (affine on stored cells), compared inside each row: both forms
+    are computed on the same row, so no join is needed."""
     from duoclass.operators.vectors import densify_frame
     m = mlp2()
+    W, b = m.hidden[0].W, m.hidden[0].b
     rows = _keyed_rows(spark, sf).select("vec_id", "feats")
-    dense = densify_frame(rows, EMB_WIDTH)
-    zd = _long(affine(dense, m.hidden[0].W, m.hidden[0].b, keep=["vec_id"]), "z", "zd")
-    zs = _long(affine(rows, m.hidden[0].W, m.hidden[0].b, features="feats", sparse=True, keep=["vec_id"]),
-               "z", "zs")
-    j = zd.join(zs, ["vec_id", "unit"], "full_outer")
-    diff = F.abs(F.coalesce("zd", F.lit(np.inf)) - F.coalesce("zs", F.lit(-np.inf)))
-    return j.agg(F.countDistinct("vec_id").alias("n_rows"), F.countDistinct("unit").alias("n_units"),
-                 (F.round(F.max(diff), 9) + F.lit(0.0)).alias("max_abs_diff"),
-                 F.sum(F.when(diff > F.lit(1e-9), 1).otherwise(0)).cast("long").alias("n_over_tol"))
+    both = densify_frame(rows.withColumn("cells", F.col("feats")), EMB_WIDTH, feats="cells")
+    zd = affine(both, W, b, features="features", keep=["vec_id", "feats"], out="zd")
+    zs = affine(zd, W, b, features="feats", sparse=True, keep=["vec_id", "zd"], out="zs")
+    diff = F.array_max(F.zip_with("zd", "zs", lambda a, c: F.abs(a - c)))
+    n_units = F.size("zd")
+    per_row = zs.select("vec_id", n_units.alias("n_units"), diff.alias("d"))
+    return per_row.agg(F.count(F.lit(1)).alias("n_rows"), F.max("n_units").cast("long").alias("n_units"),
+                       (F.round(F.max("d"), 9) + F.lit(0.0)).alias("max_abs_diff"),
+                       F.sum(F.when(F.col("d") > F.lit(1e-9), 1).otherwise(0)).cast("long").alias("n_over_tol"))
 
 
 QUERIES = {

@@ -31,8 +31,9 @@ def keyed_sparse_scan(spark, sf):
 
 
 def sparse_triples(spark, sf):
-    rows = ordered_index(_keyed(spark, sf).drop("key"), "vec_id", "row_id")
-    return E.sum_duplicates(E.to_triples(rows, "row_id"))
+    """COO triples; repeated indices in a row add up (per row, map-side)."""
+    rows = ordered_index(_keyed(spark, sf).select("vec_id", "feats"), "vec_id", "row_id")
+    return E.to_triples(dedupe_frame(rows, rule="sum"), "row_id")
 
 
 def svmlight_scan(spark, sf):
@@ -131,9 +132,9 @@ def row_slice(spark, sf, size=100):
 
 
 def zero_ratio_filter(spark, sf, lo=0.55, hi=0.59):
-    rows = ordered_index(_keyed(spark, sf).drop("key"), "vec_id", "row_id")
+    rows = ordered_index(_keyed(spark, sf).select("vec_id", "feats"), "vec_id", "row_id")
     n = rows.count()
-    kept, _ = E.zero_ratio_filter(E.to_triples(rows, "row_id"), n, EMB_WIDTH, lo, hi)
+    kept, _ = E.zero_ratio_filter(E.to_triples(dedupe_frame(rows, rule="sum"), "row_id"), n, EMB_WIDTH, lo, hi)
     return kept.select("row_id", "col", "value")
 
 

@@ -71,3 +71,25 @@ def test_loss_falls(spark):
     losses = [r["value"] for r in metrics.filter("metric = 'mean_batch_loss'").orderBy("epoch").collect()]
     assert losses[-1] < losses[0]
     assert m.global_step == 5 * 3
+
+
+def test_width_check_and_warm_start(spark, tmpdir_path):
+    import pytest
+    from pyspark.sql import functions as F
+
+    from duoclass.operators.training import check_width
+    from duoclass.sources.params_store import load_model, save_params
+    df, X, y = data(spark, n=80, seed=3)
+    df = df.withColumn("split", F.when(F.col("row_id") < 60, "train").otherwise("test"))
+    with pytest.raises(ValueError):
+        check_width(df, init_model(5, [3]))
+    assert check_width(df, init_model(5, [3]), on_mismatch="warn") == 4
+    m = init_model(4, [3], seed=9)
+    save_params(spark, m, tmpdir_path, "mlp", 0)
+    fresh = init_model(4, [3], seed=123)
+    out, _ = train(spark, df, fresh, epochs=1, batch_size=30, keep_prob=1.0, eval_every=0,
+                   params_root=tmpdir_path, model_name="mlp", warm_start=True)
+    # warm start continued from the saved version, then saved epoch 0 over it
+    assert out.global_step == 2
+    again = load_model(spark, tmpdir_path, "mlp")
+    assert again.global_step == 2 and not np.allclose(again.W_out, m.W_out)
