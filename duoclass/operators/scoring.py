@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from duoclass.operators.kernels import Inputs, Moments, forward, log_softmax, softmax
 from duoclass.operators.model import Model
-from duoclass.session import MAX_BROADCAST_CELLS
+from duoclass.session import MAX_BROADCAST_CELLS, ship_package
 
 
 # ---------------------------------------------------------------- inputs -----
@@ -103,6 +103,7 @@ def layer_moments(df: DataFrame, model: Model, layer: int, moments: dict,
                        mean=m.mean, m2=m.m2)
             yield pd.DataFrame(out)
 
+    ship_package(df.sparkSession)
     parts = df.select(*cols).mapInPandas(fn, schema)
     w = Window.partitionBy(*group_cols, "unit")
     tot_n = F.sum("n").over(w)
@@ -180,6 +181,7 @@ def score(df: DataFrame, model: Model, features: str = "features", sparse: bool
                 out["pred"] = np.argmax(y, axis=1).astype(np.int32)
                 yield pd.DataFrame(out)
 
+    ship_package(df.sparkSession)
     return prepared.select(*keep, *_input_cols(prepared)).mapInPandas(fn, schema)
 
 
@@ -201,6 +203,7 @@ def affine(df: DataFrame, W: np.ndarray, b: np.ndarray, features: str = "feature
             res[out] = list(z)
             yield pd.DataFrame(res)
 
+    ship_package(df.sparkSession)
     return prepared.select(*keep, *_input_cols(prepared)).mapInPandas(fn, schema)
 
 

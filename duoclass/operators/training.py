@@ -36,6 +36,7 @@ from duoclass.operators.kernels import Inputs, Moments, forward, log_softmax, so
 from duoclass.operators.model import Model
 from duoclass.operators.ordering import minibatches, shuffled_index
 from duoclass.operators.scoring import _check_model_size, dense_input, layer_moments, score, sparse_input
+from duoclass.session import ship_package
 
 ROWS_PER_STEP_TASK = 50_000
 
@@ -67,6 +68,7 @@ def _sum_pass(df: DataFrame, batch_fn) -> dict[str, np.ndarray]:
         if acc:
             yield _emit(acc)
 
+    ship_package(df.sparkSession)
     rows = df.mapInPandas(fn, SUM_SCHEMA).groupBy("key", "i", "j").agg(F.sum("value").alias("value")).collect()
     shapes: dict = {}
     for r in rows:

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from duoclass.session import ship_package
 
 FEATS_T = "array<struct<i:int,v:double>>"
 
@@ -71,6 +72,7 @@ def dedupe_frame(df: DataFrame, feats: str = "feats", rule: str = "last", out: s
             res["_xv"] = np.split(v, cuts)
             yield pd.DataFrame(res)
 
+    ship_package(df.sparkSession)
     return src.mapInPandas(fn, schema).select(
         *keep, F.arrays_zip("_xi", "_xv").cast(FEATS_T).alias(out))
 
@@ -94,4 +96,5 @@ def densify_frame(df: DataFrame, width: int, feats: str = "feats", rule: str = "
             res[out] = list(dense)
             yield pd.DataFrame(res)
 
+    ship_package(df.sparkSession)
     return src.mapInPandas(fn, schema)
