@@ -30,7 +30,7 @@ def confusion_stream(spark: SparkSession, source_dir: str, file_glob: str = "eve
                      truth: Column | None = None, pred: Column | None = None,
                      max_files_per_trigger: int = 1) -> DataFrame:
     """Streaming (truth, pred, n) counters over the Parquet files matching ``file_glob``."""
-    schema = spark.read.parquet(f"{source_dir.rstrip('/')}/{file_glob}").schema
+    schema = spark.read.option("pathGlobFilter", file_glob).parquet(source_dir).schema
     src = (spark.readStream.schema(schema)
            .option("pathGlobFilter", file_glob)
            .option("maxFilesPerTrigger", max_files_per_trigger)

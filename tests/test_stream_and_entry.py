@@ -36,3 +36,24 @@ def test_oracle_agreement(spark, name):
     orows = cur.fetchall()
     assert sorted(df.columns) == sorted(ocols)
     assert digest(df.columns, rows)[0] == digest(ocols, orows)[0]
+
+
+def test_stream_state_accumulates_over_micro_batches(spark, tmpdir_path):
+    """Three files, one per trigger: the counters carry over between micro-batches."""
+    ev = spark.read.parquet(f"{SF001}/events.parquet")
+    src = f"{tmpdir_path}/events_in"
+    for k in range(3):
+        ev.filter(f"event_id % 3 = {k}").coalesce(1).write.parquet(f"{src}/part{k}")
+    import glob
+    import shutil
+    flat = f"{tmpdir_path}/flat"
+    import os
+    os.makedirs(flat)
+    for k, f in enumerate(sorted(glob.glob(f"{src}/part*/*.parquet"))):
+        shutil.copy(f, f"{flat}/events-{k}.parquet")
+    got = {(r["truth"], r["pred"]): r["n"]
+           for r in run_confusion_stream(spark, flat, file_glob="events-*.parquet").collect()}
+    exp = {(r["t"], r["p"]): r["n"] for r in ev.selectExpr(
+        "CAST(event_type = 'purchase' AS INT) AS t", "CAST(coalesce(value > 100, false) AS INT) AS p")
+        .groupBy("t", "p").count().withColumnRenamed("count", "n").collect()}
+    assert got == exp
