@@ -19,6 +19,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from duoclass.session import MAX_BROADCAST_CELLS
+
 FEATS_TYPE = "array<struct<i:int,v:double>>"
 
 
@@ -45,7 +47,11 @@ def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
         "_off",
         F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0)))
-    joined = mid.withColumn("_pid", pid).join(F.broadcast(offs.select("_pid", "_off")), "_pid")
+    # one row per input partition: broadcast while that count is within the bound
+    n_parts = df.rdd.getNumPartitions()
+    side = offs.select("_pid", "_off")
+    joined = mid.withColumn("_pid", pid).join(F.broadcast(side) if n_parts <= MAX_BROADCAST_CELLS // 2 else side,
+                                              "_pid")
     local = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
     return joined.withColumn(name, (F.col("_off") + local).cast("long")).drop("_mid", "_pid", "_off")
 
