@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from duoclass.operators.ordering import bucketize
+from duoclass.operators.ordering import bucketize, quantile_cuts
 from duoclass.session import MAX_BROADCAST_CELLS, reliable_checkpoint
 
 TF_EPS = 1e-7  # fixed epsilon of the streaming-AUC rates
@@ -61,11 +61,7 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "p0", group_cols:
         F.sum(y).alias("_pos"), F.sum(F.lit(1.0) - y).alias("_neg")))
     n_scores = g.count()  # cheap: reads the checkpoint
     nb = int(min(max_buckets, max(1, math.ceil(n_scores / float(rows_per_bucket)))))
-    cuts = []
-    if nb > 1:
-        probs = [k / nb for k in range(1, nb)]
-        q = g.agg(F.percentile_approx(F.col("_s").cast("double"), probs, max(10_000, 10 * nb))).first()[0]
-        cuts = sorted({float(c) for c in (q or []) if c is not None})
+    cuts = quantile_cuts(g, "_s", nb)
     gb = bucketize(g, "_s", cuts, "_b")
     per_b = gb.groupBy(*group_cols, "_b").agg(F.sum("_neg").alias("_bneg"))
     wo = Window.partitionBy(*group_cols).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)

@@ -68,25 +68,27 @@ def shuffled_index(df: DataFrame, key: str, seed: int | str, name: str = "ix",
     return out if keep_hash else out.drop(h)
 
 
-def key_buckets(df: DataFrame, key: str, n_buckets: int, out: str = "_b",
-                relative_error: float = 1e-4) -> tuple[DataFrame, int]:
-    """Monotone buckets of a numeric column from approximate quantiles.
+def quantile_cuts(df: DataFrame, col: str, n_buckets: int) -> list[float]:
+    """``n_buckets - 1`` approximate quantiles of a numeric column, deduplicated.
 
-    One aggregate returns ``n_buckets - 1`` cut points to the driver (a list whose
-    length is the caller's choice); Spark ML's Bucketizer then bins by binary
-    search inside the JVM.
+    ``DataFrame.approxQuantile`` passes the whole probability list in one call
+    (building thousands of literal columns one by one costs seconds); the sketch is
+    merged across partitions and only the cut points reach the driver - a list
+    whose length is the caller's bound.
     """
     if n_buckets <= 1:
-        return df.withColumn(out, F.lit(0.0)), 1
+        return []
     probs = [i / n_buckets for i in range(1, n_buckets)]
-    acc = int(max(10_000, 1.0 / relative_error))
-    cuts = df.agg(F.percentile_approx(F.col(key).cast("double"), probs, acc).alias("q")).first()["q"]
-    cuts = sorted({float(c) for c in (cuts or []) if c is not None and not math.isnan(c)})
-    splits = [-math.inf] + cuts + [math.inf]
-    tmp = f"{out}_in"
-    b = Bucketizer(splits=splits, inputCol=tmp, outputCol=out, handleInvalid="keep")
-    res = b.transform(df.withColumn(tmp, F.col(key).cast("double"))).drop(tmp)
-    return res, len(splits)
+    rel = min(1e-4, 0.1 / n_buckets)
+    q = df.select(F.col(col).cast("double").alias("_q")).approxQuantile("_q", probs, rel)
+    return sorted({float(c) for c in q if c is not None and not math.isnan(c)})
+
+
+def key_buckets(df: DataFrame, key: str, n_buckets: int, out: str = "_b") -> tuple[DataFrame, int]:
+    """Monotone buckets of a numeric column from approximate quantiles (Spark ML's
+    Bucketizer bins by binary search inside the JVM)."""
+    cuts = quantile_cuts(df, key, n_buckets)
+    return bucketize(df, key, cuts, out), len(cuts) + 1
 
 
 def bucketize(df: DataFrame, col: str, cuts: list[float], out: str = "_b") -> DataFrame:

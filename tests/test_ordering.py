@@ -56,3 +56,10 @@ def test_row_slice_overrun_runs_to_end(spark):
     assert row_slice(df, 2, -1).count() == 8
     assert [r["row"] for r in row_slice(df, 2, 3).orderBy("ix").collect()] == [0, 1, 2]
     assert row_slice(df, 0, 4).agg(F.max("ix")).first()[0] == 3
+
+
+def test_ordered_index_many_buckets(spark):
+    """Quantile buckets (about 100 rows each) still give the exact key order."""
+    df = spark.range(2000).select((F.col("id") * 7 % 2000 * 3 + 11).alias("k")).repartition(6)
+    got = sorted((r["k"], r["ix"]) for r in ordered_index(df, "k", "ix", rows_per_bucket=100).collect())
+    assert [ix for _, ix in got] == list(range(2000))
