@@ -39,6 +39,15 @@ def cross_entropy(df: DataFrame, label: str = "label", group_cols: list[str] = (
     return df.groupBy(*group_cols).agg(F.avg(ce).alias("cross_entropy"))
 
 
+def accuracy_and_loss(df: DataFrame, label: str = "label", pred: str = "pred",
+                      group_cols: list[str] = ()) -> DataFrame:
+    """Row count, accuracy and mean cross-entropy in one aggregate (one pass)."""
+    hit = (F.col(pred) == truth_index(F.col(label))).cast("double")
+    ce = cross_entropy_col(F.col(label).cast("double"), F.col("logp0"), F.col("logp1"))
+    return df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n_rows"), F.avg(hit).alias("accuracy"),
+                                       F.avg(ce).alias("cross_entropy"))
+
+
 def roc_auc(df: DataFrame, label: str = "label", score: str = "p0", group_cols: list[str] = (),
             out: str = "roc_auc", rows_per_bucket: int = 1_000_000, max_buckets: int = 65_536) -> DataFrame:
     """Exact ROC AUC (Mann-Whitney; tied scores count one half).

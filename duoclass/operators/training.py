@@ -32,13 +32,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from duoclass.operators import metrics as M
-from duoclass.operators.kernels import Inputs, Moments, forward, log_softmax, softmax
+from duoclass.operators.kernels import Inputs, Moments, forward, local_gradient, log_softmax, softmax
 from duoclass.operators.model import Model
 from duoclass.operators.ordering import minibatches, shuffled_index
 from duoclass.operators.scoring import _check_model_size, dense_input, layer_moments, score, sparse_input
 from duoclass.session import ship_package
 
 ROWS_PER_STEP_TASK = 50_000
+# A batch whose rows x widest layer stays within this many cells is brought into
+# one task and its exact gradient computed there (one job, no shuffle); larger
+# batches use the data-parallel passes.
+LOCAL_STEP_CELLS = 20_000_000
 
 SUM_SCHEMA = T.StructType([T.StructField("key", T.StringType()), T.StructField("i", T.IntegerType()),
                            T.StructField("j", T.IntegerType()), T.StructField("value", T.DoubleType())])
@@ -103,6 +107,44 @@ class StepContext:
                 "row_ids": pdf[self.row_id].values.astype(np.int64), "input": self.input_dropout}
 
 
+def batch_gradient_local(df: DataFrame, model: Model, keep_prob: float = 1.0, seed: int = 0, step: int = 0,
+                         row_id: str = "row_id", label: str = "label", features: str = "features",
+                         sparse: bool = False, input_dropout: bool = True) -> tuple[dict, dict]:
+    """The batch gradient computed in a single task (``coalesce(1)``: a narrow
+    dependency, no shuffle).  Only for batches within ``LOCAL_STEP_CELLS``; the
+    caller checks the size."""
+    _check_model_size(model)
+    prepared = sparse_input(df, features) if sparse else dense_input(df, features)
+    src = prepared.select(row_id, label, *(["_xi", "_xv"] if sparse else ["_x"])).coalesce(1)
+    ctx = StepContext(model, model.n_inputs, keep_prob, seed, step, row_id, label, input_dropout)
+
+    def fn(it):
+        frames = [pdf for pdf in it if len(pdf)]
+        if not frames:
+            return
+        pdf = pd.concat(frames, ignore_index=True)
+        g, loss, hits = local_gradient(ctx.inputs(pdf), _targets(pdf[label].values), model, ctx.dropout(pdf))
+        acc = {f"g:{l}:{n}": (a if a.ndim == 2 else a[None, :]) for (l, n), a in g.items()}
+        acc["stats"] = np.array([[len(pdf), loss, hits]])
+        yield _emit(acc)
+
+    ship_package(df.sparkSession)
+    rows = src.mapInPandas(fn, SUM_SCHEMA).collect()
+    arrays: dict = {}
+    for r in rows:
+        arrays.setdefault(r["key"], []).append((r["i"], r["j"], r["value"]))
+    stats = {i_j[1]: i_j[2] for i_j in arrays.pop("stats")}
+    grads = {}
+    for key, cells in arrays.items():
+        _, l, n = key.split(":")
+        a = np.zeros((max(c[0] for c in cells) + 1, max(c[1] for c in cells) + 1))
+        for i, j, v in cells:
+            a[i, j] = v
+        grads[(int(l), n)] = a if n == "W" else a[0]
+    n = int(stats[0])
+    return grads, {"n": n, "loss": stats[1] / n, "accuracy": stats[2] / n}
+
+
 def batch_gradient(df: DataFrame, model: Model, keep_prob: float = 1.0, seed: int = 0, step: int = 0,
                    row_id: str = "row_id", label: str = "label", features: str = "features",
                    sparse: bool = False, input_dropout: bool = True) -> tuple[dict, dict]:
@@ -278,10 +320,9 @@ def evaluate(df: DataFrame, model: Model, split_col: str = "split", label: str =
 
 
 def _metrics_of(s: DataFrame, split_col: str, label: str) -> DataFrame:
-    acc = M.accuracy(s, label, group_cols=[split_col])
-    ce = M.cross_entropy(s, label, group_cols=[split_col])
+    al = M.accuracy_and_loss(s, label, group_cols=[split_col])
     auc = M.roc_auc(s, label, "p0", group_cols=[split_col])
-    rep = acc.join(ce, split_col).join(auc, split_col)
+    rep = al.join(auc, split_col)
     out = rep.select(split_col, F.stack(F.lit(3), F.lit("accuracy"), "accuracy", F.lit("cross_entropy"),
                                         "cross_entropy", F.lit("roc_auc"), "roc_auc").alias("metric", "value"))
     return out
@@ -304,11 +345,29 @@ def train(spark: SparkSession, data: DataFrame, model: Model, epochs: int, batch
     Every ``eval_every`` epochs both splits are scored and metrics appended to
     ``metrics_root``; the parameters are saved (version = epoch) under ``params_root``.
     """
-    from duoclass.sources.params_store import load_model, save_params
+    from duoclass.sources.params_store import load_model
     if warm_start:
         if not params_root:
             raise ValueError("warm_start needs params_root")
         model = load_model(spark, params_root, model_name)  # restore instead of re-initialising
+    # Iterative use: keep the input materialised once for all epochs and
+    # evaluations (memory, spilling to disk), released at the end.
+    own_cache = not data.storageLevel.useMemory and not data.storageLevel.useDisk
+    if own_cache:
+        data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _train(spark, data, model, epochs, batch_size, lr0, decay_rate, decay_steps, keep_prob, seed,
+                      eval_every, row_id, label, features, sparse, short_batches, shuffle, input_dropout,
+                      params_root, metrics_root, model_name, run)
+    finally:
+        if own_cache:
+            data.unpersist()
+
+
+def _train(spark, data, model, epochs, batch_size, lr0, decay_rate, decay_steps, keep_prob, seed, eval_every,
+           row_id, label, features, sparse, short_batches, shuffle, input_dropout, params_root, metrics_root,
+           model_name, run):
+    from duoclass.sources.params_store import save_params
     check_width(data, model, features, sparse)
     run = run or uuid.uuid4().hex[:8]
     train_rows = data.filter(F.col("split") == "train")
@@ -320,6 +379,8 @@ def train(spark: SparkSession, data: DataFrame, model: Model, epochs: int, batch
     parts = max(1, spark.sparkContext.defaultParallelism)
     # tasks per step: about ROWS_PER_STEP_TASK rows each, never more than partitions
     step_tasks = int(min(parts, max(1, math.ceil(batch_size / ROWS_PER_STEP_TASK))))
+    widest = max([model.n_inputs] + [h.units for h in model.hidden])
+    local_steps = batch_size * widest <= LOCAL_STEP_CELLS
     for epoch in range(epochs):
         if shuffle:
             ix = shuffled_index(train_rows, row_id, f"{seed}:{epoch}", "ix", n_rows=n_train)
@@ -336,8 +397,9 @@ def train(spark: SparkSession, data: DataFrame, model: Model, epochs: int, batch
         losses = []
         for j in range(n_batches):
             lr = staircase_lr(lr0, decay_rate, decay_steps, model.global_step)
-            g, st = batch_gradient(ep.filter(F.col("batch") == F.lit(j)).coalesce(step_tasks), model, keep_prob, seed,
-                                   model.global_step, row_id, label, features, sparse, input_dropout)
+            grad_fn = batch_gradient_local if local_steps else batch_gradient
+            g, st = grad_fn(ep.filter(F.col("batch") == F.lit(j)).coalesce(step_tasks), model, keep_prob, seed,
+                            model.global_step, row_id, label, features, sparse, input_dropout)
             adam_update(model, g, lr)
             losses.append(st["loss"])
         ep.unpersist()

@@ -64,10 +64,7 @@ def loss_by_split(spark, sf):
 
 def metric_report(spark, sf):
     s = _scored2_split(spark, sf).cache()
-    acc = M.accuracy(s, group_cols=["split"])
-    ce = M.cross_entropy(s, group_cols=["split"])
-    auc = M.roc_auc(s, group_cols=["split"])
-    rep = acc.join(ce, "split").join(auc, "split")
+    rep = M.accuracy_and_loss(s, group_cols=["split"]).join(M.roc_auc(s, group_cols=["split"]), "split")
     return rep.select(F.lit(0).alias("epoch"), "split", r6("accuracy").alias("accuracy"),
                       r6("cross_entropy").alias("cross_entropy"), r6("roc_auc").alias("roc_auc"))
 

@@ -93,3 +93,16 @@ def test_width_check_and_warm_start(spark, tmpdir_path):
     assert out.global_step == 2
     again = load_model(spark, tmpdir_path, "mlp")
     assert again.global_step == 2 and not np.allclose(again.W_out, m.W_out)
+
+
+def test_local_and_distributed_gradient_agree(spark):
+    from duoclass.operators.training import batch_gradient_local
+    df, X, y = data(spark, n=64, d=4, parts=4, seed=5)
+    for hidden, keep in (([3], 0.5), ([4, 3], 0.5), ([3], 1.0)):
+        m = init_model(4, hidden, seed=2)
+        g1, s1 = batch_gradient(df, m, keep_prob=keep, seed=3, step=4)
+        g2, s2 = batch_gradient_local(df, m, keep_prob=keep, seed=3, step=4)
+        assert set(g1) == set(g2)
+        for k in g1:
+            assert np.allclose(g1[k], g2[k], atol=1e-12), k
+        assert abs(s1["loss"] - s2["loss"]) < 1e-12 and s1["n"] == s2["n"] == 64
