@@ -31,29 +31,33 @@ def read_lines(spark: SparkSession, path: str, row_id: str | None = "row_id") ->
 
 
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
-    """Exact dense row number in partition order without sorting or a single task.
+    """Exact dense row number in file order (path, then position in the file),
+    without sorting or a single task.
 
     ``monotonically_increasing_id`` puts the partition id in the upper 31 bits and
-    the position inside the partition in the lower 33.  One aggregate gives the
-    row count per partition (one row per input partition, a bounded table); a
-    running sum over it gives each partition's offset.  The plan must be
+    the position inside the partition in the lower 33.  A file scan packs splits
+    by size, so partition order is not path order; but inside one file, splits keep
+    their offset order.  One aggregate counts rows per (file, partition) - one row
+    per file split, a table bounded by the number of splits - and a running sum in
+    (file, partition) order gives each split its offset.  The plan must be
     deterministic in its partitioning (a file scan is), which is why the id is
     taken right at the scan.
     """
-    mid = df.withColumn("_mid", F.monotonically_increasing_id())
+    mask = F.lit((1 << 33) - 1)
+    mid = (df.withColumn("_mid", F.monotonically_increasing_id())
+             .withColumn("_file", F.input_file_name()))
     pid = F.shiftright(F.col("_mid"), 33)
-    counts = mid.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
-    offs = counts.withColumn(
-        "_off",
-        F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)))
-    # one row per input partition: broadcast while that count is within the bound
+    local = F.col("_mid").bitwiseAND(mask)
+    counts = mid.groupBy("_file", pid.alias("_pid")).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(local).alias("_base"))
+    w = Window.orderBy("_file", "_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = counts.select("_file", "_pid", "_base", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_off"))
+    # one row per file split: broadcast while that count is within the bound
     n_parts = df.rdd.getNumPartitions()
-    side = offs.select("_pid", "_off")
-    joined = mid.withColumn("_pid", pid).join(F.broadcast(side) if n_parts <= MAX_BROADCAST_CELLS // 2 else side,
-                                              "_pid")
-    local = F.col("_mid").bitwiseAND(F.lit((1 << 33) - 1))
-    return joined.withColumn(name, (F.col("_off") + local).cast("long")).drop("_mid", "_pid", "_off")
+    side = F.broadcast(offs) if n_parts <= MAX_BROADCAST_CELLS // 4 else offs
+    joined = mid.withColumn("_pid", pid).join(side, ["_file", "_pid"])
+    rid = (F.col("_off") + local - F.col("_base")).cast("long")
+    return joined.withColumn(name, rid).drop("_mid", "_pid", "_off", "_base", "_file")
 
 
 def _all_ok(arr: Column, pred) -> Column:

@@ -109,3 +109,26 @@ def test_dense_csv_from_file(spark, tmpdir_path):
     df = TX.good_rows(TX.parse_dense_csv(TX.read_lines(spark, path)))
     rows = sorted((r["row_id"], r["label"], r["features"]) for r in df.collect())
     assert rows == [(0, 1.0, [0.5, 1.5]), (1, 0.0, [2.0, 3.0])]
+
+
+def test_row_id_follows_path_order_across_files(spark, tmpdir_path):
+    """Part files of different sizes: ids run through part-0, part-1, part-2 in order,
+    although the scan packs the largest split first."""
+    import os
+    d = f"{tmpdir_path}/parts"
+    os.makedirs(d)
+    sizes = [5, 4000, 300]
+    k = 0
+    for p, n in enumerate(sizes):
+        with open(f"{d}/part-{p}", "w") as f:
+            for _ in range(n):
+                f.write(f"{k},1\n")
+                k += 1
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    try:
+        df = TX.read_lines(spark, d)
+        got = sorted((r["row_id"], int(r["value"].split(",")[0])) for r in df.collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [g[0] for g in got] == list(range(sum(sizes)))
+    assert all(rid == k for rid, k in got)
