@@ -81,8 +81,9 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "p0", group_cols:
     wi = Window.partitionBy(*group_cols, "_b").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     below = F.coalesce(F.sum("_neg").over(wi), F.lit(0.0)) + F.col("_off")
     contrib = j.withColumn("_c", F.col("_pos") * (below + F.col("_neg") * F.lit(0.5)))
+    # a group with only one class has no pairs: AUC is undefined (null), not an error
     return contrib.groupBy(*group_cols).agg(
-        (F.sum("_c") / (F.sum("_pos") * F.sum("_neg"))).alias(out))
+        F.try_divide(F.sum("_c"), F.sum("_pos") * F.sum("_neg")).alias(out))
 
 
 def roc_auc_macro(df: DataFrame, label: str = "label", group_cols: list[str] = (),

@@ -66,3 +66,8 @@ def test_histogram_counts(spark):
     h = M.histogram(df, "v", 10).orderBy("bin").collect()
     assert [r["count"] for r in h] == [10] * 10
     assert math.isclose(h[0]["lo_edge"], 0.0) and math.isclose(h[-1]["hi_edge"], 99.0)
+
+
+def test_auc_single_class_is_null(spark):
+    df = spark.createDataFrame([(1, 0.2), (1, 0.9)], "label int, p0 double")
+    assert M.roc_auc(df).first()["roc_auc"] is None
