@@ -103,10 +103,6 @@ def parse_dense_csv(lines: DataFrame, value: str = "value", sep: str = ",",
     return out.drop(value)
 
 
-def _sparse_tokens(feat_str: Column) -> Column:
-    return F.filter(F.split(feat_str, " "), lambda t: t != F.lit(""))
-
-
 def _feats_from_tokens(tokens: Column, base: int | Column = 0) -> Column:
     b = base if isinstance(base, Column) else F.lit(base)
     return F.transform(tokens, lambda t: F.struct(
