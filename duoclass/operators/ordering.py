@@ -194,3 +194,29 @@ def row_slice(df: DataFrame, start: int, size: int = -1, ix: str = "ix",
     else:
         cond = (F.col(ix) >= F.lit(start)) & (F.col(ix) < F.lit(start + size))
     return df.filter(cond).withColumn("row", (F.col(ix) - F.lit(start)).cast("long"))
+
+
+def first_rows(df: DataFrame, key: str, n: int, name: str = "ix", n_rows: int | None = None) -> DataFrame:
+    """The first ``n`` rows in ``order by key`` (unique numeric key), with their index.
+
+    A row cap should not cost a global sort or a shuffle of every row.  An
+    approximate quantile gives a key threshold ``t`` expected to pass a little
+    more than ``n`` rows; ``key <= t`` is pushed down to the scan and counted; the
+    threshold is widened until at least ``n`` rows pass.  The exact index is then
+    computed on those rows only.
+    """
+    total = n_rows if n_rows is not None else df.count()
+    if n >= total:
+        return ordered_index(df, key, name, n_rows=total)
+    frac = min(1.0, (n * 1.05 + 100) / total)
+    while True:
+        t = df.select(F.col(key).cast("double").alias("_k")).approxQuantile("_k", [frac], 1e-4 * frac)[0]
+        # a literal of the key's own type keeps the comparison pushable to the scan
+        integral = df.schema[key].dataType.typeName() in ("long", "integer", "short", "byte")
+        lit = F.lit(int(math.floor(t))).cast(df.schema[key].dataType) if integral else F.lit(t)
+        head = df.filter(F.col(key) <= lit)
+        m = head.count()
+        if m >= n or frac >= 1.0:
+            break
+        frac = min(1.0, frac * 2)
+    return ordered_index(head, key, name, n_rows=m).filter(F.col(name) < F.lit(n))

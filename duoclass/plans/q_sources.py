@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from duoclass.functions.columns import r6
 from duoclass.operators import encode as E
-from duoclass.operators.ordering import ordered_index, row_slices, split_ordered
+from duoclass.operators.ordering import first_rows, ordered_index, row_slices, split_ordered
 from duoclass.operators.vectors import dedupe_frame, densify_frame
 from duoclass.plans.inputs import EMB_WIDTH, embeddings_dense, table
 from duoclass.sources import standins as S
@@ -52,8 +52,7 @@ def row_cap(spark, sf, cap=10_000):
     """First ``cap`` orders in key order, with the full count (the capped read)."""
     orders = table(spark, sf, "orders").select("o_orderkey", "o_totalprice")
     n = orders.count()
-    ix = ordered_index(orders, "o_orderkey", "ix", n_rows=n)
-    return ix.filter(F.col("ix") < F.lit(cap)).select(
+    return first_rows(orders, "o_orderkey", cap, "ix", n_rows=n).select(
         "o_orderkey", "o_totalprice", F.lit(n).cast("long").alias("n_total"))
 
 

@@ -63,3 +63,11 @@ def test_ordered_index_many_buckets(spark):
     df = spark.range(2000).select((F.col("id") * 7 % 2000 * 3 + 11).alias("k")).repartition(6)
     got = sorted((r["k"], r["ix"]) for r in ordered_index(df, "k", "ix", rows_per_bucket=100).collect())
     assert [ix for _, ix in got] == list(range(2000))
+
+
+def test_first_rows_exact(spark):
+    from duoclass.operators.ordering import first_rows
+    df = spark.range(5000).select(((F.col("id") * 7919) % 5000 * 2 + 1).alias("k")).repartition(5)
+    for n in (1, 37, 1000, 4999, 6000):
+        got = sorted(r["k"] for r in first_rows(df, "k", n).collect())
+        assert got == [2 * i + 1 for i in range(min(n, 5000))]
