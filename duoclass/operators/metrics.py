@@ -48,6 +48,13 @@ def accuracy_and_loss(df: DataFrame, label: str = "label", pred: str = "pred",
                                        F.avg(ce).alias("cross_entropy"))
 
 
+def graph_auc_counts(df: DataFrame, label: str = "label", pred: str = "pred",
+                     group_cols: list[str] = ()) -> DataFrame:
+    """Confusion counts as the graph's streaming AUC saw them: the predicted class
+    index passed as labels, the true class index as predictions."""
+    return confusion(df, F.col(pred), truth_index(F.col(label)), group_cols)
+
+
 def roc_auc(df: DataFrame, label: str = "label", score: str = "p0", group_cols: list[str] = (),
             out: str = "roc_auc", rows_per_bucket: int = 1_000_000, max_buckets: int = 65_536) -> DataFrame:
     """Exact ROC AUC (Mann-Whitney; tied scores count one half).
@@ -120,6 +127,14 @@ def hard_auc_from_counts(tp: Column, fp: Column, tn: Column, fn: Column) -> Colu
     return (fpr_0 - fpr_m) * (F.lit(1.0) + tpr_m) / F.lit(2.0) + fpr_m * (tpr_m + tpr_2) / F.lit(2.0)
 
 
+def hard_auc_value(tp: float, fp: float, tn: float, fn: float) -> float:
+    """:func:`hard_auc_from_counts` for four driver-side counts."""
+    e = TF_EPS
+    P, N = tp + fn, fp + tn
+    tpr_m, fpr_m = (tp + e) / (P + e), fp / (N + e)
+    return (N / (N + e) - fpr_m) * (1.0 + tpr_m) / 2.0 + fpr_m * (tpr_m + e / (P + e)) / 2.0
+
+
 def hard_auc(df: DataFrame, truth: Column, pred: Column, swapped: bool = False,
              group_cols: list[str] = (), out: str = "hard_auc") -> DataFrame:
     """AUC of hard 0/1 outputs.  ``swapped=True`` passes the prediction as labels and

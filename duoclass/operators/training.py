@@ -320,12 +320,18 @@ def evaluate(df: DataFrame, model: Model, split_col: str = "split", label: str =
 
 
 def _metrics_of(s: DataFrame, split_col: str, label: str) -> DataFrame:
+    """Long (split, metric, value) rows; the graph-AUC confusion counts ride along
+    as metrics ``tp fp tn fn`` so a training loop can keep them as running counters."""
     al = M.accuracy_and_loss(s, label, group_cols=[split_col])
     auc = M.roc_auc(s, label, "p0", group_cols=[split_col])
-    rep = al.join(auc, split_col)
-    out = rep.select(split_col, F.stack(F.lit(3), F.lit("accuracy"), "accuracy", F.lit("cross_entropy"),
-                                        "cross_entropy", F.lit("roc_auc"), "roc_auc").alias("metric", "value"))
-    return out
+    cnt = M.graph_auc_counts(s, label, group_cols=[split_col])
+    rep = al.join(auc, split_col).join(cnt, split_col)
+    pairs = [("accuracy", "accuracy"), ("cross_entropy", "cross_entropy"), ("roc_auc", "roc_auc"),
+             ("graph_tp", "tp"), ("graph_fp", "fp"), ("graph_tn", "tn"), ("graph_fn", "fn")]
+    args = [F.lit(len(pairs))]
+    for m, c in pairs:
+        args += [F.lit(m), F.col(c).cast("double")]
+    return rep.select(split_col, F.stack(*args).alias("metric", "value"))
 
 
 def train(spark: SparkSession, data: DataFrame, model: Model, epochs: int, batch_size: int,
@@ -376,6 +382,7 @@ def _train(spark, data, model, epochs, batch_size, lr0, decay_rate, decay_steps,
     if n_batches == 0:
         raise ValueError("fewer training rows than one batch")
     records = []
+    counters: dict = {}
     parts = max(1, spark.sparkContext.defaultParallelism)
     # tasks per step: about ROWS_PER_STEP_TASK rows each, never more than partitions
     step_tasks = int(min(parts, max(1, math.ceil(batch_size / ROWS_PER_STEP_TASK))))
@@ -412,6 +419,15 @@ def _train(spark, data, model, epochs, batch_size, lr0, decay_rate, decay_steps,
         if eval_every and (epoch % eval_every == 0 or epoch == epochs - 1):
             ev = evaluate_rows(data, model, "split", label, features, sparse)
             records.extend((run, epoch, r["split"], r["metric"], float(r["value"])) for r in ev)
+            # counters initialised once and never reset: each evaluation adds to them
+            for r in ev:
+                if r["metric"].startswith("graph_"):
+                    key = (r["split"], r["metric"][6:])
+                    counters[key] = counters.get(key, 0.0) + float(r["value"])
+            for sp in sorted({k[0] for k in counters}):
+                c = {k[1]: v for k, v in counters.items() if k[0] == sp}
+                records.append((run, epoch, sp, "auc_graph_cumulative",
+                                M.hard_auc_value(c["tp"], c["fp"], c["tn"], c["fn"])))
     mdf = spark.createDataFrame(records, "run string, epoch int, split string, metric string, value double")
     if metrics_root:
         mdf.write.mode("append").partitionBy("run").parquet(metrics_root)

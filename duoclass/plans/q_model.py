@@ -203,7 +203,13 @@ a AS (SELECT split, avg({hit}) AS accuracy, avg({ce}) AS ce FROM sc GROUP BY spl
 auc AS {Q.auc_sql('sc', 'p0', 'label', 'split')}
 SELECT 'r0' AS run, 0 AS epoch, split, 'accuracy' AS metric, {Q.r6('accuracy')} AS value FROM a
 UNION ALL SELECT 'r0', 0, split, 'cross_entropy', {Q.r6('ce')} FROM a
-UNION ALL SELECT 'r0', 0, split, 'roc_auc', {Q.r6('roc_auc')} FROM auc"""
+UNION ALL SELECT 'r0', 0, split, 'roc_auc', {Q.r6('roc_auc')} FROM auc
+UNION ALL SELECT 'r0', 0, split, 'graph_' || m.name, {Q.r6('CAST(m.v AS DOUBLE)')} FROM (
+  SELECT split,
+    sum(CASE WHEN pred = 1 AND tix = 1 THEN 1 ELSE 0 END) AS tp, sum(CASE WHEN pred = 0 AND tix = 1 THEN 1 ELSE 0 END) AS fp,
+    sum(CASE WHEN pred = 0 AND tix = 0 THEN 1 ELSE 0 END) AS tn, sum(CASE WHEN pred = 1 AND tix = 0 THEN 1 ELSE 0 END) AS fn
+  FROM (SELECT split, pred, CASE WHEN label = 1 THEN 0 ELSE 1 END AS tix FROM sc) x GROUP BY split) c,
+  LATERAL (VALUES ('tp', c.tp), ('fp', c.fp), ('tn', c.tn), ('fn', c.fn)) m(name, v)"""
 
 
 ORACLE = {

@@ -71,3 +71,9 @@ def test_histogram_counts(spark):
 def test_auc_single_class_is_null(spark):
     df = spark.createDataFrame([(1, 0.2), (1, 0.9)], "label int, p0 double")
     assert M.roc_auc(df).first()["roc_auc"] is None
+
+
+def test_hard_auc_value_matches_column_form(spark):
+    df = spark.createDataFrame([(3, 2, 5, 1)], "tp long, fp long, tn long, fn long")
+    col = df.select(M.hard_auc_from_counts(F.col("tp"), F.col("fp"), F.col("tn"), F.col("fn"))).first()[0]
+    assert abs(col - M.hard_auc_value(3, 2, 5, 1)) < 1e-15
