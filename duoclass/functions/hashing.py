@@ -59,10 +59,15 @@ def mix_uniform_sql(seed: int, step: int, row: str, unit: str) -> str:
 
 def mix_uniform_np(seed: int, step: int, rows: np.ndarray, units: np.ndarray) -> np.ndarray:
     """Same values as ``mix_uniform_col`` for the outer product rows x units."""
+    return mix_uniform_pairs_np(seed, step, np.asarray(rows)[:, None], np.asarray(units)[None, :])
+
+
+def mix_uniform_pairs_np(seed: int, step: int, rows: np.ndarray, units: np.ndarray) -> np.ndarray:
+    """Same values as ``mix_uniform_col`` for (row, unit) pairs (broadcasting)."""
     a = _scalar_offset(seed, step)
     p = np.int64(MIX_P)
-    r = (np.asarray(rows, dtype=np.int64) % p)[:, None]
-    u = (np.asarray(units, dtype=np.int64) % p)[None, :]
+    r = np.asarray(rows, dtype=np.int64) % p
+    u = np.asarray(units, dtype=np.int64) % p
     h = (r * MIX_A + a) % p
     h = (h * h + u * MIX_B + 1) % p
     h = (h * MIX_C + 11) % p

@@ -9,7 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 
-from duoclass.functions.hashing import mix_uniform_np
+from duoclass.functions.hashing import mix_uniform_np, mix_uniform_pairs_np
 from duoclass.operators.model import Model
 
 
@@ -44,29 +44,36 @@ class Inputs:
         rows = np.repeat(np.arange(n), lens)
         return Inputs(n, d, rows=rows[keep], idx=idx[keep], val=val[keep])
 
+    @staticmethod
+    def _segment_sum(keys: np.ndarray, vals: np.ndarray, size: int) -> np.ndarray:
+        """Sum rows of ``vals`` by ``keys`` (sorted ascending) into ``size`` slots."""
+        out = np.zeros((size, vals.shape[1]))
+        if keys.size:
+            starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+            out[keys[starts]] = np.add.reduceat(vals, starts, axis=0)
+        return out
+
     def matmul(self, W: np.ndarray) -> np.ndarray:
         if self.dense is not None:
             return self.dense @ W
-        out = np.zeros((self.n, W.shape[1]))
-        if self.idx.size:
-            np.add.at(out, self.rows, W[self.idx] * self.val[:, None])
-        return out
+        # cells of a row are contiguous, so rows are already sorted
+        return self._segment_sum(self.rows, W[self.idx] * self.val[:, None], self.n)
 
     def t_matmul(self, D: np.ndarray) -> np.ndarray:
         """X^T D (d x k)."""
         if self.dense is not None:
             return self.dense.T @ D
-        out = np.zeros((self.d, D.shape[1]))
-        if self.idx.size:
-            np.add.at(out, self.idx, D[self.rows] * self.val[:, None])
-        return out
+        order = np.argsort(self.idx, kind="stable")
+        return self._segment_sum(self.idx[order], (D[self.rows] * self.val[:, None])[order], self.d)
 
-    def scaled(self, mask: np.ndarray) -> "Inputs":
-        """Element-wise mask (dropout on the input layer)."""
+    def dropped(self, seed: int, step: int, row_ids: np.ndarray, keep: float) -> "Inputs":
+        """Input-layer dropout.  Sparse rows draw the mask only at stored cells (a
+        dense n x d mask would not fit for wide sparse data); the values are the
+        same as the dense mask's at those cells."""
         if self.dense is not None:
-            return Inputs(self.n, self.d, dense=self.dense * mask)
-        return Inputs(self.n, self.d, rows=self.rows, idx=self.idx,
-                      val=self.val * mask[self.rows, self.idx])
+            return Inputs(self.n, self.d, dense=self.dense * dropout_mask(seed, step, 0, row_ids, self.d, keep))
+        u = mix_uniform_pairs_np(seed, step * 16, np.asarray(row_ids, dtype=np.int64)[self.rows], self.idx)
+        return Inputs(self.n, self.d, rows=self.rows, idx=self.idx, val=self.val * ((u < keep) / keep))
 
 
 def dropout_mask(seed: int, step: int, layer: int, row_ids: np.ndarray, units: int,
@@ -98,8 +105,7 @@ def forward(x: Inputs, model: Model, moments: list[tuple[np.ndarray, np.ndarray]
     cache: dict = {"a": [], "z": [], "zh": [], "u": [], "mask": []}
     a_in = x
     if dropout and dropout.get("input", True):
-        m0 = dropout_mask(dropout["seed"], dropout["step"], 0, dropout["row_ids"], x.d, dropout["keep"])
-        a_in = x.scaled(m0)
+        a_in = x.dropped(dropout["seed"], dropout["step"], dropout["row_ids"], dropout["keep"])
     cache["x"] = a_in
     prev = None
     for l, layer in enumerate(model.hidden, start=1):

@@ -106,3 +106,19 @@ def test_local_and_distributed_gradient_agree(spark):
         for k in g1:
             assert np.allclose(g1[k], g2[k], atol=1e-12), k
         assert abs(s1["loss"] - s2["loss"]) < 1e-12 and s1["n"] == s2["n"] == 64
+
+
+def test_sparse_and_dense_inputs_same_gradient(spark):
+    rng = np.random.default_rng(7)
+    n, d = 40, 6
+    X = np.where(rng.random((n, d)) < 0.4, rng.normal(size=(n, d)), 0.0)
+    y = (rng.random(n) < 0.5).astype(int)
+    feats = [[(int(j), float(X[i, j])) for j in range(d) if X[i, j] != 0.0] for i in range(n)]
+    sp = spark.createDataFrame(list(zip(range(n), y.tolist(), feats)),
+                               "row_id long, label int, feats array<struct<i:int,v:double>>").repartition(3)
+    de = spark.createDataFrame(pd.DataFrame({"row_id": np.arange(n), "label": y, "features": list(X)})).repartition(3)
+    m = init_model(d, [4], seed=3)
+    gs, _ = batch_gradient(sp, m, keep_prob=0.5, seed=1, step=2, features="feats", sparse=True)
+    gd, _ = batch_gradient(de, m, keep_prob=0.5, seed=1, step=2)
+    for k in gd:
+        assert np.allclose(gs[k], gd[k], atol=1e-12), k
