@@ -48,6 +48,17 @@ def accuracy_and_loss(df: DataFrame, label: str = "label", pred: str = "pred",
                                        F.avg(ce).alias("cross_entropy"))
 
 
+def score_report(df: DataFrame, label: str = "label", pred: str = "pred",
+                 group_cols: list[str] = ()) -> DataFrame:
+    """Rows, accuracy, mean cross-entropy and exact ROC AUC per group from one
+    grouped pass over the scores (the additive sums ride along the AUC grouping)."""
+    hit = (F.col(pred) == truth_index(F.col(label))).cast("double")
+    ce = cross_entropy_col(F.col(label).cast("double"), F.col("logp0"), F.col("logp1"))
+    r = roc_auc(df, label, "p0", group_cols, carry={"n_rows": F.lit(1).cast("long"), "_hits": hit, "_ce": ce})
+    return r.select(*group_cols, "n_rows", (F.col("_hits") / F.col("n_rows")).alias("accuracy"),
+                    (F.col("_ce") / F.col("n_rows")).alias("cross_entropy"), "roc_auc")
+
+
 def graph_auc_counts(df: DataFrame, label: str = "label", pred: str = "pred",
                      group_cols: list[str] = ()) -> DataFrame:
     """Confusion counts as the graph's streaming AUC saw them: the predicted class
@@ -56,7 +67,8 @@ def graph_auc_counts(df: DataFrame, label: str = "label", pred: str = "pred",
 
 
 def roc_auc(df: DataFrame, label: str = "label", score: str = "p0", group_cols: list[str] = (),
-            out: str = "roc_auc", rows_per_bucket: int = 1_000_000, max_buckets: int = 65_536) -> DataFrame:
+            out: str = "roc_auc", rows_per_bucket: int = 1_000_000, max_buckets: int = 65_536,
+            carry: dict[str, Column] | None = None) -> DataFrame:
     """Exact ROC AUC (Mann-Whitney; tied scores count one half).
 
     1. ``groupBy(group, score)``: positives / negatives per distinct score (partial
@@ -70,11 +82,17 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "p0", group_cols:
        groups x buckets rows) -> broadcast back as offsets.
     4. Inside a bucket, a window gives the negatives strictly below each score.
     AUC = sum(pos * (neg_below + neg_equal / 2)) / (P * N).
+
+    ``carry`` maps output names to per-row expressions whose sums ride along the
+    score grouping (row counts, hits, loss sums), so other additive metrics come
+    out of the same pass, in the same row.
     """
+    carry = dict(carry or {})
     group_cols = list(group_cols)
     y = F.col(label).cast("double")
     g = reliable_checkpoint(df.groupBy(*group_cols, F.col(score).alias("_s")).agg(
-        F.sum(y).alias("_pos"), F.sum(F.lit(1.0) - y).alias("_neg")))
+        F.sum(y).alias("_pos"), F.sum(F.lit(1.0) - y).alias("_neg"),
+        *[F.sum(e).alias(f"_c_{k}") for k, e in carry.items()]))
     n_scores = g.count()  # cheap: reads the checkpoint
     nb = int(min(max_buckets, max(1, math.ceil(n_scores / float(rows_per_bucket)))))
     cuts = quantile_cuts(g, "_s", nb)
@@ -90,20 +108,21 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "p0", group_cols:
     contrib = j.withColumn("_c", F.col("_pos") * (below + F.col("_neg") * F.lit(0.5)))
     # a group with only one class has no pairs: AUC is undefined (null), not an error
     return contrib.groupBy(*group_cols).agg(
-        F.try_divide(F.sum("_c"), F.sum("_pos") * F.sum("_neg")).alias(out))
+        F.try_divide(F.sum("_c"), F.sum("_pos") * F.sum("_neg")).alias(out),
+        *[F.sum(f"_c_{k}").alias(k) for k in carry])
 
 
 def roc_auc_macro(df: DataFrame, label: str = "label", group_cols: list[str] = (),
                   out: str = "roc_auc_macro") -> DataFrame:
-    """Average of the per-column AUCs of the one-hot pair against (p0, p1)."""
-    a0 = roc_auc(df, label, "p0", group_cols, out="_a0")
-    flipped = df.withColumn("_l1", F.lit(1.0) - F.col(label).cast("double"))
-    a1 = roc_auc(flipped, "_l1", "p1", group_cols, out="_a1")
-    if group_cols:
-        j = a0.join(a1, list(group_cols))
-    else:
-        j = a0.crossJoin(a1)  # two one-row aggregates
-    return j.select(*group_cols, ((F.col("_a0") + F.col("_a1")) / F.lit(2.0)).alias(out))
+    """Average of the per-column AUCs of the one-hot pair against (p0, p1): both
+    columns stacked with a column key, one grouped AUC, then the mean."""
+    group_cols = list(group_cols)
+    y = F.col(label).cast("double")
+    both = (df.select(*group_cols, F.lit(0).alias("_col"), y.alias("_y"), F.col("p0").alias("_p"))
+              .unionByName(df.select(*group_cols, F.lit(1).alias("_col"), (F.lit(1.0) - y).alias("_y"),
+                                     F.col("p1").alias("_p"))))
+    per_col = roc_auc(both, "_y", "_p", group_cols + ["_col"], out="_a")
+    return per_col.groupBy(*group_cols).agg(F.avg("_a").alias(out))
 
 
 def confusion(df: DataFrame, truth: Column, pred: Column, group_cols: list[str] = ()) -> DataFrame:

@@ -322,10 +322,8 @@ def evaluate(df: DataFrame, model: Model, split_col: str = "split", label: str =
 def _metrics_of(s: DataFrame, split_col: str, label: str) -> DataFrame:
     """Long (split, metric, value) rows; the graph-AUC confusion counts ride along
     as metrics ``tp fp tn fn`` so a training loop can keep them as running counters."""
-    al = M.accuracy_and_loss(s, label, group_cols=[split_col])
-    auc = M.roc_auc(s, label, "p0", group_cols=[split_col])
-    cnt = M.graph_auc_counts(s, label, group_cols=[split_col])
-    rep = al.join(auc, split_col).join(cnt, split_col)
+    rep = M.score_report(s, label, group_cols=[split_col]).join(
+        M.graph_auc_counts(s, label, group_cols=[split_col]), split_col)
     pairs = [("accuracy", "accuracy"), ("cross_entropy", "cross_entropy"), ("roc_auc", "roc_auc"),
              ("graph_tp", "tp"), ("graph_fp", "fp"), ("graph_tn", "tn"), ("graph_fn", "fn")]
     args = [F.lit(len(pairs))]

@@ -56,9 +56,8 @@ def score_saved_model(spark, sf):
     save_params(spark, mlp2(), root, "mlp", 0, tag="tag")
     model = load_model(spark, root, "mlp")
     test = _emb_split(spark, sf).filter(F.col("split") == "test")
-    s = score(test, model, keep=["vec_id", "label"]).cache()
-    n = s.agg(F.count(F.lit(1)).alias("n_rows"))
-    return (n.crossJoin(M.accuracy(s)).crossJoin(M.roc_auc(s)).crossJoin(M.cross_entropy(s))
+    s = score(test, model, keep=["vec_id", "label"])
+    return (M.score_report(s)
              .select("n_rows", r6("accuracy").alias("accuracy"), r6("roc_auc").alias("roc_auc"),
                      r6("cross_entropy").alias("cross_entropy")))
 
@@ -119,8 +118,8 @@ def three_step_train_test(spark, sf, epochs=2, batch_size=100):
     save_params(spark, m, root, "dnn", 1)
     trained = load_model(spark, root, "dnn")                                      # step 3
     test = data.filter(F.col("split") == "test")
-    s = score(test, trained, keep=["row_id", "label"]).cache()
-    return (M.accuracy(s).crossJoin(M.roc_auc(s))
+    s = score(test, trained, keep=["row_id", "label"])
+    return (M.score_report(s)
              .select(F.lit(int(trained.global_step)).alias("global_step"), "accuracy", "roc_auc"))
 
 

@@ -53,7 +53,7 @@ def roc_auc(spark, sf):
 
 
 def roc_auc_macro(spark, sf):
-    s = _scored2(spark, sf).cache()
+    s = _scored2(spark, sf)
     return M.roc_auc_macro(s).select(r6("roc_auc_macro").alias("roc_auc_macro"))
 
 
@@ -63,8 +63,7 @@ def loss_by_split(spark, sf):
 
 
 def metric_report(spark, sf):
-    s = _scored2_split(spark, sf).cache()
-    rep = M.accuracy_and_loss(s, group_cols=["split"]).join(M.roc_auc(s, group_cols=["split"]), "split")
+    rep = M.score_report(_scored2_split(spark, sf), group_cols=["split"])
     return rep.select(F.lit(0).alias("epoch"), "split", r6("accuracy").alias("accuracy"),
                       r6("cross_entropy").alias("cross_entropy"), r6("roc_auc").alias("roc_auc"))
 
