@@ -90,3 +90,16 @@ def test_params_roundtrip(spark, tmpdir_path):
     for k, a in m.arrays().items():
         assert np.array_equal(v0.arrays()[k], a)
     assert np.array_equal(v0.slots[(1, "W", "m")], np.ones((7, 4)))
+
+
+def test_toy_linear_round_trip(spark, tmpdir_path):
+    """Save a one-weight linear model (w assigned 3 after an initial 2, b = 0),
+    restore it from the parameter table and ask it at x = 3: y = 9."""
+    from duoclass.sources.params_store import load_model, save_params
+    m = Model([], np.array([[2.0]]), np.array([0.0]))
+    m.W_out = np.array([[3.0]])  # the assignment made before saving
+    save_params(spark, m, tmpdir_path, "toy", 0, tag="tag")
+    back = load_model(spark, tmpdir_path, "toy", tag="tag")
+    x = spark.createDataFrame([(0, [3.0])], "row_id long, features array<double>")
+    y = affine(x, back.W_out, back.b_out, keep=["row_id"]).first()["z"]
+    assert y == [9.0]
