@@ -7,9 +7,7 @@ import __spark_entry__ as E
 from duoclass.streaming.counters import run_confusion_stream
 from tests.conftest import SF001
 
-FAST = ["dense_csv_scan", "keyed_sparse_scan", "svmlight_scan", "densify", "dup_index_last", "seeded_shuffle",
-        "split_shuffled", "minibatch_short", "score_mlp2", "roc_auc", "loss_by_split", "hard_auc_swapped",
-        "confusion", "histogram", "cumulative_auc", "affine_sparse", "batch_norm", "load_params"]
+ALL_ORACLES = sorted(E.oracle_sql())
 
 
 def test_entry_one_row(spark):
@@ -26,7 +24,7 @@ def test_stream_equals_batch(spark):
     assert got == {(a, b): c for a, b, c in exp}
 
 
-@pytest.mark.parametrize("name", FAST)
+@pytest.mark.parametrize("name", ALL_ORACLES)
 def test_oracle_agreement(spark, name):
     from tools.oracle_check import digest, duck
     df = E.queries()[name](spark, SF001)
