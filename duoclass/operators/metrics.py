@@ -49,14 +49,25 @@ def accuracy_and_loss(df: DataFrame, label: str = "label", pred: str = "pred",
 
 
 def score_report(df: DataFrame, label: str = "label", pred: str = "pred",
-                 group_cols: list[str] = ()) -> DataFrame:
+                 group_cols: list[str] = (), graph_counts: bool = False) -> DataFrame:
     """Rows, accuracy, mean cross-entropy and exact ROC AUC per group from one
-    grouped pass over the scores (the additive sums ride along the AUC grouping)."""
-    hit = (F.col(pred) == truth_index(F.col(label))).cast("double")
+    grouped pass over the scores (the additive sums ride along the AUC grouping).
+    ``graph_counts`` adds the confusion counts of :func:`graph_auc_counts` as
+    ``tp fp tn fn`` from the same pass."""
+    truth = truth_index(F.col(label))
+    hit = (F.col(pred) == truth).cast("double")
     ce = cross_entropy_col(F.col(label).cast("double"), F.col("logp0"), F.col("logp1"))
-    r = roc_auc(df, label, "p0", group_cols, carry={"n_rows": F.lit(1).cast("long"), "_hits": hit, "_ce": ce})
+    carry = {"n_rows": F.lit(1).cast("long"), "_hits": hit, "_ce": ce}
+    extra = []
+    if graph_counts:  # predicted index as labels, true index as predictions
+        p, t = F.col(pred), truth
+        for name, cond in (("tp", (p == 1) & (t == 1)), ("fp", (p == 0) & (t == 1)),
+                           ("tn", (p == 0) & (t == 0)), ("fn", (p == 1) & (t == 0))):
+            carry[name] = cond.cast("long")
+            extra.append(name)
+    r = roc_auc(df, label, "p0", group_cols, carry=carry)
     return r.select(*group_cols, "n_rows", (F.col("_hits") / F.col("n_rows")).alias("accuracy"),
-                    (F.col("_ce") / F.col("n_rows")).alias("cross_entropy"), "roc_auc")
+                    (F.col("_ce") / F.col("n_rows")).alias("cross_entropy"), "roc_auc", *extra)
 
 
 def graph_auc_counts(df: DataFrame, label: str = "label", pred: str = "pred",

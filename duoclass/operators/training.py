@@ -298,18 +298,13 @@ def adam_update(model: Model, grads: dict, lr: float, b1: float = 0.9, b2: float
 
 def evaluate_rows(df: DataFrame, model: Model, split_col: str = "split", label: str = "label",
                   features: str = "features", sparse: bool = False) -> list:
-    """:func:`evaluate`, collected (metric rows only), with the scored table released."""
-    s = _scored(df, model, split_col, label, features, sparse)
-    try:
-        return _metrics_of(s, split_col, label).collect()
-    finally:
-        s.unpersist()
+    """:func:`evaluate`, collected (metric rows only)."""
+    return evaluate(df, model, split_col, label, features, sparse).collect()
 
 
 def _scored(df, model, split_col, label, features, sparse):
-    keep = [label, split_col]
-    return score(df, model, features, sparse, group_cols=[split_col], keep=keep).persist(
-        StorageLevel.MEMORY_AND_DISK)
+    # read once: the metrics come from a single grouped pass over the scores
+    return score(df, model, features, sparse, group_cols=[split_col], keep=[label, split_col])
 
 
 def evaluate(df: DataFrame, model: Model, split_col: str = "split", label: str = "label",
@@ -322,8 +317,7 @@ def evaluate(df: DataFrame, model: Model, split_col: str = "split", label: str =
 def _metrics_of(s: DataFrame, split_col: str, label: str) -> DataFrame:
     """Long (split, metric, value) rows; the graph-AUC confusion counts ride along
     as metrics ``tp fp tn fn`` so a training loop can keep them as running counters."""
-    rep = M.score_report(s, label, group_cols=[split_col]).join(
-        M.graph_auc_counts(s, label, group_cols=[split_col]), split_col)
+    rep = M.score_report(s, label, group_cols=[split_col], graph_counts=True)
     pairs = [("accuracy", "accuracy"), ("cross_entropy", "cross_entropy"), ("roc_auc", "roc_auc"),
              ("graph_tp", "tp"), ("graph_fp", "fp"), ("graph_tn", "tn"), ("graph_fn", "fn")]
     args = [F.lit(len(pairs))]
