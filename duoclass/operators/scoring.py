@@ -6,8 +6,8 @@ e.g. per split), so a pass over L hidden layers is:
 * L moment passes: ``mapInPandas`` computes layer l's pre-activation per Arrow
   batch and emits mergeable (n, mean, M2) per (group, unit) - one row per unit per
   partition; ``groupBy`` merges them (map-side partial aggregation).
-* one output pass: ``mapInPandas`` with the parameters and moments broadcast in the
-  task closure (both model-sized; sizes checked against ``MAX_BROADCAST_CELLS``).
+* one output pass: ``mapInPandas`` with the parameters and moments shipped as a
+  broadcast variable (both model-sized; sizes checked against ``MAX_BROADCAST_CELLS``).
 
 No pass shuffles rows; the only exchanges carry per-partition moment rows.  When
 the moments do not fit the bound (very many groups) they are joined to the rows
@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 
 from duoclass.operators.kernels import Inputs, Moments, forward, log_softmax, softmax
 from duoclass.operators.model import Model
-from duoclass.session import MAX_BROADCAST_CELLS, ship_package
+from duoclass.session import MAX_BROADCAST_CELLS, release, share, ship_package
 
 
 # ---------------------------------------------------------------- inputs -----
@@ -73,7 +73,7 @@ def _group_key(pdf: pd.DataFrame, group_cols: list[str]):
 
 def layer_moments(df: DataFrame, model: Model, layer: int, moments: dict,
                   group_cols: list[str] = (), dropout: dict | None = None,
-                  row_id: str | None = None) -> DataFrame:
+                  row_id: str | None = None, handles: list | None = None) -> DataFrame:
     """Per (group, unit): n, mean and population variance of hidden layer ``layer``'s
     pre-activation.  ``moments`` holds the earlier layers (see :func:`collect_moments`).
     ``dropout`` (seed, step, keep, input) applies training masks keyed by ``row_id``."""
@@ -86,15 +86,17 @@ def layer_moments(df: DataFrame, model: Model, layer: int, moments: dict,
                                      T.StructField("mean", T.DoubleType()),
                                      T.StructField("m2", T.DoubleType())])
     cols = group_cols + _input_cols(df) + ([row_id] if dropout else [])
+    shared = share(df, (model, moments), handles)
 
     def fn(it):
+        model_, moments_ = shared.value
         acc: dict = {}
         for pdf in it:
             for key, g in _group_key(pdf, group_cols):
                 x = _inputs_of(g, d)
-                mom = [moments[(key, l)] for l in range(1, layer)]
+                mom = [moments_[(key, l)] for l in range(1, layer)]
                 drop = dict(dropout, row_ids=g[row_id].values.astype(np.int64)) if dropout else None
-                z = forward(x, model, mom, stop_at=layer, dropout=drop)["z"][-1]
+                z = forward(x, model_, mom, stop_at=layer, dropout=drop)["z"][-1]
                 acc.setdefault(key, Moments(z.shape[1])).add(z)
         for key, m in acc.items():
             k = len(m.mean)
@@ -125,7 +127,9 @@ def collect_moments(df: DataFrame, model: Model, group_cols: list[str] = ()) ->
     moments: dict = {}
     for l, layer in enumerate(model.hidden, start=1):
         bound = MAX_BROADCAST_CELLS // 3
-        rows = layer_moments(df, model, l, moments, group_cols).limit(bound + 1).collect()
+        handles: list = []
+        rows = layer_moments(df, model, l, moments, group_cols, handles=handles).limit(bound + 1).collect()
+        release(handles)
         if len(rows) > bound:
             raise ValueError(f"more than {bound} moment rows: score fewer groups per pass")
         per: dict = {}
@@ -162,13 +166,15 @@ def score(df: DataFrame, model: Model, features: str = "features", sparse: bool
     out_fields += [T.StructField("logp0", T.DoubleType()), T.StructField("logp1", T.DoubleType()),
                    T.StructField("pred", T.IntegerType())]
     schema = T.StructType(out_fields)
+    shared = share(df, (model, moments))
 
     def fn(it):
+        model_, moments_ = shared.value
         for pdf in it:
             for key, g in _group_key(pdf, group_cols):
                 x = _inputs_of(g, d)
-                mom = [moments[(key, l)] for l in range(1, len(model.hidden) + 1)]
-                y = forward(x, model, mom)["y"]
+                mom = [moments_[(key, l)] for l in range(1, len(model_.hidden) + 1)]
+                y = forward(x, model_, mom)["y"]
                 p = softmax(y)
                 lp = log_softmax(y)
                 out = {c: g[c].values for c in keep}
@@ -195,10 +201,12 @@ def affine(df: DataFrame, W: np.ndarray, b: np.ndarray, features: str = "feature
     schema = T.StructType([prepared.schema[c] for c in keep] +
                           [T.StructField(out, T.ArrayType(T.DoubleType()))])
     d = W.shape[0]
+    shared = share(df, (W, b))
 
     def fn(it):
+        W_, b_ = shared.value
         for pdf in it:
-            z = _inputs_of(pdf, d).matmul(W) + b
+            z = _inputs_of(pdf, d).matmul(W_) + b_
             res = {c: pdf[c].values for c in keep}
             res[out] = list(z)
             yield pd.DataFrame(res)

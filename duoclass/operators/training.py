@@ -36,7 +36,7 @@ from duoclass.operators.kernels import Inputs, Moments, forward, local_gradient,
 from duoclass.operators.model import Model
 from duoclass.operators.ordering import minibatches, shuffled_index
 from duoclass.operators.scoring import _check_model_size, dense_input, layer_moments, score, sparse_input
-from duoclass.session import ship_package
+from duoclass.session import release, share, ship_package
 
 ROWS_PER_STEP_TASK = 50_000
 # A batch whose rows x widest layer stays within this many cells is brought into
@@ -59,15 +59,16 @@ def _emit(acc: dict) -> pd.DataFrame:
         {"key": [], "i": [], "j": [], "value": []})
 
 
-def _sum_pass(df: DataFrame, batch_fn) -> dict[str, np.ndarray]:
-    """Run ``batch_fn(pdf) -> {key: array}`` on every Arrow batch, add the results
+def _sum_pass(df: DataFrame, batch_fn, shared=None) -> dict[str, np.ndarray]:
+    """Run ``batch_fn(pdf, shared_value) -> {key: array}`` on every Arrow batch, add the results
     inside each partition, then across partitions with ``groupBy``; return arrays."""
     def fn(it):
+        val = shared.value if shared is not None else None
         acc: dict = {}
         for pdf in it:
             if len(pdf) == 0:
                 continue
-            for k, v in batch_fn(pdf).items():
+            for k, v in batch_fn(pdf, val).items():
                 acc[k] = acc[k] + v if k in acc else np.array(v, dtype=np.float64)
         if acc:
             yield _emit(acc)
@@ -90,9 +91,11 @@ def _targets(labels: np.ndarray) -> np.ndarray:
 
 
 class StepContext:
-    def __init__(self, model: Model, d: int, keep_prob: float, seed: int, step: int, row_id: str,
+    """Per-step settings a task needs besides the (broadcast) parameters."""
+
+    def __init__(self, d: int, keep_prob: float, seed: int, step: int, row_id: str,
                  label: str, input_dropout: bool):
-        self.model, self.d, self.keep, self.seed, self.step = model, d, keep_prob, seed, step
+        self.d, self.keep, self.seed, self.step = d, keep_prob, seed, step
         self.row_id, self.label, self.input_dropout = row_id, label, input_dropout
 
     def inputs(self, pdf):
@@ -116,20 +119,25 @@ def batch_gradient_local(df: DataFrame, model: Model, keep_prob: float = 1.0, se
     _check_model_size(model)
     prepared = sparse_input(df, features) if sparse else dense_input(df, features)
     src = prepared.select(row_id, label, *(["_xi", "_xv"] if sparse else ["_x"])).coalesce(1)
-    ctx = StepContext(model, model.n_inputs, keep_prob, seed, step, row_id, label, input_dropout)
+    ctx = StepContext(model.n_inputs, keep_prob, seed, step, row_id, label, input_dropout)
+
+    handles: list = []
+    shared = share(df, model, handles)
 
     def fn(it):
         frames = [pdf for pdf in it if len(pdf)]
         if not frames:
             return
         pdf = pd.concat(frames, ignore_index=True)
-        g, loss, hits = local_gradient(ctx.inputs(pdf), _targets(pdf[label].values), model, ctx.dropout(pdf))
+        g, loss, hits = local_gradient(ctx.inputs(pdf), _targets(pdf[label].values), shared.value,
+                                       ctx.dropout(pdf))
         acc = {f"g:{l}:{n}": (a if a.ndim == 2 else a[None, :]) for (l, n), a in g.items()}
         acc["stats"] = np.array([[len(pdf), loss, hits]])
         yield _emit(acc)
 
     ship_package(df.sparkSession)
     rows = src.mapInPandas(fn, SUM_SCHEMA).collect()
+    release(handles)
     arrays: dict = {}
     for r in rows:
         arrays.setdefault(r["key"], []).append((r["i"], r["j"], r["value"]))
@@ -157,7 +165,7 @@ def batch_gradient(df: DataFrame, model: Model, keep_prob: float = 1.0, seed: in
     prepared = sparse_input(df, features) if sparse else dense_input(df, features)
     cols = [row_id, label] + (["_xi", "_xv"] if sparse else ["_x"])
     src = prepared.select(*cols)
-    ctx = StepContext(model, model.n_inputs, keep_prob, seed, step, row_id, label, input_dropout)
+    ctx = StepContext(model.n_inputs, keep_prob, seed, step, row_id, label, input_dropout)
     L = len(model.hidden)
 
     # ---- moment passes: one job per hidden layer, merged per unit inside Spark
@@ -165,9 +173,10 @@ def batch_gradient(df: DataFrame, model: Model, keep_prob: float = 1.0, seed: in
     N = None
     drop = None if keep_prob >= 1.0 else {"seed": seed, "step": step, "keep": keep_prob,
                                            "input": input_dropout}
+    handles: list = []
     for l in range(1, L + 1):
         known = {((), i + 1): m for i, m in enumerate(moments)}
-        rows = layer_moments(src, model, l, known, [], dropout=drop, row_id=row_id).collect()
+        rows = layer_moments(src, model, l, known, [], dropout=drop, row_id=row_id, handles=handles).collect()
         by_unit = {r["unit"]: r for r in rows}
         units = model.hidden[l - 1].units
         mu = np.array([by_unit[u]["mean"] for u in range(units)])
@@ -180,8 +189,10 @@ def batch_gradient(df: DataFrame, model: Model, keep_prob: float = 1.0, seed: in
     grads: dict = {}
     S: dict = {}
     stats: dict = {}
+    shared = share(df, (model, moments), handles)
     for k in range(L, 0, -1):
-        def bwd_fn(pdf, k=k, S=dict(S)):
+        def bwd_fn(pdf, val, k=k, S=dict(S)):
+            model, moments = val
             x = ctx.inputs(pdf)
             c = forward(x, model, moments, dropout=ctx.dropout(pdf))
             Tg = _targets(pdf[label].values)
@@ -222,7 +233,7 @@ def batch_gradient(df: DataFrame, model: Model, keep_prob: float = 1.0, seed: in
                 dA = dz @ layer.W.T
             return out
 
-        r = _sum_pass(src, bwd_fn)
+        r = _sum_pass(src, bwd_fn, shared)
         if k == L:
             grads[(L + 1, "W")] = r["W_out"]
             grads[(L + 1, "b")] = r["b_out"][0]
@@ -237,17 +248,19 @@ def batch_gradient(df: DataFrame, model: Model, keep_prob: float = 1.0, seed: in
         grads[(k, "scale")] = s2
         grads[(k, "beta")] = s1
     if L == 0:  # linear model: one pass
-        def lin_fn(pdf):
+        def lin_fn(pdf, val):
+            model = val[0]
             x = ctx.inputs(pdf)
             y = x.matmul(model.W_out) + model.b_out
             Tg = _targets(pdf[label].values)
             dy = (softmax(y) - Tg) / N
             return {"W_out": x.t_matmul(dy), "b_out": dy.sum(axis=0)[None, :],
                     "loss": np.array([[-(Tg * log_softmax(y)).sum()]])}
-        r = _sum_pass(src, lin_fn)
+        r = _sum_pass(src, lin_fn, shared)
         grads[(1, "W")] = r["W_out"]
         grads[(1, "b")] = r["b_out"][0]
         stats = {"n": N, "loss": float(r["loss"][0, 0]) / N}
+    release(handles)
     return grads, stats
 
 

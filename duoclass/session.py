@@ -108,3 +108,23 @@ def reliable_checkpoint(df):
     materialises once, cuts the lineage, and survives the loss of an executor."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def share(df, value, handles: list | None = None):
+    """A broadcast variable for model-sized values read by every task (sent once
+    per executor, not once per task inside the pickled closure).  Callers check
+    the size first; ``handles`` collects it for :func:`release`."""
+    b = df.sparkSession.sparkContext.broadcast(value)
+    if handles is not None:
+        handles.append(b)
+    return b
+
+
+def release(handles: list) -> None:
+    """Drop broadcast copies on the executors once the job that used them is done."""
+    for b in handles:
+        try:
+            b.unpersist()
+        except Exception:  # pragma: no cover - best effort cleanup
+            pass
+    handles.clear()
