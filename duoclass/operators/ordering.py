@@ -220,3 +220,56 @@ def first_rows(df: DataFrame, key: str, n: int, name: str = "ix", n_rows: int |
             break
         frac = min(1.0, frac * 2)
     return ordered_index(head, key, name, n_rows=m).filter(F.col(name) < F.lit(n))
+
+
+def split_shuffled_fast(df: DataFrame, key: str, seed: int | str, train_frac: float = 0.67,
+                        drop_edges: bool = False, n_rows: int | None = None,
+                        rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """Same rows and ``split`` labels as :func:`split_shuffled`, without the global index.
+
+    Bucket counts (one partial aggregation, at most 16**5 rows to the driver) show
+    which buckets hold a split boundary: at most three.  Every other bucket lies
+    wholly inside one side and is labelled map-side; only the boundary buckets'
+    rows are ranked (a window over those buckets alone).
+    """
+    n = n_rows if n_rows is not None else df.count()
+    a, b, c, d = split_bounds(n, train_frac, drop_edges)
+    n_chars = _hex_chars_for(n, rows_per_bucket)
+    h = seeded_hex(seed, F.col(key))
+    hb = df.withColumn("_h", h).withColumn("_b", hex_bucket(F.col("_h"), n_chars))
+    counts = sorted((r["_b"], r["_n"]) for r in hb.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).collect())
+
+    def side(pos: int) -> str:
+        return "train" if a <= pos < b else ("test" if c <= pos < d else "drop")
+
+    cuts = [p for p in (b, c, d) if 0 < p < n]
+    boundary, lo_of, change = [], {}, []  # change: (first bucket id of a run, side)
+    lo = 0
+    for bid, cnt in counts:
+        hi = lo + cnt
+        if any(lo < p < hi for p in cuts):
+            boundary.append(bid)
+            lo_of[bid] = lo
+        else:
+            s = side(lo)
+            if not change or change[-1][1] != s:
+                change.append((bid, s))
+        lo = hi
+    label = None
+    for bid, s in reversed(change):  # latest run first: the first matching run wins
+        cond = F.col("_b") >= F.lit(bid)
+        label = F.when(cond, F.lit(s)) if label is None else label.when(cond, F.lit(s))
+    if label is None:
+        label = F.lit(None).cast("string")
+    whole = hb.filter(~F.col("_b").isin(boundary) if boundary else F.lit(True)).withColumn("split", label)
+    parts = [whole]
+    if boundary:
+        offs = "CASE " + " ".join(f"WHEN _b = {bid} THEN {lo_of[bid]}" for bid in boundary) + " END"
+        w = Window.partitionBy("_b").orderBy("_h", key)
+        ranked = (hb.filter(F.col("_b").isin(boundary))
+                    .withColumn("_ix", F.row_number().over(w) - F.lit(1) + F.expr(offs)))
+        bl = F.when((F.col("_ix") >= a) & (F.col("_ix") < b), F.lit("train")).when(
+            (F.col("_ix") >= c) & (F.col("_ix") < d), F.lit("test")).otherwise(F.lit("drop"))
+        parts.append(ranked.withColumn("split", bl).drop("_ix"))
+    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return out.filter(F.col("split") != F.lit("drop")).drop("_h", "_b")

@@ -12,7 +12,7 @@ from duoclass.operators import metrics as M
 from duoclass.operators.forest import forest_score as rf_score
 from duoclass.operators.forest import forest_summary, forest_train as rf_train
 from duoclass.operators.model import init_model, intmod_model
-from duoclass.operators.ordering import split_shuffled
+from duoclass.operators.ordering import split_shuffled_fast
 from duoclass.operators.scoring import score
 from duoclass.operators.training import batch_gradient as grad_job
 from duoclass.operators.training import evaluate, train
@@ -27,7 +27,7 @@ def _root(spark, what):
 
 
 def _emb_split(spark, sf):
-    return split_shuffled(embeddings_dense(spark, sf), "vec_id", SEED, TRAIN_FRAC)
+    return split_shuffled_fast(embeddings_dense(spark, sf), "vec_id", SEED, TRAIN_FRAC)
 
 
 def save_params_q(spark, sf):

@@ -9,7 +9,7 @@ from duoclass.functions.columns import r6
 from duoclass.functions.hashing import mix_uniform_col, mix_uniform_sql
 from duoclass.operators import metrics as M
 from duoclass.operators.model import intmod_model
-from duoclass.operators.ordering import split_shuffled
+from duoclass.operators.ordering import split_shuffled_fast
 from duoclass.operators.scoring import affine, argmax2, batch_norm_long, relu as relu_col, score, softmax2
 from duoclass.plans import sqlgen as Q
 from duoclass.plans.inputs import EMB_WIDTH, HIDDEN2, HIDDEN3, SEED, TRAIN_FRAC, embeddings_dense, mlp2, mlp3, table
@@ -36,7 +36,7 @@ def _scored2(spark, sf):
 
 
 def _scored2_split(spark, sf):
-    emb = split_shuffled(embeddings_dense(spark, sf), "vec_id", SEED, TRAIN_FRAC)
+    emb = split_shuffled_fast(embeddings_dense(spark, sf), "vec_id", SEED, TRAIN_FRAC)
     return score(emb, mlp2(), group_cols=["split"], keep=["vec_id", "label", "split"])
 
 

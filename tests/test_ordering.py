@@ -71,3 +71,14 @@ def test_first_rows_exact(spark):
     for n in (1, 37, 1000, 4999, 6000):
         got = sorted(r["k"] for r in first_rows(df, "k", n).collect())
         assert got == [2 * i + 1 for i in range(min(n, 5000))]
+
+
+def test_fast_split_equals_indexed_split(spark):
+    from duoclass.operators.ordering import split_shuffled_fast
+    o = spark.read.parquet("/root/testdata/sf0.01/orders.parquet").select("o_orderkey")
+    for drop in (True, False):
+        for rpb in (2_000_000, 500):  # one hex digit of buckets, and many buckets
+            ref = {r["o_orderkey"]: r["split"] for r in split_shuffled(o, "o_orderkey", 42, 0.67, drop).collect()}
+            got = {r["o_orderkey"]: r["split"] for r in
+                   split_shuffled_fast(o, "o_orderkey", 42, 0.67, drop, rows_per_bucket=rpb).collect()}
+            assert got == ref
