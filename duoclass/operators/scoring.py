@@ -62,11 +62,16 @@ def _check_model_size(model: Model) -> None:
             "score its first layer with affine_relational()")
 
 
+def _norm_key(k) -> tuple:
+    """pandas reports a null group value as NaN; Spark rows give None."""
+    k = k if isinstance(k, tuple) else (k,)
+    return tuple(None if (v is None or (isinstance(v, float) and np.isnan(v)) or v is pd.NA) else v for v in k)
+
+
 def _group_key(pdf: pd.DataFrame, group_cols: list[str]):
     if not group_cols:
         return [((), pdf)]
-    return [((k,) if not isinstance(k, tuple) else k, g)
-            for k, g in pdf.groupby(group_cols, sort=False, dropna=False)]
+    return [(_norm_key(k), g) for k, g in pdf.groupby(group_cols, sort=False, dropna=False)]
 
 
 # --------------------------------------------------------------- moments -----

@@ -103,3 +103,17 @@ def test_toy_linear_round_trip(spark, tmpdir_path):
     x = spark.createDataFrame([(0, [3.0])], "row_id long, features array<double>")
     y = affine(x, back.W_out, back.b_out, keep=["row_id"]).first()["z"]
     assert y == [9.0]
+
+
+def test_grouped_scoring_with_null_group(spark):
+    rng = np.random.default_rng(4)
+    X = rng.normal(size=(60, 3))
+    groups = ["a"] * 20 + [None] * 20 + ["b"] * 20
+    pdf = pd.DataFrame({"row_id": np.arange(60), "label": np.zeros(60, dtype=int), "g": groups,
+                        "features": list(X)})
+    df = spark.createDataFrame(pdf, "row_id long, label int, g string, features array<double>").repartition(3)
+    m = init_model(3, [2], seed=0)
+    got = {r["row_id"]: r["p0"] for r in score(df, m, group_cols=["g"]).collect()}
+    for lo in (0, 20, 40):  # each group normalised by its own moments
+        ref = numpy_scores(X[lo:lo + 20], m)[:, 0]
+        assert max(abs(got[lo + i] - ref[i]) for i in range(20)) < 1e-12
