@@ -122,3 +122,15 @@ def test_sparse_and_dense_inputs_same_gradient(spark):
     gd, _ = batch_gradient(de, m, keep_prob=0.5, seed=1, step=2)
     for k in gd:
         assert np.allclose(gs[k], gd[k], atol=1e-12), k
+
+
+def test_sequential_batches_training(spark):
+    """D7: batches in file order (no shuffle); same step count, loss falls."""
+    from pyspark.sql import functions as F
+    df, X, y = data(spark, n=120, seed=8)
+    df = df.withColumn("split", F.when(F.col("row_id") < 100, "train").otherwise("test"))
+    m, metrics = train(spark, df, init_model(4, [5], seed=2), epochs=3, batch_size=25, lr0=0.05,
+                       keep_prob=1.0, shuffle=False, eval_every=0)
+    assert m.global_step == 3 * 4
+    losses = [r["value"] for r in metrics.filter("metric = 'mean_batch_loss'").orderBy("epoch").collect()]
+    assert losses[-1] < losses[0]
