@@ -82,3 +82,20 @@ def test_fast_split_equals_indexed_split(spark):
             got = {r["o_orderkey"]: r["split"] for r in
                    split_shuffled_fast(o, "o_orderkey", 42, 0.67, drop, rows_per_bucket=rpb).collect()}
             assert got == ref
+
+
+def test_fast_split_tiny_inputs(spark):
+    from duoclass.operators.ordering import split_shuffled_fast
+    for n in (1, 2, 3, 5, 12):
+        df = spark.range(n).withColumnRenamed("id", "k")
+        for drop in (True, False):
+            ref = sorted((r["k"], r["split"]) for r in split_shuffled(df, "k", 9, 0.67, drop).collect())
+            got = sorted((r["k"], r["split"]) for r in split_shuffled_fast(df, "k", 9, 0.67, drop).collect())
+            assert got == ref, (n, drop)
+
+
+def test_first_rows_double_key(spark):
+    from duoclass.operators.ordering import first_rows
+    df = spark.range(3000).select((F.col("id").cast("double") / F.lit(7.0)).alias("k"))
+    got = sorted(r["k"] for r in first_rows(df, "k", 250).collect())
+    assert got == [i / 7.0 for i in range(250)]
