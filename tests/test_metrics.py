@@ -77,3 +77,9 @@ def test_hard_auc_value_matches_column_form(spark):
     df = spark.createDataFrame([(3, 2, 5, 1)], "tp long, fp long, tn long, fn long")
     col = df.select(M.hard_auc_from_counts(F.col("tp"), F.col("fp"), F.col("tn"), F.col("fn"))).first()[0]
     assert abs(col - M.hard_auc_value(3, 2, 5, 1)) < 1e-15
+
+
+def test_histogram_explicit_bounds_drop_outside(spark):
+    df = spark.range(100).select(F.col("id").cast("double").alias("v"))
+    h = M.histogram(df, "v", 5, lo=10.0, hi=60.0).orderBy("bin").collect()
+    assert [r["count"] for r in h] == [10, 10, 10, 10, 11]  # 10..60 inclusive, 60 in the last bin

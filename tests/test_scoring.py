@@ -117,3 +117,17 @@ def test_grouped_scoring_with_null_group(spark):
     for lo in (0, 20, 40):  # each group normalised by its own moments
         ref = numpy_scores(X[lo:lo + 20], m)[:, 0]
         assert max(abs(got[lo + i] - ref[i]) for i in range(20)) < 1e-12
+
+
+def test_batch_norm_long_per_group(spark):
+    from duoclass.operators.scoring import batch_norm_long
+    rng = np.random.default_rng(6)
+    rows = [(g, r, u, float(rng.normal() * (3 if g == "a" else 1)))
+            for g in ("a", "b") for r in range(30) for u in range(2)]
+    df = spark.createDataFrame(rows, "g string, row_id long, unit int, z double")
+    got = {(r["g"], r["row_id"], r["unit"]): r["u"] for r in batch_norm_long(df, group_cols=["g"]).collect()}
+    for g in ("a", "b"):
+        for u in range(2):
+            z = np.array([v for gg, r, uu, v in rows if gg == g and uu == u])
+            ref = (z - z.mean()) / np.sqrt(z.var() + 1e-3)
+            assert max(abs(got[(g, r, u)] - ref[r]) for r in range(30)) < 1e-12
