@@ -41,6 +41,18 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(key)
 
 
+def _driver_memory() -> str:
+    """Local mode runs everything in the driver JVM: give it 60% of the machine's
+    memory, at most 16 GB, so a small box is not over-committed."""
+    try:
+        with open("/proc/meminfo") as f:
+            kb = next(int(l.split()[1]) for l in f if l.startswith("MemTotal:"))
+        mb = int(kb / 1024 * 0.6)
+    except (OSError, StopIteration, ValueError):
+        mb = 4096
+    return f"{max(1024, min(16 * 1024, mb))}m"
+
+
 def get_session(master: str | None = None, app: str = "duoclass",
                 shuffle_partitions: int | None = None, **extra: str) -> SparkSession:
     builder = SparkSession.builder.appName(app)
@@ -54,7 +66,7 @@ def get_session(master: str | None = None, app: str = "duoclass",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
-        "spark.driver.memory": "16g",
+        "spark.driver.memory": _driver_memory(),
     }
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
