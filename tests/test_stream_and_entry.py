@@ -55,3 +55,25 @@ def test_stream_state_accumulates_over_micro_batches(spark, tmpdir_path):
         "CAST(event_type = 'purchase' AS INT) AS t", "CAST(coalesce(value > 100, false) AS INT) AS p")
         .groupBy("t", "p").count().withColumnRenamed("count", "n").collect()}
     assert got == exp
+
+
+def test_entry_from_another_directory_with_default_session(tmpdir_path):
+    """The driver's way: a plain SparkSession, started elsewhere; workers must still
+    import the package (shipped with addPyFile)."""
+    import os
+    import subprocess
+    import sys
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        "import importlib.util\n"
+        "from pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        f"spec = importlib.util.spec_from_file_location('se', '{repo}/__spark_entry__.py')\n"
+        "m = importlib.util.module_from_spec(spec); spec.loader.exec_module(m)\n"
+        "rows = m.entry(s).collect()\n"
+        "print('ROWS', len(rows), rows[0]['n_rows'])\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmpdir_path, env=env, capture_output=True,
+                         text=True, timeout=600)
+    assert "ROWS 1 500" in out.stdout, out.stderr[-2000:]
