@@ -16,7 +16,14 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("sa_spans").alias("n_spans"), F.sha2("sa_kept", 256).alias("kept_sha256"))
 
 
+def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from duoclass.llm.minhash import near_duplicate_groups
+
+    return near_duplicate_groups(read(spark, sf_dir, "documents", "doc_id", "text"), shingle_words=4, percent=80)
+
+
 QUERIES = {
+    "op7_minhash_dedup": op7_minhash_dedup,
     "op5_suffix_dedup": op5_suffix_dedup,
 }
 

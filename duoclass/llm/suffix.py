@@ -434,3 +434,12 @@ def dedup_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     last = keyed.join(gone, F.col("_sa_key") == gone["doc"], "left").select(*cols, "_sa_key", "_sa_list")
     return (last.select(*cols, "_sa_list")
             .mapInArrow(_remove_rows(out.names, cols.index(text_col), len(cols), min_len), out))
+
+
+def whole_characters(df: DataFrame, bytes_col: str, out_col: str) -> DataFrame:
+    """``out_col``: the UTF-8 text of a binary column without the bytes of cut characters."""
+    @F.pandas_udf("string")
+    def decode(s):
+        return s.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
+
+    return df.withColumn(out_col, decode(bytes_col))
