@@ -71,10 +71,9 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Encodes every text, decodes it again: token count and digests of both."""
-    from duoclass.llm.bpe import encode_decode
-    from duoclass.llm.queries import bpe_digests
+    from duoclass.llm.bpe import digests, encode_decode
 
-    return bpe_digests(encode_decode(docs.select("doc_id", "text"), "text"))
+    return digests(encode_decode(docs.select("doc_id", "text"), "text"))
 
 
 STAGES = [

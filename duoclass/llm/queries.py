@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from duoclass.llm.common import read
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from duoclass.llm.langid import predict_language, train
+
+    docs = read(spark, sf_dir, "documents", "doc_id", "text", "lang").withColumn(
+        "held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False)))
+    model = train(docs.where(~F.col("held_out")), "text", "lang")
+    out = predict_language(docs.select("doc_id", "held_out", "text"), model, "text")
+    return out.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from duoclass.llm.suffix import dedup_passages
 
@@ -22,7 +32,15 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(read(spark, sf_dir, "documents", "doc_id", "text"), shingle_words=4, percent=80)
 
 
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from duoclass.llm.bpe import digests, encode_decode
+
+    return digests(encode_decode(read(spark, sf_dir, "documents", "doc_id", "text"), "text"))
+
+
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op10_bpe": op10_bpe,
     "op7_minhash_dedup": op7_minhash_dedup,
     "op5_suffix_dedup": op5_suffix_dedup,
 }
