@@ -18,6 +18,20 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from duoclass.llm.urlfilter import RULES, judge_urls, page_edges
+
+    pages = read(spark, sf_dir, "pages", "page_id", "url", "html")
+    out = judge_urls(pages.select("page_id", "url"), RULES, page_edges(pages))
+    return out.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from duoclass.llm.tokencount import count_tokens
+
+    return count_tokens(read(spark, sf_dir, "documents", "doc_id", "text"), "text").select("doc_id", "n_tokens")
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from duoclass.llm.suffix import dedup_passages
 
@@ -26,6 +40,15 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.col("sa_spans").alias("n_spans"), F.sha2("sa_kept", 256).alias("kept_sha256"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from duoclass.llm.warc import archive_pages
+
+    out = archive_pages(read(spark, sf_dir, "pages", "page_id", "url", "html"), "page_id", "url", "html")
+    return out.select(F.col("row_id").alias("page_id"), F.col("n_payload").alias("payload_bytes"),
+                      F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"),
+                      F.col("refers_id").alias("refers_to"))
+
+
 def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from duoclass.llm.minhash import near_duplicate_groups
 
@@ -40,9 +63,35 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_language_id": op1_language_id,
-    "op10_bpe": op10_bpe,
-    "op7_minhash_dedup": op7_minhash_dedup,
+    "op2_url_filter": op2_url_filter,
+    "op3_token_counts": op3_token_counts,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op6_warc": op6_warc,
+    "op7_minhash_dedup": op7_minhash_dedup,
+    "op10_bpe": op10_bpe,
 }
 
-ORACLE: dict[str, str] = {}
+_REST = "CASE WHEN url LIKE '%://%' THEN substr(url, instr(url, '://') + 3) ELSE '' END"
+
+ORACLE: dict[str, str] = {
+    # Pages of the given tables have no canonical links and no refreshes, so aliases are
+    # left to the tests; rules and default verdict are the query's.
+    "op2_url_filter": f"""
+WITH p AS (SELECT page_id, url, {_REST} AS rest FROM pages),
+h AS (SELECT page_id,
+        translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+r(rh, rp, v) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
+f AS (SELECT page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(v, length(rh || rp)) AS verdict
+      FROM h JOIN r ON (host = rh OR suffix(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id)
+SELECT h.page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, coalesce(verdict, 'allow') AS verdict
+FROM h LEFT JOIN f USING (page_id)""",
+    "op6_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
+d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, max(page_id) OVER (PARTITION BY hex) AS top,
+        list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+          1 + CAST((CAST('0x' || substr(hex, 1 + 5 * CAST(i // 4 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS BIGINT), 1)),
+          'string_agg', '') AS payload_digest FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to FROM d""",
+}
