@@ -55,6 +55,13 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(read(spark, sf_dir, "documents", "doc_id", "text"), shingle_words=4, percent=80)
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from duoclass.llm.contain import contained_items
+
+    return contained_items(read(spark, sf_dir, "documents", "doc_id", "text"),
+                           read(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from duoclass.llm.bpe import digests, encode_decode
 
@@ -68,6 +75,7 @@ QUERIES = {
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_warc": op6_warc,
     "op7_minhash_dedup": op7_minhash_dedup,
+    "op9_decontaminate": op9_decontaminate,
     "op10_bpe": op10_bpe,
 }
 
@@ -94,4 +102,25 @@ d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, max(page_id
           'string_agg', '') AS payload_digest FROM p)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to FROM d""",
+    "op9_decontaminate": """
+WITH t AS (SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+w AS (SELECT kind, id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS w FROM t WHERE id IS NOT NULL),
+g AS (SELECT DISTINCT kind, id, unnest(list_transform(range(1, len(w) - 3), lambda i: list_slice(w, i, i + 4))) AS g FROM w WHERE len(w) >= 5),
+n AS (SELECT id AS item_id, count(*) AS n_item FROM g WHERE kind = 1 GROUP BY id)
+SELECT d.id AS doc_id, item_id, n_item, count(*) AS n_shared
+FROM g d JOIN g b ON d.g = b.g AND d.kind = 0 AND b.kind = 1 JOIN n ON n.item_id = b.id
+GROUP BY d.id, item_id, n_item HAVING count(*) * 100 >= n_item * 80""",
+    "op7_minhash_dedup": """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [w]
+        ELSE list_transform(range(1, len(w) - 2), lambda i: list_slice(w, i, i + 3)) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM shared JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 80 * (x.n + y.n - m)),
+reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+c AS (SELECT a AS doc_id, min(b) AS low FROM reach GROUP BY a)
+SELECT w.doc_id, coalesce(n, 0) AS n_shingles, least(w.doc_id, coalesce(low, w.doc_id)) AS component_id,
+  w.doc_id <= coalesce(low, w.doc_id) AS kept
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)""",
 }
