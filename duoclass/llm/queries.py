@@ -32,6 +32,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read(spark, sf_dir, "documents", "doc_id", "text"), "text").select("doc_id", "n_tokens")
 
 
+def op4_itq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from duoclass.llm.itq import embedding_groups
+
+    return embedding_groups(read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from duoclass.llm.suffix import dedup_passages
 
@@ -55,6 +61,13 @@ def op7_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(read(spark, sf_dir, "documents", "doc_id", "text"), shingle_words=4, percent=80)
 
 
+def op8_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from duoclass.llm.styletree import extract_main_text
+
+    out = extract_main_text(read(spark, sf_dir, "pages", "page_id", "url", "html"), "url", "html")
+    return out.select("page_id", "url", F.col("main_text").alias("text"), F.char_length("main_text").cast("long").alias("n_chars"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from duoclass.llm.contain import contained_items
 
@@ -72,9 +85,11 @@ QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_url_filter": op2_url_filter,
     "op3_token_counts": op3_token_counts,
+    "op4_itq_dedup": op4_itq_dedup,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op6_warc": op6_warc,
     "op7_minhash_dedup": op7_minhash_dedup,
+    "op8_html_extract": op8_html_extract,
     "op9_decontaminate": op9_decontaminate,
     "op10_bpe": op10_bpe,
 }
@@ -94,6 +109,17 @@ f AS (SELECT page_id, arg_max(rh || rp, length(rh || rp)) AS rule, arg_max(v, le
       FROM h JOIN r ON (host = rh OR suffix(host, '.' || rh)) AND starts_with(path, rp) GROUP BY page_id)
 SELECT h.page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, coalesce(verdict, 'allow') AS verdict
 FROM h LEFT JOIN f USING (page_id)""",
+    "op4_itq_dedup": """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len(e) > 0
+       AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_max(list_transform(e, lambda x: abs(x))) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+         WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+c AS (SELECT a, min(b) AS low FROM reach GROUP BY a), n AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT v.vec_id, coalesce(n, 0) AS n_links, least(v.vec_id, coalesce(low, v.vec_id)) AS component_id,
+  v.vec_id <= coalesce(low, v.vec_id) AS kept
+FROM v LEFT JOIN c ON c.a = v.vec_id LEFT JOIN n ON n.a = v.vec_id""",
     "op6_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
 d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, max(page_id) OVER (PARTITION BY hex) AS top,
