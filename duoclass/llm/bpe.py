@@ -192,10 +192,11 @@ def _stage(handle, names: list[str], text_at: int, todo: str):
 def encode(df: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
     """All rows and columns of ``df`` with ``bpe_ids`` (array of int).
 
-    A null or empty text has no ids.  ``df`` may not have a column of that name.
+    A null or empty text has no ids.  A column of ``df`` with that name is replaced.
     """
     spark = df.sparkSession
     prepare(spark)
+    df = df.drop("bpe_ids")
     out = T.StructType([*df.schema.fields, T.StructField("bpe_ids", T.ArrayType(T.IntegerType()))])
     return df.mapInArrow(_stage(share_bpe(spark, path), out.names, df.columns.index(text_col), "encode"), out)
 
@@ -204,6 +205,7 @@ def decode(df: DataFrame, ids_col: str = "bpe_ids", path: str | None = None) ->
     """All rows and columns of ``df`` with ``bpe_text``; null ids give a null text."""
     spark = df.sparkSession
     prepare(spark)
+    df = df.drop("bpe_text")
     handle = share_bpe(spark, path)
     at = df.columns.index(ids_col)
     out = T.StructType([*df.schema.fields, T.StructField("bpe_text", T.StringType())])
@@ -221,6 +223,7 @@ def encode_decode(df: DataFrame, text_col: str = "text", path: str | None = None
     """``encode`` and the ``decode`` of its ids in one pass: ``bpe_ids``, ``bpe_text``."""
     spark = df.sparkSession
     prepare(spark)
+    df = df.drop("bpe_ids", "bpe_text")
     out = T.StructType([*df.schema.fields, T.StructField("bpe_ids", T.ArrayType(T.IntegerType())),
                         T.StructField("bpe_text", T.StringType())])
     return df.mapInArrow(_stage(share_bpe(spark, path), out.names, df.columns.index(text_col), "both"), out)

@@ -201,5 +201,5 @@ def near_duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str =
     rep = classes.join(labels, classes["rep"] == labels["node"], "left").select(
         F.col("print"), F.coalesce("component", "rep").alias("component"))
     out = feat.join(rep, "print", "left").select(
-        F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
+        F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

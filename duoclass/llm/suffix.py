@@ -267,6 +267,9 @@ def _sort_rows(min_len: int):
         doc, start, salted, snip = rows
         doc, start, salted = np.concatenate(doc), np.concatenate(start), np.concatenate(salted)
         o = np.lexsort((start, doc))
+        # a row that repeats a document has its runs once
+        again = [False] + [doc[x] == doc[y] and start[x] == start[y] and snip[x] == snip[y] for x, y in zip(o, o[1:])]
+        o = o[~np.array(again)]
         doc, start, salted = doc[o], start[o], salted[o]
         snip = [snip[i] for i in o]
         run, offset, pos, later, t = sort_block(snip, doc, start, min_len)
@@ -391,11 +394,12 @@ def dedup_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A null or empty text and a text shorter than ``min_len`` bytes lose nothing.  A row
     without an id has no place in the order: it loses nothing and is no earlier
     occurrence.  Rows that repeat an id are one document: rows with the same text get the
-    same result, and rows with other texts are compared at the same places of the order.
-    Columns of ``df`` may have any names but the four above and ``_sa_list``.
+    same result; of rows with other texts each loses what any of them loses at its place.
+    Columns of ``df`` with the names above are replaced.
     """
     spark = df.sparkSession
     prepare(spark)
+    df = df.drop("sa_bytes", "sa_removed", "sa_spans", "sa_kept", "_sa_key", "_sa_doc", "_sa_list")
     key = F.col(id_col).cast("long")
     text = df.select(key.alias("doc"), text_col).where("doc IS NOT NULL")
     names = text.mapInArrow(_run_rows(min_len, kgram, False), "m long, f int")
@@ -413,11 +417,11 @@ def dedup_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     part = (first.join(stat.select("m", "k"), "m")
             .select("m", F.col("a.doc").alias("doc"), F.col("a.pl").alias("pl"),
                     F.pmod(F.xxhash64("a.doc", "ch"), F.col("k")).alias("salt"), (F.col("k") > 1).cast("int").alias("salted")))
-    lists = part.groupBy("doc").agg(F.collect_list(F.struct("m", "pl", "salt", "salted")).alias("_sa_list"))
+    lists = part.groupBy(F.col("doc").alias("_sa_doc")).agg(F.collect_list(F.struct("m", "pl", "salt", "salted")).alias("_sa_list"))
 
     cols = df.columns
     keyed = df.withColumn("_sa_key", key)
-    joined = keyed.join(lists, F.col("_sa_key") == lists["doc"], "left").select(*cols, "_sa_key", "_sa_list")
+    joined = keyed.join(lists, F.col("_sa_key") == F.col("_sa_doc"), "left").select(*cols, "_sa_key", "_sa_list")
     snips = joined.mapInArrow(_cut_rows(len(cols), cols.index(text_col), len(cols) + 1, min_len), CUT)
     parts = shuffle_partitions(spark, total, 2 * BLOCK_BYTES)
     ranked = (snips.repartition(parts, "m", "salt").sortWithinPartitions("m", "salt")
@@ -426,12 +430,12 @@ def dedup_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     low = F.min(F.struct("doc", "pl")).over(Window.partitionBy("k1", "k2", "kind"))
     sorted_out = (ranked.withColumn("low", low).where("kind = 0 OR struct(doc, pl) <> low").select("doc", "pl"))
     copies = (cand.join(first.select("m", "ch", "a"), ["m", "ch"]).where("struct(doc, pl) <> a").select("doc", "pl"))
-    gone = (sorted_out.union(copies).groupBy("doc").agg(F.collect_list("pl").alias("_sa_list")))
+    gone = sorted_out.union(copies).groupBy(F.col("doc").alias("_sa_doc")).agg(F.collect_list("pl").alias("_sa_list"))
     out = T.StructType([*(f for f in df.schema.fields), T.StructField("sa_bytes", T.LongType()),
                         T.StructField("sa_removed", T.LongType()), T.StructField("sa_spans", T.LongType()),
                         T.StructField("sa_kept", T.BinaryType())])
     # the same exchange of the text by document as above
-    last = keyed.join(gone, F.col("_sa_key") == gone["doc"], "left").select(*cols, "_sa_key", "_sa_list")
+    last = keyed.join(gone, F.col("_sa_key") == F.col("_sa_doc"), "left").select(*cols, "_sa_key", "_sa_list")
     return (last.select(*cols, "_sa_list")
             .mapInArrow(_remove_rows(out.names, cols.index(text_col), len(cols), min_len), out))
 
