@@ -27,13 +27,16 @@ class Inputs:
         n = len(series)
         if n == 0:
             return Inputs(0, d, dense=np.zeros((0, d)))
-        X = np.stack([np.asarray(v, dtype=np.float64) for v in series.values])
-        if X.shape[1] != d:
-            raise ValueError(f"feature width {X.shape[1]} does not match the model's {d}")
+        lens = np.fromiter((len(v) for v in series.values), dtype=np.int64, count=n)
+        if (lens != d).any():
+            raise ValueError(f"feature width {int(lens[lens != d][0])} does not match the model's {d}")
+        X = np.concatenate(series.values).astype(np.float64, copy=False).reshape(n, d)
         return Inputs(n, d, dense=X)
 
     @staticmethod
-    def from_sparse(idx_series: pd.Series, val_series: pd.Series, d: int) -> "Inputs":
+    def from_sparse(idx_series: pd.Series, val_series: pd.Series, d: int, truncate: bool = False) -> "Inputs":
+        """Cells at or beyond the width are an error, like a dense row of another width;
+        ``truncate`` drops them instead."""
         n = len(idx_series)
         lens = np.fromiter((len(a) for a in idx_series.values), dtype=np.int64, count=n)
         idx = (np.concatenate([np.asarray(a, dtype=np.int64) for a in idx_series.values])
@@ -41,6 +44,8 @@ class Inputs:
         val = (np.concatenate([np.asarray(a, dtype=np.float64) for a in val_series.values])
                if n and lens.sum() else np.zeros(0))
         keep = (idx >= 0) & (idx < d)
+        if not truncate and not keep.all():
+            raise ValueError(f"feature index {int(idx[~keep][0])} does not fit the model's width {d}")
         rows = np.repeat(np.arange(n), lens)
         return Inputs(n, d, rows=rows[keep], idx=idx[keep], val=val[keep])
 

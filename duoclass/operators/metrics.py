@@ -39,20 +39,12 @@ def cross_entropy(df: DataFrame, label: str = "label", group_cols: list[str] = (
     return df.groupBy(*group_cols).agg(F.avg(ce).alias("cross_entropy"))
 
 
-def accuracy_and_loss(df: DataFrame, label: str = "label", pred: str = "pred",
-                      group_cols: list[str] = ()) -> DataFrame:
-    """Row count, accuracy and mean cross-entropy in one aggregate (one pass)."""
-    hit = (F.col(pred) == truth_index(F.col(label))).cast("double")
-    ce = cross_entropy_col(F.col(label).cast("double"), F.col("logp0"), F.col("logp1"))
-    return df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("n_rows"), F.avg(hit).alias("accuracy"),
-                                       F.avg(ce).alias("cross_entropy"))
-
-
 def score_report(df: DataFrame, label: str = "label", pred: str = "pred",
                  group_cols: list[str] = (), graph_counts: bool = False) -> DataFrame:
     """Rows, accuracy, mean cross-entropy and exact ROC AUC per group from one
     grouped pass over the scores (the additive sums ride along the AUC grouping).
-    ``graph_counts`` adds the confusion counts of :func:`graph_auc_counts` as
+    ``graph_counts`` adds the confusion counts as the graph's streaming AUC saw them
+    (the predicted class index passed as labels, the true one as predictions) as
     ``tp fp tn fn`` from the same pass."""
     truth = truth_index(F.col(label))
     hit = (F.col(pred) == truth).cast("double")
@@ -70,13 +62,6 @@ def score_report(df: DataFrame, label: str = "label", pred: str = "pred",
                     (F.col("_ce") / F.col("n_rows")).alias("cross_entropy"), "roc_auc", *extra)
 
 
-def graph_auc_counts(df: DataFrame, label: str = "label", pred: str = "pred",
-                     group_cols: list[str] = ()) -> DataFrame:
-    """Confusion counts as the graph's streaming AUC saw them: the predicted class
-    index passed as labels, the true class index as predictions."""
-    return confusion(df, F.col(pred), truth_index(F.col(label)), group_cols)
-
-
 def roc_auc(df: DataFrame, label: str = "label", score: str = "p0", group_cols: list[str] = (),
             out: str = "roc_auc", rows_per_bucket: int = 1_000_000, max_buckets: int = 65_536,
             carry: dict[str, Column] | None = None) -> DataFrame:
@@ -87,8 +72,8 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "p0", group_cols:
        This table is checkpointed: the (often expensive) scoring upstream runs
        once, and the bucket cut points below stay valid for it.
     2. Distinct scores get a monotone bucket from approximate quantiles, as many
-       buckets as needed for about ``rows_per_bucket`` distinct scores each (no
-       quantile job at all when one bucket suffices).
+       buckets as needed for about ``rows_per_bucket`` distinct scores each and at
+       least one per shuffle partition.
     3. Negatives per (group, bucket) -> running sum over buckets (a table of
        groups x buckets rows) -> broadcast back as offsets.
     4. Inside a bucket, a window gives the negatives strictly below each score.
@@ -105,7 +90,8 @@ def roc_auc(df: DataFrame, label: str = "label", score: str = "p0", group_cols:
         F.sum(y).alias("_pos"), F.sum(F.lit(1.0) - y).alias("_neg"),
         *[F.sum(e).alias(f"_c_{k}") for k, e in carry.items()]))
     n_scores = g.count()  # cheap: reads the checkpoint
-    nb = int(min(max_buckets, max(1, math.ceil(n_scores / float(rows_per_bucket)))))
+    least = max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    nb = int(min(max_buckets, max(least, math.ceil(n_scores / float(rows_per_bucket)))))
     cuts = quantile_cuts(g, "_s", nb)
     gb = bucketize(g, "_s", cuts, "_b")
     per_b = gb.groupBy(*group_cols, "_b").agg(F.sum("_neg").alias("_bneg"))
@@ -129,9 +115,9 @@ def roc_auc_macro(df: DataFrame, label: str = "label", group_cols: list[str] = (
     columns stacked with a column key, one grouped AUC, then the mean."""
     group_cols = list(group_cols)
     y = F.col(label).cast("double")
-    both = (df.select(*group_cols, F.lit(0).alias("_col"), y.alias("_y"), F.col("p0").alias("_p"))
-              .unionByName(df.select(*group_cols, F.lit(1).alias("_col"), (F.lit(1.0) - y).alias("_y"),
-                                     F.col("p1").alias("_p"))))
+    # one pass over the scores gives both columns
+    both = df.select(*group_cols, F.stack(F.lit(2), F.lit(0), y, F.col("p0"), F.lit(1), F.lit(1.0) - y, F.col("p1"))
+                     .alias("_col", "_y", "_p"))
     per_col = roc_auc(both, "_y", "_p", group_cols + ["_col"], out="_a")
     return per_col.groupBy(*group_cols).agg(F.avg("_a").alias(out))
 
@@ -202,19 +188,26 @@ def chance_agreement(df: DataFrame, truth: str, pred: str) -> DataFrame:
 def histogram(df: DataFrame, value: str, n_bins: int = 30, lo: float | None = None,
               hi: float | None = None, group_cols: list[str] = ()) -> DataFrame:
     """Equal-width histogram: ``bin = least(n-1, floor((v - lo) / (hi - lo) * n))``
-    with lo/hi the column's min/max unless given; values outside [lo, hi] are dropped.
-    Returns (group, bin, lo_edge, hi_edge, count)."""
+    with lo/hi the column's min/max unless given.  Returns (group, bin, lo_edge,
+    hi_edge, count), empty bins included, so a group has ``n_bins`` rows.  Values outside
+    [lo, hi] are in no bin; null and NaN have no place on the axis.
+    """
     v = F.col(value).cast("double")
+    seen = df.filter(v.isNotNull() & ~F.isnan(v))
     if lo is None or hi is None:
-        r = df.agg(F.min(v).alias("lo"), F.max(v).alias("hi")).first()
+        r = seen.agg(F.min(v).alias("lo"), F.max(v).alias("hi")).first()
         lo = r["lo"] if lo is None else lo
         hi = r["hi"] if hi is None else hi
-    lo, hi = float(lo), float(hi)
+    lo, hi = float(lo or 0.0), float(hi or 0.0)
     width = (hi - lo) if hi > lo else 1.0
     b = F.least(F.lit(n_bins - 1), F.floor((v - F.lit(lo)) / F.lit(width) * F.lit(n_bins))).cast("int")
-    out = (df.filter(v.between(lo, hi)).groupBy(*group_cols, b.alias("bin"))
-             .agg(F.count(F.lit(1)).alias("count")))
+    counts = (seen.filter(v.between(lo, hi)).groupBy(*group_cols, b.alias("bin"))
+              .agg(F.count(F.lit(1)).alias("_n")))
+    # a map of a group's filled bins, then every bin: no join, n_bins entries at most
+    by_group = counts.groupBy(*group_cols).agg(
+        F.map_from_entries(F.collect_list(F.struct("bin", "_n"))).alias("_m"))
+    out = by_group.select(*group_cols, "_m", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("bin"))
     return out.select(*group_cols, "bin",
                       (F.lit(lo) + F.col("bin") * F.lit(width) / F.lit(n_bins)).alias("lo_edge"),
                       (F.lit(lo) + (F.col("bin") + 1) * F.lit(width) / F.lit(n_bins)).alias("hi_edge"),
-                      "count")
+                      F.coalesce(F.try_element_at("_m", F.col("bin")), F.lit(0)).cast("long").alias("count"))

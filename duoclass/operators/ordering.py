@@ -7,13 +7,13 @@ Recipe: an exact 0-based position in a total order without one big sort task.
    approximate quantile of a unique key (key order).
 2. Count rows per bucket (map-side partial aggregation; one row per bucket).
 3. A running sum over the bucket counts gives each bucket's offset.  The table
-   has as many rows as buckets, a bound fixed before the job runs, so it is the
-   only thing broadcast.
+   has as many rows as buckets; it is broadcast up to ``BROADCAST_BUCKETS`` of
+   them and joined with a shuffle beyond.
 4. ``row_number()`` inside the bucket, plus the offset.
 
-Buckets scale with the row count, so a bucket holds about ``rows_per_bucket``
-rows at any size, and no bucket can be hot: the hash is uniform and the key
-order requires unique keys.
+There are at least as many buckets as shuffle partitions and, in hash order, as many
+as it takes for about ``rows_per_bucket`` rows each; no bucket can be hot, as the hash
+is uniform and the key order requires unique keys.  Rows without a key come last.
 """
 
 from __future__ import annotations
@@ -29,28 +29,41 @@ from duoclass.functions.columns import round_half_away
 from duoclass.functions.hashing import hex_bucket, seeded_hex
 
 ROWS_PER_BUCKET = 2_000_000
-MAX_HEX_CHARS = 5  # at most 16**5 ~ 1M buckets: an offsets table of ~16 MB
+MAX_HEX_CHARS = 8        # 4 billion buckets
+MAX_KEY_BUCKETS = 65_536  # cut points that reach the driver, in key order
+BROADCAST_BUCKETS = 1 << 20  # an offsets table of ~16 MB
+SKETCH_ERROR = 1e-3      # of the row cap's thresholds; fixes the size of their sketch
+
+
+def _least_buckets(df: DataFrame) -> int:
+    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _offsets(df: DataFrame, bucket: str) -> DataFrame:
+    """(bucket, rows, rows in all buckets before it); one row per bucket."""
+    counts = df.groupBy(bucket).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1))
+    return counts.select(bucket, "_n", F.coalesce(before, F.lit(0)).alias("_off"))
 
 
 def _index_from_buckets(df: DataFrame, bucket: str, order: list[Column | str], name: str,
                         n_buckets: int) -> DataFrame:
-    counts = df.groupBy(bucket).agg(F.count(F.lit(1)).alias("_n"))
-    offsets = counts.select(
-        bucket,
-        F.coalesce(F.sum("_n").over(Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_off"))
-    # n_buckets is fixed up front, so the offsets side has a proven size bound.
-    joined = df.join(F.broadcast(offsets) if n_buckets <= 1 << 20 else offsets, bucket)
+    offsets = _offsets(df, bucket).drop("_n")
+    joined = df.join(F.broadcast(offsets) if n_buckets <= BROADCAST_BUCKETS else offsets, bucket)
     w = Window.partitionBy(bucket).orderBy(*order)
     return joined.withColumn(name, (F.row_number().over(w) - F.lit(1) + F.col("_off")).cast("long")
                              ).drop("_off", bucket)
 
 
-def _hex_chars_for(n_rows: int | None, rows_per_bucket: int) -> int:
-    if not n_rows:
-        return 3
-    need = max(1.0, n_rows / float(rows_per_bucket))
-    return int(min(MAX_HEX_CHARS, max(1, math.ceil(math.log(need, 16)) if need > 1 else 1)))
+def _hex_chars_for(df: DataFrame, n_rows: int, rows_per_bucket: int) -> int:
+    need = max(_least_buckets(df), n_rows / float(rows_per_bucket))
+    return int(min(MAX_HEX_CHARS, max(1, math.ceil(math.log(need, 16)))))
+
+
+def _hashed(df: DataFrame, key: str, seed: int | str, h: str, n_chars: int) -> DataFrame:
+    """The order hash and its bucket; rows without a key are in the last bucket."""
+    return (df.withColumn(h, seeded_hex(seed, F.col(key)))
+              .withColumn("_b", F.coalesce(hex_bucket(F.col(h), n_chars), F.lit(16 ** n_chars))))
 
 
 def shuffled_index(df: DataFrame, key: str, seed: int | str, name: str = "ix",
@@ -60,11 +73,11 @@ def shuffled_index(df: DataFrame, key: str, seed: int | str, name: str = "ix",
 
     ``key`` must be unique.  Equal to ``row_number() over (order by md5(...), key) - 1``.
     """
-    n_chars = _hex_chars_for(n_rows, rows_per_bucket)
+    n = n_rows if n_rows is not None else df.count()
+    n_chars = _hex_chars_for(df, n, rows_per_bucket)
     h = "_h" if not keep_hash else f"{name}_hash"
-    with_h = df.withColumn(h, seeded_hex(seed, F.col(key)))
-    with_b = with_h.withColumn("_b", hex_bucket(F.col(h), n_chars))
-    out = _index_from_buckets(with_b, "_b", [F.col(h), F.col(key)], name, 16 ** n_chars)
+    out = _index_from_buckets(_hashed(df, key, seed, h, n_chars), "_b",
+                              [F.col(h).asc_nulls_last(), F.col(key)], name, 16 ** n_chars + 1)
     return out if keep_hash else out.drop(h)
 
 
@@ -93,12 +106,12 @@ def key_buckets(df: DataFrame, key: str, n_buckets: int, out: str = "_b") -> tup
 
 def bucketize(df: DataFrame, col: str, cuts: list[float], out: str = "_b") -> DataFrame:
     """Monotone bucket index from sorted cut points (binary search in the JVM)."""
-    if not cuts:
-        return df.withColumn(out, F.lit(0.0))
     splits = [-math.inf] + sorted(set(cuts)) + [math.inf]
     tmp = f"{out}_in"
     b = Bucketizer(splits=splits, inputCol=tmp, outputCol=out, handleInvalid="keep")
-    return b.transform(df.withColumn(tmp, F.col(col).cast("double"))).drop(tmp)
+    # null and NaN go to a bucket of their own, after all others
+    return (b.transform(df.withColumn(tmp, F.col(col).cast("double"))).drop(tmp)
+             .withColumn(out, F.coalesce(F.col(out), F.lit(float(len(splits) - 1)))))
 
 
 def ordered_index(df: DataFrame, key: str, name: str = "ix", n_rows: int | None = None,
@@ -108,9 +121,9 @@ def ordered_index(df: DataFrame, key: str, name: str = "ix", n_rows: int | None
     ``key`` must be unique and numeric.
     """
     n = n_rows if n_rows is not None else df.count()
-    nb = int(min(1 << 16, max(1, math.ceil(n / float(rows_per_bucket)))))
+    nb = int(min(MAX_KEY_BUCKETS, max(_least_buckets(df), math.ceil(n / float(rows_per_bucket)))))
     b, nb = key_buckets(df, key, nb)
-    return _index_from_buckets(b, "_b", [F.col(key)], name, nb)
+    return _index_from_buckets(b, "_b", [F.col(key).asc_nulls_last()], name, nb + 1)
 
 
 def split_bounds(n: int, train_frac: float, drop_edges: bool) -> tuple[int, int, int, int]:
@@ -199,26 +212,32 @@ def row_slice(df: DataFrame, start: int, size: int = -1, ix: str = "ix",
 def first_rows(df: DataFrame, key: str, n: int, name: str = "ix", n_rows: int | None = None) -> DataFrame:
     """The first ``n`` rows in ``order by key`` (unique numeric key), with their index.
 
-    A row cap should not cost a global sort or a shuffle of every row.  An
-    approximate quantile gives a key threshold ``t`` expected to pass a little
-    more than ``n`` rows; ``key <= t`` is pushed down to the scan and counted; the
-    threshold is widened until at least ``n`` rows pass.  The exact index is then
-    computed on those rows only.
+    A row cap should not cost a global sort or a shuffle of every row.  An approximate
+    quantile gives a key threshold that passes somewhat more than ``n`` rows;
+    ``key <= t`` is pushed down to the scan and counted.  The quantile's error is fixed
+    (``SKETCH_ERROR`` of the rows looked at), so its sketch doesn't grow with the table;
+    instead the threshold is sharpened on the rows that pass until few too many do.
+    The exact index is then computed on those rows only.
     """
     total = n_rows if n_rows is not None else df.count()
     if n >= total:
         return ordered_index(df, key, name, n_rows=total)
-    frac = min(1.0, (n * 1.05 + 100) / total)
-    while True:
-        t = df.select(F.col(key).cast("double").alias("_k")).approxQuantile("_k", [frac], 1e-4 * frac)[0]
-        # a literal of the key's own type keeps the comparison pushable to the scan
-        integral = df.schema[key].dataType.typeName() in ("long", "integer", "short", "byte")
-        lit = F.lit(int(math.floor(t))).cast(df.schema[key].dataType) if integral else F.lit(t)
-        head = df.filter(F.col(key) <= lit)
-        m = head.count()
-        if m >= n or frac >= 1.0:
+    # a literal of the key's own type keeps the comparison pushable to the scan
+    integral = df.schema[key].dataType.typeName() in ("long", "integer", "short", "byte")
+    head, m = df.filter(F.col(key).isNotNull()), total
+    while m > 2 * n + 1000:
+        frac = min(1.0, n / m + 2 * SKETCH_ERROR)
+        t = head.select(F.col(key).cast("double").alias("_k")).approxQuantile("_k", [frac], SKETCH_ERROR)
+        if not t:
+            break
+        lit = F.lit(int(math.ceil(t[0]))).cast(df.schema[key].dataType) if integral else F.lit(t[0])
+        low = df.filter(F.col(key) <= lit)
+        k = low.count()
+        if k < n or k >= m:
             break
-        frac = min(1.0, frac * 2)
+        head, m = low, k
+    if m == total:
+        head = df
     return ordered_index(head, key, name, n_rows=m).filter(F.col(name) < F.lit(n))
 
 
@@ -227,49 +246,26 @@ def split_shuffled_fast(df: DataFrame, key: str, seed: int | str, train_frac: fl
                         rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
     """Same rows and ``split`` labels as :func:`split_shuffled`, without the global index.
 
-    Bucket counts (one partial aggregation, at most 16**5 rows to the driver) show
-    which buckets hold a split boundary: at most three.  Every other bucket lies
-    wholly inside one side and is labelled map-side; only the boundary buckets'
-    rows are ranked (a window over those buckets alone).
+    A bucket that holds no split boundary lies wholly inside one side and its rows are
+    labelled by the join with the bucket table; only the rows of the at most three
+    boundary buckets are ranked.
     """
     n = n_rows if n_rows is not None else df.count()
     a, b, c, d = split_bounds(n, train_frac, drop_edges)
-    n_chars = _hex_chars_for(n, rows_per_bucket)
-    h = seeded_hex(seed, F.col(key))
-    hb = df.withColumn("_h", h).withColumn("_b", hex_bucket(F.col("_h"), n_chars))
-    counts = sorted((r["_b"], r["_n"]) for r in hb.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).collect())
-
-    def side(pos: int) -> str:
-        return "train" if a <= pos < b else ("test" if c <= pos < d else "drop")
-
-    cuts = [p for p in (b, c, d) if 0 < p < n]
-    boundary, lo_of, change = [], {}, []  # change: (first bucket id of a run, side)
-    lo = 0
-    for bid, cnt in counts:
-        hi = lo + cnt
-        if any(lo < p < hi for p in cuts):
-            boundary.append(bid)
-            lo_of[bid] = lo
-        else:
-            s = side(lo)
-            if not change or change[-1][1] != s:
-                change.append((bid, s))
-        lo = hi
-    label = None
-    for bid, s in reversed(change):  # latest run first: the first matching run wins
-        cond = F.col("_b") >= F.lit(bid)
-        label = F.when(cond, F.lit(s)) if label is None else label.when(cond, F.lit(s))
-    if label is None:
-        label = F.lit(None).cast("string")
-    whole = hb.filter(~F.col("_b").isin(boundary) if boundary else F.lit(True)).withColumn("split", label)
-    parts = [whole]
-    if boundary:
-        offs = "CASE " + " ".join(f"WHEN _b = {bid} THEN {lo_of[bid]}" for bid in boundary) + " END"
-        w = Window.partitionBy("_b").orderBy("_h", key)
-        ranked = (hb.filter(F.col("_b").isin(boundary))
-                    .withColumn("_ix", F.row_number().over(w) - F.lit(1) + F.expr(offs)))
-        bl = F.when((F.col("_ix") >= a) & (F.col("_ix") < b), F.lit("train")).when(
-            (F.col("_ix") >= c) & (F.col("_ix") < d), F.lit("test")).otherwise(F.lit("drop"))
-        parts.append(ranked.withColumn("split", bl).drop("_ix"))
-    out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    return out.filter(F.col("split") != F.lit("drop")).drop("_h", "_b")
+    n_chars = _hex_chars_for(df, n, rows_per_bucket)
+    hb = _hashed(df, key, seed, "_h", n_chars)
+
+    def side(ix: Column) -> Column:
+        return (F.when((ix >= a) & (ix < b), F.lit("train")).when((ix >= c) & (ix < d), F.lit("test"))
+                .otherwise(F.lit("drop")))
+
+    inside = F.lit(False)
+    for p in (b, c, d):
+        inside = inside | ((F.col("_off") < p) & (F.col("_off") + F.col("_n") > p))
+    buckets = _offsets(hb, "_b").select("_b", "_off", F.when(~inside, side(F.col("_off"))).alias("split"))
+    joined = hb.join(F.broadcast(buckets) if 16 ** n_chars < BROADCAST_BUCKETS else buckets, "_b")
+    w = Window.partitionBy("_b").orderBy(F.col("_h").asc_nulls_last(), key)
+    ranked = (joined.filter(F.col("split").isNull())
+              .withColumn("split", side(F.row_number().over(w) - F.lit(1) + F.col("_off"))))
+    out = joined.filter(F.col("split").isNotNull()).unionByName(ranked)
+    return out.filter(F.col("split") != F.lit("drop")).drop("_h", "_b", "_off")

@@ -41,10 +41,10 @@ def sparse_input(df: DataFrame, feats: str = "feats") -> DataFrame:
               .withColumn("_xv", F.transform(feats, lambda f: f["v"].cast("double"))))
 
 
-def _inputs_of(pdf: pd.DataFrame, d: int) -> Inputs:
+def _inputs_of(pdf: pd.DataFrame, d: int, truncate: bool = False) -> Inputs:
     if "_x" in pdf.columns:
         return Inputs.from_dense(pdf["_x"], d)
-    return Inputs.from_sparse(pdf["_xi"], pdf["_xv"], d)
+    return Inputs.from_sparse(pdf["_xi"], pdf["_xv"], d, truncate)
 
 
 def _input_cols(df: DataFrame) -> list[str]:

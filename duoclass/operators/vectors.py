@@ -78,9 +78,10 @@ def dedupe_frame(df: DataFrame, feats: str = "feats", rule: str = "last", out: s
 
 
 def densify_frame(df: DataFrame, width: int, feats: str = "feats", rule: str = "last",
-                  out: str = "features") -> DataFrame:
-    """Sparse cells -> ``ARRAY<DOUBLE>`` of ``width`` (zeros elsewhere); cells at or
-    beyond the width are ignored; repeated indices follow ``rule``."""
+                  out: str = "features", truncate: bool = False) -> DataFrame:
+    """Sparse cells -> ``ARRAY<DOUBLE>`` of ``width`` (zeros elsewhere); repeated indices
+    follow ``rule``.  A cell at or beyond the width is an error unless ``truncate``
+    asks for such cells to be dropped."""
     keep = [c for c in df.columns if c not in (feats, out)]
     src = _prep(df, feats).select(*keep, "_xi", "_xv")
     schema = T.StructType([src.schema[c] for c in keep] + [T.StructField(out, T.ArrayType(T.DoubleType()))])
@@ -89,6 +90,8 @@ def densify_frame(df: DataFrame, width: int, feats: str = "feats", rule: str = "
         for pdf in it:
             rows, idx, val = _flat(pdf)
             ok = (idx >= 0) & (idx < width)
+            if not truncate and not ok.all():
+                raise ValueError(f"feature index {int(idx[~ok][0])} does not fit the width {width}")
             r, i, v = dedupe_cells(rows[ok], idx[ok], val[ok], rule)
             dense = np.zeros((len(pdf), width))
             dense[r, i] = v

@@ -160,12 +160,13 @@ pt AS (SELECT quality AS c, count(*) / n.n AS pt FROM labels, n GROUP BY quality
 pp AS (SELECT toxic AS c, count(*) / n.n AS pp FROM labels, n GROUP BY toxic, n.n)
 SELECT round(sum(pt * pp), 6) + CAST(0 AS DOUBLE) AS chance_agreement FROM pt JOIN pp ON pt.c = pp.c""",
     "histogram": """WITH r AS (SELECT min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem),
-b AS (SELECT CAST(least(29, floor((l_extendedprice - lo) / (hi - lo) * CAST(30 AS DOUBLE))) AS INTEGER) AS bin, lo, hi
-      FROM lineitem, r)
-SELECT bin, round(lo + bin * (hi - lo) / CAST(30 AS DOUBLE), 6) + CAST(0 AS DOUBLE) AS lo_edge,
-       round(lo + (bin + 1) * (hi - lo) / CAST(30 AS DOUBLE), 6) + CAST(0 AS DOUBLE) AS hi_edge,
-       CAST(count(*) AS BIGINT) AS count
-FROM b GROUP BY bin, lo, hi""",
+b AS (SELECT CAST(least(29, floor((l_extendedprice - lo) / (hi - lo) * CAST(30 AS DOUBLE))) AS INTEGER) AS bin
+      FROM lineitem, r),
+c AS (SELECT bin, count(*) AS n FROM b GROUP BY bin)
+SELECT CAST(a.range AS INTEGER) AS bin, round(lo + a.range * (hi - lo) / CAST(30 AS DOUBLE), 6) + CAST(0 AS DOUBLE) AS lo_edge,
+       round(lo + (a.range + 1) * (hi - lo) / CAST(30 AS DOUBLE), 6) + CAST(0 AS DOUBLE) AS hi_edge,
+       CAST(coalesce(n, 0) AS BIGINT) AS count
+FROM range(30) a, r LEFT JOIN c ON c.bin = a.range""",
     "cumulative_auc": f"""WITH {_EV},
 r AS (SELECT day,
   CAST(sum(tp) OVER w AS BIGINT) AS cum_tp, CAST(sum(fp) OVER w AS BIGINT) AS cum_fp,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from duoclass.plans import q_score, q_sources
+from duoclass.plans import q_model, q_order, q_score, q_sources
 
 
 def all_queries() -> dict:
@@ -20,15 +20,4 @@ def all_oracles() -> dict:
 
 
 def _modules():
-    mods = [q_sources, q_score]
-    try:
-        from duoclass.plans import q_order
-        mods.append(q_order)
-    except ImportError:
-        pass
-    try:
-        from duoclass.plans import q_model
-        mods.append(q_model)
-    except ImportError:
-        pass
-    return mods
+    return [q_sources, q_score, q_order, q_model]

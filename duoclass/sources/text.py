@@ -64,52 +64,41 @@ def _all_ok(arr: Column, pred) -> Column:
     return F.coalesce(F.forall(arr, pred), F.lit(True))
 
 
-FIXED_WIDTH_LIMIT = 4096
-
-
 def csv_width(lines: DataFrame, value: str = "value", sep: str = ",") -> int:
-    """Feature width = fields of the first line minus the label (a limit-1 job)."""
-    r = lines.select(F.size(F.split(F.col(value), sep)).alias("n")).first()
-    return max(0, (r["n"] if r else 1) - 1)
+    """Feature width = the most fields of any line, less the label (one aggregate)."""
+    n = lines.agg(F.max(F.size(F.split(F.col(value), sep))).alias("n")).first()["n"]
+    return max(0, (n or 1) - 1)
 
 
 def parse_dense_csv(lines: DataFrame, value: str = "value", sep: str = ",",
-                    width: int | str | None = "first") -> DataFrame:
+                    width: int | str | None = "max") -> DataFrame:
     """``f0,...,label`` -> ``label DOUBLE, features ARRAY<DOUBLE>, ok``; other columns kept.
 
-    ``width='first'`` takes the width from the first line (as the layout's readers
-    did) and parses positionally with plain expressions that stay in whole-stage
-    codegen; a row with another field count is quarantined (``ok = false``).
-    ``width=None`` accepts ragged rows (lambda form, slower).
+    ``ok`` is false where a field is no number or the field count isn't ``width + 1``.
+    ``width='max'`` takes the width from the longest line, so neither a blank nor a
+    short line at any place decides over the others; ``width=None`` takes every row of
+    two or more fields.  No row is removed here.
     """
     fields = F.split(F.col(value), sep)
     n = F.size(fields)
-    w = csv_width(lines, value, sep) if width == "first" else width
-    if w is not None and w <= FIXED_WIDTH_LIMIT:
-        cells = [F.trim(F.get(fields, F.lit(k))).try_cast("double") for k in range(w)]
-        feats = F.array(*cells) if cells else F.array().cast("array<double>")
-        label = F.trim(F.get(fields, F.lit(w))).try_cast("double")
-        # The validity flag mentions the split line twice (not once per cell): a
-        # filter on it is pushed below this projection, where it is not shared.
-        ok = (n == F.lit(w + 1)) & F.forall(fields, lambda x: F.trim(x).try_cast("double").isNotNull())
-        return lines.withColumn("label", label).withColumn("features", feats).withColumn("ok", ok).drop(value)
-    feats = F.transform(F.slice(fields, 1, F.greatest(n - 1, F.lit(0))),
-                        lambda f: F.trim(f).try_cast("double"))
-    label = F.trim(F.element_at(fields, -1)).try_cast("double")
-    ok = label.isNotNull() & (n >= 2) & _all_ok(F.col("features"), lambda x: x.isNotNull())
-    if w is not None:
-        ok = ok & (n == F.lit(w + 1))
-    out = lines.withColumn("label", label).withColumn("features", feats).withColumn("ok", ok)
-    return out.drop(value)
+    w = csv_width(lines, value, sep) if width == "max" else width
+    cells = F.transform(fields, lambda f: F.trim(f).try_cast("double"))
+    out = (lines.withColumn("_cells", cells).withColumn("label", F.element_at("_cells", -1))
+                .withColumn("features", F.slice("_cells", 1, F.greatest(F.size("_cells") - 1, F.lit(0)))))
+    ok = (n == F.lit(w + 1)) if w is not None else (n >= 2)
+    return out.withColumn("ok", ok & _all_ok(F.col("_cells"), lambda x: x.isNotNull())).drop(value, "_cells")
 
 
 def _feats_from_tokens(tokens: Column, base: int | Column = 0) -> Column:
+    """``i:v`` tokens -> cells; a token without exactly one colon gives a null cell."""
     b = base if isinstance(base, Column) else F.lit(base)
-    return F.transform(tokens, lambda t: F.struct(
-        F.when(F.instr(t, ":") > 0,
-               F.substring_index(t, ":", 1).try_cast("int") - b).alias("i"),
-        F.when(F.instr(t, ":") > 0,
-               F.substring_index(t, ":", -1).try_cast("double")).alias("v")))
+
+    def cell(t):
+        parts = F.split(t, ":")
+        one = F.size(parts) == 2
+        return F.struct(F.when(one, F.get(parts, F.lit(0)).try_cast("int") - b).alias("i"),
+                        F.when(one, F.get(parts, F.lit(1)).try_cast("double")).alias("v"))
+    return F.transform(tokens, cell)
 
 
 def _feats_ok(feats: Column, width: int | None) -> Column:
@@ -154,9 +143,15 @@ def _parse_labelled(t: DataFrame, width: int | None, truncate: bool, base, key:
     return t.withColumn("ok", ok).drop("_t")
 
 
+def _svm_text(value: Column) -> Column:
+    """A line without its ``# comment`` and ``qid:`` token, trimmed."""
+    bare = F.regexp_replace(F.regexp_replace(value, r"#.*$", ""), r"\bqid:\S*", "")
+    return F.regexp_replace(F.trim(bare), r"\s+", " ")
+
+
 def svmlight_base(lines: DataFrame, value: str = "value") -> int:
     """Index base of an svmlight text: 0 if any index is 0, else 1 (one scalar job)."""
-    toks = F.filter(F.split(F.col(value), " "), lambda x: F.instr(x, ":") > 0)
+    toks = F.filter(F.split(_svm_text(F.col(value)), " "), lambda x: F.instr(x, ":") > 0)
     idx = F.array_min(F.transform(toks, lambda x: F.substring_index(x, ":", 1).try_cast("int")))
     m = lines.select(F.min(idx).alias("m")).first()["m"]
     return 0 if (m is not None and m == 0) else 1
@@ -168,10 +163,11 @@ def parse_svmlight(lines: DataFrame, value: str = "value", base: int | str = "au
 
     ``base='auto'`` follows the usual loader heuristic (any index 0 means 0-based).
     Spark's own ``libsvm`` source only reads 1-based, ascending files and throws on
-    index 0; this reader takes both.
+    index 0; this reader takes both.  Comments and ``qid:`` tokens are ignored, and
+    lines with nothing else on them are no rows, as in the format.
     """
     b = svmlight_base(lines, value) if base == "auto" else int(base)
-    t = lines.withColumn("_t", F.col(value))
+    t = lines.withColumn("_t", _svm_text(F.col(value))).filter(F.coalesce(F.col("_t") != "", F.lit(True)))
     return _parse_labelled(t, width, truncate, base=b, key=None).drop(value)
 
 

@@ -28,13 +28,15 @@ def event_pred() -> Column:
 
 def confusion_stream(spark: SparkSession, source_dir: str, file_glob: str = "events.parquet",
                      truth: Column | None = None, pred: Column | None = None,
-                     max_files_per_trigger: int = 1) -> DataFrame:
-    """Streaming (truth, pred, n) counters over the Parquet files matching ``file_glob``."""
+                     max_files_per_trigger: int | None = None) -> DataFrame:
+    """Streaming (truth, pred, n) counters over the Parquet files matching ``file_glob``.
+
+    How many files a micro-batch takes is the source's choice unless given."""
     schema = spark.read.option("pathGlobFilter", file_glob).parquet(source_dir).schema
-    src = (spark.readStream.schema(schema)
-           .option("pathGlobFilter", file_glob)
-           .option("maxFilesPerTrigger", max_files_per_trigger)
-           .parquet(source_dir))
+    reader = spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
+    if max_files_per_trigger is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    src = reader.parquet(source_dir)
     t = truth if truth is not None else event_truth()
     p = pred if pred is not None else event_pred()
     return src.select(t.alias("truth"), p.alias("pred")).groupBy("truth", "pred").agg(
@@ -42,7 +44,7 @@ def confusion_stream(spark: SparkSession, source_dir: str, file_glob: str = "eve
 
 
 def run_confusion_stream(spark: SparkSession, source_dir: str, file_glob: str = "events.parquet",
-                         timeout_s: int = 600) -> DataFrame:
+                         max_files_per_trigger: int | None = None) -> DataFrame:
     """Drain the stream once (``availableNow``) and return the final counters.
 
     Each micro-batch's full result table (complete mode) replaces the output table
@@ -52,17 +54,14 @@ def run_confusion_stream(spark: SparkSession, source_dir: str, file_glob: str =
     run = uuid.uuid4().hex[:12]
     ckpt = scratch_path(spark, "streams", run, "checkpoint")
     out = scratch_path(spark, "streams", run, "counters")
-    counts = confusion_stream(spark, source_dir, file_glob)
+    counts = confusion_stream(spark, source_dir, file_glob, max_files_per_trigger=max_files_per_trigger)
 
     def sink(batch: DataFrame, epoch_id: int) -> None:
         batch.write.mode("overwrite").parquet(out)
 
     q = (counts.writeStream.outputMode("complete").foreachBatch(sink)
          .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
-    q.awaitTermination(timeout_s)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError("stream did not drain in time")
+    q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
     return spark.read.parquet(out)
