@@ -21,6 +21,7 @@ MIX_P = 2147483647
 MIX_A = 48271
 MIX_B = 69621
 MIX_C = 16807
+MIX_D = 39373
 
 
 def seeded_hex(seed: int | str, key: Column) -> Column:
@@ -40,7 +41,10 @@ def mix_uniform_col(seed: int, step: int, row: Column, unit: Column) -> Column:
     """Uniform in [0, 1) from (seed, step, row, unit); rows and units are >= 0."""
     a = _scalar_offset(seed, step)
     p = F.lit(MIX_P).cast("long")
-    h = ((row.cast("long") % p) * F.lit(MIX_A) + F.lit(a)) % p
+    r = row.cast("long")
+    # ids of the modulus and more: the part above it is mixed in as well
+    high = F.call_function("div", r, p)
+    h = ((r % p) * F.lit(MIX_A) + (high % p) * F.lit(MIX_D) + F.lit(a)) % p
     h = (h * h + (unit.cast("long") % p) * F.lit(MIX_B) + F.lit(1)) % p
     h = (h * F.lit(MIX_C) + F.lit(11)) % p
     h = (h * h + F.lit(7)) % p
@@ -50,7 +54,8 @@ def mix_uniform_col(seed: int, step: int, row: Column, unit: Column) -> Column:
 def mix_uniform_sql(seed: int, step: int, row: str, unit: str) -> str:
     a = _scalar_offset(seed, step)
     p = MIX_P
-    h = f"((CAST({row} AS BIGINT) % {p}) * {MIX_A} + {a}) % {p}"
+    r = f"CAST({row} AS BIGINT)"
+    h = f"(({r} % {p}) * {MIX_A} + (({r} // {p}) % {p}) * {MIX_D} + {a}) % {p}"
     h = f"(({h}) * ({h}) + (CAST({unit} AS BIGINT) % {p}) * {MIX_B} + 1) % {p}"
     h = f"(({h}) * {MIX_C} + 11) % {p}"
     h = f"(({h}) * ({h}) + 7) % {p}"
@@ -66,9 +71,10 @@ def mix_uniform_pairs_np(seed: int, step: int, rows: np.ndarray, units: np.ndarr
     """Same values as ``mix_uniform_col`` for (row, unit) pairs (broadcasting)."""
     a = _scalar_offset(seed, step)
     p = np.int64(MIX_P)
-    r = np.asarray(rows, dtype=np.int64) % p
+    rows = np.asarray(rows, dtype=np.int64)
+    r, high = rows % p, (rows // p) % p
     u = np.asarray(units, dtype=np.int64) % p
-    h = (r * MIX_A + a) % p
+    h = (r * MIX_A + high * MIX_D + a) % p
     h = (h * h + u * MIX_B + 1) % p
     h = (h * MIX_C + 11) % p
     h = (h * h + 7) % p

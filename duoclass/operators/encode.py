@@ -8,8 +8,6 @@ from pyspark.sql import Window
 
 from duoclass.session import MAX_BROADCAST_CELLS
 
-MAX_CLASSES = 10_000  # indicator columns are fixed at plan time; K above this is refused
-
 
 def onehot_pair(label: Column) -> Column:
     """``[l, 1 - l]``: column 0 is the positive class."""
@@ -24,28 +22,28 @@ def labels_for_model(label: Column, n_outputs: int) -> Column:
 
 
 def label_classes(df: DataFrame, label: str) -> DataFrame:
-    """Distinct labels in sorted order with their 0-based class index.
+    """Distinct labels in sorted order with their 0-based class index; null is no class.
 
     The distinct set is aggregated first (partial aggregation per task), so the
     window that ranks it sees one row per class, never one per example.
     """
-    d = df.select(F.col(label).alias("_cls")).distinct()
+    d = df.select(F.col(label).alias("_cls")).filter(F.col(label).isNotNull()).distinct()
     return d.withColumn("_k", (F.dense_rank().over(Window.orderBy("_cls")) - 1).cast("int"))
 
 
 def label_binarize(df: DataFrame, label: str, out: str = "label_bin") -> tuple[DataFrame, int]:
     """Two classes -> one 0/1 column (1 for the larger label); K > 2 -> an
-    ``ARRAY<INT>`` of K indicators in sorted class order.  Returns (df, K)."""
-    k = df.select(label).distinct().count()  # distributed; checked before any ranking
-    if k > MAX_CLASSES:
-        raise ValueError(f"{k} distinct labels: too many for indicator columns")
+    ``ARRAY<INT>`` of K indicators in sorted class order.  A null label is no class:
+    its output is null.  Returns (df, K)."""
+    k = df.select(label).filter(F.col(label).isNotNull()).distinct().count()
     classes = label_classes(df, label)
-    j = df.join(F.broadcast(classes), df[label] == classes["_cls"], "left").drop("_cls")
+    side = F.broadcast(classes) if k <= MAX_BROADCAST_CELLS // 2 else classes
+    j = df.join(side, df[label] == classes["_cls"], "left").drop("_cls")
     if k <= 2:
         return j.withColumn(out, F.col("_k")).drop("_k"), k
     ind = F.transform(F.sequence(F.lit(0), F.lit(k - 1)),
                       lambda c: F.when(c == F.col("_k"), F.lit(1)).otherwise(F.lit(0)))
-    return j.withColumn(out, ind).drop("_k"), k
+    return j.withColumn(out, F.when(F.col("_k").isNotNull(), ind)).drop("_k"), k
 
 
 def truncate_feats(feats: Column, width: int) -> Column:

@@ -155,40 +155,3 @@ class Moments:
         self.mean = self.mean + delta * (nb / n)
         self.m2 = self.m2 + m2b + delta ** 2 * (self.n * nb / n)
         self.n = n
-
-
-def local_gradient(x: Inputs, targets: np.ndarray, model: Model, dropout: dict | None = None):
-    """Exact gradient of the mean cross-entropy when the whole batch is in hand.
-
-    Same algebra as the distributed form (batch-norm moments of the fed rows,
-    inverted dropout), done in one place.  Returns (grads, loss_sum, hits).
-    """
-    N = x.n
-    L = len(model.hidden)
-    moments = []
-    for l in range(1, L + 1):
-        z = forward(x, model, moments, stop_at=l, dropout=dropout)["z"][-1]
-        moments.append((z.mean(axis=0), np.sqrt(z.var(axis=0) + model.eps)))
-    c = forward(x, model, moments, dropout=dropout)
-    y = c["y"]
-    dy = (softmax(y) - targets) / N
-    grads = {}
-    top = c["a"][-1] if L else None
-    grads[(L + 1, "W")] = top.T @ dy if L else c["x"].t_matmul(dy)
-    grads[(L + 1, "b")] = dy.sum(axis=0)
-    dA = dy @ model.W_out.T
-    for l in range(L, 0, -1):
-        layer = model.hidden[l - 1]
-        mask = c["mask"][l - 1] if c["mask"] else 1.0
-        du = dA * mask * (c["u"][l - 1] > 0)
-        zh = c["zh"][l - 1]
-        s1, s2 = du.sum(axis=0), (du * zh).sum(axis=0)
-        dz = (layer.scale / moments[l - 1][1]) * (du - s1 / N - zh * s2 / N)
-        grads[(l, "W")] = c["x"].t_matmul(dz) if l == 1 else c["a"][l - 2].T @ dz
-        grads[(l, "b")] = np.zeros(layer.units)
-        grads[(l, "scale")] = s2
-        grads[(l, "beta")] = s1
-        dA = dz @ layer.W.T
-    loss = -(targets * log_softmax(y)).sum()
-    hits = float((np.argmax(y, 1) == np.argmax(targets, 1)).sum())
-    return grads, loss, hits

@@ -225,7 +225,7 @@ def first_rows(df: DataFrame, key: str, n: int, name: str = "ix", n_rows: int |
     # a literal of the key's own type keeps the comparison pushable to the scan
     integral = df.schema[key].dataType.typeName() in ("long", "integer", "short", "byte")
     head, m = df.filter(F.col(key).isNotNull()), total
-    while m > 2 * n + 1000:
+    while m > n + n // 5 + 1000:
         frac = min(1.0, n / m + 2 * SKETCH_ERROR)
         t = head.select(F.col(key).cast("double").alias("_k")).approxQuantile("_k", [frac], SKETCH_ERROR)
         if not t:

@@ -9,10 +9,11 @@ e.g. per split), so a pass over L hidden layers is:
 * one output pass: ``mapInPandas`` with the parameters and moments shipped as a
   broadcast variable (both model-sized; sizes checked against ``MAX_BROADCAST_CELLS``).
 
-No pass shuffles rows; the only exchanges carry per-partition moment rows.  When
-the moments do not fit the bound (very many groups) they are joined to the rows
-instead.  When the model itself does not fit, the relational form
-(:func:`affine_relational`) computes the affine layer as a join + aggregate.
+No pass shuffles rows; the only exchanges carry per-partition moment rows, summed
+around one fixed centre so that they combine before the shuffle.  When the moments
+do not fit the bound (very many groups) they stay a table and are joined to the rows
+by group.  A model beyond ``MAX_MODEL_CELLS`` is scored in the relational form
+(:func:`affine_relational`: the affine layer as a join and an aggregate).
 """
 
 from __future__ import annotations
@@ -21,12 +22,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 from pyspark.sql import types as T
 
+from duoclass.operators.encode import truncate_feats
 from duoclass.operators.kernels import Inputs, Moments, forward, log_softmax, softmax
 from duoclass.operators.model import Model
-from duoclass.session import MAX_BROADCAST_CELLS, release, share, ship_package
+from duoclass.session import MAX_BROADCAST_CELLS, MAX_MODEL_CELLS, release, share, ship_package
 
 
 # ---------------------------------------------------------------- inputs -----
@@ -56,9 +57,9 @@ def _input_cols(df: DataFrame) -> list[str]:
 
 
 def _check_model_size(model: Model) -> None:
-    if model.n_cells > MAX_BROADCAST_CELLS:
+    if model.n_cells > MAX_MODEL_CELLS:
         raise ValueError(
-            f"model has {model.n_cells} cells, above the task-closure bound {MAX_BROADCAST_CELLS}; "
+            f"model has {model.n_cells} cells, above the bound {MAX_MODEL_CELLS}; "
             "score its first layer with affine_relational()")
 
 
@@ -76,67 +77,86 @@ def _group_key(pdf: pd.DataFrame, group_cols: list[str]):
 
 # --------------------------------------------------------------- moments -----
 
+def _known_moments(key: tuple, g: pd.DataFrame, moments: dict, upto: int) -> list:
+    """(mean, std) of hidden layers 1..upto: joined to the rows, or from the dict."""
+    if "_mu1" in g.columns:
+        return [(np.asarray(g[f"_mu{l}"].iloc[0]), np.asarray(g[f"_sd{l}"].iloc[0])) for l in range(1, upto + 1)]
+    return [moments[(key, l)] for l in range(1, upto + 1)]
+
+
+def _moment_cols(df: DataFrame) -> list[str]:
+    return [c for c in df.columns if c.startswith(("_mu", "_sd"))]
+
+
 def layer_moments(df: DataFrame, model: Model, layer: int, moments: dict,
                   group_cols: list[str] = (), dropout: dict | None = None,
                   row_id: str | None = None, handles: list | None = None) -> DataFrame:
     """Per (group, unit): n, mean and population variance of hidden layer ``layer``'s
     pre-activation.  ``moments`` holds the earlier layers (see :func:`collect_moments`).
-    ``dropout`` (seed, step, keep, input) applies training masks keyed by ``row_id``."""
+    ``dropout`` (seed, step, keep, input) applies training masks keyed by ``row_id``.
+
+    Tasks emit (n, sum(z - c), sum((z - c)^2)) per unit around a centre ``c`` close to
+    the data (one row's pre-activation), so the sums combine map-side without the loss
+    of precision that sums around zero have.
+    """
     _check_model_size(model)
     group_cols = list(group_cols)
     d = model.n_inputs
+    cols = group_cols + _input_cols(df) + _moment_cols(df) + ([row_id] if dropout else [])
+    src = df.select(*cols)
+
+    def pre_activation(model_, moments_, key, g):
+        drop = dict(dropout, row_ids=g[row_id].values.astype(np.int64)) if dropout else None
+        return forward(_inputs_of(g, d), model_, _known_moments(key, g, moments_, layer - 1), stop_at=layer,
+                       dropout=drop)["z"][-1]
+
+    head = src.limit(1).toPandas()
+    centre = np.zeros(model.hidden[layer - 1].units)
+    for key, g in _group_key(head, group_cols):
+        centre = pre_activation(model, moments, key, g)[0]
     gfields = [df.schema[c] for c in group_cols]
-    schema = T.StructType(gfields + [T.StructField("unit", T.IntegerType()),
-                                     T.StructField("n", T.LongType()),
-                                     T.StructField("mean", T.DoubleType()),
-                                     T.StructField("m2", T.DoubleType())])
-    cols = group_cols + _input_cols(df) + ([row_id] if dropout else [])
-    shared = share(df, (model, moments), handles)
+    schema = T.StructType(gfields + [T.StructField("unit", T.IntegerType()), T.StructField("n", T.LongType()),
+                                     T.StructField("c", T.DoubleType()), T.StructField("s1", T.DoubleType()),
+                                     T.StructField("s2", T.DoubleType())])
+    shared = share(df, (model, moments, centre), handles)
 
     def fn(it):
-        model_, moments_ = shared.value
+        model_, moments_, c = shared.value
         acc: dict = {}
         for pdf in it:
             for key, g in _group_key(pdf, group_cols):
-                x = _inputs_of(g, d)
-                mom = [moments_[(key, l)] for l in range(1, layer)]
-                drop = dict(dropout, row_ids=g[row_id].values.astype(np.int64)) if dropout else None
-                z = forward(x, model_, mom, stop_at=layer, dropout=drop)["z"][-1]
+                z = pre_activation(model_, moments_, key, g)
                 acc.setdefault(key, Moments(z.shape[1])).add(z)
         for key, m in acc.items():
             k = len(m.mean)
-            out = {c: [key[i]] * k for i, c in enumerate(group_cols)}
-            out.update(unit=np.arange(k, dtype=np.int32), n=np.full(k, m.n, dtype=np.int64),
-                       mean=m.mean, m2=m.m2)
+            out = {g: [key[i]] * k for i, g in enumerate(group_cols)}
+            out.update(unit=np.arange(k, dtype=np.int32), n=np.full(k, m.n, dtype=np.int64), c=c,
+                       s1=m.n * (m.mean - c), s2=m.m2 + m.n * (m.mean - c) ** 2)
             yield pd.DataFrame(out)
 
     ship_package(df.sparkSession)
-    parts = df.select(*cols).mapInPandas(fn, schema)
-    w = Window.partitionBy(*group_cols, "unit")
-    tot_n = F.sum("n").over(w)
-    gmean = F.sum(F.col("n") * F.col("mean")).over(w) / tot_n
-    spread = (parts.withColumn("_gm", gmean)
-                   .withColumn("_dev", F.col("n") * (F.col("mean") - F.col("_gm")) ** 2))
-    return spread.groupBy(*group_cols, "unit").agg(
-        F.sum("n").alias("n"), F.first("_gm").alias("mean"),
-        ((F.sum("m2") + F.sum("_dev")) / F.sum("n")).alias("var"))
-
-
-def collect_moments(df: DataFrame, model: Model, group_cols: list[str] = ()) -> dict:
+    n, s1 = F.sum("n"), F.sum("s1")
+    return src.mapInPandas(fn, schema).groupBy(*group_cols, "unit").agg(
+        n.alias("n"), (F.max("c") + s1 / n).alias("mean"),
+        F.greatest(F.sum("s2") / n - (s1 / n) * (s1 / n), F.lit(0.0)).alias("var"))
+
+
+def collect_moments(df: DataFrame, model: Model, group_cols: list[str] = (),
+                    max_rows: int = MAX_BROADCAST_CELLS // 3) -> dict | None:
     """All hidden layers' moments as ``{(group_key, layer): (mean, std)}``.
 
     Each layer is one job; its result (groups x units rows) is size-checked before
-    it is brought to the driver and shipped to the next pass.
+    it is brought to the driver and shipped to the next pass.  None if there are more
+    than ``max_rows`` of them (:func:`join_moments` then).
     """
     group_cols = list(group_cols)
     moments: dict = {}
     for l, layer in enumerate(model.hidden, start=1):
-        bound = MAX_BROADCAST_CELLS // 3
         handles: list = []
-        rows = layer_moments(df, model, l, moments, group_cols, handles=handles).limit(bound + 1).collect()
+        rows = layer_moments(df, model, l, moments, group_cols, handles=handles).limit(max_rows + 1).collect()
         release(handles)
-        if len(rows) > bound:
-            raise ValueError(f"more than {bound} moment rows: score fewer groups per pass")
+        if len(rows) > max_rows:
+            return None
         per: dict = {}
         for r in rows:
             key = tuple(r[c] for c in group_cols)
@@ -148,22 +168,45 @@ def collect_moments(df: DataFrame, model: Model, group_cols: list[str] = ()) ->
     return moments
 
 
+def join_moments(df: DataFrame, model: Model, group_cols: list[str]) -> DataFrame:
+    """Each row with its group's moments as ``_mu1, _sd1, ...`` arrays: a join by group
+    per hidden layer (null groups match; a hot group's rows are split by the skew join)."""
+    for l in range(1, len(model.hidden) + 1):
+        m = layer_moments(df, model, l, {}, group_cols)
+        cells = F.sort_array(F.collect_list(F.struct("unit", "mean", "var")))
+        by = m.groupBy(*[F.col(c).alias(f"_g_{c}") for c in group_cols]).agg(cells.alias("_cells"))
+        on = None
+        for c in group_cols:
+            same = F.col(c).eqNullSafe(F.col(f"_g_{c}"))
+            on = same if on is None else on & same
+        df = (df.join(by, on).withColumn(f"_mu{l}", F.col("_cells.mean"))
+                .withColumn(f"_sd{l}", F.transform("_cells.var", lambda v: F.sqrt(v + F.lit(model.eps))))
+                .drop("_cells", *[f"_g_{c}" for c in group_cols]))
+    return df
+
+
 # ---------------------------------------------------------------- scoring ----
 
 def score(df: DataFrame, model: Model, features: str = "features", sparse: bool = False,
-          group_cols: list[str] = (), keep: list[str] | None = None) -> DataFrame:
+          group_cols: list[str] = (), keep: list[str] | None = None, truncate: bool = False,
+          max_moment_rows: int = MAX_BROADCAST_CELLS // 3) -> DataFrame:
     """Score every row: logits ``y0..``, softmax ``p0..`` and ``pred`` (argmax, ties to
     the lowest index).  Column 0 is the positive class (one-hot is ``[l, 1-l]``), so
     ``pred = 0`` means "label 1".  ``keep`` columns ride along (default: all but the
-    features)."""
+    features).  A row of another width than the model's is an error; ``truncate`` drops
+    the sparse cells beyond it before anything is computed."""
     _check_model_size(model)
     group_cols = list(group_cols)
+    if sparse and truncate:
+        df = df.withColumn(features, truncate_feats(F.col(features), model.n_inputs))
     prepared = sparse_input(df, features) if sparse else dense_input(df, features)
     keep = [c for c in (keep if keep is not None else df.columns) if c != features]
     for g in group_cols:
         if g not in keep:
             keep.append(g)
-    moments = collect_moments(prepared, model, group_cols)
+    moments = collect_moments(prepared, model, group_cols, max_moment_rows)
+    if moments is None:
+        moments, prepared = {}, join_moments(prepared, model, group_cols)
     d, k = model.n_inputs, model.n_outputs
     out_fields = [prepared.schema[c] for c in keep]
     out_fields += [T.StructField(f"y{j}", T.DoubleType()) for j in range(k)]
@@ -178,7 +221,7 @@ def score(df: DataFrame, model: Model, features: str = "features", sparse: bool
         for pdf in it:
             for key, g in _group_key(pdf, group_cols):
                 x = _inputs_of(g, d)
-                mom = [moments_[(key, l)] for l in range(1, len(model_.hidden) + 1)]
+                mom = _known_moments(key, g, moments_, len(model_.hidden))
                 y = forward(x, model_, mom)["y"]
                 p = softmax(y)
                 lp = log_softmax(y)
@@ -193,13 +236,13 @@ def score(df: DataFrame, model: Model, features: str = "features", sparse: bool
                 yield pd.DataFrame(out)
 
     ship_package(df.sparkSession)
-    return prepared.select(*keep, *_input_cols(prepared)).mapInPandas(fn, schema)
+    return prepared.select(*keep, *_input_cols(prepared), *_moment_cols(prepared)).mapInPandas(fn, schema)
 
 
 def affine(df: DataFrame, W: np.ndarray, b: np.ndarray, features: str = "features",
            sparse: bool = False, keep: list[str] | None = None, out: str = "z") -> DataFrame:
     """``z = x W + b`` per row as ``ARRAY<DOUBLE>`` (dense rows or sparse struct arrays)."""
-    if W.size > MAX_BROADCAST_CELLS:
+    if W.size > MAX_MODEL_CELLS:
         raise ValueError("weight matrix above the broadcast bound; use affine_relational()")
     prepared = sparse_input(df, features) if sparse else dense_input(df, features)
     keep = [c for c in (keep if keep is not None else df.columns) if c != features]
@@ -240,7 +283,7 @@ def affine_relational(triples: DataFrame, rows: DataFrame, weights: DataFrame, b
     """Sparse affine as a join: ``(row, col, value) JOIN (i, j, w) ON col = i``,
     summed per (row, j), plus the bias.  Only stored cells contribute; a row with no
     stored cell still gets ``z = b`` because every (row, unit) starts from the
-    row list (``rows``) crossed with the bias vector's units.
+    row list (``rows``) with the bias vector's units exploded onto it.
 
     The weight table is broadcast when it is within the bound, otherwise joined
     with a shuffle on the column index.
@@ -249,8 +292,10 @@ def affine_relational(triples: DataFrame, rows: DataFrame, weights: DataFrame, b
     w = F.broadcast(weights) if n_w <= MAX_BROADCAST_CELLS // 3 else weights
     prod = (triples.join(w, triples[col] == w["i"])
                    .groupBy(row, "j").agg(F.sum(F.col(value) * F.col("w")).alias("_s")))
-    n_b = bias.count()
-    base = rows.select(row).join(F.broadcast(bias) if n_b <= MAX_BROADCAST_CELLS // 2 else bias)
+    # every row has every unit: an output of rows x units, made by exploding the bias vector
+    vec = sorted((r["j"], r["b"]) for r in bias.select("j", "b").collect())
+    pairs = F.arrays_zip(F.lit([j for j, _ in vec]).alias("j"), F.lit([b for _, b in vec]).alias("b"))
+    base = rows.select(row, F.inline(pairs).alias("j", "b"))
     return (base.join(prod, [row, "j"], "left")
                 .select(row, F.col("j").alias("unit"),
                         (F.col("b") + F.coalesce(F.col("_s"), F.lit(0.0))).alias("z")))
@@ -267,7 +312,8 @@ def batch_norm_long(df: DataFrame, unit: str = "unit", value: str = "z", scale:
     j = df.join(F.broadcast(mom) if small else mom, keys)
     zh = (F.col(value) - F.col("_mu")) / F.sqrt(F.col("_var") + F.lit(eps))
     if scale is not None:
-        j = j.join(F.broadcast(scale), unit)
+        n_units = scale.count()
+        j = j.join(F.broadcast(scale) if n_units <= MAX_BROADCAST_CELLS // 4 else scale, unit)
         res = F.col("scale") * zh + F.col("beta")
         return j.withColumn(out, res).drop("_mu", "_var", "scale", "beta")
     return j.withColumn(out, zh).drop("_mu", "_var")

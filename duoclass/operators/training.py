@@ -13,55 +13,65 @@ One optimisation step over a batch that may span any number of partitions:
 
   The hidden bias cancels with the batch mean, so its gradient is zero.
 
-Each pass is ``mapInPandas`` (NumPy on Arrow batches, one output per partition,
-parameters shipped in the closure after a size check) followed by ``groupBy().sum``.
-Only parameter-sized arrays reach the driver, where the Adam update runs.
+Each pass is ``mapInPandas`` (NumPy on Arrow batches, one output per partition) whose
+partial sums travel as blocks of matrix rows, one binary row per (matrix, block), and
+are added block by block.  Only parameter-sized arrays reach the driver, where the
+Adam update runs.
+
+Training takes few, large batches: an epoch's batches are written once to the shared
+folder, one directory each, and a step reads its own.
 """
 
 from __future__ import annotations
 
 import math
 import time
-import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from duoclass.operators import metrics as M
-from duoclass.operators.kernels import Inputs, Moments, forward, local_gradient, log_softmax, softmax
+from duoclass.operators.kernels import Inputs, forward, log_softmax, softmax
 from duoclass.operators.model import Model
-from duoclass.operators.ordering import minibatches, shuffled_index
+from duoclass.operators.ordering import minibatches, ordered_index, shuffled_index
 from duoclass.operators.scoring import _check_model_size, dense_input, layer_moments, score, sparse_input
-from duoclass.session import release, share, ship_package
+from duoclass.session import release, remove_path, scratch_path, share, ship_package, written
 
 ROWS_PER_STEP_TASK = 50_000
-# A batch whose rows x widest layer stays within this many cells is brought into
-# one task and its exact gradient computed there (one job, no shuffle); larger
-# batches use the data-parallel passes.
-LOCAL_STEP_CELLS = 20_000_000
+BLOCK_ROWS = 64  # matrix rows that travel together
 
-SUM_SCHEMA = T.StructType([T.StructField("key", T.StringType()), T.StructField("i", T.IntegerType()),
-                           T.StructField("j", T.IntegerType()), T.StructField("value", T.DoubleType())])
+BLOCKS = T.StructType([T.StructField("key", T.StringType()), T.StructField("block", T.IntegerType()),
+                       T.StructField("width", T.IntegerType()), T.StructField("data", T.BinaryType())])
 
 
-def _emit(acc: dict) -> pd.DataFrame:
-    frames = []
+def _block_rows(acc: dict) -> pd.DataFrame:
+    """{name: matrix} as rows of (name, block, columns, float64 bytes)."""
+    out = []
     for key, a in acc.items():
         a = np.atleast_2d(np.asarray(a, dtype=np.float64))
-        ii, jj = np.indices(a.shape)
-        frames.append(pd.DataFrame({"key": key, "i": ii.ravel().astype(np.int32),
-                                    "j": jj.ravel().astype(np.int32), "value": a.ravel()}))
-    return pd.concat(frames, ignore_index=True) if frames else pd.DataFrame(
-        {"key": [], "i": [], "j": [], "value": []})
+        for lo in range(0, a.shape[0], BLOCK_ROWS):
+            out.append((key, lo // BLOCK_ROWS, a.shape[1], np.ascontiguousarray(a[lo:lo + BLOCK_ROWS]).tobytes()))
+    return pd.DataFrame(out, columns=BLOCKS.names)
+
+
+def _add_blocks(it):
+    """Add the blocks of one name that met in this task (model-sized at most)."""
+    acc: dict = {}
+    for pdf in it:
+        for key, block, width, data in pdf.itertuples(index=False):
+            a = np.frombuffer(data, dtype=np.float64)
+            k = (key, block, width)
+            acc[k] = acc[k] + a if k in acc else a
+    if acc:
+        yield pd.DataFrame([(*k, a.tobytes()) for k, a in acc.items()], columns=BLOCKS.names)
 
 
 def _sum_pass(df: DataFrame, batch_fn, shared=None) -> dict[str, np.ndarray]:
     """Run ``batch_fn(pdf, shared_value) -> {key: array}`` on every Arrow batch, add the results
-    inside each partition, then across partitions with ``groupBy``; return arrays."""
+    inside each partition, then block by block across partitions; return arrays."""
     def fn(it):
         val = shared.value if shared is not None else None
         acc: dict = {}
@@ -71,18 +81,14 @@ def _sum_pass(df: DataFrame, batch_fn, shared=None) -> dict[str, np.ndarray]:
             for k, v in batch_fn(pdf, val).items():
                 acc[k] = acc[k] + v if k in acc else np.array(v, dtype=np.float64)
         if acc:
-            yield _emit(acc)
+            yield _block_rows(acc)
 
     ship_package(df.sparkSession)
-    rows = df.mapInPandas(fn, SUM_SCHEMA).groupBy("key", "i", "j").agg(F.sum("value").alias("value")).collect()
-    shapes: dict = {}
+    rows = df.mapInPandas(fn, BLOCKS).repartition("key", "block").mapInPandas(_add_blocks, BLOCKS).collect()
+    parts: dict = {}
     for r in rows:
-        s = shapes.setdefault(r["key"], [0, 0])
-        s[0], s[1] = max(s[0], r["i"] + 1), max(s[1], r["j"] + 1)
-    out = {k: np.zeros(s) for k, s in shapes.items()}
-    for r in rows:
-        out[r["key"]][r["i"], r["j"]] = r["value"]
-    return out
+        parts.setdefault(r["key"], {})[r["block"]] = np.frombuffer(bytes(r["data"])).reshape(-1, r["width"])
+    return {k: np.concatenate([p[b] for b in sorted(p)]) for k, p in parts.items()}
 
 
 def _targets(labels: np.ndarray) -> np.ndarray:
@@ -110,49 +116,6 @@ class StepContext:
                 "row_ids": pdf[self.row_id].values.astype(np.int64), "input": self.input_dropout}
 
 
-def batch_gradient_local(df: DataFrame, model: Model, keep_prob: float = 1.0, seed: int = 0, step: int = 0,
-                         row_id: str = "row_id", label: str = "label", features: str = "features",
-                         sparse: bool = False, input_dropout: bool = True) -> tuple[dict, dict]:
-    """The batch gradient computed in a single task (``coalesce(1)``: a narrow
-    dependency, no shuffle).  Only for batches within ``LOCAL_STEP_CELLS``; the
-    caller checks the size."""
-    _check_model_size(model)
-    prepared = sparse_input(df, features) if sparse else dense_input(df, features)
-    src = prepared.select(row_id, label, *(["_xi", "_xv"] if sparse else ["_x"])).coalesce(1)
-    ctx = StepContext(model.n_inputs, keep_prob, seed, step, row_id, label, input_dropout)
-
-    handles: list = []
-    shared = share(df, model, handles)
-
-    def fn(it):
-        frames = [pdf for pdf in it if len(pdf)]
-        if not frames:
-            return
-        pdf = pd.concat(frames, ignore_index=True)
-        g, loss, hits = local_gradient(ctx.inputs(pdf), _targets(pdf[label].values), shared.value,
-                                       ctx.dropout(pdf))
-        acc = {f"g:{l}:{n}": (a if a.ndim == 2 else a[None, :]) for (l, n), a in g.items()}
-        acc["stats"] = np.array([[len(pdf), loss, hits]])
-        yield _emit(acc)
-
-    ship_package(df.sparkSession)
-    rows = src.mapInPandas(fn, SUM_SCHEMA).collect()
-    release(handles)
-    arrays: dict = {}
-    for r in rows:
-        arrays.setdefault(r["key"], []).append((r["i"], r["j"], r["value"]))
-    stats = {i_j[1]: i_j[2] for i_j in arrays.pop("stats")}
-    grads = {}
-    for key, cells in arrays.items():
-        _, l, n = key.split(":")
-        a = np.zeros((max(c[0] for c in cells) + 1, max(c[1] for c in cells) + 1))
-        for i, j, v in cells:
-            a[i, j] = v
-        grads[(int(l), n)] = a if n == "W" else a[0]
-    n = int(stats[0])
-    return grads, {"n": n, "loss": stats[1] / n, "accuracy": stats[2] / n}
-
-
 def batch_gradient(df: DataFrame, model: Model, keep_prob: float = 1.0, seed: int = 0, step: int = 0,
                    row_id: str = "row_id", label: str = "label", features: str = "features",
                    sparse: bool = False, input_dropout: bool = True) -> tuple[dict, dict]:
@@ -339,82 +302,56 @@ def _metrics_of(s: DataFrame, split_col: str, label: str) -> DataFrame:
     return rep.select(split_col, F.stack(*args).alias("metric", "value"))
 
 
-def train(spark: SparkSession, data: DataFrame, model: Model, epochs: int, batch_size: int,
+def train(spark: SparkSession, data: DataFrame, model: Model, epochs: int, n_batches: int = 4,
           lr0: float = 0.05, decay_rate: float = 0.95, decay_steps: int = 5000, keep_prob: float = 0.5,
           seed: int = 0, eval_every: int = 10, row_id: str = "row_id", label: str = "label",
           features: str = "features", sparse: bool = False, short_batches: bool = True,
           shuffle: bool = True, input_dropout: bool = True, params_root: str | None = None,
-          metrics_root: str | None = None, model_name: str = "mlp", run: str | None = None,
+          metrics_root: str | None = None, model_name: str = "mlp", run: str = "run0",
           warm_start: bool = False) -> tuple[Model, DataFrame]:
-    """Epochs x mini-batches of Adam with a stair-case learning rate.
+    """Epochs of ``n_batches`` large batches of Adam with a stair-case learning rate.
 
     ``data`` has ``split`` ('train'/'test'), ``row_id`` (unique), ``label`` (0/1) and
-    the features.  Each epoch re-shuffles the train rows with a seed of its own
-    (``seed:epoch``), cuts batches of ``batch_size`` (``short_batches`` drops the last
-    position of each, as the slicing being mirrored did), range-partitions the epoch
-    table by batch and persists it, so a step's job prunes to its own batch.
-    Every ``eval_every`` epochs both splits are scored and metrics appended to
-    ``metrics_root``; the parameters are saved (version = epoch) under ``params_root``.
+    the features.  It is written once to the shared folder.  Each epoch re-shuffles the
+    train rows with a seed of its own (``seed:epoch``), cuts them into batches
+    (``short_batches`` drops the last position of each, as the slicing being mirrored
+    did) and writes them, a directory per batch; a step is a distributed gradient over
+    its directory.  Every ``eval_every`` epochs both splits are scored and metrics
+    appended to ``metrics_root``; the parameters are saved (version = epoch) under
+    ``params_root``.  ``warm_start`` restores them instead of taking ``model``.
     """
-    from duoclass.sources.params_store import load_model
+    from duoclass.sources.params_store import load_model, save_params
     if warm_start:
         if not params_root:
             raise ValueError("warm_start needs params_root")
-        model = load_model(spark, params_root, model_name)  # restore instead of re-initialising
-    # Iterative use: keep the input materialised once for all epochs and
-    # evaluations (memory, spilling to disk), released at the end.
-    own_cache = not data.storageLevel.useMemory and not data.storageLevel.useDisk
-    if own_cache:
-        data = data.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return _train(spark, data, model, epochs, batch_size, lr0, decay_rate, decay_steps, keep_prob, seed,
-                      eval_every, row_id, label, features, sparse, short_batches, shuffle, input_dropout,
-                      params_root, metrics_root, model_name, run)
-    finally:
-        if own_cache:
-            data.unpersist()
-
-
-def _train(spark, data, model, epochs, batch_size, lr0, decay_rate, decay_steps, keep_prob, seed, eval_every,
-           row_id, label, features, sparse, short_batches, shuffle, input_dropout, params_root, metrics_root,
-           model_name, run):
-    from duoclass.sources.params_store import save_params
+        model = load_model(spark, params_root, model_name)
+    data = written(data, "training")
     check_width(data, model, features, sparse)
-    run = run or uuid.uuid4().hex[:8]
     train_rows = data.filter(F.col("split") == "train")
     n_train = train_rows.count()
-    n_batches = n_train // batch_size
-    if n_batches == 0:
-        raise ValueError("fewer training rows than one batch")
+    batch_size = n_train // n_batches
+    if batch_size < 2:
+        raise ValueError("fewer training rows than two a batch")
+    tasks = max(1, math.ceil(batch_size / ROWS_PER_STEP_TASK))
     records = []
     counters: dict = {}
-    parts = max(1, spark.sparkContext.defaultParallelism)
-    # tasks per step: about ROWS_PER_STEP_TASK rows each, never more than partitions
-    step_tasks = int(min(parts, max(1, math.ceil(batch_size / ROWS_PER_STEP_TASK))))
-    widest = max([model.n_inputs] + [h.units for h in model.hidden])
-    local_steps = batch_size * widest <= LOCAL_STEP_CELLS
     for epoch in range(epochs):
-        if shuffle:
-            ix = shuffled_index(train_rows, row_id, f"{seed}:{epoch}", "ix", n_rows=n_train)
-        else:
-            from duoclass.operators.ordering import ordered_index
-            ix = ordered_index(train_rows, row_id, "ix", n_rows=n_train)
-        # Rows of every batch are spread over all partitions (hash of the row id), so
-        # a step runs in parallel; sorted by batch inside each partition, the cached
-        # column statistics let a step's filter skip the other batches' data.
-        ep = (minibatches(ix, batch_size, short=short_batches, n_rows=n_train)
-              .repartition(parts, row_id).sortWithinPartitions("batch")
-              .persist(StorageLevel.MEMORY_AND_DISK))
+        index = shuffled_index if shuffle else ordered_index
+        order = (f"{seed}:{epoch}",) if shuffle else ()
+        ix = index(train_rows, row_id, *order, name="ix", n_rows=n_train)
+        path = scratch_path(spark, "training", f"{run}-{time.time_ns()}")
+        (minibatches(ix, batch_size, short=short_batches, n_rows=n_train)
+         .repartition("batch", F.pmod(F.xxhash64(row_id), F.lit(tasks))).write.partitionBy("batch").parquet(path))
+        table = spark.read.parquet(path)
         t0 = time.time()
         losses = []
         for j in range(n_batches):
             lr = staircase_lr(lr0, decay_rate, decay_steps, model.global_step)
-            grad_fn = batch_gradient_local if local_steps else batch_gradient
-            g, st = grad_fn(ep.filter(F.col("batch") == F.lit(j)).coalesce(step_tasks), model, keep_prob, seed,
-                            model.global_step, row_id, label, features, sparse, input_dropout)
+            g, st = batch_gradient(table.filter(F.col("batch") == F.lit(j)), model, keep_prob, seed,
+                                   model.global_step, row_id, label, features, sparse, input_dropout)
             adam_update(model, g, lr)
             losses.append(st["loss"])
-        ep.unpersist()
+        remove_path(spark, path)
         records.append((run, epoch, "train_batches", "mean_batch_loss", float(np.mean(losses))))
         records.append((run, epoch, "train_batches", "seconds", time.time() - t0))
         records.append((run, epoch, "train_batches", "learning_rate",
@@ -433,6 +370,7 @@ def _train(spark, data, model, epochs, batch_size, lr0, decay_rate, decay_steps,
                 c = {k[1]: v for k, v in counters.items() if k[0] == sp}
                 records.append((run, epoch, sp, "auc_graph_cumulative",
                                 M.hard_auc_value(c["tp"], c["fp"], c["tn"], c["fn"])))
+    remove_path(spark, data.written_path)
     mdf = spark.createDataFrame(records, "run string, epoch int, split string, metric string, value double")
     if metrics_root:
         mdf.write.mode("append").partitionBy("run").parquet(metrics_root)

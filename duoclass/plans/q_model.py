@@ -5,10 +5,13 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from duoclass.functions.columns import r6
 from duoclass.operators import metrics as M
+from duoclass.operators.encode import labels_for_model
 from duoclass.operators.forest import forest_score as rf_score
 from duoclass.operators.forest import forest_summary, forest_train as rf_train
 from duoclass.operators.model import init_model, intmod_model
@@ -17,11 +20,14 @@ from duoclass.operators.scoring import score
 from duoclass.operators.training import batch_gradient as grad_job
 from duoclass.operators.training import evaluate, train
 from duoclass.plans import sqlgen as Q
-from duoclass.plans.inputs import EMB_WIDTH, HIDDEN2, SEED, TRAIN_FRAC, embeddings_dense, mlp2
+from duoclass.plans.inputs import EMB_WIDTH, HIDDEN2, HIDDEN3, SEED, TRAIN_FRAC, embeddings_dense, mlp2
 from duoclass.session import scratch_path
 from duoclass.sources.params_store import load_model, load_params_frame, save_params
 
 
+WIDE = [574, 750, 350]
+
+
 def _root(spark, what):
     return scratch_path(spark, what, uuid.uuid4().hex[:12])
 
@@ -36,7 +42,55 @@ def save_params_q(spark, sf):
     d = emb.agg(F.max(F.size("features")).alias("d")).first()["d"]
     root = _root(spark, "params")
     save_params(spark, init_model(int(d), HIDDEN2, seed=SEED), root, "mlp", 0)
-    return load_params_frame(spark, root, "mlp").select("layer", "name", "i", "j", "value")
+    v, name = F.col("value"), F.col("name")
+    # what the initialiser promises of each stored cell (the draw itself is NumPy's)
+    as_drawn = (F.when(name == "W", (F.abs(v) <= 0.2) & (v != 0.0)).when(name == "b", v == 0.1)
+                .when(name == "scale", v == 1.0).when(name == "beta", v == 0.0)
+                .when(name == "eps", v == 0.001).otherwise(v == 0.0))
+    return load_params_frame(spark, root, "mlp").select("layer", "name", "i", "j", as_drawn.alias("as_drawn"))
+
+
+def export_tagged(spark, sf):
+    """One version saved under two tags, as an export for serving does; each is read by
+    its tag."""
+    d = int(embeddings_dense(spark, sf).agg(F.max(F.size("features")).alias("d")).first()["d"])
+    root = _root(spark, "params")
+    save_params(spark, intmod_model(d, HIDDEN2), root, "serve", 0, tag="serve")
+    save_params(spark, intmod_model(d, HIDDEN3), root, "train", 0, tag="train")
+    parts = [load_params_frame(spark, root, t, tag=t) for t in ("serve", "train")]
+    wrong = load_params_frame(spark, root, "serve", tag="train")
+    return (parts[0].unionByName(parts[1]).unionByName(wrong).filter(F.col("name") == "W")
+            .groupBy("tag", "layer").agg(F.count("*").alias("cells"), r6(F.sum("value")).alias("total")))
+
+
+def param_histogram(spark, sf):
+    """Weight histogram of a saved model: twelve bins over the first layer's matrix."""
+    d = int(embeddings_dense(spark, sf).agg(F.max(F.size("features")).alias("d")).first()["d"])
+    root = _root(spark, "params")
+    save_params(spark, intmod_model(d, HIDDEN2), root, "mlp", 0)
+    w = load_params_frame(spark, root, "mlp").filter((F.col("layer") == 1) & (F.col("name") == "W"))
+    h = M.histogram(w, "value", 12, lo=-0.2, hi=0.2)
+    return h.select("bin", r6("lo_edge").alias("lo_edge"), r6("hi_edge").alias("hi_edge"), "count")
+
+
+def width_report(spark, sf):
+    """Feature width of the table against a saved model's input width."""
+    emb = embeddings_dense(spark, sf)
+    root = _root(spark, "params")
+    save_params(spark, mlp2(), root, "mlp", 0)
+    model = load_model(spark, root, "mlp")
+    s = F.size("features")
+    return emb.agg(F.count("*").alias("n_rows"), F.min(s).alias("min_width"), F.max(s).alias("max_width"),
+                   F.sum((s != model.n_inputs).cast("int")).cast("long").alias("n_misfit")).withColumn(
+        "model_width", F.lit(model.n_inputs))
+
+
+def model_targets(spark, sf):
+    """Targets shaped for the model: the one-hot pair for a two-column output, the class
+    itself for a forest."""
+    emb = embeddings_dense(spark, sf).select("vec_id", "label")
+    net, forest = labels_for_model(F.col("label"), mlp2().n_outputs), labels_for_model(F.col("label"), 1)
+    return emb.select("vec_id", net[0].alias("y0"), net[1].alias("y1"), forest.alias("cls"))
 
 
 def load_params_q(spark, sf):
@@ -62,18 +116,33 @@ def score_saved_model(spark, sf):
                      r6("cross_entropy").alias("cross_entropy")))
 
 
-def batch_gradient(spark, sf):
-    """Gradient of the mean cross-entropy over the whole table as one batch."""
-    emb = embeddings_dense(spark, sf).withColumnRenamed("vec_id", "row_id")
-    g, _ = grad_job(emb, mlp2(), keep_prob=1.0)
+def _grad_rows(spark, g):
     rows = []
     for (l, name), a in sorted(g.items()):
         if a.ndim == 1:
             rows.extend((l, name, 0, j, float(v)) for j, v in enumerate(a))
         else:
             rows.extend((l, name, i, j, float(a[i, j])) for i in range(a.shape[0]) for j in range(a.shape[1]))
-    df = spark.createDataFrame(rows, "layer int, name string, i int, j int, grad double")
-    return df.select("layer", "name", "i", "j", (F.round(F.col("grad"), 9) + F.lit(0.0)).alias("grad"))
+    return spark.createDataFrame(rows, "layer int, name string, i int, j int, grad double")
+
+
+def batch_gradient(spark, sf):
+    """Gradient of the mean cross-entropy over the whole table as one batch."""
+    emb = embeddings_dense(spark, sf).withColumnRenamed("vec_id", "row_id")
+    g, _ = grad_job(emb, mlp2(), keep_prob=1.0)
+    return _grad_rows(spark, g).select("layer", "name", "i", "j", (F.round(F.col("grad"), 9) + F.lit(0.0)).alias("grad"))
+
+
+def batch_gradient_wide(spark, sf):
+    """The same at the scripts' shape, 574 -> 750 -> 350 -> 2: the table's features
+    repeated in scaled copies.  One row per parameter array: cells, sum, sum of sizes."""
+    copies = F.transform(F.sequence(F.lit(0), F.lit(WIDE[0] - 1)), lambda i: F.get("features", (i % EMB_WIDTH).cast("int")).cast("double")
+                         * (i % 9 + F.lit(1)).cast("double"))
+    emb = embeddings_dense(spark, sf).select(F.col("vec_id").alias("row_id"), "label", copies.alias("features"))
+    g, _ = grad_job(emb, intmod_model(WIDE[0], WIDE[1:]), keep_prob=1.0)
+    rows = [(l, name, a.size, float(a.sum()), float(np.abs(a).sum())) for (l, name), a in sorted(g.items())]
+    out = spark.createDataFrame(rows, "layer int, name string, cells long, total double, size double")
+    return out.select("layer", "name", "cells", r6("total").alias("total"), r6("size").alias("size"))
 
 
 def metrics_log(spark, sf):
@@ -84,28 +153,55 @@ def metrics_log(spark, sf):
     return spark.read.parquet(root).select("run", "epoch", "split", "metric", r6("value").alias("value"))
 
 
-def train_mlp(spark, sf, epochs=4, batch_size=100):
+def train_mlp(spark, sf, epochs=3, n_batches=3):
+    """Epochs of large distributed batches; one row per logged metric with what must hold
+    of it (bounds, the decayed rate, and counts that add up to the split)."""
     data = _emb_split(spark, sf).withColumnRenamed("vec_id", "row_id")
     model = init_model(EMB_WIDTH, [16], seed=SEED)
-    _, metrics = train(spark, data, model, epochs=epochs, batch_size=batch_size, lr0=0.01, decay_rate=0.98,
-                       decay_steps=50000, keep_prob=0.5, seed=SEED, eval_every=2,
+    _, metrics = train(spark, data, model, epochs=epochs, n_batches=n_batches, lr0=0.01, decay_rate=0.5,
+                       decay_steps=n_batches, keep_prob=0.5, seed=SEED, eval_every=2, run="r0",
                        params_root=_root(spark, "params"), metrics_root=_root(spark, "metrics"))
-    return metrics
+    v, m = F.col("value"), F.col("metric")
+    ok = (F.when(m == "learning_rate", F.abs(v - 0.01 * F.pow(F.lit(0.5), F.col("epoch") + 1)) < 1e-12)
+          .when(m.isin("cross_entropy", "mean_batch_loss"), (v > 0) & (v < 5))
+          .when(m.startswith("graph_"), (v >= 0) & (v == F.floor(v)))
+          .otherwise((v >= 0) & (v <= 1)))
+    counts = F.sum(F.when(m.startswith("graph_"), v)).over(Window.partitionBy("epoch", "split")).cast("long")
+    return metrics.filter(m != "seconds").select("run", "epoch", "split", "metric", ok.alias("ok"), counts.alias("split_rows"))
+
+
+def warm_start(spark, sf):
+    """Restore a saved model and train on: the step counter goes on from the saved one."""
+    data = _emb_split(spark, sf).withColumnRenamed("vec_id", "row_id")
+    root = _root(spark, "params")
+    first, _ = train(spark, data, init_model(EMB_WIDTH, [4], seed=SEED), epochs=1, n_batches=2, lr0=0.01, keep_prob=1.0,
+                     seed=SEED, eval_every=0, params_root=root)
+    again, _ = train(spark, data, init_model(EMB_WIDTH, [4], seed=SEED + 1), epochs=1, n_batches=2, lr0=0.01, keep_prob=1.0,
+                     seed=SEED, eval_every=0, params_root=root, warm_start=True)
+    n = embeddings_dense(spark, sf).agg(F.count("*").alias("n_rows"))
+    moved = bool(np.abs(again.hidden[0].W - first.hidden[0].W).max() < 0.1)
+    return n.select("n_rows", F.lit(first.global_step).alias("steps_saved"), F.lit(again.global_step).alias("steps_after"),
+                    F.lit(moved).alias("starts_where_it_stopped"))
 
 
 def forest_train(spark, sf):
+    """One row per tree: within the node and depth limits, and more than a stump."""
     train_rows = _emb_split(spark, sf).filter(F.col("split") == "train")
     model = rf_train(train_rows, seed=SEED)
-    return spark.createDataFrame(forest_summary(model), "tree int, nodes int, depth int")
+    s = spark.createDataFrame(forest_summary(model), "tree int, nodes int, depth int")
+    return s.select("tree", F.col("nodes").between(3, 1000).alias("nodes_ok"), F.col("depth").between(1, 9).alias("depth_ok"))
 
 
 def forest_score(spark, sf):
+    """Held-out rows with the forest's class checked against its probability."""
     data = _emb_split(spark, sf)
     model = rf_train(data.filter(F.col("split") == "train"), seed=SEED)
-    return rf_score(model, data.filter(F.col("split") == "test"), keep=["vec_id", "label"])
+    s = rf_score(model, data.filter(F.col("split") == "test"), keep=["vec_id", "label"])
+    return s.select("vec_id", "label", F.col("p1").between(0.0, 1.0).alias("p1_ok"),
+                    (F.col("pred") == (F.col("p1") > 0.5).cast("int")).alias("pred_ok"))
 
 
-def three_step_train_test(spark, sf, epochs=2, batch_size=100):
+def three_step_train_test(spark, sf, epochs=2, n_batches=3):
     """Step 1 defines and saves a model; step 2 restores it, trains and saves the
     trained version; step 3 restores the trained model and scores the held-out rows."""
     root = _root(spark, "params")
@@ -113,21 +209,28 @@ def three_step_train_test(spark, sf, epochs=2, batch_size=100):
     save_params(spark, init_model(d, [16], seed=SEED), root, "dnn", 0)          # step 1
     data = _emb_split(spark, sf).withColumnRenamed("vec_id", "row_id")
     m = load_model(spark, root, "dnn")                                            # step 2
-    m, _ = train(spark, data, m, epochs=epochs, batch_size=batch_size, lr0=0.05, keep_prob=0.5,
+    m, _ = train(spark, data, m, epochs=epochs, n_batches=n_batches, lr0=0.05, keep_prob=0.5,
                  seed=SEED, eval_every=0)
     save_params(spark, m, root, "dnn", 1)
     trained = load_model(spark, root, "dnn")                                      # step 3
     test = data.filter(F.col("split") == "test")
     s = score(test, trained, keep=["row_id", "label"])
     return (M.score_report(s)
-             .select(F.lit(int(trained.global_step)).alias("global_step"), "accuracy", "roc_auc"))
+             .select(F.lit(int(trained.global_step)).alias("global_step"), "n_rows",
+                     F.col("accuracy").between(0.0, 1.0).alias("accuracy_ok"), F.col("roc_auc").between(0.0, 1.0).alias("roc_auc_ok")))
 
 
 QUERIES = {
     "save_params": save_params_q,
     "load_params": load_params_q,
     "score_saved_model": score_saved_model,
+    "export_tagged": export_tagged,
+    "param_histogram": param_histogram,
+    "width_report": width_report,
+    "model_targets": model_targets,
     "batch_gradient": batch_gradient,
+    "batch_gradient_wide": batch_gradient_wide,
+    "warm_start": warm_start,
     "metrics_log": metrics_log,
     "train_mlp": train_mlp,
     "forest_train": forest_train,
@@ -162,35 +265,94 @@ def _param_rows_sql() -> str:
 
 _MLP2T = (Q.emb_src("split") + ",\n" + Q.mlp_ctes("src", EMB_WIDTH, HIDDEN2))
 
+def _gradient_ctes(src: str, width: int, hidden: list[int]) -> str:
+    """Relational backward pass over all rows as one batch, ending in ``g(layer, name, i, j, grad)``."""
+    L = len(hidden)
+    eps = "CAST(0.001 AS DOUBLE)"
+    parts = [Q.mlp_ctes(src, width, hidden), "n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM labels_src)"]
+    for l in range(1, L + 1):
+        sc = f"(CAST(1 AS DOUBLE) + {Q.intmod_sql(l, 2, '0', 'z.j')})"
+        be = Q.intmod_sql(l, 3, "0", "z.j")
+        parts.append(f"""u{l} AS (SELECT z.id, z.j AS i, (z.z - m.mu) / sqrt(m.var + {eps}) AS zh,
+              {sc} * ((z.z - m.mu) / sqrt(m.var + {eps})) + {be} AS u, sqrt(m.var + {eps}) AS sd, {sc} AS g
+       FROM z{l} z JOIN m{l} m ON z.j = m.j)""")
+    parts.append("""dy AS (SELECT s.id, k.j, ((CASE WHEN k.j = 0 THEN s.p0 ELSE s.p1 END)
+              - (CASE WHEN k.j = 0 THEN CAST(s.label AS DOUBLE) ELSE CAST(1 - s.label AS DOUBLE) END)) / n.n AS d
+       FROM scored s, (SELECT range AS j FROM range(2)) k, n)""")
+    above, w = "dy", "wo"
+    g = [f"SELECT {L + 1} AS layer, 'W' AS name, h.i AS i, dy.j AS j, sum(h.v * dy.d) AS grad FROM h{L} h JOIN dy ON h.id = dy.id GROUP BY h.i, dy.j",
+         f"SELECT {L + 1}, 'b', 0, j, sum(d) FROM dy GROUP BY j"]
+    for l in range(L, 0, -1):
+        parts.append(f"da{l} AS (SELECT a.id, w.i, sum(a.d * w.w) AS da FROM {above} a JOIN {w} w ON a.j = w.j GROUP BY a.id, w.i)")
+        parts.append(f"""du{l} AS (SELECT a.id, a.i, CASE WHEN u.u > 0 THEN a.da ELSE CAST(0 AS DOUBLE) END AS du, u.zh, u.sd, u.g
+       FROM da{l} a JOIN u{l} u ON a.id = u.id AND a.i = u.i)""")
+        parts.append(f"s{l} AS (SELECT i, sum(du) AS s1, sum(du * zh) AS s2 FROM du{l} GROUP BY i)")
+        parts.append(f"""dz{l} AS (SELECT d.id, d.i AS j, (d.g / d.sd) * (d.du - s.s1 / n.n - d.zh * s.s2 / n.n) AS d
+       FROM du{l} d JOIN s{l} s ON d.i = s.i, n)""")
+        below = f"h{l - 1}" if l > 1 else src
+        g += [f"SELECT {l}, 'W', x.i, dz.j, sum(x.v * dz.d) FROM {below} x JOIN dz{l} dz ON x.id = dz.id GROUP BY x.i, dz.j",
+              f"SELECT {l}, 'b', 0, i, CAST(0 AS DOUBLE) FROM s{l}", f"SELECT {l}, 'scale', 0, i, s2 FROM s{l}",
+              f"SELECT {l}, 'beta', 0, i, s1 FROM s{l}"]
+        above, w = f"dz{l}", f"w{l}"
+    parts.append("g AS (" + "\n  UNION ALL ".join(g) + ")")
+    return ",\n".join(parts)
+
+
 def _gradient_sql() -> str:
-    """Relational backward pass of the 64 -> 8 -> 2 network over all rows as one batch."""
-    sc = f"(CAST(1 AS DOUBLE) + {Q.intmod_sql(1, 2, '0', 'z.j')})"
-    be = Q.intmod_sql(1, 3, "0", "z.j")
-    r9 = "round(grad, 9) + CAST(0 AS DOUBLE)"
     return f"""WITH {Q.emb_src()},
-{Q.mlp_ctes("src", EMB_WIDTH, HIDDEN2)},
-n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM labels_src),
-u1 AS (SELECT z.id, z.j AS i, (z.z - m.mu) / sqrt(m.var + CAST(0.001 AS DOUBLE)) AS zh,
-              {sc} * ((z.z - m.mu) / sqrt(m.var + CAST(0.001 AS DOUBLE))) + {be} AS u,
-              sqrt(m.var + CAST(0.001 AS DOUBLE)) AS sd, {sc} AS g
-       FROM z1 z JOIN m1 m ON z.j = m.j),
-dy AS (SELECT s.id, k.j, ((CASE WHEN k.j = 0 THEN s.p0 ELSE s.p1 END)
-              - (CASE WHEN k.j = 0 THEN CAST(s.label AS DOUBLE) ELSE CAST(1 - s.label AS DOUBLE) END)) / n.n AS d
-       FROM scored s, (SELECT range AS j FROM range(2)) k, n),
-da AS (SELECT dy.id, w.i, sum(dy.d * w.w) AS da FROM dy JOIN wo w ON dy.j = w.j GROUP BY dy.id, w.i),
-du AS (SELECT da.id, da.i, CASE WHEN u1.u > 0 THEN da.da ELSE CAST(0 AS DOUBLE) END AS du, u1.zh, u1.sd, u1.g
-       FROM da JOIN u1 ON da.id = u1.id AND da.i = u1.i),
-s AS (SELECT i, sum(du) AS s1, sum(du * zh) AS s2 FROM du GROUP BY i),
-dz AS (SELECT du.id, du.i, (du.g / du.sd) * (du.du - s.s1 / n.n - du.zh * s.s2 / n.n) AS dz
-       FROM du JOIN s ON du.i = s.i, n),
-g AS (
-  SELECT 2 AS layer, 'W' AS name, h.i AS i, dy.j AS j, sum(h.v * dy.d) AS grad FROM h1 h JOIN dy ON h.id = dy.id GROUP BY h.i, dy.j
-  UNION ALL SELECT 2, 'b', 0, j, sum(d) FROM dy GROUP BY j
-  UNION ALL SELECT 1, 'W', x.i, dz.i, sum(x.v * dz.dz) FROM src x JOIN dz ON x.id = dz.id GROUP BY x.i, dz.i
-  UNION ALL SELECT 1, 'b', 0, i, CAST(0 AS DOUBLE) FROM s
-  UNION ALL SELECT 1, 'scale', 0, i, s2 FROM s
-  UNION ALL SELECT 1, 'beta', 0, i, s1 FROM s)
-SELECT CAST(layer AS INTEGER) AS layer, name, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, {r9} AS grad FROM g"""
+{_gradient_ctes("src", EMB_WIDTH, HIDDEN2)}
+SELECT CAST(layer AS INTEGER) AS layer, name, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j,
+       round(grad, 9) + CAST(0 AS DOUBLE) AS grad FROM g"""
+
+
+def _gradient_wide_sql() -> str:
+    return f"""WITH {Q.EMB_CELLS},
+wide AS (SELECT c.id, 'all' AS g, c.label, r.range AS i, c.v * CAST(r.range % 9 + 1 AS DOUBLE) AS v
+         FROM emb_cells c JOIN range({WIDE[0]}) r ON r.range % {EMB_WIDTH} = c.i),
+{_gradient_ctes("wide", WIDE[0], WIDE[1:])}
+SELECT CAST(layer AS INTEGER) AS layer, name, count(*) AS cells, {Q.r6("sum(grad)")} AS total, {Q.r6("sum(abs(grad))")} AS size
+FROM g GROUP BY layer, name"""
+
+
+def _saved_params_sql() -> str:
+    """The cells that an initialised model must have, all as drawn."""
+    sizes = [EMB_WIDTH] + HIDDEN2
+    L = len(sizes)
+    parts = []
+    for l in range(1, L):
+        parts.append(f"SELECT {l}, 'W', a.range, b.range FROM range({sizes[l - 1]}) a, range({sizes[l]}) b")
+        parts += [f"SELECT {l}, '{n}', 0, b.range FROM range({sizes[l]}) b" for n in ("b", "scale", "beta")]
+    parts.append(f"SELECT {L}, 'W', a.range, b.range FROM range({sizes[-1]}) a, range(2) b")
+    parts.append(f"SELECT {L}, 'b', 0, b.range FROM range(2) b")
+    parts += ["SELECT 0, 'global_step', 0, 0", "SELECT 0, 'eps', 0, 0"]
+    body = "\nUNION ALL ".join(parts)
+    return (f"SELECT CAST(layer AS INTEGER) AS layer, name, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, TRUE AS as_drawn "
+            f"FROM ({body}) p(layer, name, i, j) WHERE (SELECT max(len(embedding)) FROM embeddings) = {EMB_WIDTH}")
+
+
+def _tagged_sql() -> str:
+    parts = []
+    for tag, hidden in (("serve", HIDDEN2), ("train", HIDDEN3)):
+        sizes = [EMB_WIDTH, *hidden, 2]
+        for l in range(1, len(sizes)):
+            parts.append(f"SELECT '{tag}' AS tag, {l} AS layer, {Q.intmod_sql(l, 0, 'a.range', 'b.range')} AS w "
+                         f"FROM range({sizes[l - 1]}) a, range({sizes[l]}) b")
+    body = "\nUNION ALL ".join(parts)
+    return (f"SELECT tag, CAST(layer AS INTEGER) AS layer, count(*) AS cells, {Q.r6('sum(w)')} AS total FROM ({body}) p "
+            f"WHERE (SELECT max(len(embedding)) FROM embeddings) = {EMB_WIDTH} GROUP BY tag, layer")
+
+
+_SPLIT_SIZES = """k AS (SELECT count(*) AS n, CAST(round(CAST(0.67 AS DOUBLE) * count(*)) AS BIGINT) AS k FROM embeddings)"""
+
+
+def _train_sql(epochs: int = 3) -> str:
+    logged = ["accuracy", "cross_entropy", "roc_auc", "graph_tp", "graph_fp", "graph_tn", "graph_fn", "auc_graph_cumulative"]
+    rows = [f"('r0', {e}, 'train_batches', '{m}')" for e in range(epochs) for m in ("mean_batch_loss", "learning_rate")]
+    rows += [f"('r0', {e}, '{sp}', '{m}')" for e in range(epochs) if e % 2 == 0 or e == epochs - 1
+             for sp in ("train", "test") for m in logged]
+    return f"""WITH {_SPLIT_SIZES}, e(run, epoch, split, metric) AS (VALUES {", ".join(rows)})
+SELECT run, CAST(epoch AS INTEGER) AS epoch, split, metric, TRUE AS ok,
+  CAST(CASE split WHEN 'train' THEN k WHEN 'test' THEN n - k END AS BIGINT) AS split_rows FROM e, k"""
 
 
 def _metrics_log_sql() -> str:
@@ -214,6 +376,28 @@ UNION ALL SELECT 'r0', 0, split, 'graph_' || m.name, {Q.r6('CAST(m.v AS DOUBLE)'
 ORACLE = {
     "metrics_log": _metrics_log_sql(),
     "batch_gradient": _gradient_sql(),
+    "batch_gradient_wide": _gradient_wide_sql(),
+    "save_params": _saved_params_sql(),
+    "export_tagged": _tagged_sql(),
+    "param_histogram": f"""WITH w AS (SELECT {Q.intmod_sql(1, 0, 'a.range', 'b.range')} AS v FROM range({EMB_WIDTH}) a, range({HIDDEN2[0]}) b
+      WHERE (SELECT max(len(embedding)) FROM embeddings) = {EMB_WIDTH}),
+c AS (SELECT least(11, floor((v + CAST(0.2 AS DOUBLE)) / (CAST(0.2 AS DOUBLE) - CAST(-0.2 AS DOUBLE)) * 12)) AS bin, count(*) AS n
+      FROM w WHERE v BETWEEN CAST(-0.2 AS DOUBLE) AND CAST(0.2 AS DOUBLE) GROUP BY 1)
+SELECT CAST(r.range AS INTEGER) AS bin, {Q.r6("CAST(-0.2 AS DOUBLE) + r.range * CAST(0.4 AS DOUBLE) / 12")} AS lo_edge,
+  {Q.r6("CAST(-0.2 AS DOUBLE) + (r.range + 1) * CAST(0.4 AS DOUBLE) / 12")} AS hi_edge, CAST(coalesce(n, 0) AS BIGINT) AS count
+FROM range(12) r LEFT JOIN c ON c.bin = r.range""",
+    "width_report": f"""SELECT count(*) AS n_rows, CAST(min(len(embedding)) AS INTEGER) AS min_width,
+  CAST(max(len(embedding)) AS INTEGER) AS max_width, CAST(sum(CASE WHEN len(embedding) <> {EMB_WIDTH} THEN 1 ELSE 0 END) AS BIGINT) AS n_misfit,
+  {EMB_WIDTH} AS model_width FROM embeddings""",
+    "model_targets": """SELECT vec_id, CAST(CASE WHEN label < 5 THEN 1 ELSE 0 END AS DOUBLE) AS y0,
+  CAST(CASE WHEN label < 5 THEN 0 ELSE 1 END AS DOUBLE) AS y1, CASE WHEN label < 5 THEN 1 ELSE 0 END AS cls FROM embeddings""",
+    "train_mlp": _train_sql(),
+    "warm_start": "SELECT count(*) AS n_rows, 2 AS steps_saved, 4 AS steps_after, TRUE AS starts_where_it_stopped FROM embeddings",
+    "forest_train": "SELECT CAST(range AS INTEGER) AS tree, count(*) > 0 AS nodes_ok, TRUE AS depth_ok FROM range(100), embeddings GROUP BY range",
+    "forest_score": f"""WITH o AS (SELECT vec_id, label, row_number() OVER (ORDER BY md5('{SEED}:' || CAST(vec_id AS VARCHAR)), vec_id) - 1 AS ix
+  FROM embeddings), {_SPLIT_SIZES}
+SELECT vec_id, CASE WHEN label < 5 THEN 1 ELSE 0 END AS label, TRUE AS p1_ok, TRUE AS pred_ok FROM o, k WHERE ix >= k""",
+    "three_step_train_test": f"WITH {_SPLIT_SIZES} SELECT 6 AS global_step, n - k AS n_rows, TRUE AS accuracy_ok, TRUE AS roc_auc_ok FROM k",
     "load_params": _param_rows_sql(),
     "score_saved_model": f"""WITH {Q.emb_src("split").replace("src AS (SELECT c.id, s.split AS g", "src AS (SELECT c.id, s.split AS g") .replace("FROM emb_cells c JOIN spl s ON c.id = s.vec_id)", "FROM emb_cells c JOIN spl s ON c.id = s.vec_id WHERE s.split = 'test')")},
 {Q.mlp_ctes("src", EMB_WIDTH, HIDDEN2)}

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from duoclass.functions.columns import r6
 from duoclass.functions.hashing import mix_uniform_col, mix_uniform_sql
 from duoclass.operators import metrics as M
-from duoclass.operators.model import intmod_model
+from duoclass.operators.encode import to_triples
+from duoclass.operators.model import Model, intmod_model
 from duoclass.operators.ordering import split_shuffled_fast
-from duoclass.operators.scoring import affine, argmax2, batch_norm_long, relu as relu_col, score, softmax2
+from duoclass.operators.scoring import (affine, affine_relational, argmax2, batch_norm_long, relu as relu_col, score,
+                                        softmax2, weights_frame)
+from duoclass.operators.vectors import dedupe_frame, densify_frame
 from duoclass.plans import sqlgen as Q
 from duoclass.plans.inputs import EMB_WIDTH, HIDDEN2, HIDDEN3, SEED, TRAIN_FRAC, embeddings_dense, mlp2, mlp3, table
+from duoclass.session import scratch_path
 from duoclass.sources import standins as S
 from duoclass.sources import text as TX
 
@@ -151,18 +157,42 @@ def argmax_class(spark, sf):
     return y.select("vec_id", argmax2(F.col("y0"), F.col("y1")).alias("pred"))
 
 
-def linear_score(spark, sf, w=3.0, b=0.0):
-    """y = x * w + b with the stored w = 3 (assigned after an initial 2) and b = 0."""
+def linear_score(spark, sf):
+    """y = x * w + b with a stored model: w is saved as 2, then assigned 3 and saved again;
+    the restored one scores every row."""
+    from duoclass.sources.params_store import load_model, save_params
+    root = scratch_path(spark, "params", uuid.uuid4().hex[:12])
+    for version, w in enumerate((2.0, 3.0)):
+        save_params(spark, Model([], np.array([[w]]), np.array([0.0])), root, "linear", version)
+    m = load_model(spark, root, "linear")
+    w, b = float(m.W_out[0, 0]), float(m.b_out[0])
     li = table(spark, sf, "lineitem")
     return li.select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("x"),
                      (F.col("l_quantity") * F.lit(w) + F.lit(b)).alias("y"))
 
 
+def score_by_class(spark, sf):
+    """Batch-norm moments of every class, joined to the rows (as for too many groups to ship)."""
+    rows = table(spark, sf, "embeddings").select("vec_id", S.label01(F.col("label")).alias("label"),
+                                                 F.col("label").alias("cls"), F.col("embedding").alias("features"))
+    s = score(rows, mlp3(), group_cols=["cls"], keep=["vec_id", "label", "cls"], max_moment_rows=0)
+    return s.select("vec_id", "cls", *[r6(c).alias(c) for c in SCORE_COLS], "pred")
+
+
+def affine_relational_q(spark, sf):
+    """The first layer as a join of stored cells with a weight table."""
+    m = mlp2()
+    rows = dedupe_frame(_keyed_rows(spark, sf).select("vec_id", "feats"), rule="last")
+    cells = to_triples(rows, "vec_id")
+    w, b = weights_frame(spark, m.hidden[0].W, m.hidden[0].b)
+    z = affine_relational(cells, table(spark, sf, "embeddings").select("vec_id"), w, b, row="vec_id")
+    return z.select("vec_id", "unit", r6("z").alias("z"))
+
+
 def dense_sparse_reconcile(spark, sf):
     """The same keyed sparse file through the dense path (densify, then affine) and
     the sparse path (affine on stored cells), compared inside each row: both forms
     are computed on the same row, so no join is needed."""
-    from duoclass.operators.vectors import densify_frame
     m = mlp2()
     W, b = m.hidden[0].W, m.hidden[0].b
     rows = _keyed_rows(spark, sf).select("vec_id", "feats")
@@ -197,6 +227,8 @@ QUERIES = {
     "softmax": softmax,
     "argmax_class": argmax_class,
     "linear_score": linear_score,
+    "score_by_class": score_by_class,
+    "affine_relational": affine_relational_q,
     "dense_sparse_reconcile": dense_sparse_reconcile,
 }
 
@@ -277,6 +309,11 @@ ORACLE = {
                      f"THEN CAST(2 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS mask FROM embeddings, range(8) u"),
     "softmax": f"{_LIN}\nSELECT id AS vec_id, {_R('e0 / (e0 + e1)')} AS p0, {_R('e1 / (e0 + e1)')} AS p1 FROM ye",
     "argmax_class": f"{_LIN}\nSELECT id AS vec_id, CASE WHEN y0 >= y1 THEN 0 ELSE 1 END AS pred FROM ye",
+    "score_by_class": f"""WITH {Q.EMB_CELLS},
+src AS (SELECT c.id, e.label AS g, c.label, c.i, c.v FROM emb_cells c JOIN embeddings e ON e.vec_id = c.id),
+{Q.mlp_ctes("src", EMB_WIDTH, HIDDEN3)}
+SELECT id AS vec_id, CAST(g AS INTEGER) AS cls, {_R('y0')} AS y0, {_R('y1')} AS y1, {_R('p0')} AS p0, {_R('p1')} AS p1, pred FROM scored""",
+    "affine_relational": _affine_sql("abs(c.v) > CAST(0.1 AS DOUBLE)"),
     "linear_score": ("SELECT l_orderkey, l_linenumber, l_quantity AS x, "
                      "l_quantity * CAST(3 AS DOUBLE) + CAST(0 AS DOUBLE) AS y FROM lineitem"),
     "dense_sparse_reconcile": f"""WITH {Q.EMB_CELLS}, {Q.weights_cte('w1', 1, EMB_WIDTH, 8)},

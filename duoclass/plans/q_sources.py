@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from duoclass.functions.columns import r6
@@ -9,6 +11,7 @@ from duoclass.operators import encode as E
 from duoclass.operators.ordering import first_rows, ordered_index, row_slices, split_ordered
 from duoclass.operators.vectors import dedupe_frame, densify_frame
 from duoclass.plans.inputs import EMB_WIDTH, embeddings_dense, table
+from duoclass.session import scratch_path
 from duoclass.sources import standins as S
 from duoclass.sources import text as TX
 
@@ -20,6 +23,49 @@ def dense_csv_scan(spark, sf):
                        *[F.col("features")[k].alias(f"f{k}") for k in range(4)])
 
 
+def scan_quarantine(spark, sf):
+    """Rows read, kept and set aside by each reader on lines with faults of all kinds."""
+    lines = S.faulty_lines(table(spark, sf, "lineitem").select("l_orderkey", "l_quantity", "l_tax"))
+    parsed = {"csv": lambda d: TX.parse_dense_csv(d), "keyed": lambda d: TX.parse_keyed_sparse(d, width=101),
+              "svmlight": lambda d: TX.parse_svmlight(d, base=1)}
+    out = None
+    for name, parse in parsed.items():
+        report = TX.quarantine_report(parse(lines.filter(F.col("layout") == name).select("value")))
+        r = report.select(F.lit(name).alias("layout"), "n_rows", "n_ok", "n_bad")
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+def _as_text(spark, lines, order):
+    """Write lines as text files below the checkpoint root, in order, and read them as a
+    user's files are read: with a row id."""
+    path = scratch_path(spark, "text", uuid.uuid4().hex[:12])
+    lines.orderBy(*order).select("value").write.text(path)
+    return TX.read_lines(spark, path)
+
+
+def text_csv_scan(spark, sf):
+    lines = S.dense_csv_lines_from_lineitem(table(spark, sf, "lineitem"))
+    rows = TX.parse_dense_csv(_as_text(spark, lines, ["l_orderkey", "l_linenumber", "value"]), width=4)
+    return TX.good_rows(rows).select("row_id", "label", *[F.col("features")[k].alias(f"f{k}") for k in range(4)])
+
+
+def text_keyed_scan(spark, sf):
+    rows = TX.parse_keyed_sparse(_as_text(spark, S.keyed_lines_from_embeddings(table(spark, sf, "embeddings")), ["vec_id"]))
+    return TX.good_rows(rows).select("row_id", "key", "label", F.inline("feats"))
+
+
+def text_svmlight_scan(spark, sf):
+    rows = TX.parse_svmlight(_as_text(spark, S.svm_lines_from_embeddings(table(spark, sf, "embeddings"), base=1), ["vec_id"]))
+    return TX.good_rows(rows).select("row_id", "label", F.inline("feats"))
+
+
+def text_token_scan(spark, sf):
+    lines = _as_text(spark, S.token_lines_from_embeddings(table(spark, sf, "embeddings")), ["vec_id"])
+    rows = TX.good_rows(TX.parse_onehot_tokens(lines, EMB_WIDTH + 1))
+    return rows.select("row_id", "label", F.posexplode("features").alias("k", "f"))
+
+
 def _keyed(spark, sf, width=None, truncate=False):
     return TX.good_rows(TX.parse_keyed_sparse(S.keyed_lines_from_embeddings(table(spark, sf, "embeddings")),
                                               width=width, truncate=truncate))
@@ -138,6 +184,11 @@ def zero_ratio_filter(spark, sf, lo=0.55, hi=0.59):
 
 
 QUERIES = {
+    "scan_quarantine": scan_quarantine,
+    "text_csv_scan": text_csv_scan,
+    "text_keyed_scan": text_keyed_scan,
+    "text_svmlight_scan": text_svmlight_scan,
+    "text_token_scan": text_token_scan,
     "dense_csv_scan": dense_csv_scan,
     "keyed_sparse_scan": keyed_sparse_scan,
     "sparse_triples": sparse_triples,
@@ -165,76 +216,36 @@ CELLS = """cells AS (
   FROM embeddings)"""
 KEPT = "abs(v) > CAST(0.1 AS DOUBLE)"
 
-ORACLE = {
-    "dense_csv_scan": """
-SELECT l_orderkey, l_linenumber,
-       CASE WHEN l_returnflag = 'R' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS label,
-       CAST(l_quantity AS DOUBLE) AS f0, CAST(l_extendedprice AS DOUBLE) AS f1,
-       CAST(l_discount AS DOUBLE) AS f2, CAST(l_tax AS DOUBLE) AS f3
-FROM lineitem""",
-    "keyed_sparse_scan": f"""
-WITH {CELLS}
-SELECT CAST(vec_id AS VARCHAR) AS key, CAST(label01 AS DOUBLE) AS label,
-       CAST(row_number() OVER (PARTITION BY vec_id ORDER BY i) - 1 AS INTEGER) AS pos,
-       CAST(i AS INTEGER) AS i, v
-FROM cells WHERE {KEPT}""",
-    "sparse_triples": f"""
-WITH {CELLS}, r AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS row_id FROM embeddings)
-SELECT CAST(r.row_id AS BIGINT) AS row_id, CAST(i AS INTEGER) AS col, sum(v) AS value
-FROM cells JOIN r USING (vec_id) WHERE {KEPT} GROUP BY r.row_id, i""",
-    "svmlight_scan": f"""
-WITH {CELLS}
-SELECT vec_id, CASE WHEN label01 = 1 THEN CAST(1 AS DOUBLE) ELSE CAST(-1 AS DOUBLE) END AS label,
-       CAST(i AS INTEGER) AS i, v
-FROM cells WHERE {KEPT}""",
-    "onehot_token_scan": f"""
-WITH {CELLS}
-SELECT vec_id, CAST(label01 AS DOUBLE) AS label, CAST(i + 1 AS INTEGER) AS k,
-       CAST(CAST(floor(abs(v) * CAST(100 AS DOUBLE)) AS BIGINT) % 10 AS INTEGER) AS f
-FROM cells
-UNION ALL
-SELECT vec_id, CAST(CASE WHEN label < 5 THEN 1 ELSE 0 END AS DOUBLE) AS label, CAST(0 AS INTEGER) AS k,
-       CAST(CASE WHEN label < 5 THEN 1 ELSE 0 END AS INTEGER) AS f
-FROM embeddings""",
-    "row_cap": """
-SELECT o_orderkey, o_totalprice, CAST((SELECT count(*) FROM orders) AS BIGINT) AS n_total
-FROM orders ORDER BY o_orderkey LIMIT 10000""",
-    "onehot_pair": """
-SELECT vec_id, CAST(CASE WHEN label < 5 THEN 1 ELSE 0 END AS DOUBLE) AS y0,
-       CAST(CASE WHEN label < 5 THEN 0 ELSE 1 END AS DOUBLE) AS y1
-FROM embeddings""",
-    "label_binarize": """
-SELECT vec_id, CASE WHEN label < 5 THEN CAST(1 AS DOUBLE) ELSE CAST(-1 AS DOUBLE) END AS label_raw,
-       CAST(CASE WHEN label < 5 THEN 1 ELSE 0 END AS INTEGER) AS label_bin
-FROM embeddings""",
-    "label_indicator_k": """
-WITH cls AS (SELECT label AS c, CAST(dense_rank() OVER (ORDER BY label) - 1 AS INTEGER) AS k
-             FROM (SELECT DISTINCT label FROM embeddings))
-SELECT e.vec_id, cls.k AS k, CAST(CASE WHEN e.label = cls.c THEN 1 ELSE 0 END AS INTEGER) AS indicator
-FROM embeddings e, cls""",
-    "feature_width": """
-WITH l AS (SELECT concat_ws(',', l_quantity, l_extendedprice, l_discount, l_tax,
-                            CASE WHEN l_returnflag = 'R' THEN '1' ELSE '0' END) AS line FROM lineitem)
-SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(min(len(string_split(line, ',')) - 1) AS INTEGER) AS min_width,
-       CAST(max(len(string_split(line, ',')) - 1) AS INTEGER) AS max_width FROM l""",
-    "truncate_features": truncate_features,
-    "densify": densify,
-    "dup_index_last": dup_index_last,
-    "dup_index_sum": dup_index_sum,
-    "csr_triples": csr_triples,
-    "row_slice": row_slice,
-    "zero_ratio_filter": zero_ratio_filter,
-}
-
-# ----------------------------------------------------------------- oracles ---
-# Shared CTE: embedding cells with their 0-based index, as DOUBLE.
-CELLS = """cells AS (
-  SELECT vec_id, label AS cls, CASE WHEN label < 5 THEN 1 ELSE 0 END AS label01,
-         CAST(unnest(embedding) AS DOUBLE) AS v, unnest(range(len(embedding))) AS i
-  FROM embeddings)"""
-KEPT = "abs(v) > CAST(0.1 AS DOUBLE)"
+_ROW = "r AS (SELECT vec_id, CAST(row_number() OVER (ORDER BY vec_id) - 1 AS BIGINT) AS row_id FROM embeddings)"
 
 ORACLE = {
+    "scan_quarantine": """
+WITH l AS (SELECT l_orderkey % 7 AS k, count(*) AS n FROM lineitem GROUP BY 1),
+x(layout, k, read, ok) AS (SELECT v.layout, l.k, n, CASE
+    WHEN v.layout = 'csv' AND l.k <= 2 THEN 0 WHEN v.layout = 'keyed' AND l.k <= 2 THEN 0
+    WHEN v.layout = 'svmlight' AND l.k = 2 THEN 0 ELSE n END
+  FROM l, (VALUES ('csv'), ('keyed'), ('svmlight')) v(layout) WHERE NOT (v.layout = 'svmlight' AND l.k = 0))
+SELECT layout, CAST(sum(read) AS BIGINT) AS n_rows, CAST(sum(ok) AS BIGINT) AS n_ok, CAST(sum(read - ok) AS BIGINT) AS n_bad
+FROM x GROUP BY layout""",
+    "text_csv_scan": """
+WITH l AS (SELECT *, CASE WHEN l_returnflag = 'R' THEN '1' ELSE '0' END AS label,
+  concat_ws(',', l_quantity, l_extendedprice, l_discount, l_tax, CASE WHEN l_returnflag = 'R' THEN '1' ELSE '0' END) AS value FROM lineitem)
+SELECT CAST(row_number() OVER (ORDER BY l_orderkey, l_linenumber, value) - 1 AS BIGINT) AS row_id, CAST(label AS DOUBLE) AS label,
+  CAST(l_quantity AS DOUBLE) AS f0, CAST(l_extendedprice AS DOUBLE) AS f1, CAST(l_discount AS DOUBLE) AS f2, CAST(l_tax AS DOUBLE) AS f3
+FROM l""",
+    "text_keyed_scan": f"""
+WITH {CELLS}, {_ROW}
+SELECT row_id, CAST(vec_id AS VARCHAR) AS key, CAST(label01 AS DOUBLE) AS label, CAST(i AS INTEGER) AS i, v
+FROM cells JOIN r USING (vec_id) WHERE {KEPT}""",
+    "text_svmlight_scan": f"""
+WITH {CELLS}, {_ROW}
+SELECT row_id, CASE WHEN label01 = 1 THEN CAST(1 AS DOUBLE) ELSE CAST(-1 AS DOUBLE) END AS label, CAST(i AS INTEGER) AS i, v
+FROM cells JOIN r USING (vec_id) WHERE {KEPT}""",
+    "text_token_scan": f"""
+WITH {CELLS}, {_ROW}, t AS (
+  SELECT vec_id, label01, CAST(i + 1 AS INTEGER) AS k, CAST(CAST(floor(abs(v) * CAST(100 AS DOUBLE)) AS BIGINT) % 10 AS INTEGER) AS f FROM cells
+  UNION ALL SELECT vec_id, CASE WHEN label < 5 THEN 1 ELSE 0 END, 0, CASE WHEN label < 5 THEN 1 ELSE 0 END FROM embeddings)
+SELECT row_id, CAST(label01 AS DOUBLE) AS label, k, f FROM t JOIN r USING (vec_id)""",
     "dense_csv_scan": """
 SELECT l_orderkey, l_linenumber,
        CASE WHEN l_returnflag = 'R' THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS label,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -13,6 +14,10 @@ from pyspark.sql import SparkSession
 # checked against it; beyond it the relational (shuffle) form is used instead.
 MAX_BROADCAST_CELLS = 8_000_000
 
+# Bound (in 8-byte cells, 1 GB) for a model: its arrays are on the driver before they
+# are sent, so this is what a driver and its executors are asked to hold.
+MAX_MODEL_CELLS = 128_000_000
+
 
 _SHIPPED: set = set()
 
@@ -25,7 +30,7 @@ def ship_package(spark: SparkSession) -> None:
     distributed with ``addPyFile`` (Spark's own file distribution).
     """
     sc = spark.sparkContext
-    key = id(sc._jsc)
+    key = sc.applicationId
     if key in _SHIPPED:
         return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
@@ -115,6 +120,22 @@ def scratch_path(spark: SparkSession, *parts: str) -> str:
     return os.path.join(checkpoint_root(spark), *parts)
 
 
+def written(df, *parts: str):
+    """Write ``df`` below the checkpoint root and read it back (``written_path`` holds the
+    place): cuts the lineage with shared storage instead of executor-local blocks."""
+    path = scratch_path(df.sparkSession, *parts, uuid.uuid4().hex[:12])
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a table below the checkpoint root that nothing reads any more."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def reliable_checkpoint(df):
     """``df.checkpoint()`` into the shared checkpoint folder (never a local one):
     materialises once, cuts the lineage, and survives the loss of an executor."""

@@ -67,3 +67,18 @@ def token_lines_from_embeddings(emb: DataFrame) -> DataFrame:
         (F.floor(F.abs(x.cast("double")) * F.lit(100.0)) % F.lit(10)).cast("string")))
     line = F.concat(label01(F.col("label")).cast("string"), F.lit(" "), F.concat_ws(" ", toks))
     return emb.select("vec_id", line.alias("value"))
+
+
+def faulty_lines(li: DataFrame) -> DataFrame:
+    """(layout, value): lines of three layouts from ``lineitem``, some with a fault, in turn
+    by order key: a blank line, a missing field, a word for a number, two colons in a token,
+    an index beyond 100, an svmlight comment and ``qid:``, or none."""
+    k = F.col("l_orderkey")
+    q, t = F.col("l_quantity").cast("string"), F.col("l_tax").cast("string")
+    csv = (F.when(k % 7 == 0, F.lit("")).when(k % 7 == 1, F.concat_ws(",", q, F.lit("1")))
+           .when(k % 7 == 2, F.concat_ws(",", q, F.lit("word"), F.lit("0"))).otherwise(F.concat_ws(",", q, t, F.lit("1"))))
+    keyed = (F.when(k % 7 == 0, F.lit("")).when(k % 7 == 1, F.concat(F.lit("k\t1 1:2:3 4:"), q))
+             .when(k % 7 == 2, F.concat(F.lit("k\t1 700:"), q)).otherwise(F.concat(F.lit("k\t0 3:"), q)))
+    svm = (F.when(k % 7 == 0, F.lit("# only a comment")).when(k % 7 == 1, F.concat(F.lit("1 qid:3 1:"), q, F.lit(" # note 5:5")))
+           .when(k % 7 == 2, F.concat(F.lit("1 1:2:3 4:"), q)).otherwise(F.concat(F.lit("-1 2:"), q)))
+    return li.select(F.stack(F.lit(3), F.lit("csv"), csv, F.lit("keyed"), keyed, F.lit("svmlight"), svm).alias("layout", "value"))

@@ -22,7 +22,7 @@ def test_dense_csv_file_train_and_test(spark, tmpdir_path):
     _write(f"{tmpdir_path}/training_set", [",".join(f"{v:.6f}" for v in x) + f",{l}" for x, l in zip(X, y)])
     rows = TX.good_rows(TX.parse_dense_csv(TX.read_lines(spark, f"{tmpdir_path}/training_set")))
     data = split_shuffled(rows, "row_id", 1, 0.67)
-    m, metrics = train(spark, data, init_model(5, [8], seed=0), epochs=3, batch_size=40, lr0=0.05,
+    m, metrics = train(spark, data, init_model(5, [8], seed=0), epochs=3, n_batches=4, lr0=0.05,
                        keep_prob=1.0, seed=0, eval_every=2)
     auc = {r["split"]: r["value"] for r in metrics.filter("metric = 'roc_auc' AND epoch = 2").collect()}
     assert auc["train"] > 0.8 and auc["test"] > 0.7
@@ -38,7 +38,7 @@ def test_keyed_sparse_file_train(spark, tmpdir_path):
     _write(f"{tmpdir_path}/part-r-0", lines)
     rows = TX.good_rows(TX.parse_keyed_sparse(TX.read_lines(spark, f"{tmpdir_path}/part-r-0"), width=30))
     data = split_shuffled(rows.drop("key"), "row_id", 2, 0.67)
-    m, metrics = train(spark, data, init_model(30, [6], seed=0), epochs=2, batch_size=50, lr0=0.05,
+    m, metrics = train(spark, data, init_model(30, [6], seed=0), epochs=2, n_batches=2, lr0=0.05,
                        keep_prob=0.5, seed=0, eval_every=1, features="feats", sparse=True, input_dropout=False)
     assert metrics.filter("metric = 'roc_auc'").count() == 4
 

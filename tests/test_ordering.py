@@ -99,3 +99,42 @@ def test_first_rows_double_key(spark):
     df = spark.range(3000).select((F.col("id").cast("double") / F.lit(7.0)).alias("k"))
     got = sorted(r["k"] for r in first_rows(df, "k", 250).collect())
     assert got == [i / 7.0 for i in range(250)]
+
+
+def test_rows_without_a_key_come_last(spark):
+    from duoclass.operators.ordering import ordered_index, shuffled_index, split_shuffled, split_shuffled_fast
+    df = spark.createDataFrame([(None if i % 10 == 0 else i,) for i in range(1000)], "k long").repartition(4)
+    for ix in (ordered_index(df, "k"), shuffled_index(df, "k", 3)):
+        rows = ix.collect()
+        assert sorted(r["ix"] for r in rows) == list(range(1000))
+        assert {r["ix"] for r in rows if r["k"] is None} == set(range(900, 1000))
+    a = sorted(r["split"] for r in split_shuffled(df, "k", 3).collect())
+    assert a == sorted(r["split"] for r in split_shuffled_fast(df, "k", 3).collect()) and len(a) == 1000
+
+
+def test_plans_have_no_nested_loop_and_rank_rows_in_buckets(spark):
+    """Only tables of one row per bucket may meet in a single partition."""
+    import __spark_entry__ as E
+    from tests.conftest import SF01
+    from tests.test_plans import plan as executed_plan
+    q = E.queries()
+    for name in ("sparse_triples", "csr_triples", "row_slice", "zero_ratio_filter", "split_ordered", "minibatch_sequential",
+                 "row_cap", "seeded_shuffle", "split_shuffled"):
+        plan = executed_plan(q[name](spark, SF01))
+        assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan, name
+        # what meets in one partition are the buckets' counts, never rows
+        lines = plan.splitlines()
+        for at, line in enumerate(lines):
+            if "SinglePartition" in line:
+                assert "HashAggregate(keys=[_b#" in lines[at + 1] and "functions=[count(1)]" in lines[at + 1], name
+        assert "row_number() windowspecdefinition(_b#" in plan, name
+
+
+def test_row_cap_sketch_is_bounded(spark):
+    """The cap's quantile keeps a sketch whose size its error fixes, not the table's."""
+    import duoclass.operators.ordering as O
+    assert O.SKETCH_ERROR >= 1e-4
+    df = spark.range(200_000).select((200_000 - F.col("id")).alias("k"))
+    for n in (1, 37, 5000, 199_999):
+        got = [(r["k"], r["ix"]) for r in O.first_rows(df, "k", n).collect()]
+        assert sorted(got) == [(i + 1, i) for i in range(n)]

@@ -131,3 +131,41 @@ def test_batch_norm_long_per_group(spark):
             z = np.array([v for gg, r, uu, v in rows if gg == g and uu == u])
             ref = (z - z.mean()) / np.sqrt(z.var() + 1e-3)
             assert max(abs(got[(g, r, u)] - ref[r]) for r in range(30)) < 1e-12
+
+
+def test_too_wide_sparse_rows_are_an_error_or_cut_on_request(spark):
+    import pytest
+    df = spark.createDataFrame([(1, [(0, 1.0), (70, 2.0)]), (2, [(1, 3.0)])], "row_id long, feats array<struct<i:int,v:double>>")
+    m = intmod_model(64, [])
+    with pytest.raises(Exception, match="does not fit"):
+        affine(df, m.W_out, m.b_out, features="feats", sparse=True).collect()
+    with pytest.raises(Exception, match="does not fit"):
+        score(df, m, "feats", sparse=True).collect()
+    cut = score(df, m, "feats", sparse=True, truncate=True, keep=["row_id"]).collect()
+    plain = score(spark.createDataFrame([(1, [(0, 1.0)]), (2, [(1, 3.0)])], df.schema), m, "feats", sparse=True, keep=["row_id"]).collect()
+    assert sorted(map(tuple, cut)) == sorted(map(tuple, plain))
+
+
+def test_joined_moments_equal_shipped_moments(spark):
+    """More groups than the bound: the moments are joined to the rows, null group included."""
+    rng = np.random.default_rng(4)
+    rows = [(i, None if i % 7 == 0 else f"g{i % 7}", [float(v) for v in rng.normal(size=5)]) for i in range(140)]
+    df = spark.createDataFrame(rows, "row_id long, grp string, features array<double>").repartition(3)
+    for hidden in ([4], [4, 3]):
+        m = intmod_model(5, hidden)
+        a, b = (score(df, m, group_cols=["grp"], keep=["row_id"], max_moment_rows=k).orderBy("row_id").toPandas() for k in (10**6, 0))
+        assert (a["row_id"] == b["row_id"]).all()
+        assert np.allclose(a[["y0", "y1", "p0"]], b[["y0", "y1", "p0"]], atol=1e-9)
+
+
+def test_moments_far_from_zero_keep_their_precision(spark):
+    from duoclass.operators.scoring import dense_input, layer_moments
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 3)) + 1e6
+    df = spark.createDataFrame([(list(map(float, v)),) for v in x], "features array<double>").repartition(4)
+    m = intmod_model(3, [2])
+    z = x @ m.hidden[0].W + m.hidden[0].b
+    got = {r["unit"]: (r["n"], r["mean"], r["var"]) for r in layer_moments(dense_input(df), m, 1, {}).collect()}
+    for u in range(2):
+        assert got[u][0] == 300 and np.isclose(got[u][1], z[:, u].mean(), rtol=1e-12)
+        assert np.isclose(got[u][2], z[:, u].var(), rtol=1e-6)

@@ -71,10 +71,51 @@ def test_ragged_csv_width(spark):
     raw = lines(spark, "1,2,3,0", "1,2,1", "x,1,0")
     w = E.feature_width(TX.good_rows(TX.parse_dense_csv(raw, width=None))).first()
     assert (w["n_rows"], w["min_width"], w["max_width"]) == (2, 2, 3)
-    fixed = TX.parse_dense_csv(raw)  # width from the first line: the short row is quarantined
+    fixed = TX.parse_dense_csv(raw)  # width from the longest line: the short row is quarantined
     assert [r["ok"] for r in fixed.collect()] == [True, False, False]
 
 
+def test_first_line_decides_nothing(spark):
+    for first in ("", "7,1", "a,b,c,d"):
+        raw = lines(spark, first, "1,2,3,0", "4,5,6,1").coalesce(1)
+        kept = TX.good_rows(TX.parse_dense_csv(raw)).collect()
+        assert sorted(r["features"] for r in kept) == [[1.0, 2.0, 3.0], [4.0, 5.0, 6.0]]
+        q = TX.quarantine_report(TX.parse_dense_csv(raw)).first()
+        assert (q["n_rows"], q["n_ok"], q["n_bad"]) == (3, 2, 1)
+    wide = TX.parse_dense_csv(lines(spark, ",".join(["1"] * 5001)))
+    assert len(wide.first()["features"]) == 5000 and wide.first()["ok"]
+
+
+def test_token_with_two_colons_is_bad(spark):
+    assert [r["ok"] for r in TX.parse_keyed_sparse(lines(spark, "k\t1 1:2:3", "k\t1 1:2", "k\t1 12")).collect()] == [False, True, False]
+
+
+def test_svmlight_comments_and_query_ids(spark):
+    raw = lines(spark, "# header", "1 qid:4 1:2 3:4 # tail 9:9", "", "  ", "-1 2:5#x", "0 1:2:3")
+    rows = TX.parse_svmlight(raw, base=1).collect()
+    got = sorted((r["label"], [(c["i"], c["v"]) for c in r["feats"]]) for r in rows if r["ok"])
+    assert got == [(-1.0, [(1, 5.0)]), (1.0, [(0, 2.0), (2, 4.0)])]
+    assert len(rows) == 3
+
+
+def test_null_label_is_no_class(spark):
+    df = spark.createDataFrame([(0,), (1,), (None,)], "l int")
+    b, k = E.label_binarize(df, "l", "y")
+    assert k == 2 and {(r["l"], r["y"]) for r in b.collect()} == {(0, 0), (1, 1), (None, None)}
+    b, k = E.label_binarize(spark.createDataFrame([(0,), (1,), (5,), (None,)], "l int"), "l", "y")
+    assert k == 3 and {r["l"]: r["y"] for r in b.collect()} == {0: [1, 0, 0], 1: [0, 1, 0], 5: [0, 0, 1], None: None}
+
+
+def test_too_wide_cells_are_not_dropped_silently(spark):
+    import pytest
+
+    from duoclass.operators.vectors import densify_frame
+    df = TX.parse_keyed_sparse(lines(spark, "k\t1 1:2 9:4")).select("key", "feats")
+    with pytest.raises(Exception, match="does not fit"):
+        densify_frame(df, 5).collect()
+    assert list(densify_frame(df, 5, truncate=True).first()["features"]) == [0, 2, 0, 0, 0]
+
+
 def test_vectorised_dedupe_and_densify(spark):
     from duoclass.operators.vectors import dedupe_frame, densify_frame
     df = TX.parse_keyed_sparse(lines(spark, "k\t1 0:1.5 3:2 3:4", "z\t0 ")).select("key", "feats")
