@@ -55,37 +55,6 @@ def truncate_dense(features: Column, width: int) -> Column:
     return F.slice(features, 1, width)
 
 
-def dedupe_feats(feats: Column, rule: str = "last") -> Column:
-    """One cell per index, ascending.  ``rule='last'`` keeps the value written last
-    (what building a dict from the tokens does); ``'sum'`` adds repeated cells (what
-    a COO -> CSR conversion does)."""
-    idxs = F.array_sort(F.array_distinct(F.transform(feats, lambda f: f["i"])))
-
-    def pick(k):
-        same = F.filter(feats, lambda f: f["i"] == k)
-        if rule == "last":
-            v = F.try_element_at(same, F.lit(-1))["v"]
-        elif rule == "sum":
-            v = F.aggregate(same, F.lit(0.0), lambda acc, f: acc + f["v"])
-        else:
-            raise ValueError(rule)
-        return F.struct(k.alias("i"), v.alias("v"))
-    return F.transform(idxs, pick)
-
-
-def densify(feats: Column, width: int, rule: str = "last") -> Column:
-    """Sparse cells -> ``ARRAY<DOUBLE>`` of ``width`` with zeros; cells at or beyond
-    the width are ignored.  Duplicate indices follow ``rule``."""
-    def cell(k):
-        same = F.filter(feats, lambda f: f["i"] == k)
-        if rule == "last":
-            v = F.try_element_at(same, F.lit(-1))["v"]
-        else:
-            v = F.aggregate(same, F.lit(0.0), lambda acc, f: acc + f["v"])
-        return F.coalesce(v, F.lit(0.0))
-    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), cell)
-
-
 def feature_width(df: DataFrame, features: str = "features") -> DataFrame:
     """Rows, min and max feature count: a ragged input shows min != max."""
     s = F.size(features)
@@ -99,10 +68,6 @@ def to_triples(df: DataFrame, row: str, feats: str = "feats") -> DataFrame:
         row, F.col("i").alias("col"), F.col("v").alias("value"))
 
 
-def sum_duplicates(triples: DataFrame, row: str = "row_id") -> DataFrame:
-    return triples.groupBy(row, "col").agg(F.sum("value").alias("value"))
-
-
 def zero_ratio_filter(triples: DataFrame, n_rows: int, width: int, lo: float, hi: float,
                       row: str = "row_id") -> tuple[DataFrame, DataFrame]:
     """Drop feature columns whose share of zero cells lies outside [lo, hi].

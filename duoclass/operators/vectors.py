@@ -3,7 +3,7 @@
 Densifying or de-duplicating cells needs, per row, a lookup by index, which SQL
 can only write as a per-cell lambda scan (O(width x nnz), interpreted).  These
 operators do the same work once per Arrow batch with sorting and scatter, map-side
-(no shuffle).  The SQL-expression forms stay in :mod:`duoclass.operators.encode`.
+(no shuffle).
 """
 
 from __future__ import annotations

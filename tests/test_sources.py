@@ -14,8 +14,8 @@ def test_keyed_duplicate_index_last_vs_sum(spark):
     p = TX.parse_keyed_sparse(lines(spark, "k\t1 0:1.5 3:2 3:4")).first()
     assert p["ok"] and p["label"] == 1.0 and p["key"] == "k"
     df = TX.parse_keyed_sparse(lines(spark, "k\t1 0:1.5 3:2 3:4"))
-    last = df.select(E.densify(F.col("feats"), 5, "last").alias("d")).first()["d"]
-    tot = df.select(E.densify(F.col("feats"), 5, "sum").alias("d")).first()["d"]
+    from duoclass.operators.vectors import densify_frame
+    last, tot = (list(densify_frame(df.select("key", "feats"), 5, rule=r).first()["features"]) for r in ("last", "sum"))
     assert last == [1.5, 0.0, 0.0, 4.0, 0.0]
     assert tot == [1.5, 0.0, 0.0, 6.0, 0.0]
 
@@ -175,21 +175,16 @@ def test_row_id_follows_path_order_across_files(spark, tmpdir_path):
     assert all(rid == k for rid, k in got)
 
 
-def test_expression_forms_agree_with_vectorised(spark):
+def test_dedupe_truncate_and_targets(spark):
     from duoclass.operators.vectors import dedupe_frame
     df = TX.parse_keyed_sparse(lines(spark, "k\t1 4:1 0:2 4:3 9:1", "z\t0 ")).select("key", "feats")
-    for rule in ("last", "sum"):
-        expr = {r["key"]: r["d"] for r in df.select("key", E.dedupe_feats(F.col("feats"), rule).alias("d")).collect()}
-        vec = {r["key"]: r["feats"] for r in dedupe_frame(df, rule=rule).collect()}
-        assert {k: [(c["i"], c["v"]) for c in v] for k, v in expr.items()} == \
-               {k: [(c["i"], c["v"]) for c in v] for k, v in vec.items()}
+    for rule, four in (("last", 3.0), ("sum", 4.0)):
+        vec = {r["key"]: [(c["i"], c["v"]) for c in r["feats"]] for r in dedupe_frame(df, rule=rule).collect()}
+        assert vec == {"k": [(0, 2.0), (4, four), (9, 1.0)], "z": []}
     t = df.select("key", E.truncate_feats(F.col("feats"), 5).alias("t")).collect()
     assert {r["key"]: [c["i"] for c in r["t"]] for r in t} == {"k": [4, 0, 4], "z": []}
     dense = spark.createDataFrame([([1.0, 2.0, 3.0],)], "f array<double>")
     assert dense.select(E.truncate_dense(F.col("f"), 2)).first()[0] == [1.0, 2.0]
-    trip = E.to_triples(df.withColumn("row_id", F.lit(0)), "row_id")
-    summed = {(r["row_id"], r["col"]): r["value"] for r in E.sum_duplicates(trip).collect()}
-    assert summed[(0, 4)] == 4.0 and summed[(0, 0)] == 2.0
     lab = spark.createDataFrame([(1,), (0,)], "l int")
     assert [r[0] for r in lab.select(E.labels_for_model(F.col("l"), 2)).collect()] == [[1.0, 0.0], [0.0, 1.0]]
     assert [r[0] for r in lab.select(E.labels_for_model(F.col("l"), 1)).collect()] == [1, 0]
