@@ -120,6 +120,21 @@ c AS (SELECT a, min(b) AS low FROM reach GROUP BY a), n AS (SELECT a, count(*) A
 SELECT v.vec_id, coalesce(n, 0) AS n_links, least(v.vec_id, coalesce(low, v.vec_id)) AS component_id,
   v.vec_id <= coalesce(low, v.vec_id) AS kept
 FROM v LEFT JOIN c ON c.a = v.vec_id LEFT JOIN n ON n.a = v.vec_id""",
+    "op5_suffix_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, CAST(p AS BIGINT) AS p, md5(substr(h, 2 * p + 1, 200)) AS w
+      FROM (SELECT doc_id, h, unnest(range(0, greatest(len(h) // 2 - 99, 0))) AS p FROM d)),
+gone AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY w ORDER BY doc_id, p) AS r FROM w) WHERE r > 1),
+runs AS (SELECT doc_id, p, sum(CASE WHEN p <= prev + 100 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY p) AS run
+         FROM (SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS prev FROM gone)),
+spans AS (SELECT doc_id, min(p) AS s, max(p) + 100 AS e FROM runs GROUP BY doc_id, run),
+cuts AS (SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS prev_e FROM spans),
+kept AS (SELECT c.doc_id, string_agg(substr(h, 2 * prev_e + 1, 2 * (s - prev_e)), '' ORDER BY s) || substr(any_value(h), 2 * max(e) + 1) AS k,
+                sum(e - s) AS n_removed, count(*) AS n_spans
+         FROM cuts c JOIN d USING (doc_id) GROUP BY c.doc_id)
+SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed,
+  CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(k, h))) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)""",
     "op6_warc": """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages),
 d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, max(page_id) OVER (PARTITION BY hex) AS top,
