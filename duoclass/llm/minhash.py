@@ -107,8 +107,15 @@ def _sets(k: int):
     return run
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose full sets have 100 * intersection >= percent * union."""
+def _confirm(pairs: DataFrame, text: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) whose full sets have 100 * intersection >= percent * union.
+
+    The sets of the documents in ``pairs`` are made from their texts again; both sides
+    of the pairs read one exchange of them.
+    """
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
+    wanted = small_or_shuffled(ids, ids.count())
+    sets = text.join(wanted, "doc", "left_semi").mapInArrow(_sets(k), "doc long, s array<long>")
     a = sets.select(F.col("doc").alias("a"), F.col("s").alias("sa"))
     b = sets.select(F.col("doc").alias("b"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
@@ -121,10 +128,6 @@ def _close_sizes(x: str, y: str, percent: int):
     return (100 * F.col(x) >= percent * F.col(y)) & (100 * F.col(y) >= percent * F.col(x))
 
 
-def _labels(links: DataFrame) -> DataFrame:
-    return cut(connected_components(links, "a", "b"), "mh-components")
-
-
 def _labelled(inside: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of the buckets that still hold more than one component."""
     keys = ["key", "band"]
@@ -166,8 +169,8 @@ def near_duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str =
     spark = df.sparkSession
     prepare(spark)
     text = df.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("t"))
-    feat = cut(text.mapInArrow(_features(shingle_words), "doc long, n long, print binary, bands array<long>"),
-               "mh-features")
+    # made twice (here and for the result), which costs less than a written copy
+    feat = text.mapInArrow(_features(shingle_words), "doc long, n long, print binary, bands array<long>")
     classes = cut(feat.where("doc IS NOT NULL AND n > 0").groupBy("print")
                   .agg(F.min("doc").alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")), "mh-classes")
     keys = ["key", "band"]
@@ -177,29 +180,19 @@ def near_duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str =
     inside = cut(member.join(low, keys).select(*keys, "doc", "n", "c"), "mh-buckets")
     stars = (inside.where((F.col("doc") != F.col("c.doc")) & _close_sizes("n", "c.n", percent))
              .select(F.col("c.doc").alias("a"), F.col("doc").alias("b")).distinct())
-
-    # full sets of the documents that have candidates
-    ids = cut(inside.select("doc").distinct(), "mh-ids")
-    wanted = small_or_shuffled(ids, ids.count())
-    sets = cut(text.join(wanted, "doc", "left_semi").mapInArrow(_sets(shingle_words), "doc long, s array<long>"), "mh-sets")
-    links = cut(_confirm(stars, sets, percent), "mh-links")
-    labels = _labels(links)
+    labels = connected_components(_confirm(stars, text, shingle_words, percent), "a", "b")
     for pairs_of in (_centre_pairs, _cross_pairs):
         pairs = cut(pairs_of(_labelled(inside, labels), percent), "mh-pairs")
-        if pairs.isEmpty():
-            continue
-        more = cut(_confirm(pairs, sets, percent), "mh-links")
+        if not pairs.isEmpty():
+            # components so far are stars; the new links join them
+            links = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+            labels = connected_components(links.union(_confirm(pairs, text, shingle_words, percent)), "a", "b")
         drop(pairs)
-        if more.isEmpty():
-            continue
-        drop(labels)
-        links = links.union(more)
-        labels = _labels(links)
-    for t in (inside, ids, sets):
-        drop(t)
+    drop(inside)
 
     rep = classes.join(labels, classes["rep"] == labels["node"], "left").select(
         F.col("print"), F.coalesce("component", "rep").alias("component"))
-    out = feat.join(rep, "print", "left").select(
-        F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc")).alias("component_id"))
+    out = feat.select("doc", "n", "print").join(rep, "print", "left").select(
+        F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"),
+        F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
