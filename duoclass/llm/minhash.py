@@ -11,7 +11,9 @@
 4. Candidates are confirmed on the full sets (intersection and union), linked, and
    joined to components.  A star can miss a link between two of its leaves: buckets
    that still hold several components get ``CENTRES`` more centres, then all pairs
-   across components.  Nothing is capped.
+   across components that can be links at all: two sets share at most as many
+   shingles as the one with fewer shared ones has, which tells independent edits of
+   one text apart without comparing them.  Nothing is capped.
 """
 
 from __future__ import annotations
@@ -128,6 +130,12 @@ def _close_sizes(x: str, y: str, percent: int):
     return (100 * F.col(x) >= percent * F.col(y)) & (100 * F.col(y) >= percent * F.col(x))
 
 
+def _can_link(n: str, s: str, n2: str, s2: str, percent: int):
+    """An exact upper bound: two sets share at most the fewer of their shared shingles."""
+    most = F.least(F.col(s), F.col(s2))
+    return 100 * most >= percent * (F.col(n) + F.col(n2) - most)
+
+
 def _labelled(inside: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of the buckets that still hold more than one component."""
     keys = ["key", "band"]
@@ -138,24 +146,39 @@ def _labelled(inside: DataFrame, labels: DataFrame) -> DataFrame:
     return m.join(open_, keys)
 
 
+def _shared(members: DataFrame, text: DataFrame, k: int) -> DataFrame:
+    """(doc, s): how many of a member's shingles any other member has.
+
+    Links of a document lie among the members, so its other shingles are in no
+    intersection.
+    """
+    ids = cut(members.select("doc").distinct(), "mh-open")
+    sets = text.join(small_or_shuffled(ids, ids.count()), "doc", "left_semi").mapInArrow(_sets(k), "doc long, s array<long>")
+    rows = sets.select("doc", F.explode("s").alias("g"))
+    often = rows.groupBy("g").agg(F.count("*").alias("m")).where("m > 1").select("g")
+    return cut(rows.join(often, "g").groupBy("doc").agg(F.count("*").alias("s")), "mh-shared")
+
+
 def _centre_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Members of the open buckets with their buckets' centres in other components."""
+    """Members of the open buckets with their buckets' centres in other components: the
+    one with the least shingles of its own, and others at random."""
     keys = ["key", "band"]
+    rank = [-F.col("s") / F.col("n"), *[F.xxhash64("doc", F.lit(j)).cast("double") for j in range(1, CENTRES)]]
     pick = members.groupBy(*keys).agg(*[
-        F.min(F.struct(F.xxhash64("doc", F.lit(j)), "doc", "n", "label")).alias(f"c{j}") for j in range(CENTRES)])
+        F.min(F.struct(r.alias("r"), "doc", "n", "s", "label")).alias(f"c{j}") for j, r in enumerate(rank)])
     centre = pick.select(*keys, F.explode(F.array_distinct(F.array(*[
-        F.struct(F.col(f"c{j}.doc"), F.col(f"c{j}.n"), F.col(f"c{j}.label")) for j in range(CENTRES)]))).alias("c"))
-    return (members.join(centre, keys).where((F.col("label") != F.col("c.label")) & _close_sizes("n", "c.n", percent))
+        F.struct(*[F.col(f"c{j}.{x}") for x in ("doc", "n", "s", "label")]) for j in range(CENTRES)]))).alias("c"))
+    return (members.join(centre, keys).where((F.col("label") != F.col("c.label")) & _can_link("n", "s", "c.n", "c.s", percent))
             .select(F.least("doc", "c.doc").alias("a"), F.greatest("doc", "c.doc").alias("b")).distinct())
 
 
 def _cross_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """All pairs of the open buckets between two components."""
+    """All pairs of the open buckets between two components that can be links."""
     keys = ["key", "band"]
-    other = members.select(*keys, F.col("doc").alias("d2"), F.col("n").alias("n2"), F.col("label").alias("l2"))
+    other = members.select(*keys, *[F.col(x).alias(f"{x}2") for x in ("doc", "n", "s", "label")])
     return (members.join(other, keys)
-            .where((F.col("doc") < F.col("d2")) & (F.col("label") != F.col("l2")) & _close_sizes("n", "n2", percent))
-            .select(F.col("doc").alias("a"), F.col("d2").alias("b")).distinct())
+            .where((F.col("doc") < F.col("doc2")) & (F.col("label") != F.col("label2")) & _can_link("n", "s", "n2", "s2", percent))
+            .select(F.col("doc").alias("a"), F.col("doc2").alias("b")).distinct())
 
 
 def near_duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5,
@@ -181,8 +204,9 @@ def near_duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str =
     stars = (inside.where((F.col("doc") != F.col("c.doc")) & _close_sizes("n", "c.n", percent))
              .select(F.col("c.doc").alias("a"), F.col("doc").alias("b")).distinct())
     labels = connected_components(_confirm(stars, text, shingle_words, percent), "a", "b")
+    shared = _shared(_labelled(inside, labels), text, shingle_words)
     for pairs_of in (_centre_pairs, _cross_pairs):
-        pairs = cut(pairs_of(_labelled(inside, labels), percent), "mh-pairs")
+        pairs = cut(pairs_of(_labelled(inside, labels).join(shared, "doc"), percent), "mh-pairs")
         if not pairs.isEmpty():
             # components so far are stars; the new links join them
             links = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
