@@ -9,11 +9,12 @@
 3. Bands of bins are buckets.  Candidates of a bucket form a star around its smallest
    member, so the pairs of a bucket grow with its members, not with their square.
 4. Candidates are confirmed on the full sets (intersection and union), linked, and
-   joined to components.  A star can miss a link between two of its leaves: buckets
-   that still hold several components get ``CENTRES`` more centres, then all pairs
-   across components that can be links at all: two sets share at most as many
-   shingles as the one with fewer shared ones has, which tells independent edits of
-   one text apart without comparing them.  Nothing is capped.
+   joined to components.  A star can miss a link between two of its leaves.  Buckets
+   that still hold several components get a second centre, the pivot, and then all
+   pairs across components that can be links at all: how much two sets share with a
+   common pivot, and how many of their other shingles anyone else has, bounds their
+   overlap and tells independent edits of one text apart without comparing them.
+   Nothing is capped.
 """
 
 from __future__ import annotations
@@ -31,7 +32,6 @@ from duoclass.llm.components import connected_components
 
 BINS = 128
 BANDS = 32         # of 4 bins: at a similarity of 0.8 one pair in 2e7 shares no bucket
-CENTRES = 4        # centres of a bucket in the second round
 _BIN_SHIFT = np.uint64(64 - 7)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -109,20 +109,23 @@ def _sets(k: int):
     return run
 
 
-def _confirm(pairs: DataFrame, text: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets have 100 * intersection >= percent * union.
+def _overlaps(pairs: DataFrame, text: DataFrame, k: int) -> DataFrame:
+    """Pairs (a, b) with their full sets' sizes and intersection: na, nb, both.
 
     The sets of the documents in ``pairs`` are made from their texts again; both sides
     of the pairs read one exchange of them.
     """
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc")).distinct()
-    wanted = small_or_shuffled(ids, ids.count())
-    sets = text.join(wanted, "doc", "left_semi").mapInArrow(_sets(k), "doc long, s array<long>")
+    ids = cut(pairs.select("a").union(pairs.select("b")).distinct().toDF("doc"), "mh-ids")
+    sets = text.join(small_or_shuffled(ids, ids.count()), "doc", "left_semi").mapInArrow(_sets(k), "doc long, s array<long>")
     a = sets.select(F.col("doc").alias("a"), F.col("s").alias("sa"))
     b = sets.select(F.col("doc").alias("b"), F.col("s").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
     return (pairs.join(a, "a").join(b, "b")
-            .where(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b"))
+            .select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("both")))
+
+
+def _linked(percent: int):
+    """100 * intersection >= percent * union."""
+    return 100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))
 
 
 def _close_sizes(x: str, y: str, percent: int):
@@ -130,12 +133,6 @@ def _close_sizes(x: str, y: str, percent: int):
     return (100 * F.col(x) >= percent * F.col(y)) & (100 * F.col(y) >= percent * F.col(x))
 
 
-def _can_link(n: str, s: str, n2: str, s2: str, percent: int):
-    """An exact upper bound: two sets share at most the fewer of their shared shingles."""
-    most = F.least(F.col(s), F.col(s2))
-    return 100 * most >= percent * (F.col(n) + F.col(n2) - most)
-
-
 def _labelled(inside: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of the buckets that still hold more than one component."""
     keys = ["key", "band"]
@@ -143,7 +140,7 @@ def _labelled(inside: DataFrame, labels: DataFrame) -> DataFrame:
         *keys, "doc", "n", F.coalesce("component", "doc").alias("label"))
     open_ = (m.groupBy(*keys).agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
              .where("lo <> hi").select(*keys))
-    return m.join(open_, keys)
+    return m.join(open_, keys).select(*keys, "doc", "n")
 
 
 def _shared(members: DataFrame, text: DataFrame, k: int) -> DataFrame:
@@ -156,28 +153,31 @@ def _shared(members: DataFrame, text: DataFrame, k: int) -> DataFrame:
     sets = text.join(small_or_shuffled(ids, ids.count()), "doc", "left_semi").mapInArrow(_sets(k), "doc long, s array<long>")
     rows = sets.select("doc", F.explode("s").alias("g"))
     often = rows.groupBy("g").agg(F.count("*").alias("m")).where("m > 1").select("g")
-    return cut(rows.join(often, "g").groupBy("doc").agg(F.count("*").alias("s")), "mh-shared")
+    return rows.join(often, "g").groupBy("doc").agg(F.count("*").alias("s"))
 
 
-def _centre_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """Members of the open buckets with their buckets' centres in other components: the
-    one with the least shingles of its own, and others at random."""
+def _pivots(members: DataFrame) -> DataFrame:
+    """(a, b, n, s): members with their buckets' pivots b, the member of a bucket with the
+    smallest share of shingles of its own (of an edited text that is mostly the original)."""
     keys = ["key", "band"]
-    rank = [-F.col("s") / F.col("n"), *[F.xxhash64("doc", F.lit(j)).cast("double") for j in range(1, CENTRES)]]
-    pick = members.groupBy(*keys).agg(*[
-        F.min(F.struct(r.alias("r"), "doc", "n", "s", "label")).alias(f"c{j}") for j, r in enumerate(rank)])
-    centre = pick.select(*keys, F.explode(F.array_distinct(F.array(*[
-        F.struct(*[F.col(f"c{j}.{x}") for x in ("doc", "n", "s", "label")]) for j in range(CENTRES)]))).alias("c"))
-    return (members.join(centre, keys).where((F.col("label") != F.col("c.label")) & _can_link("n", "s", "c.n", "c.s", percent))
-            .select(F.least("doc", "c.doc").alias("a"), F.greatest("doc", "c.doc").alias("b")).distinct())
+    best = members.groupBy(*keys).agg(F.min(F.struct((-F.col("s") / F.col("n")).alias("r"), "doc")).alias("p"))
+    return members.join(best, keys).select(F.col("doc").alias("a"), F.col("p.doc").alias("b"), "n", "s").distinct()
 
 
-def _cross_pairs(members: DataFrame, percent: int) -> DataFrame:
-    """All pairs of the open buckets between two components that can be links."""
-    keys = ["key", "band"]
-    other = members.select(*keys, *[F.col(x).alias(f"{x}2") for x in ("doc", "n", "s", "label")])
-    return (members.join(other, keys)
-            .where((F.col("doc") < F.col("doc2")) & (F.col("label") != F.col("label2")) & _can_link("n", "s", "n2", "s2", percent))
+def _cross_pairs(around: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Pairs with a common pivot in two components that can be links.
+
+    Two sets share at most the fewer shingles that they have in common with the pivot,
+    and the fewer of the others that any other member has.
+    """
+    m = (around.where(100 * F.col("s") >= percent * F.col("n")).join(labels, F.col("a") == labels["node"], "left")
+         .select(F.col("b").alias("p"), F.col("a").alias("doc"), "n", "both", (F.col("s") - F.col("both")).alias("rest"),
+                 F.coalesce("component", "a").alias("label")))
+    other = m.select("p", *[F.col(x).alias(f"{x}2") for x in ("doc", "n", "both", "rest", "label")])
+    most = F.least("both", "both2") + F.greatest(F.least("rest", "rest2"), F.lit(0))
+    return (m.join(other, "p")
+            .where((F.col("doc") < F.col("doc2")) & (F.col("label") != F.col("label2"))
+                   & (100 * most >= percent * (F.col("n") + F.col("n2") - most)))
             .select(F.col("doc").alias("a"), F.col("doc2").alias("b")).distinct())
 
 
@@ -203,15 +203,24 @@ def near_duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str =
     inside = cut(member.join(low, keys).select(*keys, "doc", "n", "c"), "mh-buckets")
     stars = (inside.where((F.col("doc") != F.col("c.doc")) & _close_sizes("n", "c.n", percent))
              .select(F.col("c.doc").alias("a"), F.col("doc").alias("b")).distinct())
-    labels = connected_components(_confirm(stars, text, shingle_words, percent), "a", "b")
-    shared = _shared(_labelled(inside, labels), text, shingle_words)
-    for pairs_of in (_centre_pairs, _cross_pairs):
-        pairs = cut(pairs_of(_labelled(inside, labels).join(shared, "doc"), percent), "mh-pairs")
-        if not pairs.isEmpty():
-            # components so far are stars; the new links join them
-            links = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
-            labels = connected_components(links.union(_confirm(pairs, text, shingle_words, percent)), "a", "b")
-        drop(pairs)
+    linked = _linked(percent)
+    labels = connected_components(_overlaps(stars, text, shingle_words).where(linked), "a", "b")
+
+    # buckets with several components: every member against its buckets' pivots, then the
+    # pairs of two components that the overlaps with a common pivot don't rule out
+    members = _labelled(inside, labels)
+    members = members.join(_shared(members, text, shingle_words), "doc")
+    pivots = cut(_pivots(members), "mh-pivots")
+    around = cut(pivots.join(_overlaps(pivots.where("a <> b").select("a", "b"), text, shingle_words), ["a", "b"]), "mh-around")
+    links = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))  # stars
+    labels = connected_components(links.union(around.where(linked).select("a", "b")), "a", "b")
+    pairs = cut(_cross_pairs(around, labels, percent), "mh-pairs")
+    if not pairs.isEmpty():
+        links = labels.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        more = _overlaps(pairs, text, shingle_words).where(linked).select("a", "b")
+        labels = connected_components(links.union(more), "a", "b")
+    for t in (pivots, around, pairs):
+        drop(t)
     drop(inside)
 
     rep = classes.join(labels, classes["rep"] == labels["node"], "left").select(
