@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 from duoclass.operators.encode import truncate_feats
 from duoclass.operators.kernels import Inputs, Moments, forward, log_softmax, softmax
 from duoclass.operators.model import Model
+from duoclass.operators.vectors import dedupe_cells
 from duoclass.session import MAX_BROADCAST_CELLS, MAX_MODEL_CELLS, release, share, ship_package
 
 
@@ -263,6 +264,35 @@ def affine(df: DataFrame, W: np.ndarray, b: np.ndarray, features: str = "feature
     return prepared.select(*keep, *_input_cols(prepared)).mapInPandas(fn, schema)
 
 
+def dense_sparse_diff(df: DataFrame, W: np.ndarray, b: np.ndarray, features: str = "feats",
+                      keep: list[str] | None = None) -> DataFrame:
+    """``x W + b`` of sparse rows both ways in one pass: on stored cells, and after
+    densifying (last value of a repeated index wins in both).  Per row: units, and the
+    largest absolute difference."""
+    prepared = sparse_input(df, features)
+    keep = [c for c in (keep if keep is not None else df.columns) if c != features]
+    schema = T.StructType([prepared.schema[c] for c in keep] + [T.StructField("n_units", T.IntegerType()),
+                                                                T.StructField("diff", T.DoubleType())])
+    d = W.shape[0]
+    shared = share(df, (W, b))
+
+    def fn(it):
+        W_, b_ = shared.value
+        for pdf in it:
+            x = _inputs_of(pdf, d)
+            rows, idx, val = dedupe_cells(x.rows, x.idx, x.val, "last")
+            dense = np.zeros((x.n, d))
+            dense[rows, idx] = val
+            zs = Inputs(x.n, d, rows=rows, idx=idx, val=val).matmul(W_) + b_
+            out = {c: pdf[c].values for c in keep}
+            out["n_units"] = np.full(x.n, W_.shape[1], dtype=np.int32)
+            out["diff"] = np.abs(dense @ W_ + b_ - zs).max(axis=1)
+            yield pd.DataFrame(out)
+
+    ship_package(df.sparkSession)
+    return prepared.select(*keep, *_input_cols(prepared)).mapInPandas(fn, schema)
+
+
 # ------------------------------------------------------- relational forms ----
 
 def weights_frame(spark, W: np.ndarray, b: np.ndarray | None = None) -> tuple[DataFrame, DataFrame | None]:

@@ -13,9 +13,9 @@ from duoclass.operators import metrics as M
 from duoclass.operators.encode import to_triples
 from duoclass.operators.model import Model, intmod_model
 from duoclass.operators.ordering import split_shuffled_fast
-from duoclass.operators.scoring import (affine, affine_relational, argmax2, batch_norm_long, relu as relu_col, score,
-                                        softmax2, weights_frame)
-from duoclass.operators.vectors import dedupe_frame, densify_frame
+from duoclass.operators.scoring import (affine, affine_relational, argmax2, batch_norm_long, dense_sparse_diff, relu as relu_col,
+                                        score, softmax2, weights_frame)
+from duoclass.operators.vectors import dedupe_frame
 from duoclass.plans import sqlgen as Q
 from duoclass.plans.inputs import EMB_WIDTH, HIDDEN2, HIDDEN3, SEED, TRAIN_FRAC, embeddings_dense, mlp2, mlp3, table
 from duoclass.session import scratch_path
@@ -194,14 +194,8 @@ def dense_sparse_reconcile(spark, sf):
     the sparse path (affine on stored cells), compared inside each row: both forms
     are computed on the same row, so no join is needed."""
     m = mlp2()
-    W, b = m.hidden[0].W, m.hidden[0].b
-    rows = _keyed_rows(spark, sf).select("vec_id", "feats")
-    both = densify_frame(rows.withColumn("cells", F.col("feats")), EMB_WIDTH, feats="cells")
-    zd = affine(both, W, b, features="features", keep=["vec_id", "feats"], out="zd")
-    zs = affine(zd, W, b, features="feats", sparse=True, keep=["vec_id", "zd"], out="zs")
-    diff = F.array_max(F.zip_with("zd", "zs", lambda a, c: F.abs(a - c)))
-    n_units = F.size("zd")
-    per_row = zs.select("vec_id", n_units.alias("n_units"), diff.alias("d"))
+    per_row = dense_sparse_diff(_keyed_rows(spark, sf).select("vec_id", "feats"), m.hidden[0].W, m.hidden[0].b).select(
+        "vec_id", "n_units", F.col("diff").alias("d"))
     return per_row.agg(F.count(F.lit(1)).alias("n_rows"), F.max("n_units").cast("long").alias("n_units"),
                        (F.round(F.max("d"), 9) + F.lit(0.0)).alias("max_abs_diff"),
                        F.sum(F.when(F.col("d") > F.lit(1e-9), 1).otherwise(0)).cast("long").alias("n_over_tol"))
