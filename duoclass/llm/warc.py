@@ -23,10 +23,11 @@ import re
 import uuid
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from duoclass.llm.common import batch_of, prepare
+from duoclass.llm.common import batch_of, cut, drop, prepare
 from duoclass.session import checkpoint_root
 
 # Field names of ARC header lines by version, and the WARC names (fixed values).
@@ -37,6 +38,7 @@ ARC_FIELDS = {
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 WARC_END = "\r\n\r\n"
 BATCH_BYTES = 8 << 20
+BROADCAST_PAYLOADS = 100_000  # repeated payloads (some 300 bytes each) that are broadcast
 
 
 def base32_sha1(b: bytes) -> str:
@@ -52,9 +54,10 @@ def arc_header(version: int, url: str, ip: str, date: str, mime: str, status: st
     return " ".join([url, ip or "0.0.0.0", date, mime, *mid, str(len(body))]).encode()
 
 
-def _arc_rows(version: int):
+def _arc_rows(versions: tuple[int, ...]):
     """(id, url, date, payload) rows to ARC records; the version block comes first."""
     def run(batches):
+        version = versions[TaskContext.get().partitionId() % len(versions)]
         name = f"{uuid.uuid4().hex}.arc"
         block = f"{version} 0 converter\n{ARC_FIELDS[version]}\n".encode()
         head = arc_header(version, f"filedesc://{name}", "0.0.0.0", "20000101000000", "text/plain", "200", block, 0, name)
@@ -78,11 +81,17 @@ def _arc_rows(version: int):
     return run
 
 
-def write_arc(rows: DataFrame, path: str, version: int) -> None:
-    """``rows``: id, url, date (14 digits), payload (binary) in this order; a file a task."""
+def _write_text(records: DataFrame, path: str, sep: str) -> None:
+    """gzip at its fastest level: archives are written once and read once or twice."""
+    (records.select(F.col("value").cast("string")).write.option("compression", "gzip")
+     .option("zlib.compress.level", "BEST_SPEED").option("lineSep", sep).text(path))
+
+
+def write_arc(rows: DataFrame, path: str, versions: tuple[int, ...] = (1, 2)) -> None:
+    """``rows``: id, url, date (14 digits), payload (binary) in this order; a file a task,
+    the files in turn of each version."""
     prepare(rows.sparkSession)
-    (rows.mapInArrow(_arc_rows(version), "value binary").select(F.col("value").cast("string"))
-     .write.option("compression", "gzip").option("lineSep", "\n").text(path))
+    _write_text(rows.mapInArrow(_arc_rows(versions), "value binary"), path, "\n")
 
 
 def parse_arc_line(line: bytes, version: int | None) -> dict | None:
@@ -255,12 +264,15 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: int =
     pick = (read_arc(spark, arc_path, with_body=False).where(F.col("n_payload") >= min_bytes).groupBy("digest")
             .agg(F.max(F.struct(F.coalesce("row_id", F.lit(-(1 << 63))).alias("k"), "record", "uri", "date")).alias("to"),
                  F.count("*").alias("n")).where("n > 1").select("digest", "to"))
-    recs = read_arc(spark, arc_path).join(pick, "digest", "left")
+    # only digests that occur again: with few of them the bodies aren't shuffled
+    pick = cut(pick, "warc-payloads")
+    small = F.broadcast(pick) if pick.count() <= BROADCAST_PAYLOADS else pick
+    recs = read_arc(spark, arc_path).join(small, "digest", "left")
     other = F.col("to").isNotNull() & (F.col("n_payload") >= min_bytes) & (F.coalesce("row_id", F.lit(-(1 << 63))) != F.col("to.k"))
     recs = recs.select("record", "uri", "ip", "date", "digest", "n_payload", "whole", "body",
                        *[F.when(other, F.col(f"to.{c}")).alias(f"to_{c}") for c in ("record", "uri", "date")])
-    (recs.mapInArrow(_warc_rows, "value binary").select(F.col("value").cast("string"))
-     .write.option("compression", "gzip").option("lineSep", WARC_END).text(warc_path))
+    _write_text(recs.mapInArrow(_warc_rows, "value binary"), warc_path, WARC_END)
+    drop(pick)
 
 
 def warc_records(chunks):
@@ -326,8 +338,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def archive_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    """Write ``pages`` to ARC files (odd ids version 1, all others version 2), convert them,
-    and read the WARC files back: (record, type, ..., row_id, n_payload, payload, refers_id).
+    """Write ``pages`` to ARC files (of versions 1 and 2 in turn), convert them, and read
+    the WARC files back: (record, type, ..., row_id, n_payload, payload, refers_id).
 
     A null payload is empty, a null url is ``-``; a null id is written as ``-`` and read
     as null.  Other columns aren't read.  ``refers_id`` is the row id of the response that a
@@ -339,9 +351,7 @@ def archive_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) ->
     # the dates of the crawl aren't in the table: seconds from a fixed start, by id
     date = F.date_format(F.timestamp_seconds(F.lit(946684800) + F.pmod(F.coalesce(key, F.lit(0)), F.lit(1 << 29))), "yyyyMMddHHmmss")
     rows = pages.select(key.alias("id"), F.col(url_col).alias("url"), date.alias("date"), F.col(html_col).cast("binary").alias("payload"))
-    odd = F.coalesce(F.pmod("id", F.lit(2)) == 1, F.lit(False))
-    write_arc(rows.where(odd), f"{base}/arc/v1", 1)
-    write_arc(rows.where(~odd), f"{base}/arc/v2", 2)
+    write_arc(rows, f"{base}/arc")
     convert(spark, f"{base}/arc", f"{base}/warc")
     back = read_warc(spark, f"{base}/warc")
     to = back.where("type = 'response'").groupBy(F.col("record").alias("refers_to")).agg(F.max("row_id").alias("refers_id"))
