@@ -14,13 +14,13 @@ from duoclass.operators import metrics as M
 from duoclass.operators.encode import labels_for_model
 from duoclass.operators.forest import forest_score as rf_score
 from duoclass.operators.forest import forest_summary, forest_train as rf_train
-from duoclass.operators.model import init_model, intmod_model
+from duoclass.operators.model import Model, init_model, intmod_model
 from duoclass.operators.ordering import split_shuffled_fast
 from duoclass.operators.scoring import score
 from duoclass.operators.training import batch_gradient as grad_job
 from duoclass.operators.training import evaluate, train
 from duoclass.plans import sqlgen as Q
-from duoclass.plans.inputs import EMB_WIDTH, HIDDEN2, HIDDEN3, SEED, TRAIN_FRAC, embeddings_dense, mlp2
+from duoclass.plans.inputs import EMB_WIDTH, HIDDEN2, SEED, TRAIN_FRAC, embeddings_dense, mlp2
 from duoclass.session import scratch_path
 from duoclass.sources.params_store import load_model, load_params_frame, save_params
 
@@ -50,26 +50,35 @@ def save_params_q(spark, sf):
     return load_params_frame(spark, root, "mlp").select("layer", "name", "i", "j", as_drawn.alias("as_drawn"))
 
 
+def centroid_model(emb):
+    """A linear model learned in one aggregate: per feature, the mean over label 1 less the
+    mean over label 0, and its negative for the other class."""
+    cells = emb.select("label", F.posexplode("features").alias("i", "v"))
+    mean = lambda l: F.avg(F.when(F.col("label") == l, F.col("v").cast("double")))
+    rows = cells.groupBy("i").agg((mean(1) - mean(0)).alias("w")).orderBy("i").collect()  # one row a feature
+    w = np.array([r["w"] for r in rows])
+    return Model([], np.column_stack([w, -w]), np.zeros(2))
+
+
 def export_tagged(spark, sf):
-    """One version saved under two tags, as an export for serving does; each is read by
-    its tag."""
-    d = int(embeddings_dense(spark, sf).agg(F.max(F.size("features")).alias("d")).first()["d"])
+    """Two models saved under their tags, as an export for serving and one for training on;
+    each is read by its tag, and a tag that a model wasn't saved under reads nothing."""
+    emb = embeddings_dense(spark, sf)
     root = _root(spark, "params")
-    save_params(spark, intmod_model(d, HIDDEN2), root, "serve", 0, tag="serve")
-    save_params(spark, intmod_model(d, HIDDEN3), root, "train", 0, tag="train")
+    save_params(spark, centroid_model(emb), root, "serve", 0, tag="serve")
+    save_params(spark, centroid_model(emb.filter(F.col("vec_id") % 2 == 0)), root, "train", 0, tag="train")
     parts = [load_params_frame(spark, root, t, tag=t) for t in ("serve", "train")]
     wrong = load_params_frame(spark, root, "serve", tag="train")
     return (parts[0].unionByName(parts[1]).unionByName(wrong).filter(F.col("name") == "W")
-            .groupBy("tag", "layer").agg(F.count("*").alias("cells"), r6(F.sum("value")).alias("total")))
+            .groupBy("tag").agg(F.count("*").alias("cells"), r6(F.sum(F.abs("value"))).alias("size")))
 
 
 def param_histogram(spark, sf):
-    """Weight histogram of a saved model: twelve bins over the first layer's matrix."""
-    d = int(embeddings_dense(spark, sf).agg(F.max(F.size("features")).alias("d")).first()["d"])
+    """Weight histogram of a saved model: twelve bins over its matrix."""
     root = _root(spark, "params")
-    save_params(spark, intmod_model(d, HIDDEN2), root, "mlp", 0)
-    w = load_params_frame(spark, root, "mlp").filter((F.col("layer") == 1) & (F.col("name") == "W"))
-    h = M.histogram(w, "value", 12, lo=-0.2, hi=0.2)
+    save_params(spark, centroid_model(embeddings_dense(spark, sf)), root, "linear", 0)
+    w = load_params_frame(spark, root, "linear").filter(F.col("name") == "W")
+    h = M.histogram(w, "value", 12, lo=-0.03, hi=0.03)
     return h.select("bin", r6("lo_edge").alias("lo_edge"), r6("hi_edge").alias("hi_edge"), "count")
 
 
@@ -330,16 +339,10 @@ def _saved_params_sql() -> str:
             f"FROM ({body}) p(layer, name, i, j) WHERE (SELECT max(len(embedding)) FROM embeddings) = {EMB_WIDTH}")
 
 
-def _tagged_sql() -> str:
-    parts = []
-    for tag, hidden in (("serve", HIDDEN2), ("train", HIDDEN3)):
-        sizes = [EMB_WIDTH, *hidden, 2]
-        for l in range(1, len(sizes)):
-            parts.append(f"SELECT '{tag}' AS tag, {l} AS layer, {Q.intmod_sql(l, 0, 'a.range', 'b.range')} AS w "
-                         f"FROM range({sizes[l - 1]}) a, range({sizes[l]}) b")
-    body = "\nUNION ALL ".join(parts)
-    return (f"SELECT tag, CAST(layer AS INTEGER) AS layer, count(*) AS cells, {Q.r6('sum(w)')} AS total FROM ({body}) p "
-            f"WHERE (SELECT max(len(embedding)) FROM embeddings) = {EMB_WIDTH} GROUP BY tag, layer")
+_CENTROID = f"""{Q.EMB_CELLS},
+w AS (SELECT t.tag, c.i, avg(CASE WHEN c.label = 1 THEN c.v END) - avg(CASE WHEN c.label = 0 THEN c.v END) AS w
+      FROM emb_cells c JOIN (VALUES ('serve', 1), ('train', 2)) t(tag, m) ON c.id % t.m = 0 GROUP BY t.tag, c.i),
+v AS (SELECT tag, w AS v FROM w UNION ALL SELECT tag, -w FROM w)"""
 
 
 _SPLIT_SIZES = """k AS (SELECT count(*) AS n, CAST(round(CAST(0.67 AS DOUBLE) * count(*)) AS BIGINT) AS k FROM embeddings)"""
@@ -378,13 +381,12 @@ ORACLE = {
     "batch_gradient": _gradient_sql(),
     "batch_gradient_wide": _gradient_wide_sql(),
     "save_params": _saved_params_sql(),
-    "export_tagged": _tagged_sql(),
-    "param_histogram": f"""WITH w AS (SELECT {Q.intmod_sql(1, 0, 'a.range', 'b.range')} AS v FROM range({EMB_WIDTH}) a, range({HIDDEN2[0]}) b
-      WHERE (SELECT max(len(embedding)) FROM embeddings) = {EMB_WIDTH}),
-c AS (SELECT least(11, floor((v + CAST(0.2 AS DOUBLE)) / (CAST(0.2 AS DOUBLE) - CAST(-0.2 AS DOUBLE)) * 12)) AS bin, count(*) AS n
-      FROM w WHERE v BETWEEN CAST(-0.2 AS DOUBLE) AND CAST(0.2 AS DOUBLE) GROUP BY 1)
-SELECT CAST(r.range AS INTEGER) AS bin, {Q.r6("CAST(-0.2 AS DOUBLE) + r.range * CAST(0.4 AS DOUBLE) / 12")} AS lo_edge,
-  {Q.r6("CAST(-0.2 AS DOUBLE) + (r.range + 1) * CAST(0.4 AS DOUBLE) / 12")} AS hi_edge, CAST(coalesce(n, 0) AS BIGINT) AS count
+    "export_tagged": f"WITH {_CENTROID} SELECT tag, count(*) AS cells, {Q.r6('sum(abs(v))')} AS size FROM v GROUP BY tag",
+    "param_histogram": f"""WITH {_CENTROID},
+c AS (SELECT least(11, floor((v - CAST(-0.03 AS DOUBLE)) / (CAST(0.03 AS DOUBLE) - CAST(-0.03 AS DOUBLE)) * 12)) AS bin, count(*) AS n
+      FROM v WHERE tag = 'serve' AND v BETWEEN CAST(-0.03 AS DOUBLE) AND CAST(0.03 AS DOUBLE) GROUP BY 1)
+SELECT CAST(r.range AS INTEGER) AS bin, {Q.r6("CAST(-0.03 AS DOUBLE) + r.range * CAST(0.06 AS DOUBLE) / 12")} AS lo_edge,
+  {Q.r6("CAST(-0.03 AS DOUBLE) + (r.range + 1) * CAST(0.06 AS DOUBLE) / 12")} AS hi_edge, CAST(coalesce(n, 0) AS BIGINT) AS count
 FROM range(12) r LEFT JOIN c ON c.bin = r.range""",
     "width_report": f"""SELECT count(*) AS n_rows, CAST(min(len(embedding)) AS INTEGER) AS min_width,
   CAST(max(len(embedding)) AS INTEGER) AS max_width, CAST(sum(CASE WHEN len(embedding) <> {EMB_WIDTH} THEN 1 ELSE 0 END) AS BIGINT) AS n_misfit,
