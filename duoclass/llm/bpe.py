@@ -28,7 +28,7 @@ from duoclass.llm.tokenfiles import bpe_json
 
 # The split pattern of byte-level BPE files (a fixed value).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
-CACHE = 150_000        # pieces of one generation of the cache
+CACHE = 300_000        # pieces of one generation of the cache
 CACHE_CHARS = 64       # longer pieces are not kept
 OUT_IDS = 400_000      # ids of one output batch
 
