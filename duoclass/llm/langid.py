@@ -30,7 +30,7 @@ PART = 32            # letters scored at once; a longer run of letters is scored
 MAX_PIECE = 16       # letters of the longest piece used
 SMOOTH = 0.1         # added to every piece's expected count
 UNKNOWN = 1e-8       # probability of a letter outside the vocabulary, in every language
-CACHE = 300_000      # parts whose scores a worker keeps
+CACHE = 600_000      # parts whose scores a worker keeps
 BLOCK_CHARS = 2_000_000
 UNDETERMINED = "und"
 _LETTERS = regex.compile(r"\p{L}+")
