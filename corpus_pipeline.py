@@ -49,14 +49,13 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     ``n_chars`` follows the text.  Documents of which nothing is left go.
     """
-    from duoclass.llm.suffix import dedup_passages, whole_characters
+    from duoclass.llm.suffix import dedup_passages
 
+    out = dedup_passages(docs, "doc_id", "text", as_text=True)
     changed = F.col("sa_removed") > 0
-    out = dedup_passages(docs, "doc_id", "text").withColumn("sa_kept", F.when(changed, F.col("sa_kept")))
-    out = whole_characters(out, "sa_kept", "_text")
-    left = out.where(~changed | (F.trim("_text") != ""))
-    new = {"text": F.when(changed, F.col("_text")).otherwise(F.col("text")),
-           "n_chars": F.when(changed, F.char_length("_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))}
+    left = out.where(~changed | (F.trim("sa_kept") != ""))
+    new = {"text": F.when(changed, F.col("sa_kept")).otherwise(F.col("text")),
+           "n_chars": F.when(changed, F.char_length("sa_kept").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))}
     return left.select(*(new[c].alias(c) if c in new else F.col(c) for c in docs.columns))
 
 

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import heapq
 import json
+from hashlib import blake2b
 from itertools import chain
 
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from duoclass.llm.common import batch_of, prepare
+from duoclass.llm.common import batch_of, prepare, worker_state
 from duoclass.llm.tokenfiles import bpe_json
 
 # The split pattern of byte-level BPE files (a fixed value).
@@ -141,22 +142,16 @@ class Bpe:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
 
-_MADE: dict[int, Bpe] = {}
-
-
 def _coder(handle) -> Bpe:
     """One coder for each worker process and model."""
-    if handle.id not in _MADE:
-        _MADE.clear()
-        _MADE[handle.id] = Bpe(**json.loads(handle.value))
-    return _MADE[handle.id]
+    return worker_state(handle.key, lambda: Bpe(**json.loads(handle.value)))
 
 
 class _Handle:
     """A broadcast model with a name that is stable across tasks."""
 
-    def __init__(self, broadcast, key: int):
-        self.broadcast, self.id = broadcast, key
+    def __init__(self, broadcast, key: str):
+        self.broadcast, self.key = broadcast, key
 
     @property
     def value(self):
@@ -165,7 +160,7 @@ class _Handle:
 
 def share_bpe(spark, path: str | None = None) -> _Handle:
     raw = json.dumps(bpe_json(path))
-    return _Handle(spark.sparkContext.broadcast(raw), hash(raw))
+    return _Handle(spark.sparkContext.broadcast(raw), f"bpe-{blake2b(raw.encode(), digest_size=8).hexdigest()}")
 
 
 def _stage(handle, names: list[str], text_at: int, todo: str):

@@ -80,8 +80,22 @@ def batch_of(names: list[str], *cols) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], names=names)
 
 
-def word_list(col) -> list:
-    return col.to_pylist()
+# What a worker keeps between tasks (a model with its cache): one operator's at a time, as
+# Spark reuses its Python workers from stage to stage.
+_STATE: dict[str, object] = {}
+
+
+def worker_state(key: str, make):
+    """The state under ``key``, made on first use; any other is let go."""
+    if key not in _STATE:
+        _STATE.clear()
+        _STATE[key] = make()
+    return _STATE[key]
+
+
+def no_state() -> None:
+    """A stage without a state of its own lets go of what an earlier one kept."""
+    _STATE.clear()
 
 
 # Rolling 64-bit hashes: byte values from a fixed random table, powers of an odd base.
@@ -89,20 +103,20 @@ _RNG = np.random.default_rng(20240229)
 BYTE_HASH = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BYTE_HASH2 = _RNG.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
-_POW: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_POW: list[np.ndarray] = []
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64, at least ``n`` of them."""
-    size = 1 << max(16, (n - 1).bit_length())
-    if size not in _POW:
-        out = []
+    if not _POW or len(_POW[0]) < n:
+        size = 1 << max(16, (n - 1).bit_length())
+        made = []
         for base in (_BASE, pow(_BASE, -1, 1 << 64)):
             a = np.full(size, base, np.uint64)
             a[0] = 1
-            out.append(np.multiply.accumulate(a))
-        _POW[size] = tuple(out)
-    return _POW[size]
+            made.append(np.multiply.accumulate(a))
+        _POW[:] = made
+    return _POW[0], _POW[1]
 
 
 def prefix_sums(values: np.ndarray) -> np.ndarray:

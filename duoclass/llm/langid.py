@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from duoclass.llm.common import batch_of, cut, drop, prepare
+from duoclass.llm.common import batch_of, cut, drop, prepare, worker_state
 from duoclass.llm.tokenfiles import unigram_pieces
 
 SAMPLE_DOCS = 1000   # about so many distinct labelled texts of a language are learned from
@@ -192,16 +192,6 @@ class _Scores:
         return np.fromiter(map(self.row.__getitem__, parts), np.int64, len(parts))
 
 
-_KEPT: dict[str, _Scores] = {}
-
-
-def _scores(sent, key: str) -> _Scores:
-    if key not in _KEPT:
-        _KEPT.clear()
-        _KEPT[key] = _Scores(sent.value)
-    return _KEPT[key]
-
-
 def _blocks(col):
     """Row ranges of at most BLOCK_CHARS bytes (or one row)."""
     size = pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False)
@@ -217,7 +207,7 @@ def _blocks(col):
 
 def _predict(sent, key: str, names: list[str], text_at: int):
     def run(batches):
-        scores = _scores(sent, key)
+        scores = worker_state(key, lambda: _Scores(sent.value))
         languages = scores.model.languages
         for rb in batches:
             pred, score = [], []
@@ -257,4 +247,4 @@ def predict_language(df: DataFrame, model: Model, text_col: str = "text") -> Dat
     out = T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()),
                         T.StructField("lang_score", T.DoubleType())])
     sent = spark.sparkContext.broadcast(model)
-    return df.mapInArrow(_predict(sent, uuid.uuid4().hex, out.names, df.columns.index(text_col)), out)
+    return df.mapInArrow(_predict(sent, f"lang-{uuid.uuid4().hex}", out.names, df.columns.index(text_col)), out)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from duoclass.llm.common import (BYTE_HASH, as_bytes, batch_of, cut, drop, mix, powers, prefix_sums, prepare,
+from duoclass.llm.common import (BYTE_HASH, as_bytes, batch_of, cut, drop, mix, no_state, powers, prefix_sums, prepare,
                                  small_or_shuffled)
 from duoclass.llm.components import connected_components
 
@@ -83,6 +83,7 @@ def band_keys(s: np.ndarray) -> np.ndarray:
 
 def _features(k: int):
     def run(batches):
+        no_state()
         for rb in batches:
             data, off = as_bytes(rb.column(1))
             size, print_, bands = [], [], []

@@ -32,14 +32,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from duoclass.llm.common import (BYTE_HASH, BYTE_HASH2, as_bytes, batch_of, cut, mix, powers, prefix_sums, prepare,
-                                 shuffle_partitions)
+from duoclass.llm.common import (BYTE_HASH, BYTE_HASH2, as_bytes, batch_of, cut, mix, no_state, powers, prefix_sums,
+                                 prepare, shuffle_partitions)
 
 MIN_LEN = 100      # bytes of a string that counts as repeated
 KGRAM = 28         # bytes of the strings that name a window
 MAX_RUN = 256      # windows of one run (longer runs are cut; nothing is lost)
 GROUP_RUNS = 1024  # distinct runs of one name in one block
-BLOCK_BYTES = 3 << 20  # text sorted at once
+BLOCK_BYTES = 3 << 19  # text sorted at once (some 40 bytes of memory each)
 PIECE = 1 << 20    # window starts of a document handled at once
 
 
@@ -101,6 +101,7 @@ def _pieces(b: np.ndarray, min_len: int):
 
 def _run_rows(min_len: int, k: int, content: bool):
     def run(batches):
+        no_state()
         for rb in batches:
             data, off = as_bytes(rb.column(1))
             ids = rb.column(0).to_numpy(zero_copy_only=False)
@@ -364,7 +365,9 @@ def remove_spans(b: bytes, start: np.ndarray, end: np.ndarray) -> tuple[bytes, i
     return kept, int((hi - lo).sum()), len(lo)
 
 
-def _remove_rows(names: list[str], text_at: int, list_at: int, min_len: int):
+def _remove_rows(names: list[str], text_at: int, list_at: int, min_len: int, as_text: bool):
+    """``as_text``: the kept bytes as text without the bytes of cut characters, null where
+    nothing was removed."""
     def run(batches):
         for rb in batches:
             data, off = as_bytes(rb.column(text_at))
@@ -376,20 +379,22 @@ def _remove_rows(names: list[str], text_at: int, list_at: int, min_len: int):
                 if lists[i].is_valid:
                     st, ln = unpack(lists[i].values.to_numpy())
                     x = remove_spans(b, st, st + ln + min_len - 1)
-                kept.append(x[0])
+                kept.append(x[0] if not as_text else x[0].decode("utf-8", "ignore") if x[1] else None)
                 gone.append(x[1])
                 spans.append(x[2])
                 size.append(len(b))
             yield batch_of(names, *[rb.column(i) for i in range(list_at)], pa.array(size, pa.int64()),
-                           pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.binary()))
+                           pa.array(gone, pa.int64()), pa.array(spans, pa.int64()), pa.array(kept, pa.string() if as_text else pa.binary()))
 
     return run
 
 
 def dedup_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_len: int = MIN_LEN,
-                   kgram: int = KGRAM, group_runs: int = GROUP_RUNS) -> DataFrame:
+                   kgram: int = KGRAM, group_runs: int = GROUP_RUNS, as_text: bool = False) -> DataFrame:
     """All rows and columns of ``df`` with ``sa_bytes``, ``sa_removed``, ``sa_spans`` (long)
-    and ``sa_kept`` (binary: the bytes that stay, joined).
+    and ``sa_kept`` (binary: the bytes that stay, joined).  ``as_text`` gives these as a
+    string instead, where a character that was cut in half goes as a whole; null where
+    nothing was removed.
 
     A null or empty text and a text shorter than ``min_len`` bytes lose nothing.  A row
     without an id has no place in the order: it loses nothing and is no earlier
@@ -423,7 +428,7 @@ def dedup_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keyed = df.withColumn("_sa_key", key)
     joined = keyed.join(lists, F.col("_sa_key") == F.col("_sa_doc"), "left").select(*cols, "_sa_key", "_sa_list")
     snips = joined.mapInArrow(_cut_rows(len(cols), cols.index(text_col), len(cols) + 1, min_len), CUT)
-    parts = shuffle_partitions(spark, total, 2 * BLOCK_BYTES)
+    parts = shuffle_partitions(spark, total, 4 * BLOCK_BYTES)
     ranked = (snips.repartition(parts, "m", "salt").sortWithinPartitions("m", "salt")
               .mapInArrow(_sort_rows(min_len), SORTED))
     # what is first in its block meets the other blocks of its name (once each, so never many)
@@ -433,17 +438,8 @@ def dedup_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     gone = sorted_out.union(copies).groupBy(F.col("doc").alias("_sa_doc")).agg(F.collect_list("pl").alias("_sa_list"))
     out = T.StructType([*(f for f in df.schema.fields), T.StructField("sa_bytes", T.LongType()),
                         T.StructField("sa_removed", T.LongType()), T.StructField("sa_spans", T.LongType()),
-                        T.StructField("sa_kept", T.BinaryType())])
+                        T.StructField("sa_kept", T.StringType() if as_text else T.BinaryType())])
     # the same exchange of the text by document as above
     last = keyed.join(gone, F.col("_sa_key") == F.col("_sa_doc"), "left").select(*cols, "_sa_key", "_sa_list")
     return (last.select(*cols, "_sa_list")
-            .mapInArrow(_remove_rows(out.names, cols.index(text_col), len(cols), min_len), out))
-
-
-def whole_characters(df: DataFrame, bytes_col: str, out_col: str) -> DataFrame:
-    """``out_col``: the UTF-8 text of a binary column without the bytes of cut characters."""
-    @F.pandas_udf("string")
-    def decode(s):
-        return s.map(lambda b: None if b is None else bytes(b).decode("utf-8", "ignore"))
-
-    return df.withColumn(out_col, decode(bytes_col))
+            .mapInArrow(_remove_rows(out.names, cols.index(text_col), len(cols), min_len, as_text), out))

@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from duoclass.llm.common import batch_of, prepare
+from duoclass.llm.common import batch_of, prepare, worker_state
 from duoclass.llm.tokenfiles import unigram_pieces
 
 MARK = "▁"
@@ -113,9 +113,6 @@ class Counter:
         return n
 
 
-_KEPT: dict[str, Counter] = {}
-
-
 def count_tokens(df: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
     """All rows and columns of ``df`` with ``n_tokens`` (long).
 
@@ -126,15 +123,12 @@ def count_tokens(df: DataFrame, text_col: str = "text", path: str | None = None)
     prepare(spark)
     df = df.drop("n_tokens")
     sent = spark.sparkContext.broadcast(unigram_pieces(path))
-    key, at = uuid.uuid4().hex, df.columns.index(text_col)
+    key, at = f"count-{uuid.uuid4().hex}", df.columns.index(text_col)
     out = T.StructType([*df.schema.fields, T.StructField("n_tokens", T.LongType())])
     names = out.names
 
     def run(batches):
-        if key not in _KEPT:
-            _KEPT.clear()
-            _KEPT[key] = Counter(sent.value)
-        c = _KEPT[key]
+        c = worker_state(key, lambda: Counter(sent.value))
         for rb in batches:
             yield batch_of(names, *rb.columns, pa.array([c.count(t.as_py() or "") for t in rb.column(at)], pa.int64()))
 

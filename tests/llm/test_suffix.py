@@ -125,6 +125,13 @@ def test_empty_table(spark):
     assert S.dedup_passages(spark.createDataFrame([], DOC_SCHEMA)).count() == 0
 
 
-def test_whole_characters(spark):
-    df = spark.createDataFrame([("é漢".encode()[1:],), (None,), ("ok".encode(),)], "b binary")
-    assert sorted(str(r[0]) for r in S.whole_characters(df, "b", "t").select("t").collect()) == ["None", "ok", "漢"]
+def test_as_text_leaves_no_half_characters(spark):
+    """A passage of two-byte letters behind one ASCII letter: cuts fall between bytes."""
+    r = random.Random(11)
+    body = "".join(chr(0x430 + r.randrange(32)) for _ in range(90))
+    rows = [(1, "x" + body), (2, "\u0451" + body[1:] + "end"), (3, None), (4, "other")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    exp = removed({k: (t or "").encode() for k, t in rows}, 100)
+    got = {x["doc_id"]: x["sa_kept"] for x in S.dedup_passages(df, as_text=True).collect()}
+    assert got == {k: (e[3].decode("utf-8", "ignore") if e[1] else None) for k, e in exp.items()}
+    assert got[2] and got[1] is None
