@@ -94,3 +94,24 @@ def test_rotation_is_one():
     r = np.random.default_rng(0)
     w = I.learn_rotation(r.standard_normal((500, 24)), 24, 1)
     assert np.allclose(w.T @ w, np.eye(24))
+
+
+def test_other_number_types(spark):
+    for kind in ("double", "int", "decimal(10,2)"):
+        df = spark.sql(f"SELECT id, CAST(array(id % 3 + 1, 2, 3, 4) AS array<{kind}>) AS embedding, 'x' AS label FROM range(9)")
+        got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in I.embedding_groups(df, "id", "embedding").collect()}
+        v = np.array([[k % 3 + 1, 2, 3, 4] for k in range(9)], float)
+        u = v / np.linalg.norm(v, axis=1)[:, None]
+        link = u @ u.T >= 0.98
+        assert {k: got[k][0] for k in range(9)} == {k: int(link[k].sum()) - 1 for k in range(9)}
+
+
+def test_codes_differ_where_vectors_do():
+    r = np.random.default_rng(3)
+    x = r.standard_normal((40, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[1] = near(r, x[0], 0.98)
+    code = np.concatenate([I.substrings(x @ w >= 0) for w in I.rotations_for({}, 64)], axis=1).astype(np.int16)
+    everyone = np.arange(40)
+    assert set(I.near_codes(code, everyone, everyone)) == {0, 1}
+    assert set(I.near_codes(code, np.arange(1), np.arange(1, 40))) == {0, 1}
