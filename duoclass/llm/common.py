@@ -21,6 +21,9 @@ BATCH_ROWS = 1000
 # Most rows of an id list that is broadcast (16 bytes a row, so 16 MB at most).
 BROADCAST_IDS = 1_000_000
 
+# Rows of one file of a table whose size is known before it is written.
+FILE_ROWS = 500_000
+
 
 def prepare(spark: SparkSession) -> None:
     """Ship the package and bound the Arrow batches of this session."""
@@ -34,10 +37,16 @@ def read(spark: SparkSession, sf_dir: str, table: str, *cols: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet").select(*cols)
 
 
-def cut(df: DataFrame, what: str) -> DataFrame:
+def cut(df: DataFrame, what: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` as a table below the shared checkpoint folder and read it back:
-    cuts the lineage and survives the loss of an executor."""
+    cuts the lineage and survives the loss of an executor.
+
+    ``rows``, where it is known, sizes the files (``FILE_ROWS`` each), so that a small
+    table isn't written as one file for each shuffle partition.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, math.ceil(rows / FILE_ROWS)))
     path = f"{checkpoint_root(spark)}/llm-{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

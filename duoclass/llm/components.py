@@ -44,7 +44,7 @@ def connected_components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFr
             .select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "cc")
     state = _state(e)
     while state[0]:
-        new = cut(_small_star(_large_star(e)), "cc")
+        new = cut(_small_star(_large_star(e)), "cc", rows=state[0])
         drop(e)
         e, before, state = new, state, _state(new)
         if state == before:

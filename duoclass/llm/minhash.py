@@ -116,7 +116,7 @@ def _overlaps(pairs: DataFrame, text: DataFrame, k: int) -> DataFrame:
     The sets of the documents in ``pairs`` are made from their texts again; both sides
     of the pairs read one exchange of them.
     """
-    ids = cut(pairs.select("a").union(pairs.select("b")).distinct().toDF("doc"), "mh-ids")
+    ids = pairs.select("a").union(pairs.select("b")).distinct().toDF("doc")
     sets = text.join(small_or_shuffled(ids, ids.count()), "doc", "left_semi").mapInArrow(_sets(k), "doc long, s array<long>")
     a = sets.select(F.col("doc").alias("a"), F.col("s").alias("sa"))
     b = sets.select(F.col("doc").alias("b"), F.col("s").alias("sb"))
@@ -150,7 +150,7 @@ def _shared(members: DataFrame, text: DataFrame, k: int) -> DataFrame:
     Links of a document lie among the members, so its other shingles are in no
     intersection.
     """
-    ids = cut(members.select("doc").distinct(), "mh-open")
+    ids = members.select("doc").distinct()
     sets = text.join(small_or_shuffled(ids, ids.count()), "doc", "left_semi").mapInArrow(_sets(k), "doc long, s array<long>")
     rows = sets.select("doc", F.explode("s").alias("g"))
     often = rows.groupBy("g").agg(F.count("*").alias("m")).where("m > 1").select("g")
