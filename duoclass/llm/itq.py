@@ -5,9 +5,12 @@
    are computed in turn, which spreads the variance over the bits.  Vectors are scaled to
    length one and not centred: centring would widen the angle of near copies wherever
    the mean is long, and the angle is what decides.
-2. The signs under ``ROTATIONS`` rotations are a code of up to 64 bits each, cut into
-   substrings of ``SUB_BITS`` bits.  Each substring is the key of one table, so two
+2. The signs under each rotation are a code of up to 64 bits, cut into as many substrings
+   of ``SUB_BITS`` bits or more as fit.  Each substring is the key of one table, so two
    vectors whose codes differ in fewer places than there are tables meet in at least one.
+   Substrings grow with the logarithm of the number of vectors, so that buckets don't
+   grow with it, and rotations are added until at most ``MISS`` of the pairs at the
+   threshold share no table (:func:`plan`).
 3. Members of a bucket are compared by their codes first.  Those with no other within
    ``NEAR_SHARE`` of the bits drop out, so few vectors are sent to the tables at all (at a
    cosine of 0.98 about 6 per cent of the bits differ, of unrelated vectors half).
@@ -22,6 +25,7 @@ compared in pairs of blocks, each a task's small piece; nothing is capped.
 
 from __future__ import annotations
 
+import math
 from hashlib import blake2b
 
 import numpy as np
@@ -34,9 +38,10 @@ from duoclass.llm.components import connected_components
 
 SAMPLE_ROWS = 10_000      # vectors that the rotations are learned on, at most
 SAMPLE_CELLS = 4_000_000  # and their components
-ROTATIONS = 3
 CODE_BITS = 64
-SUB_BITS = 12
+SUB_BITS = 12             # bits of a substring, at least
+BUCKET = 256              # vectors of a bucket aimed at
+MISS = 1e-4               # of the pairs at the threshold
 NEAR_SHARE = 0.25
 ROUNDS = 30
 BLOCK = 512
@@ -58,19 +63,33 @@ def learn_rotation(x: np.ndarray, bits: int, seed: int, rounds: int = ROUNDS) ->
     return w @ r
 
 
-def rotations_for(sample: dict[int, np.ndarray], d: int) -> list[np.ndarray]:
-    """The learned rotations of ``d`` dimensions; random ones if none were sampled."""
+def plan(n: int, min_cos: float) -> tuple[int, int]:
+    """(bits of a substring, rotations) for ``n`` vectors.
+
+    A bit differs with probability angle / pi.  A code of 64 bits has 64 // bits tables.
+    """
+    bits = min(max(SUB_BITS, math.ceil(math.log2(max(n, 1) / BUCKET + 1))), 24)
+    p = 1 - math.acos(min(1.0, min_cos)) / math.pi
+    tables = math.log(MISS) / math.log(1 - min(p**bits, 1 - 1e-9))
+    return bits, max(1, math.ceil(tables / (CODE_BITS // bits)))
+
+
+def rotations_for(sample: dict[int, np.ndarray], d: int, n: int) -> list[np.ndarray]:
+    """``n`` learned rotations of ``d`` dimensions; random ones if none were sampled."""
     x = sample.get(d, np.zeros((0, d)))
-    return [learn_rotation(x, CODE_BITS, 100 + i) for i in range(ROTATIONS)]
+    return [learn_rotation(x, CODE_BITS, 100 + i) for i in range(n)]
+
 
+def shape(bits: int, sub_bits: int) -> tuple[int, int]:
+    """(substrings, their width) of a code; bits beyond them aren't used."""
+    return max(1, bits // sub_bits), min(bits, sub_bits)
 
-def substrings(signs: np.ndarray) -> np.ndarray:
-    """(rows, tables) keys of SUB_BITS bits; the last key of a code may be shorter."""
-    n, bits = signs.shape
-    tables = -(-bits // SUB_BITS)
-    padded = np.zeros((n, tables * SUB_BITS), np.int64)
-    padded[:, :bits] = signs
-    return (padded.reshape(n, tables, SUB_BITS) << np.arange(SUB_BITS)).sum(axis=2)
+
+def substrings(signs: np.ndarray, sub_bits: int) -> np.ndarray:
+    """(rows, tables) keys of ``sub_bits`` bits, or of all bits where there are fewer."""
+    tables, width = shape(signs.shape[1], sub_bits)
+    used = signs[:, :tables * width].astype(np.int64).reshape(len(signs), tables, width)
+    return (used << np.arange(width)).sum(axis=2)
 
 
 def linkable(col) -> tuple[list, list]:
@@ -107,7 +126,7 @@ def _classes(batches):
                        pa.array([blake2b(v, digest_size=16).digest() for v in vec], pa.binary()), pa.array(vec, pa.binary()))
 
 
-def _bucket_rows(models, kind: str, with_vec: bool):
+def _bucket_rows(models, kind: str, with_vec: bool, sub_bits: int, rotations: int):
     """A row per vector and table; the vector itself only where it is asked for."""
     def run(batches):
         made = models.value
@@ -117,9 +136,9 @@ def _bucket_rows(models, kind: str, with_vec: bool):
                 at = np.flatnonzero(d == dim)
                 x = units(rb.column(4).take(pa.array(at)).to_pylist(), kind)
                 if dim not in made:
-                    made[dim] = rotations_for({}, int(dim))
-                keys = np.concatenate([substrings((x @ r >= 0)) for r in made[dim]], axis=1)
-                code = [k.astype(np.int16).tobytes() for k in keys]
+                    made[dim] = rotations_for({}, int(dim), rotations)
+                keys = np.concatenate([substrings(x @ r >= 0, sub_bits) for r in made[dim]], axis=1)
+                code = [k.tobytes() for k in keys.astype(np.int32)]
                 tables = keys.shape[1]
                 idx = pa.array(np.repeat(at, tables))
                 rep = np.repeat(np.arange(len(at)), tables)
@@ -193,33 +212,39 @@ def _sides(rows):
 
 
 def _codes(rows) -> np.ndarray:
-    return np.frombuffer(b"".join(r[9] for r in rows), np.int16).reshape(len(rows), -1)
+    return np.frombuffer(b"".join(r[9] for r in rows), np.int32).reshape(len(rows), -1)
 
 
-def near_codes(code: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+def near_codes(code: np.ndarray, left: np.ndarray, right: np.ndarray, n_bits: int) -> np.ndarray:
     """Members with another one whose code differs in at most NEAR_SHARE of the bits."""
-    bits = ((code[:, :, None] >> np.arange(SUB_BITS)) & 1).reshape(len(code), -1).astype(np.float32) * 2 - 1
-    # agreements less differences; padding bits agree always
-    near = bits[left] @ bits[right].T >= bits.shape[1] * (1 - 2 * NEAR_SHARE)
+    used = np.flatnonzero(np.bitwise_or.reduce(code, axis=0)[:, None] >> np.arange(32) & 1)
+    bits = ((code[:, :, None] >> np.arange(32)) & 1).reshape(len(code), -1)[:, used].astype(np.float32) * 2 - 1
+    # agreements less differences; a bit that no member has set agrees everywhere
+    rest = n_bits - len(used)
+    near = bits[left] @ bits[right].T + rest >= n_bits * (1 - 2 * NEAR_SHARE)
     if left is right:
         np.fill_diagonal(near, False)
     return np.union1d(left[near.any(axis=1)], right[near.any(axis=0)])
 
 
-def _near_rows(batches):
+def _near_rows(sub_bits: int, rotations: int):
     def work(rows):
         left, right = _sides(rows)
-        hit = near_codes(_codes(rows), left, right) if len(left) and len(right) else []
+        n_bits = rotations * math.prod(shape(min(CODE_BITS, rows[0][1]), sub_bits))
+        hit = near_codes(_codes(rows), left, right, n_bits) if len(left) and len(right) else []
         return [rows[i][6] for i in hit]
 
-    seen: set = set()
-    for ids in _groups(batches, work):
-        seen.update(ids)
-        if len(seen) > 100_000:
+    def run(batches):
+        seen: set = set()
+        for ids in _groups(batches, work):
+            seen.update(ids)
+            if len(seen) > 100_000:
+                yield batch_of(["id"], pa.array(list(seen), pa.int64()))
+                seen = set()
+        if seen:
             yield batch_of(["id"], pa.array(list(seen), pa.int64()))
-            seen = set()
-    if seen:
-        yield batch_of(["id"], pa.array(list(seen), pa.int64()))
+
+    return run
 
 
 def _link_rows(min_cos: float, kind: str):
@@ -286,13 +311,15 @@ def embedding_groups(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
     for r in classes.where(F.pmod(F.xxhash64("print"), F.lit(1 << 30)) < share).select("d", "vec").limit(take).toLocalIterator():
         sample.setdefault(r["d"], []).append(bytes(r["vec"]))
     arrays = {k: units(x, kind) for k, x in sample.items()}
-    models = spark.sparkContext.broadcast({k: rotations_for(arrays, k) for k in arrays})
+    most = classes.groupBy("label", "d").count().agg(F.max("count")).first()[0] or 0
+    sub_bits, rotations = plan(most, min_cos)
+    models = spark.sparkContext.broadcast({k: rotations_for(arrays, k, rotations) for k in arrays})
 
     schema = "label string, d int, t int, key long, id long, w long, code binary, vec binary"
     members = classes.select("label", "d", "id", "w", "vec")
-    near = cut(_dealt(members.mapInArrow(_bucket_rows(models, kind, False), schema)).mapInArrow(_near_rows, "id long").distinct(), "itq-near")
+    near = cut(_dealt(members.mapInArrow(_bucket_rows(models, kind, False, sub_bits, rotations), schema)).mapInArrow(_near_rows(sub_bits, rotations), "id long").distinct(), "itq-near")
     members = members.join(small_or_shuffled(near, near.count()), "id", "left_semi").select("label", "d", "id", "w", "vec")
-    linked = cut(_dealt(members.mapInArrow(_bucket_rows(models, kind, True), schema))
+    linked = cut(_dealt(members.mapInArrow(_bucket_rows(models, kind, True, sub_bits, rotations), schema))
                  .mapInArrow(_link_rows(min_cos, kind), "id long, links long, root long"), "itq-links")
     parts = connected_components(linked.select("id", "root").distinct(), "id", "root")
     counts = linked.groupBy("id").agg(F.sum("links").alias("links"))

@@ -111,7 +111,25 @@ def test_codes_differ_where_vectors_do():
     x = r.standard_normal((40, 64))
     x /= np.linalg.norm(x, axis=1)[:, None]
     x[1] = near(r, x[0], 0.98)
-    code = np.concatenate([I.substrings(x @ w >= 0) for w in I.rotations_for({}, 64)], axis=1).astype(np.int16)
+    code = np.concatenate([I.substrings(x @ w >= 0, 12) for w in I.rotations_for({}, 64, 3)], axis=1).astype(np.int32)
     everyone = np.arange(40)
-    assert set(I.near_codes(code, everyone, everyone)) == {0, 1}
-    assert set(I.near_codes(code, np.arange(1), np.arange(1, 40))) == {0, 1}
+    assert set(I.near_codes(code, everyone, everyone, 180)) == {0, 1}
+    assert set(I.near_codes(code, np.arange(1), np.arange(1, 40), 180)) == {0, 1}
+
+
+def test_substrings():
+    r = np.random.default_rng(3)
+    for bits, sub, tables, width in ((64, 12, 5, 12), (64, 20, 3, 20), (24, 12, 2, 12), (7, 12, 1, 7)):
+        signs = r.random((50, bits)) < 0.5
+        keys = I.substrings(signs, sub)
+        assert keys.shape == (50, tables) and keys.max() < 2**width
+        assert sum(bin(int(k)).count("1") for k in keys.ravel()) == signs[:, :tables * width].sum()
+
+
+def test_plan_follows_the_number_of_vectors():
+    """Buckets stay small as vectors grow, and a pair at the threshold keeps its chance."""
+    p = 1 - math.acos(0.98) / math.pi
+    for n in (0, 1, 10**4, 10**6, 10**9):
+        bits, rotations = I.plan(n, 0.98)
+        assert n / 2**bits <= I.BUCKET and (1 - p**bits) ** (rotations * (64 // bits)) <= I.MISS * 1.01
+    assert I.plan(10**9, 0.98)[0] > I.plan(10**4, 0.98)[0]
