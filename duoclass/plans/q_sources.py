@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 
 from duoclass.functions.columns import r6
 from duoclass.operators import encode as E
-from duoclass.operators.ordering import first_rows, ordered_index, row_slices, split_ordered
+from duoclass.operators.ordering import first_rows, ordered_index, row_slices, split_bounds, split_ordered
 from duoclass.operators.vectors import dedupe_frame, densify_frame
-from duoclass.plans.inputs import EMB_WIDTH, embeddings_dense, table
+from duoclass.plans.inputs import EMB_WIDTH, TRAIN_FRAC, embeddings_dense, table
 from duoclass.session import scratch_path
 from duoclass.sources import standins as S
 from duoclass.sources import text as TX
@@ -66,9 +66,18 @@ def text_token_scan(spark, sf):
     return rows.select("row_id", "label", F.posexplode("features").alias("k", "f"))
 
 
+def _keyed_lines(spark, sf):
+    return S.keyed_lines_from_embeddings(table(spark, sf, "embeddings"))
+
+
 def _keyed(spark, sf, width=None, truncate=False):
-    return TX.good_rows(TX.parse_keyed_sparse(S.keyed_lines_from_embeddings(table(spark, sf, "embeddings")),
-                                              width=width, truncate=truncate))
+    return TX.good_rows(TX.parse_keyed_sparse(_keyed_lines(spark, sf), width=width, truncate=truncate))
+
+
+def _keyed_indexed(spark, sf, name):
+    """Good rows with their line number: lines are numbered before they are parsed, so the
+    passes that find the numbers read the key only."""
+    return TX.good_rows(TX.parse_keyed_sparse(ordered_index(_keyed_lines(spark, sf), "vec_id", name)))
 
 
 def keyed_sparse_scan(spark, sf):
@@ -78,7 +87,7 @@ def keyed_sparse_scan(spark, sf):
 
 def sparse_triples(spark, sf):
     """COO triples; repeated indices in a row add up (per row, map-side)."""
-    rows = ordered_index(_keyed(spark, sf).select("vec_id", "feats"), "vec_id", "row_id")
+    rows = _keyed_indexed(spark, sf, "row_id").select("row_id", "feats")
     return E.to_triples(dedupe_frame(rows, rule="sum"), "row_id")
 
 
@@ -158,10 +167,10 @@ def dup_index_sum(spark, sf):
 def csr_triples(spark, sf):
     """Ordered split into train/test parts; each part's rows re-indexed from 0, with
     its shape (rows, width)."""
-    rows = _keyed(spark, sf).drop("key")
-    parts = split_ordered(rows, "vec_id")
-    n_train = parts.filter(F.col("split") == "train").count()
-    n_all = rows.count()
+    lines = _keyed_lines(spark, sf)
+    n_all = lines.count()
+    n_train = split_bounds(n_all, TRAIN_FRAC, False)[1]
+    parts = TX.good_rows(TX.parse_keyed_sparse(split_ordered(lines, "vec_id", TRAIN_FRAC, n_rows=n_all)))
     local = F.when(F.col("split") == "train", F.col("ix")).otherwise(F.col("ix") - F.lit(n_train))
     shape = F.when(F.col("split") == "train", F.lit(n_train)).otherwise(F.lit(n_all - n_train))
     t = parts.select(F.col("split").alias("part"), local.alias("row"), shape.cast("long").alias("n_rows"),
@@ -171,14 +180,16 @@ def csr_triples(spark, sf):
 
 
 def row_slice(spark, sf, size=100):
-    rows = ordered_index(_keyed(spark, sf).drop("key"), "vec_id", "ix")
-    return row_slices(rows, size).select("slice", "row", F.inline("feats")).select(
+    lines = _keyed_lines(spark, sf)
+    n = lines.count()
+    rows = TX.good_rows(TX.parse_keyed_sparse(row_slices(ordered_index(lines, "vec_id", "ix", n_rows=n), size, n_rows=n)))
+    return rows.select("slice", "row", F.inline("feats")).select(
         "slice", "row", F.col("i").alias("col"), F.col("v").alias("value"))
 
 
 def zero_ratio_filter(spark, sf, lo=0.55, hi=0.59):
-    rows = ordered_index(_keyed(spark, sf).select("vec_id", "feats"), "vec_id", "row_id")
-    n = rows.count()
+    rows = _keyed_indexed(spark, sf, "row_id").select("row_id", "feats")
+    n = _keyed(spark, sf).count()
     kept, _ = E.zero_ratio_filter(E.to_triples(dedupe_frame(rows, rule="sum"), "row_id"), n, EMB_WIDTH, lo, hi)
     return kept.select("row_id", "col", "value")
 
