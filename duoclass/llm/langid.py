@@ -136,20 +136,20 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", path: s
           sample_docs: int = SAMPLE_DOCS, rounds: int = ROUNDS) -> Model:
     """Fit the piece probabilities on rows with a language and a text.
 
-    Of a language with more than ``sample_docs`` rows, the texts whose hash falls below
-    the matching share of the hash range are used (equal texts once).  What reaches the
+    Of a language with more than ``sample_docs`` different texts, those whose hash falls
+    below the matching share of the hash range are used (equal texts once).  What reaches the
     driver is a number for each language and piece, however large the table.
     """
     spark = df.sparkSession
     prepare(spark)
     rows = df.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    h = F.xxhash64("text")
+    sizes = {r["lang"]: r["n"] for r in rows.select("lang", h.alias("h")).distinct().groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages = sorted(sizes)
     pieces = vocabulary(path)
     if not languages:
         return Model([], {})
     share = spark.createDataFrame([(x, min(1.0, sample_docs / sizes[x])) for x in languages], "lang string, share double")
-    h = F.xxhash64("text")
     sample = (rows.join(F.broadcast(share), "lang").where(F.pmod(h, F.lit(1 << 30)) < F.col("share") * (1 << 30))
               .groupBy("lang", h.alias("h")).agg(F.first("text").alias("text")).select("lang", "text"))
     words = cut(sample.mapInArrow(_word_counts, "lang string, part string, n long")

@@ -83,6 +83,17 @@ def test_nothing_to_learn_from(spark):
     assert (rows[0]["lang_pred"], rows[0]["lang_score"]) == ("und", 0.0)
 
 
+def test_language_of_copies(spark):
+    """A language of 4,000 copies of 20 texts is learned from those texts, not from a share of their rows."""
+    de = [f"der hund und die katze schlafen nicht im haus nummer {'x' * i}" for i in range(20)]
+    en = [f"the dog and the cat do not sleep in the house number {'x' * i}" for i in range(40)]
+    df = spark.createDataFrame([(de[i % 20], "de") for i in range(4000)] + [(t, "en") for t in en], "text string, lang string")
+    model = L.train(df, sample_docs=50)
+    assert len({p[0] for p in model.probs.values()}) > 1
+    out = L.predict_language(spark.createDataFrame([(t,) for t in de + en], "text string"), model).collect()
+    assert [r["lang_pred"] for r in out] == ["de"] * 20 + ["en"] * 40
+
+
 def test_ties_take_the_first_language(spark):
     df = spark.createDataFrame([("same text", "b"), ("same text", "a")], "text string, lang string")
     out = L.predict_language(df, L.train(df)).collect()
