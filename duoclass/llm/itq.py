@@ -43,6 +43,7 @@ SUB_BITS = 12             # bits of a substring, at least
 BUCKET = 256              # vectors of a bucket aimed at
 MISS = 1e-4               # of the pairs at the threshold
 NEAR_SHARE = 0.25
+FEW_DIMS = 8              # below, too few bits for NEAR_SHARE to tell anything
 ROUNDS = 30
 BLOCK = 512
 
@@ -63,15 +64,16 @@ def learn_rotation(x: np.ndarray, bits: int, seed: int, rounds: int = ROUNDS) ->
     return w @ r
 
 
-def plan(n: int, min_cos: float) -> tuple[int, int]:
-    """(bits of a substring, rotations) for ``n`` vectors.
+def plan(n: int, min_cos: float, d: int = CODE_BITS) -> tuple[int, int]:
+    """(bits of a substring, rotations) for ``n`` vectors of ``d`` dimensions.
 
-    A bit differs with probability angle / pi.  A code of 64 bits has 64 // bits tables.
+    A bit differs with probability angle / pi.  :func:`shape` gives a code's tables.
     """
     bits = min(max(SUB_BITS, math.ceil(math.log2(max(n, 1) / BUCKET + 1))), 24)
     p = 1 - math.acos(min(1.0, min_cos)) / math.pi
-    tables = math.log(MISS) / math.log(1 - min(p**bits, 1 - 1e-9))
-    return bits, max(1, math.ceil(tables / (CODE_BITS // bits)))
+    each, width = shape(min(CODE_BITS, d), bits)
+    tables = math.log(MISS) / math.log(1 - min(p**width, 1 - 1e-9))
+    return bits, max(1, math.ceil(tables / each))
 
 
 def rotations_for(sample: dict[int, np.ndarray], d: int, n: int) -> list[np.ndarray]:
@@ -126,7 +128,7 @@ def _classes(batches):
                        pa.array([blake2b(v, digest_size=16).digest() for v in vec], pa.binary()), pa.array(vec, pa.binary()))
 
 
-def _bucket_rows(models, kind: str, with_vec: bool, sub_bits: int, rotations: int):
+def _bucket_rows(models, kind: str, with_vec: bool, plans: dict[int, tuple[int, int]]):
     """A row per vector and table; the vector itself only where it is asked for."""
     def run(batches):
         made = models.value
@@ -135,6 +137,7 @@ def _bucket_rows(models, kind: str, with_vec: bool, sub_bits: int, rotations: in
             for dim in np.unique(d):
                 at = np.flatnonzero(d == dim)
                 x = units(rb.column(4).take(pa.array(at)).to_pylist(), kind)
+                sub_bits, rotations = plans[int(dim)]
                 if dim not in made:
                     made[dim] = rotations_for({}, int(dim), rotations)
                 keys = np.concatenate([substrings(x @ r >= 0, sub_bits) for r in made[dim]], axis=1)
@@ -227,9 +230,12 @@ def near_codes(code: np.ndarray, left: np.ndarray, right: np.ndarray, n_bits: in
     return np.union1d(left[near.any(axis=1)], right[near.any(axis=0)])
 
 
-def _near_rows(sub_bits: int, rotations: int):
+def _near_rows(plans: dict[int, tuple[int, int]]):
     def work(rows):
         left, right = _sides(rows)
+        if rows[0][1] < FEW_DIMS:
+            return [rows[i][6] for i in np.union1d(left, right)]
+        sub_bits, rotations = plans[rows[0][1]]
         n_bits = rotations * math.prod(shape(min(CODE_BITS, rows[0][1]), sub_bits))
         hit = near_codes(_codes(rows), left, right, n_bits) if len(left) and len(right) else []
         return [rows[i][6] for i in hit]
@@ -311,15 +317,15 @@ def embedding_groups(df: DataFrame, id_col: str = "vec_id", vec_col: str = "embe
     for r in classes.where(F.pmod(F.xxhash64("print"), F.lit(1 << 30)) < share).select("d", "vec").limit(take).toLocalIterator():
         sample.setdefault(r["d"], []).append(bytes(r["vec"]))
     arrays = {k: units(x, kind) for k, x in sample.items()}
-    most = classes.groupBy("label", "d").count().agg(F.max("count")).first()[0] or 0
-    sub_bits, rotations = plan(most, min_cos)
-    models = spark.sparkContext.broadcast({k: rotations_for(arrays, k, rotations) for k in arrays})
+    most = classes.groupBy("label", "d").count().groupBy("d").agg(F.max("count").alias("n")).collect()
+    plans = {r["d"]: plan(r["n"], min_cos, r["d"]) for r in most}
+    models = spark.sparkContext.broadcast({k: rotations_for(arrays, k, plans[k][1]) for k in arrays})
 
     schema = "label string, d int, t int, key long, id long, w long, code binary, vec binary"
     members = classes.select("label", "d", "id", "w", "vec")
-    near = cut(_dealt(members.mapInArrow(_bucket_rows(models, kind, False, sub_bits, rotations), schema)).mapInArrow(_near_rows(sub_bits, rotations), "id long").distinct(), "itq-near")
+    near = cut(_dealt(members.mapInArrow(_bucket_rows(models, kind, False, plans), schema)).mapInArrow(_near_rows(plans), "id long").distinct(), "itq-near")
     members = members.join(small_or_shuffled(near, near.count()), "id", "left_semi").select("label", "d", "id", "w", "vec")
-    linked = cut(_dealt(members.mapInArrow(_bucket_rows(models, kind, True, sub_bits, rotations), schema))
+    linked = cut(_dealt(members.mapInArrow(_bucket_rows(models, kind, True, plans), schema))
                  .mapInArrow(_link_rows(min_cos, kind), "id long, links long, root long"), "itq-links")
     parts = connected_components(linked.select("id", "root").distinct(), "id", "root")
     counts = linked.groupBy("id").agg(F.sum("links").alias("links"))

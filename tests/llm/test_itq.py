@@ -133,3 +133,25 @@ def test_plan_follows_the_number_of_vectors():
         bits, rotations = I.plan(n, 0.98)
         assert n / 2**bits <= I.BUCKET and (1 - p**bits) ** (rotations * (64 // bits)) <= I.MISS * 1.01
     assert I.plan(10**9, 0.98)[0] > I.plan(10**4, 0.98)[0]
+
+
+def test_plan_follows_the_dimensions():
+    """Short codes have fewer tables a rotation, so they get more rotations."""
+    p = 1 - math.acos(0.98) / math.pi
+    for d in (1, 2, 8, 16, 24, 32, 64, 300):
+        bits, rotations = I.plan(1000, 0.98, d)
+        tables, width = I.shape(min(I.CODE_BITS, d), bits)
+        assert (1 - p**width) ** (rotations * tables) <= I.MISS * 1.01
+    assert I.plan(1000, 0.98, 64) == I.plan(1000, 0.98)
+
+
+def test_few_dimensions_lose_no_pairs(spark):
+    """Pairs at the threshold in 2 and 16 dimensions, each pair with a label of its own."""
+    r = np.random.default_rng(6)
+    rows = []
+    for k in range(1000):
+        v = r.standard_normal(16 if k % 2 else 2)
+        v /= np.linalg.norm(v)
+        rows += [(2 * k + j, [float(x) for x in np.float32(x)], k, 0, "") for j, x in enumerate((v, near(r, v, 0.9801)))]
+    got = sum(x["n_links"] for x in I.embedding_groups(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got >= 2 * 998
