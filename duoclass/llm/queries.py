@@ -81,6 +81,30 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode_decode(read(spark, sf_dir, "documents", "doc_id", "text"), "text"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from duoclass.llm.align import align_documents
+
+    out = align_documents(read(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from duoclass.llm.packing import pack, token_pieces
+
+    pieces = token_pieces(read(spark, sf_dir, "documents", "doc_id", "text"))
+    out = pack(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from duoclass.llm.centroids import centroid_digests, cluster_vectors
+
+    out, centroids = cluster_vectors(read(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+    digests = spark.createDataFrame(list(enumerate(centroid_digests(centroids))), "cluster int, centroid_sha256 string")
+    return (out.withColumnRenamed("id", "vec_id").join(F.broadcast(digests), "cluster")
+            .select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256"))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_url_filter": op2_url_filter,
@@ -92,8 +116,35 @@ QUERIES = {
     "op8_html_extract": op8_html_extract,
     "op9_decontaminate": op9_decontaminate,
     "op10_bpe": op10_bpe,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_packing": op12_packing,
+    "op13_centroids": op13_centroids,
 }
 
+
+def _centroids_sql(dims: int = 64, clusters: int = 40, rounds: int = 5, seed: int = 2, scale: int = 256) -> str:
+    """Assignment and exact means, one pair of steps for each round."""
+    steps = []
+    for r in range(rounds + 1):
+        steps.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, v, min(dk) AS dk FROM (
+  SELECT n, vec_id, v, {{'d': CAST(list_sum(list_transform(list_zip(v, c), lambda x: (x[1] - x[2]) * (x[1] - x[2]))) AS BIGINT), 'k': k}} AS dk
+  FROM v, c{r}) GROUP BY n, vec_id, v)""")
+        if r < rounds:
+            steps.append(f"""m{r} AS (SELECT k, list(CAST((s - (s % n + n) % n) / n AS BIGINT) ORDER BY i) AS c FROM (
+  SELECT dk.k AS k, i, sum(v[i]) AS s, count(*) AS n FROM a{r}, range(1, {dims + 1}) t(i) GROUP BY dk.k, i) GROUP BY k),
+c{r + 1} AS MATERIALIZED (SELECT c{r}.k, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (k))""")
+    last = f"a{rounds}"
+    return f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS n, vec_id,
+    list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, v) - 1 AS k, v AS c FROM (
+  SELECT sha256('{seed}:' || vec_id) AS h, v FROM v ORDER BY h, v LIMIT {clusters})),
+{(","+chr(10)).join(steps)}
+SELECT vec_id, CAST(dk.k AS INTEGER) AS cluster, dk.d AS distance, CAST(sum(dk.d) OVER (PARTITION BY dk.k) AS BIGINT) AS cluster_inertia,
+  CAST(sum(dk.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM {last} JOIN c{rounds} ON dk.k = c{rounds}.k"""
+
+
 _REST = "CASE WHEN url LIKE '%://%' THEN substr(url, instr(url, '://') + 3) ELSE '' END"
 
 ORACLE: dict[str, str] = {
@@ -164,4 +215,5 @@ c AS (SELECT a AS doc_id, min(b) AS low FROM reach GROUP BY a)
 SELECT w.doc_id, coalesce(n, 0) AS n_shingles, least(w.doc_id, coalesce(low, w.doc_id)) AS component_id,
   w.doc_id <= coalesce(low, w.doc_id) AS kept
 FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)""",
+    "op13_centroids": _centroids_sql(),
 }
