@@ -18,9 +18,14 @@ and the step counter is the row ``global_step``.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from duoclass.functions.hashing import mix_uniform_col, mix_uniform_np, mix_uniform_sql
 
 PARAM_NAMES = ("W", "b", "scale", "beta")
 EPSILON = 1e-3
@@ -169,22 +174,73 @@ def intmod_model(n_inputs: int, hidden: list[int], n_outputs: int = 2) -> Model:
                  intmod_value(L, 1, 0, np.arange(n_outputs)).astype(np.float64))
 
 
-def _truncated_normal(rng: np.random.Generator, shape, std: float) -> np.ndarray:
-    """Normal(0, std) redrawn until within two standard deviations."""
-    out = rng.standard_normal(shape)
-    bad = np.abs(out) > 2.0
-    while bad.any():
-        out[bad] = rng.standard_normal(int(bad.sum()))
-        bad = np.abs(out) > 2.0
-    return out * std
+DRAWS = 8   # tries a cell has for a normal within two deviations (0.0455 ** 8 miss all: then 0)
+
+
+def _draw_steps(layer: int) -> list[tuple[int, int]]:
+    """Steps of the mixer for both uniforms of each try."""
+    return [(layer * 64 + 2 * k, layer * 64 + 2 * k + 1) for k in range(DRAWS)]
+
+
+def truncated_normal_col(seed: int, layer: int, i: Column, j: Column) -> Column:
+    """Standard normal within two deviations at cell (i, j): the first of ``DRAWS`` tries that
+    is, by a counter-based generator, so any cell can be made alone and again."""
+    tries = []
+    for a, b in _draw_steps(layer):
+        z = F.sqrt(-2.0 * F.log(1.0 - mix_uniform_col(seed, a, i, j))) * F.cos(2.0 * math.pi * mix_uniform_col(seed, b, i, j))
+        tries.append(F.when(F.abs(z) <= 2.0, z))
+    return F.coalesce(*tries, F.lit(0.0))
+
+
+def truncated_normal_sql(seed: int, layer: int, i: str, j: str) -> str:
+    tries = []
+    for a, b in _draw_steps(layer):
+        z = (f"sqrt(-2::DOUBLE * ln(1::DOUBLE - {mix_uniform_sql(seed, a, i, j)})) * "
+             f"cos({2.0 * math.pi!r}::DOUBLE * ({mix_uniform_sql(seed, b, i, j)}))")
+        tries.append(f"CASE WHEN abs({z}) <= 2 THEN {z} END")
+    return f"coalesce({', '.join(tries)}, 0::DOUBLE)"
+
+
+def truncated_normal_np(seed: int, layer: int, rows: int, units: int) -> np.ndarray:
+    out = np.zeros((rows, units))
+    todo = np.ones((rows, units), bool)
+    for a, b in _draw_steps(layer):
+        u, w = (mix_uniform_np(seed, s, np.arange(rows), np.arange(units)) for s in (a, b))
+        z = np.sqrt(-2.0 * np.log(1.0 - u)) * np.cos(2.0 * math.pi * w)
+        take = todo & (np.abs(z) <= 2.0)
+        out[take] = z[take]
+        todo &= ~take
+    return out
+
+
+def init_cells(spark: SparkSession, n_inputs: int, hidden: list[int], n_outputs: int = 2, seed: int = 0,
+               std: float = 0.1, bias: float = 0.1, tag: str = "tag") -> DataFrame:
+    """The parameter table of a freshly initialised model, its cells made by the executors."""
+    sizes = [n_inputs, *hidden, n_outputs]
+    last = len(sizes) - 1
+    parts = [spark.createDataFrame([(0, "global_step", 0, 0, 0.0), (0, "eps", 0, 0, EPSILON)], "layer int, name string, i int, j int, value double")]
+    for layer in range(1, last + 1):
+        h = sizes[layer]
+        at = spark.range(sizes[layer - 1] * h)
+        i, j = F.floor(F.col("id") / h), F.col("id") % h
+        parts.append(at.select(F.lit(layer).alias("layer"), F.lit("W").alias("name"), i.cast("int").alias("i"), j.cast("int").alias("j"),
+                               (truncated_normal_col(seed, layer, i, j) * std).alias("value")))
+        vectors = [("b", bias)] if layer == last else [("b", bias), ("scale", 1.0), ("beta", 0.0)]
+        for name, x in vectors:
+            parts.append(spark.range(h).select(F.lit(layer).alias("layer"), F.lit(name).alias("name"), F.lit(0).alias("i"),
+                                               F.col("id").cast("int").alias("j"), F.lit(float(x)).alias("value")))
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    return whole.select(F.lit(tag).alias("tag"), "*")
 
 
 def init_model(n_inputs: int, hidden: list[int], n_outputs: int = 2, seed: int = 0,
                std: float = 0.1, bias: float = 0.1) -> Model:
-    """Weights ~ truncated normal(0.1), biases 0.1, scale 1, shift 0; seeded."""
-    rng = np.random.default_rng(seed)
+    """Weights ~ truncated normal(0.1), biases 0.1, scale 1, shift 0; the values of
+    :func:`init_cells`, for a model that the driver holds."""
     sizes = [n_inputs] + list(hidden)
-    layers = [Layer(_truncated_normal(rng, (sizes[l - 1], sizes[l]), std),
+    layers = [Layer(truncated_normal_np(seed, l, sizes[l - 1], sizes[l]) * std,
                     np.full(sizes[l], bias), np.ones(sizes[l]), np.zeros(sizes[l]))
               for l in range(1, len(sizes))]
-    return Model(layers, _truncated_normal(rng, (sizes[-1], n_outputs), std), np.full(n_outputs, bias))
+    return Model(layers, truncated_normal_np(seed, len(sizes), sizes[-1], n_outputs) * std, np.full(n_outputs, bias))

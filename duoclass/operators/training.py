@@ -14,9 +14,9 @@ One optimisation step over a batch that may span any number of partitions:
   The hidden bias cancels with the batch mean, so its gradient is zero.
 
 Each pass is ``mapInPandas`` (NumPy on Arrow batches, one output per partition) whose
-partial sums travel as blocks of matrix rows, one binary row per (matrix, block), and
-are added block by block.  Only parameter-sized arrays reach the driver, where the
-Adam update runs.
+partial sums travel as blocks of matrix rows, one binary row per (matrix, block), and are
+added block by block in a tree of bounded fan-in.  Gradient, parameters and Adam's state are
+tables of blocks (``optimizer``); the driver reads the parameters back for the next pass.
 
 Training takes few, large batches: an epoch's batches are written once to the shared
 folder, one directory each, and a step reads its own.
@@ -29,6 +29,7 @@ import time
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel, TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,42 +37,73 @@ from pyspark.sql import types as T
 from duoclass.operators import metrics as M
 from duoclass.operators.kernels import Inputs, forward, log_softmax, softmax
 from duoclass.operators.model import Model
+from duoclass.operators.optimizer import BLOCK_ROWS, BLOCK_SCHEMA, adam_step, state_of, with_values
 from duoclass.operators.ordering import minibatches, ordered_index, shuffled_index
 from duoclass.operators.scoring import _check_model_size, dense_input, layer_moments, score, sparse_input
 from duoclass.session import release, remove_path, scratch_path, share, ship_package, written
 
 ROWS_PER_STEP_TASK = 50_000
-BLOCK_ROWS = 64  # matrix rows that travel together
+FAN_IN = 16  # partial sums of one block that meet in a task
 
-BLOCKS = T.StructType([T.StructField("key", T.StringType()), T.StructField("block", T.IntegerType()),
-                       T.StructField("width", T.IntegerType()), T.StructField("data", T.BinaryType())])
+SUMS = T.StructType([T.StructField("key", T.StringType()), T.StructField("block", T.IntegerType()),
+                     T.StructField("part", T.IntegerType()), T.StructField("height", T.IntegerType()),
+                     T.StructField("width", T.IntegerType()), T.StructField("rows", T.BinaryType()),
+                     T.StructField("data", T.BinaryType())])
 
 
-def _block_rows(acc: dict) -> pd.DataFrame:
-    """{name: matrix} as rows of (name, block, columns, float64 bytes)."""
+def _block_rows(acc: dict, part: int = 0) -> pd.DataFrame:
+    """{name: matrix} as rows of (name, block, part, height, width, rows, float64 bytes).
+
+    Only the matrix rows that aren't all zero travel (``rows`` says which), and no block
+    without one, but for the first of each name.
+    """
     out = []
     for key, a in acc.items():
         a = np.atleast_2d(np.asarray(a, dtype=np.float64))
         for lo in range(0, a.shape[0], BLOCK_ROWS):
-            out.append((key, lo // BLOCK_ROWS, a.shape[1], np.ascontiguousarray(a[lo:lo + BLOCK_ROWS]).tobytes()))
-    return pd.DataFrame(out, columns=BLOCKS.names)
+            block = a[lo:lo + BLOCK_ROWS]
+            rows = np.flatnonzero(block.any(axis=1))
+            if len(rows) or lo == 0:
+                out.append((key, lo // BLOCK_ROWS, part, block.shape[0], a.shape[1], rows.astype(np.uint8).tobytes(),
+                            np.ascontiguousarray(block[rows]).tobytes()))
+    return pd.DataFrame(out, columns=SUMS.names)
+
+
+def _block_of(height: int, width: int, rows: bytes, data: bytes) -> np.ndarray:
+    block = np.zeros((height, width))
+    block[np.frombuffer(rows, np.uint8)] = np.frombuffer(data).reshape(-1, width)
+    return block
 
 
 def _add_blocks(it):
-    """Add the blocks of one name that met in this task (model-sized at most)."""
+    """Add the blocks of one (name, block, part) that met in this task."""
     acc: dict = {}
     for pdf in it:
-        for key, block, width, data in pdf.itertuples(index=False):
-            a = np.frombuffer(data, dtype=np.float64)
-            k = (key, block, width)
+        for key, block, part, height, width, rows, data in pdf.itertuples(index=False):
+            a = _block_of(height, width, rows, data)
+            k = (key, block, part)
             acc[k] = acc[k] + a if k in acc else a
-    if acc:
-        yield pd.DataFrame([(*k, a.tobytes()) for k, a in acc.items()], columns=BLOCKS.names)
+    out = []
+    for (key, block, part), a in acc.items():
+        rows = np.flatnonzero(a.any(axis=1))
+        out.append((key, block, part, *a.shape, rows.astype(np.uint8).tobytes(), np.ascontiguousarray(a[rows]).tobytes()))
+    if out:
+        yield pd.DataFrame(out, columns=SUMS.names)
 
 
-def _sum_pass(df: DataFrame, batch_fn, shared=None) -> dict[str, np.ndarray]:
+def tree_levels(parts: int) -> list[int]:
+    """Parts left after each level of the reduction: each part adds up at most FAN_IN."""
+    out = []
+    while parts > 1:
+        parts = math.ceil(parts / FAN_IN)
+        out.append(parts)
+    return out or [1]
+
+
+def _sum_blocks(df: DataFrame, batch_fn, shared=None) -> DataFrame:
     """Run ``batch_fn(pdf, shared_value) -> {key: array}`` on every Arrow batch, add the results
-    inside each partition, then block by block across partitions; return arrays."""
+    inside each partition, then block by block in a tree over the partitions; the total's
+    blocks as a table, one row each."""
     def fn(it):
         val = shared.value if shared is not None else None
         acc: dict = {}
@@ -81,16 +113,49 @@ def _sum_pass(df: DataFrame, batch_fn, shared=None) -> dict[str, np.ndarray]:
             for k, v in batch_fn(pdf, val).items():
                 acc[k] = acc[k] + v if k in acc else np.array(v, dtype=np.float64)
         if acc:
-            yield _block_rows(acc)
+            yield _block_rows(acc, TaskContext.get().partitionId())
 
     ship_package(df.sparkSession)
-    rows = df.mapInPandas(fn, BLOCKS).repartition("key", "block").mapInPandas(_add_blocks, BLOCKS).collect()
+    sums = df.mapInPandas(fn, SUMS)
+    for parts in tree_levels(df.rdd.getNumPartitions()):
+        sums = sums.withColumn("part", (F.col("part") % parts).cast("int")).repartition("key", "block", "part").mapInPandas(_add_blocks, SUMS)
+    return sums
+
+
+def _collected(sums: DataFrame) -> dict[str, np.ndarray]:
+    """Small totals (one number a unit) as arrays."""
     parts: dict = {}
-    for r in rows:
-        parts.setdefault(r["key"], {})[r["block"]] = np.frombuffer(bytes(r["data"])).reshape(-1, r["width"])
+    for r in sums.collect():
+        parts.setdefault(r["key"], {})[r["block"]] = _block_of(r["height"], r["width"], bytes(r["rows"]), bytes(r["data"]))
     return {k: np.concatenate([p[b] for b in sorted(p)]) for k, p in parts.items()}
 
 
+def _gradient_rows(sums: DataFrame, layer: int, n: int, scale=None, sd=None, s1=None, s2=None) -> DataFrame:
+    """Gradient blocks of one pass: the sums of a block meet and give the gradient of its weights."""
+    names = {"W_out": (layer + 1, "W"), "b_out": (layer + 1, "b"), "S1": (layer, "beta"), "S2": (layer, "scale")}
+
+    def fn(it):
+        got: dict = {}
+        for pdf in it:
+            for key, block, _, height, width, rows, data in pdf.itertuples(index=False):
+                got.setdefault(block, {})[key] = _block_of(height, width, rows, data)
+        out = []
+        for block, p in got.items():
+            for key, a in p.items():
+                if key in names:
+                    out.append((*names[key], block, a.shape[1], a.ravel()))
+                if key == "S1":
+                    out.append((layer, "b", block, a.shape[1], np.zeros(a.size)))
+            if p.keys() & {"A", "c", "E"}:
+                a, c, e = (p.get(x, 0.0) for x in ("A", "c", "E"))   # absent: all zero
+                w = (scale / sd)[None, :] * (a - c * s1[None, :] / n - e * s2[None, :] / n)
+                out.append((layer, "W", block, w.shape[1], w.ravel()))
+        if out:
+            yield pd.DataFrame(out, columns=["layer", "name", "block", "width", "value"])
+
+    return sums.filter(~F.col("key").isin("loss", "hits")).repartition("block").mapInPandas(fn, BLOCK_SCHEMA)
+
+
 def _targets(labels: np.ndarray) -> np.ndarray:
     l = labels.astype(np.float64)
     return np.column_stack([l, 1.0 - l])
@@ -116,13 +181,14 @@ class StepContext:
                 "row_ids": pdf[self.row_id].values.astype(np.int64), "input": self.input_dropout}
 
 
-def batch_gradient(df: DataFrame, model: Model, keep_prob: float = 1.0, seed: int = 0, step: int = 0,
-                   row_id: str = "row_id", label: str = "label", features: str = "features",
-                   sparse: bool = False, input_dropout: bool = True) -> tuple[dict, dict]:
+def gradient_blocks(df: DataFrame, model: Model, keep_prob: float = 1.0, seed: int = 0, step: int = 0,
+                    row_id: str = "row_id", label: str = "label", features: str = "features",
+                    sparse: bool = False, input_dropout: bool = True) -> tuple[DataFrame, dict]:
     """Exact gradient of the mean cross-entropy over all rows of ``df`` (one batch).
 
-    Returns ``(grads, stats)``: grads keyed like ``Model.arrays()`` and stats with
-    the batch's row count, loss and accuracy.
+    Returns ``(grads, stats)``: the gradient as a written table of blocks (of a sparse input
+    only the blocks that a row touches) and the batch's row count, loss and accuracy.  What
+    reaches the driver is one number a unit.
     """
     _check_model_size(model)
     prepared = sparse_input(df, features) if sparse else dense_input(df, features)
@@ -149,7 +215,8 @@ def batch_gradient(df: DataFrame, model: Model, keep_prob: float = 1.0, seed: in
     if N is None:
         N = src.count()
 
-    grads: dict = {}
+    grads: list = []
+    held: list = []
     S: dict = {}
     stats: dict = {}
     shared = share(df, (model, moments), handles)
@@ -196,20 +263,14 @@ def batch_gradient(df: DataFrame, model: Model, keep_prob: float = 1.0, seed: in
                 dA = dz @ layer.W.T
             return out
 
-        r = _sum_pass(src, bwd_fn, shared)
+        sums = _sum_blocks(src, bwd_fn, shared).persist(StorageLevel.MEMORY_AND_DISK)
+        held.append(sums)
+        r = _collected(sums.filter(F.col("key").isin("S1", "S2", "loss", "hits")))
         if k == L:
-            grads[(L + 1, "W")] = r["W_out"]
-            grads[(L + 1, "b")] = r["b_out"][0]
             stats = {"n": N, "loss": float(r["loss"][0, 0]) / N, "accuracy": float(r["hits"][0, 0]) / N}
         s1, s2 = r["S1"][0], r["S2"][0]
         S[k] = (s1, s2)
-        layer = model.hidden[k - 1]
-        g, sd = layer.scale, moments[k - 1][1]
-        A, cvec, E = r["A"], r["c"][:, 0], r["E"]
-        grads[(k, "W")] = (g / sd)[None, :] * (A - np.outer(cvec, s1) / N - E * s2[None, :] / N)
-        grads[(k, "b")] = np.zeros(layer.units)
-        grads[(k, "scale")] = s2
-        grads[(k, "beta")] = s1
+        grads.append(_gradient_rows(sums, k, N, model.hidden[k - 1].scale, moments[k - 1][1], s1, s2))
     if L == 0:  # linear model: one pass
         def lin_fn(pdf, val):
             model = val[0]
@@ -219,11 +280,31 @@ def batch_gradient(df: DataFrame, model: Model, keep_prob: float = 1.0, seed: in
             dy = (softmax(y) - Tg) / N
             return {"W_out": x.t_matmul(dy), "b_out": dy.sum(axis=0)[None, :],
                     "loss": np.array([[-(Tg * log_softmax(y)).sum()]])}
-        r = _sum_pass(src, lin_fn, shared)
-        grads[(1, "W")] = r["W_out"]
-        grads[(1, "b")] = r["b_out"][0]
-        stats = {"n": N, "loss": float(r["loss"][0, 0]) / N}
+        sums = _sum_blocks(src, lin_fn, shared).persist(StorageLevel.MEMORY_AND_DISK)
+        held.append(sums)
+        stats = {"n": N, "loss": float(_collected(sums.filter(F.col("key") == "loss"))["loss"][0, 0]) / N}
+        grads.append(_gradient_rows(sums, 0, N))
+    whole = grads[0]
+    for g in grads[1:]:
+        whole = whole.unionByName(g)
+    whole = written(whole, "gradient")
+    for sums in held:
+        sums.unpersist()
     release(handles)
+    return whole, stats
+
+
+def batch_gradient(df: DataFrame, model: Model, *args, **kwargs) -> tuple[dict, dict]:
+    """:func:`gradient_blocks` with the gradient as arrays keyed like ``Model.arrays()``."""
+    blocks, stats = gradient_blocks(df, model, *args, **kwargs)
+    grads = {k: np.zeros_like(a) for k, a in model.arrays().items()}
+    for r in blocks.collect():
+        part = np.array(r["value"]).reshape(-1, r["width"])
+        if r["name"] == "W":
+            grads[r["layer"], "W"][r["block"] * BLOCK_ROWS:][:len(part)] = part
+        else:
+            grads[r["layer"], r["name"]] = part[0]
+    remove_path(df.sparkSession, blocks.written_path)
     return grads, stats
 
 
@@ -254,24 +335,6 @@ def staircase_lr(lr0: float, rate: float, decay_steps: int, step: int) -> float:
     return lr0 * rate ** math.floor(step / decay_steps)
 
 
-def adam_update(model: Model, grads: dict, lr: float, b1: float = 0.9, b2: float = 0.999,
-                eps: float = 1e-8) -> Model:
-    """One Adam step (bias-corrected step size); moments kept in ``model.slots``."""
-    t = model.global_step + 1
-    lr_t = lr * math.sqrt(1 - b2 ** t) / (1 - b1 ** t)
-    for key, g in grads.items():
-        p = model.arrays()[key]
-        m = model.slots.get((key[0], key[1], "m"), np.zeros_like(p))
-        v = model.slots.get((key[0], key[1], "v"), np.zeros_like(p))
-        m = b1 * m + (1 - b1) * g
-        v = b2 * v + (1 - b2) * g * g
-        model.slots[(key[0], key[1], "m")] = m
-        model.slots[(key[0], key[1], "v")] = v
-        model.set_array(key, p - lr_t * m / (np.sqrt(v) + eps))
-    model.global_step = t
-    return model
-
-
 def evaluate_rows(df: DataFrame, model: Model, split_col: str = "split", label: str = "label",
                   features: str = "features", sparse: bool = False) -> list:
     """:func:`evaluate`, collected (metric rows only)."""
@@ -302,6 +365,13 @@ def _metrics_of(s: DataFrame, split_col: str, label: str) -> DataFrame:
     return rep.select(split_col, F.stack(*args).alias("metric", "value"))
 
 
+def report(metrics: DataFrame) -> DataFrame:
+    """One row an epoch of a metrics table (run, epoch, split, metric, value), with a column
+    ``<split>_<metric>`` for each pair that it holds."""
+    pairs = metrics.withColumn("pair", F.concat_ws("_", "split", "metric"))
+    return pairs.groupBy("run", "epoch").pivot("pair").agg(F.first("value"))
+
+
 def train(spark: SparkSession, data: DataFrame, model: Model, epochs: int, n_batches: int = 4,
           lr0: float = 0.05, decay_rate: float = 0.95, decay_steps: int = 5000, keep_prob: float = 0.5,
           seed: int = 0, eval_every: int = 10, row_id: str = "row_id", label: str = "label",
@@ -320,7 +390,7 @@ def train(spark: SparkSession, data: DataFrame, model: Model, epochs: int, n_bat
     appended to ``metrics_root``; the parameters are saved (version = epoch) under
     ``params_root``.  ``warm_start`` restores them instead of taking ``model``.
     """
-    from duoclass.sources.params_store import load_model, save_params
+    from duoclass.sources.params_store import load_model, save_state
     if warm_start:
         if not params_root:
             raise ValueError("warm_start needs params_root")
@@ -335,6 +405,7 @@ def train(spark: SparkSession, data: DataFrame, model: Model, epochs: int, n_bat
     tasks = max(1, math.ceil(batch_size / ROWS_PER_STEP_TASK))
     records = []
     counters: dict = {}
+    state = written(state_of(spark, model), "state")
     for epoch in range(epochs):
         index = shuffled_index if shuffle else ordered_index
         order = (f"{seed}:{epoch}",) if shuffle else ()
@@ -347,9 +418,14 @@ def train(spark: SparkSession, data: DataFrame, model: Model, epochs: int, n_bat
         losses = []
         for j in range(n_batches):
             lr = staircase_lr(lr0, decay_rate, decay_steps, model.global_step)
-            g, st = batch_gradient(table.filter(F.col("batch") == F.lit(j)), model, keep_prob, seed,
-                                   model.global_step, row_id, label, features, sparse, input_dropout)
-            adam_update(model, g, lr)
+            g, st = gradient_blocks(table.filter(F.col("batch") == F.lit(j)), model, keep_prob, seed,
+                                    model.global_step, row_id, label, features, sparse, input_dropout)
+            after = written(adam_step(state, g, lr, model.global_step + 1), "state")
+            remove_path(spark, g.written_path)
+            remove_path(spark, state.written_path)
+            state = after
+            model = with_values(model, state)
+            model.global_step += 1
             losses.append(st["loss"])
         remove_path(spark, path)
         records.append((run, epoch, "train_batches", "mean_batch_loss", float(np.mean(losses))))
@@ -357,7 +433,7 @@ def train(spark: SparkSession, data: DataFrame, model: Model, epochs: int, n_bat
         records.append((run, epoch, "train_batches", "learning_rate",
                         staircase_lr(lr0, decay_rate, decay_steps, model.global_step)))
         if params_root:
-            save_params(spark, model, params_root, model_name, epoch)
+            save_state(spark, state, model, params_root, model_name, epoch)
         if eval_every and (epoch % eval_every == 0 or epoch == epochs - 1):
             ev = evaluate_rows(data, model, "split", label, features, sparse)
             records.extend((run, epoch, r["split"], r["metric"], float(r["value"])) for r in ev)
@@ -370,6 +446,8 @@ def train(spark: SparkSession, data: DataFrame, model: Model, epochs: int, n_bat
                 c = {k[1]: v for k, v in counters.items() if k[0] == sp}
                 records.append((run, epoch, sp, "auc_graph_cumulative",
                                 M.hard_auc_value(c["tp"], c["fp"], c["tn"], c["fn"])))
+    with_values(model, state, slots=True)
+    remove_path(spark, state.written_path)
     remove_path(spark, data.written_path)
     mdf = spark.createDataFrame(records, "run string, epoch int, split string, metric string, value double")
     if metrics_root:

@@ -3,6 +3,7 @@ training runs, the forest, and the define -> train -> test sequence."""
 
 from __future__ import annotations
 
+import math
 import uuid
 
 import numpy as np
@@ -13,16 +14,18 @@ from duoclass.functions.columns import r6
 from duoclass.operators import metrics as M
 from duoclass.operators.encode import labels_for_model
 from duoclass.operators.forest import forest_score as rf_score
-from duoclass.operators.forest import forest_summary, forest_train as rf_train
-from duoclass.operators.model import Model, init_model, intmod_model
+from duoclass.operators.forest import (forest_descend, forest_score_nodes, forest_summary, forest_train as rf_train,
+                                       load_forest, save_forest)
+from duoclass.operators.model import Model, init_cells, init_model, intmod_model, truncated_normal_sql
 from duoclass.operators.ordering import split_shuffled_fast
 from duoclass.operators.scoring import score
-from duoclass.operators.training import batch_gradient as grad_job
-from duoclass.operators.training import evaluate, train
+from duoclass.operators.optimizer import adam_step, cells, state_of, with_values
+from duoclass.operators.training import evaluate, gradient_blocks, report, train
 from duoclass.plans import sqlgen as Q
 from duoclass.plans.inputs import EMB_WIDTH, HIDDEN2, SEED, TRAIN_FRAC, embeddings_dense, mlp2
-from duoclass.session import scratch_path
-from duoclass.sources.params_store import load_model, load_params_frame, save_params
+from duoclass.session import scratch_path, written
+from duoclass.sources.params_store import (commit_version, load_model, load_params_frame, params_frame, read_pointer, save_params,
+                                            save_table, stage_table)
 
 
 WIDE = [574, 750, 350]
@@ -37,17 +40,12 @@ def _emb_split(spark, sf):
 
 
 def save_params_q(spark, sf):
-    """Define step: feature width from the data, seeded init, saved as version 0."""
+    """Define step: feature width from the data, seeded init as a table, saved as version 0."""
     emb = embeddings_dense(spark, sf)
     d = emb.agg(F.max(F.size("features")).alias("d")).first()["d"]
     root = _root(spark, "params")
-    save_params(spark, init_model(int(d), HIDDEN2, seed=SEED), root, "mlp", 0)
-    v, name = F.col("value"), F.col("name")
-    # what the initialiser promises of each stored cell (the draw itself is NumPy's)
-    as_drawn = (F.when(name == "W", (F.abs(v) <= 0.2) & (v != 0.0)).when(name == "b", v == 0.1)
-                .when(name == "scale", v == 1.0).when(name == "beta", v == 0.0)
-                .when(name == "eps", v == 0.001).otherwise(v == 0.0))
-    return load_params_frame(spark, root, "mlp").select("layer", "name", "i", "j", as_drawn.alias("as_drawn"))
+    save_table(init_cells(spark, int(d), HIDDEN2, seed=SEED), root, "mlp", 0)
+    return load_params_frame(spark, root, "mlp").select("layer", "name", "i", "j", (F.round("value", 9) + F.lit(0.0)).alias("value"))
 
 
 def centroid_model(emb):
@@ -125,21 +123,39 @@ def score_saved_model(spark, sf):
                      r6("cross_entropy").alias("cross_entropy")))
 
 
-def _grad_rows(spark, g):
-    rows = []
-    for (l, name), a in sorted(g.items()):
-        if a.ndim == 1:
-            rows.extend((l, name, 0, j, float(v)) for j, v in enumerate(a))
-        else:
-            rows.extend((l, name, i, j, float(a[i, j])) for i in range(a.shape[0]) for j in range(a.shape[1]))
-    return spark.createDataFrame(rows, "layer int, name string, i int, j int, grad double")
-
-
 def batch_gradient(spark, sf):
     """Gradient of the mean cross-entropy over the whole table as one batch."""
     emb = embeddings_dense(spark, sf).withColumnRenamed("vec_id", "row_id")
-    g, _ = grad_job(emb, mlp2(), keep_prob=1.0)
-    return _grad_rows(spark, g).select("layer", "name", "i", "j", (F.round(F.col("grad"), 9) + F.lit(0.0)).alias("grad"))
+    g, _ = gradient_blocks(emb, mlp2(), keep_prob=1.0)
+    return cells(g, out="grad").select("layer", "name", "i", "j", (F.round(F.col("grad"), 9) + F.lit(0.0)).alias("grad"))
+
+
+def adam_step_q(spark, sf):
+    """Parameters and moments after one and after two Adam steps, each over the whole table."""
+    emb = embeddings_dense(spark, sf).withColumnRenamed("vec_id", "row_id")
+    model = mlp2()
+    state = state_of(spark, model)
+    out = None
+    for step in (1, 2):
+        grads, _ = gradient_blocks(emb, with_values(model, state), keep_prob=1.0)
+        state = written(adam_step(state, grads, 0.01, step), "state")
+        value, m, v = (cells(state, c, c) for c in ("value", "m", "v"))
+        at = ["layer", "name", "i", "j"]
+        rows = value.join(m, at).join(v, at).select(F.lit(step).alias("step"), *at, *[r6(c).alias(c) for c in ("value", "m", "v")])
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def epoch_report(spark, sf):
+    """Two epochs of training, each one whole batch of the train split at a decaying rate; the
+    report is a pivot over the metrics table that training appends to."""
+    data = _emb_split(spark, sf).withColumnRenamed("vec_id", "row_id")
+    _, metrics = train(spark, data, mlp2(), epochs=2, n_batches=1, lr0=0.02, decay_rate=0.5, decay_steps=1, keep_prob=1.0,
+                       seed=SEED, eval_every=1, short_batches=False, params_root=_root(spark, "params"),
+                       metrics_root=_root(spark, "metrics"))
+    rep = report(metrics)
+    return rep.select("epoch", *[r6(f"{sp}_{m}").alias(f"{sp}_{m}") for m in ("accuracy", "cross_entropy", "roc_auc") for sp in ("train", "test")],
+                      r6("train_batches_mean_batch_loss").alias("batch_loss"))
 
 
 def batch_gradient_wide(spark, sf):
@@ -148,10 +164,9 @@ def batch_gradient_wide(spark, sf):
     copies = F.transform(F.sequence(F.lit(0), F.lit(WIDE[0] - 1)), lambda i: F.get("features", (i % EMB_WIDTH).cast("int")).cast("double")
                          * (i % 9 + F.lit(1)).cast("double"))
     emb = embeddings_dense(spark, sf).select(F.col("vec_id").alias("row_id"), "label", copies.alias("features"))
-    g, _ = grad_job(emb, intmod_model(WIDE[0], WIDE[1:]), keep_prob=1.0)
-    rows = [(l, name, a.size, float(a.sum()), float(np.abs(a).sum())) for (l, name), a in sorted(g.items())]
-    out = spark.createDataFrame(rows, "layer int, name string, cells long, total double, size double")
-    return out.select("layer", "name", "cells", r6("total").alias("total"), r6("size").alias("size"))
+    g, _ = gradient_blocks(emb, intmod_model(WIDE[0], WIDE[1:]), keep_prob=1.0)
+    total = lambda f: F.sum(F.aggregate(F.transform("value", f), F.lit(0.0), lambda a, x: a + x))
+    return g.groupBy("layer", "name").agg(F.sum(F.size("value")).alias("cells"), r6(total(lambda x: x)).alias("total"), r6(total(F.abs)).alias("size"))
 
 
 def metrics_log(spark, sf):
@@ -202,12 +217,70 @@ def forest_train(spark, sf):
 
 
 def forest_score(spark, sf):
-    """Held-out rows with the forest's class checked against its probability."""
+    """Held-out rows scored from the forest's stored node table, restored, beside Spark ML's
+    own scores of the same forest."""
     data = _emb_split(spark, sf)
+    test = data.filter(F.col("split") == "test")
     model = rf_train(data.filter(F.col("split") == "train"), seed=SEED)
-    s = rf_score(model, data.filter(F.col("split") == "test"), keep=["vec_id", "label"])
-    return s.select("vec_id", "label", F.col("p1").between(0.0, 1.0).alias("p1_ok"),
-                    (F.col("pred") == (F.col("p1") > 0.5).cast("int")).alias("pred_ok"))
+    root = _root(spark, "params")
+    save_forest(spark, model, root, "forest", 0)
+    own = forest_score_nodes(load_forest(spark, root, "forest"), test, "vec_id").select("vec_id", F.col("pred").alias("own_pred"), F.col("p1").alias("own_p1"))
+    s = rf_score(model, test, keep=["vec_id", "label"]).join(own, "vec_id")
+    return s.select("vec_id", "label", (F.abs(F.col("own_p1") - F.col("p1")) < 1e-9).alias("p1_equal"),
+                    (F.col("own_pred") == F.col("pred")).alias("pred_equal"))
+
+
+def forest_nodes_q(spark, sf, trees=5):
+    """Node tables of forests grown on every training row (none drawn): per tree, the rows of
+    each class at its root, summed over its leaves, and counted by sending every training row
+    down the stored tree."""
+    train_rows = _emb_split(spark, sf).filter(F.col("split") == "train")
+    root = _root(spark, "params")
+    grown = rf_train(train_rows, seed=SEED, numTrees=trees, bootstrap=False, featureSubsetStrategy="sqrt")
+    save_forest(spark, grown, root, "whole", 0)
+    nodes = load_forest(spark, root, "whole")
+    by_class = lambda at, pre: [F.sum(F.get("counts", F.lit(k))).cast("long").alias(f"{pre}{k}") for k in (0, 1)]
+    roots = nodes.where("node = 0").groupBy("tree").agg(*by_class(0, "root"))
+    leaves = nodes.where("feature IS NULL").groupBy("tree").agg(*by_class(0, "leaf"), F.count("*").alias("n_leaves"))
+    sent = forest_descend(nodes, train_rows, "vec_id").join(train_rows.select("vec_id", "label"), "vec_id")
+    reached = sent.groupBy("tree", "node").agg(*[F.sum((F.col("label") == k).cast("double")).alias(f"c{k}") for k in (0, 1)])
+    same = (nodes.where("feature IS NULL").join(reached, ["tree", "node"], "left")
+            .groupBy("tree").agg(F.sum((F.array("c0", "c1") == F.col("counts")).cast("int")).alias("n_same"),
+                                 F.sum("c0").cast("long").alias("sent0"), F.sum("c1").cast("long").alias("sent1")))
+    return (roots.join(leaves, "tree").join(same, "tree")
+            .select("tree", "root0", "root1", "leaf0", "leaf1", "sent0", "sent1", (F.col("n_same") == F.col("n_leaves")).alias("leaves_hold_their_rows")))
+
+
+def checkpoint_versions(spark, sf):
+    """What a reader sees of a model after each save: version 0 committed; version 1 written
+    but not committed; version 1 committed; version 0 saved again from other rows; and what
+    the pointer file says then."""
+    emb = embeddings_dense(spark, sf)
+    root = _root(spark, "params")
+    seen = []
+
+    def look(step):
+        w = load_params_frame(spark, root, "linear").filter(F.col("name") == "W")
+        seen.append(w.groupBy("version").agg(F.count("*").alias("cells"), r6(F.sum(F.abs("value"))).alias("size"))
+                    .withColumn("step", F.lit(step)))
+        named = read_pointer(spark, f"{root}/model=linear/checkpoint")["model_checkpoint_path"][0]
+        seen[-1] = written(seen[-1].withColumn("pointer", F.lit(named)), "seen")
+
+    def part(m):
+        return params_frame(spark, centroid_model(emb.filter(F.col("vec_id") % m == 0)))
+
+    save_table(part(1), root, "linear", 0)
+    look("first")
+    run, _ = stage_table(part(2), root, "linear", 1)
+    look("half-written")
+    commit_version(spark, root, "linear", 1, run)
+    look("committed")
+    save_table(part(3), root, "linear", 0)
+    look("replaced")
+    out = seen[0]
+    for s in seen[1:]:
+        out = out.unionByName(s)
+    return out.select("step", "version", "cells", "size", "pointer")
 
 
 def three_step_train_test(spark, sf, epochs=2, n_batches=3):
@@ -238,19 +311,23 @@ QUERIES = {
     "width_report": width_report,
     "model_targets": model_targets,
     "batch_gradient": batch_gradient,
+    "adam_step": adam_step_q,
+    "epoch_report": epoch_report,
     "batch_gradient_wide": batch_gradient_wide,
     "warm_start": warm_start,
     "metrics_log": metrics_log,
     "train_mlp": train_mlp,
     "forest_train": forest_train,
     "forest_score": forest_score,
+    "forest_nodes": forest_nodes_q,
+    "checkpoint_versions": checkpoint_versions,
     "three_step_train_test": three_step_train_test,
 }
 
 # ----------------------------------------------------------------- oracles ---
 
 
-def _param_rows_sql() -> str:
+def _param_rows_body() -> str:
     parts = []
     sizes = [EMB_WIDTH] + HIDDEN2
     for l in range(1, len(sizes)):
@@ -267,46 +344,110 @@ def _param_rows_sql() -> str:
                  f"{Q.intmod_sql(L, 0, 'a.range', 'b.range')} AS value FROM range({sizes[-1]}) a, range(2) b")
     parts.append(f"SELECT {L} AS layer, 'b' AS name, 0 AS i, b.range AS j, {Q.intmod_sql(L, 1, '0', 'b.range')} "
                  f"AS value FROM range(2) b")
-    body = "\nUNION ALL ".join(parts)
+    return "\nUNION ALL ".join(parts)
+
+
+def _param_rows_sql() -> str:
     return (f"SELECT CAST(layer AS INTEGER) AS layer, name, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, "
-            f"value FROM ({body}) p WHERE (SELECT max(len(embedding)) FROM embeddings) = {EMB_WIDTH}")
+            f"value FROM ({_param_rows_body()}) p WHERE (SELECT max(len(embedding)) FROM embeddings) = {EMB_WIDTH}")
 
 
 _MLP2T = (Q.emb_src("split") + ",\n" + Q.mlp_ctes("src", EMB_WIDTH, HIDDEN2))
 
-def _gradient_ctes(src: str, width: int, hidden: list[int]) -> str:
-    """Relational backward pass over all rows as one batch, ending in ``g(layer, name, i, j, grad)``."""
+def _gradient_ctes(src: str, width: int, hidden: list[int], params: str | None = None, t: str = "") -> str:
+    """Relational backward pass over all rows as one batch, ending in ``g(layer, name, i, j, grad)``.
+
+    ``params`` and ``t`` as in ``sqlgen.mlp_ctes``.
+    """
     L = len(hidden)
     eps = "CAST(0.001 AS DOUBLE)"
-    parts = [Q.mlp_ctes(src, width, hidden), "n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM labels_src)"]
+    parts = [Q.mlp_ctes(src, width, hidden, params=params, t=t), f"n{t} AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM labels_src{t})"]
     for l in range(1, L + 1):
-        sc = f"(CAST(1 AS DOUBLE) + {Q.intmod_sql(l, 2, '0', 'z.j')})"
-        be = Q.intmod_sql(l, 3, "0", "z.j")
-        parts.append(f"""u{l} AS (SELECT z.id, z.j AS i, (z.z - m.mu) / sqrt(m.var + {eps}) AS zh,
+        sc = Q.vector_sql(l, "scale", "z.j", params)
+        be = Q.vector_sql(l, "beta", "z.j", params)
+        parts.append(f"""u{l}{t} AS (SELECT z.id, z.j AS i, (z.z - m.mu) / sqrt(m.var + {eps}) AS zh,
               {sc} * ((z.z - m.mu) / sqrt(m.var + {eps})) + {be} AS u, sqrt(m.var + {eps}) AS sd, {sc} AS g
-       FROM z{l} z JOIN m{l} m ON z.j = m.j)""")
-    parts.append("""dy AS (SELECT s.id, k.j, ((CASE WHEN k.j = 0 THEN s.p0 ELSE s.p1 END)
+       FROM z{l}{t} z JOIN m{l}{t} m ON z.j = m.j)""")
+    parts.append(f"""dy{t} AS (SELECT s.id, k.j, ((CASE WHEN k.j = 0 THEN s.p0 ELSE s.p1 END)
               - (CASE WHEN k.j = 0 THEN CAST(s.label AS DOUBLE) ELSE CAST(1 - s.label AS DOUBLE) END)) / n.n AS d
-       FROM scored s, (SELECT range AS j FROM range(2)) k, n)""")
-    above, w = "dy", "wo"
-    g = [f"SELECT {L + 1} AS layer, 'W' AS name, h.i AS i, dy.j AS j, sum(h.v * dy.d) AS grad FROM h{L} h JOIN dy ON h.id = dy.id GROUP BY h.i, dy.j",
-         f"SELECT {L + 1}, 'b', 0, j, sum(d) FROM dy GROUP BY j"]
+       FROM scored{t} s, (SELECT range AS j FROM range(2)) k, n{t} n)""")
+    above, w = f"dy{t}", f"wo{t}"
+    g = [f"SELECT {L + 1} AS layer, 'W' AS name, h.i AS i, dy.j AS j, sum(h.v * dy.d) AS grad FROM h{L}{t} h JOIN dy{t} dy ON h.id = dy.id GROUP BY h.i, dy.j",
+         f"SELECT {L + 1}, 'b', 0, j, sum(d) FROM dy{t} GROUP BY j"]
     for l in range(L, 0, -1):
-        parts.append(f"da{l} AS (SELECT a.id, w.i, sum(a.d * w.w) AS da FROM {above} a JOIN {w} w ON a.j = w.j GROUP BY a.id, w.i)")
-        parts.append(f"""du{l} AS (SELECT a.id, a.i, CASE WHEN u.u > 0 THEN a.da ELSE CAST(0 AS DOUBLE) END AS du, u.zh, u.sd, u.g
-       FROM da{l} a JOIN u{l} u ON a.id = u.id AND a.i = u.i)""")
-        parts.append(f"s{l} AS (SELECT i, sum(du) AS s1, sum(du * zh) AS s2 FROM du{l} GROUP BY i)")
-        parts.append(f"""dz{l} AS (SELECT d.id, d.i AS j, (d.g / d.sd) * (d.du - s.s1 / n.n - d.zh * s.s2 / n.n) AS d
-       FROM du{l} d JOIN s{l} s ON d.i = s.i, n)""")
-        below = f"h{l - 1}" if l > 1 else src
-        g += [f"SELECT {l}, 'W', x.i, dz.j, sum(x.v * dz.d) FROM {below} x JOIN dz{l} dz ON x.id = dz.id GROUP BY x.i, dz.j",
-              f"SELECT {l}, 'b', 0, i, CAST(0 AS DOUBLE) FROM s{l}", f"SELECT {l}, 'scale', 0, i, s2 FROM s{l}",
-              f"SELECT {l}, 'beta', 0, i, s1 FROM s{l}"]
-        above, w = f"dz{l}", f"w{l}"
-    parts.append("g AS (" + "\n  UNION ALL ".join(g) + ")")
+        parts.append(f"da{l}{t} AS (SELECT a.id, w.i, sum(a.d * w.w) AS da FROM {above} a JOIN {w} w ON a.j = w.j GROUP BY a.id, w.i)")
+        parts.append(f"""du{l}{t} AS (SELECT a.id, a.i, CASE WHEN u.u > 0 THEN a.da ELSE CAST(0 AS DOUBLE) END AS du, u.zh, u.sd, u.g
+       FROM da{l}{t} a JOIN u{l}{t} u ON a.id = u.id AND a.i = u.i)""")
+        parts.append(f"s{l}{t} AS (SELECT i, sum(du) AS s1, sum(du * zh) AS s2 FROM du{l}{t} GROUP BY i)")
+        parts.append(f"""dz{l}{t} AS (SELECT d.id, d.i AS j, (d.g / d.sd) * (d.du - s.s1 / n.n - d.zh * s.s2 / n.n) AS d
+       FROM du{l}{t} d JOIN s{l}{t} s ON d.i = s.i, n{t} n)""")
+        below = f"h{l - 1}{t}" if l > 1 else src
+        g += [f"SELECT {l}, 'W', x.i, dz.j, sum(x.v * dz.d) FROM {below} x JOIN dz{l}{t} dz ON x.id = dz.id GROUP BY x.i, dz.j",
+              f"SELECT {l}, 'b', 0, i, CAST(0 AS DOUBLE) FROM s{l}{t}", f"SELECT {l}, 'scale', 0, i, s2 FROM s{l}{t}",
+              f"SELECT {l}, 'beta', 0, i, s1 FROM s{l}{t}"]
+        above, w = f"dz{l}{t}", f"w{l}{t}"
+    parts.append(f"g{t} AS (" + "\n  UNION ALL ".join(g) + ")")
     return ",\n".join(parts)
 
 
+def _adam_ctes(src: str, lrs: list[float], b1: float = 0.9, b2: float = 0.999) -> str:
+    """Whole-batch Adam steps from the integer-derived weights: ``a0`` to ``a<n>`` (layer, name, i, j, value, m, v)."""
+    parts = [f"a0 AS (SELECT layer, name, i, j, value, CAST(0 AS DOUBLE) AS m, CAST(0 AS DOUBLE) AS v FROM ({_param_rows_body()}) p)"]
+    for step, lr in enumerate(lrs, start=1):
+        t = f"_{step}"
+        rate = lr * math.sqrt(1 - b2 ** step) / (1 - b1 ** step)
+        parts.append(_gradient_ctes(src, EMB_WIDTH, HIDDEN2, f"a{step - 1}", t))
+        parts.append(f"""mv{step} AS (SELECT p.layer, p.name, p.i, p.j, p.value, {b1!r}::DOUBLE * p.m + {1 - b1!r}::DOUBLE * g.grad AS m,
+    {b2!r}::DOUBLE * p.v + {1 - b2!r}::DOUBLE * g.grad * g.grad AS v
+  FROM a{step - 1} p JOIN g{t} g ON p.layer = g.layer AND p.name = g.name AND p.i = g.i AND p.j = g.j)""")
+        parts.append(f"a{step} AS (SELECT layer, name, i, j, value - {rate!r}::DOUBLE * m / (sqrt(v) + 1e-8::DOUBLE) AS value, m, v FROM mv{step})")
+    return ",\n".join(parts)
+
+
+def _adam_sql() -> str:
+    cols = ", ".join(f"{Q.r6(c)} AS {c}" for c in ("value", "m", "v"))
+    steps = "\nUNION ALL ".join(f"SELECT {k} AS step, CAST(layer AS INTEGER) AS layer, name, CAST(i AS INTEGER) AS i, "
+                                f"CAST(j AS INTEGER) AS j, {cols} FROM a{k}" for k in (1, 2))
+    return f"WITH {Q.emb_src()},\n{_adam_ctes('src', [0.01, 0.01])}\n{steps}"
+
+
+def _epoch_report_sql() -> str:
+    """Two epochs of one whole batch of the train split, each scored on both splits."""
+    ce = "-(CAST(label AS DOUBLE) * logp0 + (CAST(1 AS DOUBLE) - CAST(label AS DOUBLE)) * logp1)"
+    hit = "CASE WHEN pred = (CASE WHEN label = 1 THEN 0 ELSE 1 END) THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END"
+    parts, rows = [], []
+    for e in (0, 1):
+        t = f"_e{e}"
+        parts.append(Q.mlp_ctes("src", EMB_WIDTH, HIDDEN2, params=f"a{e + 1}", t=t))
+        parts.append(f"r{e} AS (SELECT g AS split, avg({hit}) AS accuracy, avg({ce}) AS ce FROM scored{t} GROUP BY g)")
+        parts.append(f"u{e} AS {Q.auc_sql(f'scored{t}', 'p0', 'label', 'g')}")
+        pick = lambda c, sp, e=e: f"(SELECT {Q.r6(c)} FROM r{e} WHERE split = '{sp}')"
+        auc = lambda sp, e=e: f"(SELECT {Q.r6('roc_auc')} FROM u{e} WHERE g = '{sp}')"
+        rows.append(f"SELECT {e} AS epoch, {pick('accuracy', 'train')} AS train_accuracy, {pick('accuracy', 'test')} AS test_accuracy, "
+                    f"{pick('ce', 'train')} AS train_cross_entropy, {pick('ce', 'test')} AS test_cross_entropy, "
+                    f"{auc('train')} AS train_roc_auc, {auc('test')} AS test_roc_auc, "
+                    f"(SELECT {Q.r6(f'avg({ce})')} FROM scored_{e + 1}) AS batch_loss")
+    whole = "batch AS (SELECT id, 'all' AS g, label, i, v FROM src WHERE g = 'train')"
+    return (f"WITH {Q.emb_src('split')},\n{whole},\n{_adam_ctes('batch', [0.02, 0.01])},\n" + ",\n".join(parts)
+            + "\n" + "\nUNION ALL ".join(rows))
+
+
+def _init_sql(std: float = 0.1) -> str:
+    """Values of every cell that an initialised model must have."""
+    sizes = [EMB_WIDTH] + HIDDEN2 + [2]
+    L = len(sizes) - 1
+    parts = []
+    for l in range(1, L + 1):
+        parts.append(f"SELECT {l}, 'W', a.range, b.range, {truncated_normal_sql(SEED, l, 'a.range', 'b.range')} * {std!r}::DOUBLE "
+                     f"FROM range({sizes[l - 1]}) a, range({sizes[l]}) b")
+        vectors = (("b", 0.1),) if l == L else (("b", 0.1), ("scale", 1.0), ("beta", 0.0))
+        parts += [f"SELECT {l}, '{n}', 0, b.range, {x!r}::DOUBLE FROM range({sizes[l]}) b" for n, x in vectors]
+    parts += ["SELECT 0, 'global_step', 0, 0, 0::DOUBLE", "SELECT 0, 'eps', 0, 0, 0.001::DOUBLE"]
+    body = "\nUNION ALL ".join(parts)
+    return (f"SELECT CAST(layer AS INTEGER) AS layer, name, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(value, 9) + CAST(0 AS DOUBLE) AS value "
+            f"FROM ({body}) p(layer, name, i, j, value) WHERE (SELECT max(len(embedding)) FROM embeddings) = {EMB_WIDTH}")
+
+
 def _gradient_sql() -> str:
     return f"""WITH {Q.emb_src()},
 {_gradient_ctes("src", EMB_WIDTH, HIDDEN2)}
@@ -323,22 +464,6 @@ SELECT CAST(layer AS INTEGER) AS layer, name, count(*) AS cells, {Q.r6("sum(grad
 FROM g GROUP BY layer, name"""
 
 
-def _saved_params_sql() -> str:
-    """The cells that an initialised model must have, all as drawn."""
-    sizes = [EMB_WIDTH] + HIDDEN2
-    L = len(sizes)
-    parts = []
-    for l in range(1, L):
-        parts.append(f"SELECT {l}, 'W', a.range, b.range FROM range({sizes[l - 1]}) a, range({sizes[l]}) b")
-        parts += [f"SELECT {l}, '{n}', 0, b.range FROM range({sizes[l]}) b" for n in ("b", "scale", "beta")]
-    parts.append(f"SELECT {L}, 'W', a.range, b.range FROM range({sizes[-1]}) a, range(2) b")
-    parts.append(f"SELECT {L}, 'b', 0, b.range FROM range(2) b")
-    parts += ["SELECT 0, 'global_step', 0, 0", "SELECT 0, 'eps', 0, 0"]
-    body = "\nUNION ALL ".join(parts)
-    return (f"SELECT CAST(layer AS INTEGER) AS layer, name, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, TRUE AS as_drawn "
-            f"FROM ({body}) p(layer, name, i, j) WHERE (SELECT max(len(embedding)) FROM embeddings) = {EMB_WIDTH}")
-
-
 _CENTROID = f"""{Q.EMB_CELLS},
 w AS (SELECT t.tag, c.i, avg(CASE WHEN c.label = 1 THEN c.v END) - avg(CASE WHEN c.label = 0 THEN c.v END) AS w
       FROM emb_cells c JOIN (VALUES ('serve', 1), ('train', 2)) t(tag, m) ON c.id % t.m = 0 GROUP BY t.tag, c.i),
@@ -380,7 +505,9 @@ ORACLE = {
     "metrics_log": _metrics_log_sql(),
     "batch_gradient": _gradient_sql(),
     "batch_gradient_wide": _gradient_wide_sql(),
-    "save_params": _saved_params_sql(),
+    "save_params": _init_sql(),
+    "adam_step": _adam_sql(),
+    "epoch_report": _epoch_report_sql(),
     "export_tagged": f"WITH {_CENTROID} SELECT tag, count(*) AS cells, {Q.r6('sum(abs(v))')} AS size FROM v GROUP BY tag",
     "param_histogram": f"""WITH {_CENTROID},
 c AS (SELECT least(11, floor((v - CAST(-0.03 AS DOUBLE)) / (CAST(0.03 AS DOUBLE) - CAST(-0.03 AS DOUBLE)) * 12)) AS bin, count(*) AS n
@@ -398,7 +525,16 @@ FROM range(12) r LEFT JOIN c ON c.bin = r.range""",
     "forest_train": "SELECT CAST(range AS INTEGER) AS tree, count(*) > 0 AS nodes_ok, TRUE AS depth_ok FROM range(100), embeddings GROUP BY range",
     "forest_score": f"""WITH o AS (SELECT vec_id, label, row_number() OVER (ORDER BY md5('{SEED}:' || CAST(vec_id AS VARCHAR)), vec_id) - 1 AS ix
   FROM embeddings), {_SPLIT_SIZES}
-SELECT vec_id, CASE WHEN label < 5 THEN 1 ELSE 0 END AS label, TRUE AS p1_ok, TRUE AS pred_ok FROM o, k WHERE ix >= k""",
+SELECT vec_id, CASE WHEN label < 5 THEN 1 ELSE 0 END AS label, TRUE AS p1_equal, TRUE AS pred_equal FROM o, k WHERE ix >= k""",
+    "forest_nodes": f"""WITH {Q.emb_src("split")}, c AS (SELECT sum(1 - label) AS n0, sum(label) AS n1 FROM (SELECT DISTINCT id, label FROM src WHERE g = 'train'))
+SELECT CAST(t.range AS INTEGER) AS tree, CAST(n0 AS BIGINT) AS root0, CAST(n1 AS BIGINT) AS root1, CAST(n0 AS BIGINT) AS leaf0, CAST(n1 AS BIGINT) AS leaf1,
+  CAST(n0 AS BIGINT) AS sent0, CAST(n1 AS BIGINT) AS sent1, TRUE AS leaves_hold_their_rows FROM c, range(5) t""",
+    "checkpoint_versions": f"""WITH {Q.EMB_CELLS},
+t(step, m, version) AS (VALUES ('first', 1, 0), ('half-written', 1, 0), ('committed', 2, 1), ('replaced', 3, 0)),
+w AS (SELECT t.step, t.version, c.i, avg(CASE WHEN c.label = 1 THEN c.v END) - avg(CASE WHEN c.label = 0 THEN c.v END) AS w
+      FROM emb_cells c JOIN t ON c.id % t.m = 0 GROUP BY t.step, t.version, c.i)
+SELECT step, CAST(version AS INTEGER) AS version, 2 * count(*) AS cells, {Q.r6("2 * sum(abs(w))")} AS size, CAST(version AS VARCHAR) AS pointer
+FROM w GROUP BY step, version""",
     "three_step_train_test": f"WITH {_SPLIT_SIZES} SELECT 6 AS global_step, n - k AS n_rows, TRUE AS accuracy_ok, TRUE AS roc_auc_ok FROM k",
     "load_params": _param_rows_sql(),
     "score_saved_model": f"""WITH {Q.emb_src("split").replace("src AS (SELECT c.id, s.split AS g", "src AS (SELECT c.id, s.split AS g") .replace("FROM emb_cells c JOIN spl s ON c.id = s.vec_id)", "FROM emb_cells c JOIN spl s ON c.id = s.vec_id WHERE s.split = 'test')")},

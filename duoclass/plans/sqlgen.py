@@ -14,47 +14,59 @@ def intmod_sql(layer: int, code: int, i: str, j: str) -> str:
             f"/ CAST(100 AS DOUBLE)")
 
 
-def weights_cte(name: str, layer: int, d: int, h: int) -> str:
+def weights_cte(name: str, layer: int, d: int, h: int, params: str | None = None) -> str:
+    if params:
+        return f"{name} AS (SELECT i, j, value AS w FROM {params} WHERE layer = {layer} AND name = 'W')"
     return (f"{name} AS (SELECT a.range AS i, b.range AS j, {intmod_sql(layer, 0, 'a.range', 'b.range')} AS w "
             f"FROM range({d}) a, range({h}) b)")
 
 
-def mlp_ctes(src: str, d: int, hidden: list[int], n_out: int = 2) -> str:
+def vector_sql(layer: int, name: str, j: str, params: str | None = None) -> str:
+    """Value at ``j`` of a layer's bias, scale or shift."""
+    if params:
+        return f"(SELECT q.value FROM {params} q WHERE q.layer = {layer} AND q.name = '{name}' AND q.j = {j})"
+    v = intmod_sql(layer, ("b", "scale", "beta").index(name) + 1, "0", j)
+    return f"(CAST(1 AS DOUBLE) + {v})" if name == "scale" else v
+
+
+def mlp_ctes(src: str, d: int, hidden: list[int], n_out: int = 2, params: str | None = None, t: str = "") -> str:
     """CTEs ending in ``scored(id, g, label, y0, y1, p0, p1, logp0, logp1, pred)``.
 
-    ``src`` is a CTE name with columns (id, g, label, i, v): one row per input cell.
+    ``src`` is a CTE name with columns (id, g, label, i, v): one row per input cell.  The
+    weights are the integer-derived ones, or those of a relation ``params(layer, name, i, j,
+    value)``; ``t`` ends the names of the CTEs.
     """
     parts = []
     sizes = [d] + list(hidden)
     prev = src
     for l in range(1, len(sizes)):
         dl, hl = sizes[l - 1], sizes[l]
-        parts.append(weights_cte(f"w{l}", l, dl, hl))
-        b = intmod_sql(l, 1, "0", "w.j")
-        parts.append(f"z{l} AS (SELECT x.id, x.g, w.j, sum(x.v * w.w) + {b} AS z "
-                     f"FROM {prev} x JOIN w{l} w ON x.i = w.i GROUP BY x.id, x.g, w.j)")
-        parts.append(f"m{l} AS (SELECT g, j, avg(z) AS mu, var_pop(z) AS var FROM z{l} GROUP BY g, j)")
-        sc = f"(CAST(1 AS DOUBLE) + {intmod_sql(l, 2, '0', 'z.j')})"
-        be = intmod_sql(l, 3, "0", "z.j")
+        parts.append(weights_cte(f"w{l}{t}", l, dl, hl, params))
+        b = vector_sql(l, "b", "w.j", params)
+        parts.append(f"z{l}{t} AS (SELECT x.id, x.g, w.j, sum(x.v * w.w) + {b} AS z "
+                     f"FROM {prev} x JOIN w{l}{t} w ON x.i = w.i GROUP BY x.id, x.g, w.j)")
+        parts.append(f"m{l}{t} AS (SELECT g, j, avg(z) AS mu, var_pop(z) AS var FROM z{l}{t} GROUP BY g, j)")
+        sc = vector_sql(l, "scale", "z.j", params)
+        be = vector_sql(l, "beta", "z.j", params)
         parts.append(
-            f"h{l} AS (SELECT z.id, z.g, z.j AS i, greatest(CAST(0 AS DOUBLE), {sc} * ((z.z - m.mu) / "
+            f"h{l}{t} AS (SELECT z.id, z.g, z.j AS i, greatest(CAST(0 AS DOUBLE), {sc} * ((z.z - m.mu) / "
             f"sqrt(m.var + CAST(0.001 AS DOUBLE))) + {be}) AS v "
-            f"FROM z{l} z JOIN m{l} m ON z.g = m.g AND z.j = m.j)")
-        prev = f"h{l}"
+            f"FROM z{l}{t} z JOIN m{l}{t} m ON z.g = m.g AND z.j = m.j)")
+        prev = f"h{l}{t}"
     L = len(sizes)
-    parts.append(weights_cte("wo", L, sizes[-1], n_out))
-    bo = intmod_sql(L, 1, "0", "w.j")
-    parts.append(f"yl AS (SELECT x.id, x.g, w.j, sum(x.v * w.w) + {bo} AS y "
-                 f"FROM {prev} x JOIN wo w ON x.i = w.i GROUP BY x.id, x.g, w.j)")
-    parts.append("yp AS (SELECT id, g, max(CASE WHEN j = 0 THEN y END) AS y0, "
-                 "max(CASE WHEN j = 1 THEN y END) AS y1 FROM yl GROUP BY id, g)")
-    parts.append("ye AS (SELECT id, g, y0, y1, greatest(y0, y1) AS m, exp(y0 - greatest(y0, y1)) AS e0, "
-                 "exp(y1 - greatest(y0, y1)) AS e1 FROM yp)")
-    parts.append(f"labels_src AS (SELECT DISTINCT id, g, label FROM {src})")
-    parts.append("scored AS (SELECT ye.id, ye.g, l.label, y0, y1, e0 / (e0 + e1) AS p0, e1 / (e0 + e1) AS p1, "
+    parts.append(weights_cte(f"wo{t}", L, sizes[-1], n_out, params))
+    bo = vector_sql(L, "b", "w.j", params)
+    parts.append(f"yl{t} AS (SELECT x.id, x.g, w.j, sum(x.v * w.w) + {bo} AS y "
+                 f"FROM {prev} x JOIN wo{t} w ON x.i = w.i GROUP BY x.id, x.g, w.j)")
+    parts.append(f"yp{t} AS (SELECT id, g, max(CASE WHEN j = 0 THEN y END) AS y0, "
+                 f"max(CASE WHEN j = 1 THEN y END) AS y1 FROM yl{t} GROUP BY id, g)")
+    parts.append(f"ye{t} AS (SELECT id, g, y0, y1, greatest(y0, y1) AS m, exp(y0 - greatest(y0, y1)) AS e0, "
+                 f"exp(y1 - greatest(y0, y1)) AS e1 FROM yp{t})")
+    parts.append(f"labels_src{t} AS (SELECT DISTINCT id, g, label FROM {src})")
+    parts.append(f"scored{t} AS (SELECT ye.id, ye.g, l.label, y0, y1, e0 / (e0 + e1) AS p0, e1 / (e0 + e1) AS p1, "
                  "y0 - m - ln(e0 + e1) AS logp0, y1 - m - ln(e0 + e1) AS logp1, "
                  "CASE WHEN y0 >= y1 THEN 0 ELSE 1 END AS pred "
-                 "FROM ye JOIN labels_src l ON ye.id = l.id AND ye.g = l.g)")
+                 f"FROM ye{t} ye JOIN labels_src{t} l ON ye.id = l.id AND ye.g = l.g)")
     return ",\n".join(parts)
 
 

@@ -59,4 +59,5 @@ def test_gradient_blocks_follow_the_model_not_the_rows(spark):
     assert len(pdf) == 4
     twice = list(_add_blocks(iter([pdf, pdf])))[0]
     got = {(r.key, r.block): np.frombuffer(r.data) for r in twice.itertuples()}
+    assert (pdf.part == 0).all() and len(pdf.rows[0]) == BLOCK_ROWS - 0
     assert np.allclose(got["A", 1], 2 * a[BLOCK_ROWS:2 * BLOCK_ROWS].ravel()) and list(got["s", 0]) == [2.0, 4.0]

@@ -7,7 +7,8 @@ import pandas as pd
 
 from duoclass.operators.kernels import Inputs, forward, log_softmax
 from duoclass.operators.model import init_model
-from duoclass.operators.training import adam_update, batch_gradient, staircase_lr, train
+from duoclass.operators.optimizer import BLOCK_ROWS, adam_step, arrays_of, block_tuples, cells, state_of, BLOCK_SCHEMA
+from duoclass.operators.training import batch_gradient, gradient_blocks, staircase_lr, train
 
 
 def data(spark, n=48, d=4, parts=3, seed=0):
@@ -49,17 +50,68 @@ def test_gradient_finite_differences(spark):
                 assert abs(num - g[key][idx]) < 1e-7, (hidden, key, idx)
 
 
-def test_adam_and_staircase():
+def np_adam(p, g, m, v, lr, t):
+    m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+    return p - lr * math.sqrt(1 - 0.999 ** t) / (1 - 0.9 ** t) * m / (np.sqrt(v) + 1e-8), m, v
+
+
+def test_adam_and_staircase(spark):
+    """Two steps of the joined update against NumPy; a block without gradient decays."""
     assert staircase_lr(0.05, 0.95, 5000, 4999) == 0.05
     assert math.isclose(staircase_lr(0.05, 0.95, 5000, 10000), 0.05 * 0.95 ** 2)
-    m = init_model(2, [], seed=0)
-    w0 = m.W_out.copy()
-    g = {(1, "W"): np.full_like(w0, 0.5), (1, "b"): np.zeros(2)}
-    adam_update(m, g, 0.1)
-    # first step: m = 0.05, v = 0.00025, lr_t = 0.1*sqrt(.001)/.1 -> step = lr_t * 0.05/(sqrt(v)+eps)
-    lr_t = 0.1 * math.sqrt(1 - 0.999) / (1 - 0.9)
-    expect = w0 - lr_t * 0.05 / (math.sqrt(0.00025) + 1e-8)
-    assert np.allclose(m.W_out, expect) and m.global_step == 1
+    model = init_model(3 * BLOCK_ROWS + 5, [4], seed=0)
+    r = np.random.default_rng(1)
+    state = state_of(spark, model)
+    want = {k: (a, np.zeros_like(a), np.zeros_like(a)) for k, a in model.arrays().items()}
+    for t in (1, 2):
+        g = {k: r.normal(size=a.shape) for k, a in model.arrays().items()}
+        if t == 2:
+            g[1, "W"][BLOCK_ROWS:2 * BLOCK_ROWS] = 0
+        rows = [x for x in block_tuples(g) if t == 1 or x[:3] != (1, "W", 1)]
+        grads = spark.createDataFrame(rows + [(9, "W", 0, 1, [1.0])], BLOCK_SCHEMA)
+        state = adam_step(state, grads, 0.1, t)
+        want = {k: np_adam(p, g[k], m, v, 0.1, t) for k, (p, m, v) in want.items()}
+    for i, column in enumerate(("value", "m", "v")):
+        got = arrays_of(state, column)
+        assert got.keys() == want.keys()
+        assert all(np.allclose(got[k], want[k][i], rtol=1e-13, atol=1e-15) for k in want)
+    c = {(x["name"], x["layer"], x["i"], x["j"]): x["value"] for x in cells(state).collect()}
+    assert len(c) == model.n_cells and c["W", 1, 2 * BLOCK_ROWS + 3, 2] == arrays_of(state)[1, "W"][2 * BLOCK_ROWS + 3, 2]
+
+
+def test_sparse_gradient_has_touched_blocks_only(spark):
+    """Rows travel only where a feature occurs: of 40 blocks, two have a gradient row."""
+    width = 40 * BLOCK_ROWS
+    feats = [[(i * 7 % 20, 1.0), (30 * BLOCK_ROWS + i % 5, 0.5 + i)] for i in range(30)]
+    df = spark.createDataFrame([(i, i % 2, f) for i, f in enumerate(feats)], "row_id long, label int, feats array<struct<i:int,v:double>>").repartition(5)
+    m = init_model(width, [3], seed=2)
+    blocks, _ = gradient_blocks(df, m, features="feats", sparse=True)
+    assert sorted(r["block"] for r in blocks.filter("layer = 1 AND name = 'W'").collect()) == [0, 30]
+    g, _ = batch_gradient(df, m, features="feats", sparse=True)
+    dense = np.zeros((30, width))
+    for i, f in enumerate(feats):
+        for j, x in f:
+            dense[i, j] += x
+    full = spark.createDataFrame(pd.DataFrame({"row_id": np.arange(30), "label": np.arange(30) % 2, "features": list(dense)})).repartition(3)
+    gd, _ = batch_gradient(full, m)
+    assert all(np.allclose(g[k], gd[k], atol=1e-12) for k in g)
+
+
+def test_reduction_tree_has_bounded_fan_in(spark):
+    """No task receives a block from every partition."""
+    from duoclass.operators.training import FAN_IN, _add_blocks, _block_rows, _sum_blocks, tree_levels
+    assert tree_levels(1) == [1] and tree_levels(16) == [1] and tree_levels(17) == [2, 1] and tree_levels(10 ** 6)[-1] == 1
+    left = 10 ** 6
+    for parts in tree_levels(left):
+        assert max(len(range(p, left, parts)) for p in {0, parts - 1}) <= FAN_IN
+        left = parts
+    df = spark.range(0, 900, 1, 90)
+    sums = _sum_blocks(df, lambda pdf, _: {"n": np.full((70, 2), float(len(pdf))), "none": np.zeros((200, 1))})
+    got = {(r["key"], r["block"]): r for r in sums.collect()}
+    assert sorted(got) == [("n", 0), ("n", 1), ("none", 0)]
+    assert np.frombuffer(bytes(got["n", 1]["data"])).tolist() == [900.0] * 12
+    a = _block_rows({"x": np.eye(3) * [1, 0, 2]}, 4)
+    assert list(_add_blocks([a]))[0]["rows"].tolist() == [bytes([0, 2])]
 
 
 def test_loss_falls(spark):
@@ -133,3 +185,18 @@ def test_sequential_batches_training(spark):
     assert m.global_step == 3 * 4
     losses = [r["value"] for r in metrics.filter("metric = 'mean_batch_loss'").orderBy("epoch").collect()]
     assert losses[-1] < losses[0]
+
+
+def test_initial_weights_are_the_same_in_every_form(spark):
+    """Cells by column expressions = NumPy = any split into partitions; within two deviations."""
+    from duoclass.operators.model import init_cells, truncated_normal_np
+    m = init_model(37, [9, 5], seed=6)
+    rows = {(r["layer"], r["name"], r["i"], r["j"]): r["value"] for r in init_cells(spark, 37, [9, 5], seed=6).collect()}
+    assert len(rows) == m.n_cells + 2
+    for (layer, name), a in m.arrays().items():
+        for at in np.ndindex(a.shape):
+            i, j = at if len(at) == 2 else (0, at[0])
+            assert abs(rows[layer, name, i, j] - a[at]) < 1e-14
+    z = truncated_normal_np(1, 1, 300, 300)
+    assert np.abs(z).max() <= 2 and abs(z.mean()) < 0.02 and abs(z.std() - 0.8796) < 0.01
+    assert abs(np.corrcoef(z.ravel(), truncated_normal_np(1, 2, 300, 300).ravel())[0, 1]) < 0.02
