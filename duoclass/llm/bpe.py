@@ -29,7 +29,7 @@ from duoclass.llm.tokenfiles import bpe_json
 
 # The split pattern of byte-level BPE files (a fixed value).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
-CACHE = 300_000        # pieces of one generation of the cache
+CACHE = 120_000        # pieces of one generation of the cache (some 25 MB)
 CACHE_CHARS = 64       # longer pieces are not kept
 OUT_IDS = 400_000      # ids of one output batch
 
@@ -187,7 +187,8 @@ def _stage(handle, names: list[str], text_at: int, todo: str):
 def encode(df: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
     """All rows and columns of ``df`` with ``bpe_ids`` (array of int).
 
-    A null or empty text has no ids.  A column of ``df`` with that name is replaced.
+    A null or empty text has no ids.  Rows that repeat are encoded each; a text of any
+    length is encoded whole.  A column of ``df`` with that name is replaced.
     """
     spark = df.sparkSession
     prepare(spark)
@@ -215,7 +216,10 @@ def decode(df: DataFrame, ids_col: str = "bpe_ids", path: str | None = None) ->
 
 
 def encode_decode(df: DataFrame, text_col: str = "text", path: str | None = None) -> DataFrame:
-    """``encode`` and the ``decode`` of its ids in one pass: ``bpe_ids``, ``bpe_text``."""
+    """``encode`` and the ``decode`` of its ids in one pass: ``bpe_ids``, ``bpe_text``.
+
+    A null or empty text has no ids and an empty ``bpe_text``; otherwise as ``encode``.
+    """
     spark = df.sparkSession
     prepare(spark)
     df = df.drop("bpe_ids", "bpe_text")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import math
 import uuid
 
@@ -97,14 +99,21 @@ _STATE: dict[str, object] = {}
 def worker_state(key: str, make):
     """The state under ``key``, made on first use; any other is let go."""
     if key not in _STATE:
-        _STATE.clear()
+        no_state()
         _STATE[key] = make()
     return _STATE[key]
 
 
 def no_state() -> None:
-    """A stage without a state of its own lets go of what an earlier one kept."""
-    _STATE.clear()
+    """A stage without a state of its own lets go of what an earlier one kept, and gives
+    the memory back: workers are reused from stage to stage."""
+    if _STATE:
+        _STATE.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)   # where the C library has it
+        if trim:
+            trim(0)
 
 
 # Rolling 64-bit hashes: byte values from a fixed random table, powers of an odd base.

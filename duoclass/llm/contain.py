@@ -44,18 +44,34 @@ def _hash(k: int) -> Column:
     return F.xxhash64(*[F.col(f"g.w{j}") for j in range(k)])
 
 
-def shingle_rows(df: DataFrame, id_cols: list[str], text_col: str, k: int) -> DataFrame:
-    """One row (ids, n words, h) per shingle place of each text."""
+def shingle_rows(df: DataFrame, id_cols: list[str], text_col: str, ks: list[int]) -> DataFrame:
+    """One row (ids, n places of that length, h) per shingle place of each text, for each of
+    the lengths ``ks``."""
     w = df.select(*id_cols, words(F.col(text_col)).alias("w"))
-    return (w.select(*id_cols, F.size("w").alias("n_words"), F.explode(shingles(F.col("w"), k)).alias("g"))
-            .select(*id_cols, "n_words", _hash(k).alias("h")))
+    parts = [w.select(*id_cols, (F.size("w") - (k - 1)).alias("n_places"), F.explode(shingles(F.col("w"), k)).alias("g"))
+             .select(*id_cols, "n_places", _hash(k).alias("h")) for k in ks]
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    return whole
 
 
-def item_sets(items: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """(item, h, n): each item's distinct shingles and their number."""
-    rows = shingle_rows(items.select(F.col(id_col).alias("item"), text_col), ["item"], text_col, k).where("item IS NOT NULL")
-    sets = rows.select("item", "h").distinct()
-    return sets.join(sets.groupBy("item").agg(F.count("*").alias("n")), "item")
+def item_sets(items: DataFrame, id_col: str, text_col: str, k: int) -> tuple[DataFrame, list[int]]:
+    """(item, h, n): each item's distinct shingles and their number; the shingles' lengths.
+
+    An item of fewer than ``k`` words (but one or more) has its whole sequence as its only
+    shingle, so texts are searched for sequences of that length as well.
+    """
+    own = items.select(F.col(id_col).alias("item"), F.col(text_col).alias("t")).where("item IS NOT NULL")
+    w = words(F.col("t"))
+    n = F.when(F.get(w, F.lit(0)) == "", 0).otherwise(F.size(w))
+    sized = own.select("item", "t", n.alias("n_words"))
+    short = sorted(r["n_words"] for r in sized.where(F.col("n_words").between(1, k - 1)).select("n_words").distinct().collect())
+    rows = shingle_rows(own, ["item"], "t", [k]).select("item", "h")
+    for m in short:
+        rows = rows.unionByName(shingle_rows(sized.where(F.col("n_words") == m), ["item"], "t", [m]).select("item", "h"))
+    sets = rows.distinct()
+    return sets.join(sets.groupBy("item").agg(F.count("*").alias("n")), "item"), [k, *short]
 
 
 def sketches(sets: DataFrame, percent: int) -> DataFrame:
@@ -81,28 +97,28 @@ def contained_items(df: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     prepare(spark)
     k = shingle_words
     docs = df.select(F.col(id_col).alias("doc"), F.col(text_col).alias("t")).where("doc IS NOT NULL")
-    sets = cut(item_sets(items, item_col, item_text_col, k), "bench-sets")
+    sets, ks = item_sets(items, item_col, item_text_col, k)
+    sets = cut(sets, "bench-sets")
     sketch = cut(sketches(sets, percent), "bench-sketches")
     least = F.ceil(F.col("low") * percent / 100)
     parts = sketch.groupBy("part").agg(F.max("h").alias("ceiling"), F.min("n").alias("low")).select("part", "ceiling", least.alias("least"))
     # one row per partition of sizes: at most 64 by construction
     bounds = F.broadcast(parts.agg(F.max("ceiling").alias("top"), F.min("least").alias("fewest")))
     probes = sketch.join(F.broadcast(parts), "part").select("item", "h", "ceiling", "least")
-    grams = shingle_rows(docs, ["doc"], "t", k)
+    grams = shingle_rows(docs, ["doc"], "t", ks)
     bound = bounds.first()
     if bound is None or bound["top"] is None:
-        empty = docs.join(sets.select("item", "n").limit(0))
-        return empty.select(F.col("doc").alias("doc_id"), F.col("item").alias("item_id"), F.col("n").alias("n_item"),
-                            F.col("n").alias("n_shared"))
-    grams = grams.where((F.col("h") <= bound["top"]) & (F.col("n_words") - (k - 1) >= bound["fewest"]))
+        kinds = [f"{c} {t.simpleString()}" for c, t in (("doc_id", docs.schema["doc"].dataType), ("item_id", sets.schema["item"].dataType))]
+        return spark.createDataFrame([], ", ".join([*kinds, "n_item long", "n_shared long"]))
+    grams = grams.where((F.col("h") <= bound["top"]) & (F.col("n_places") >= bound["fewest"]))
     n_probes = sketch.count()
     found = (grams.join(small_or_shuffled(probes, n_probes), "h")
-             .where((F.col("h") <= F.col("ceiling")) & (F.col("n_words") - (k - 1) >= F.col("least")))
+             .where((F.col("h") <= F.col("ceiling")) & (F.col("n_places") >= F.col("least")))
              .select("doc", "item").distinct())
     pairs = cut(found, "bench-candidates")
     ids = pairs.select("doc").distinct()
     some = docs.join(small_or_shuffled(ids, pairs.count()), "doc", "left_semi")
-    held = shingle_rows(some, ["doc"], "t", k).select("doc", "h")
+    held = shingle_rows(some, ["doc"], "t", ks).select("doc", "h")
     counted = (held.join(small_or_shuffled(sets, sets.count()), "h").distinct()
                .groupBy("doc", "item", "n").agg(F.count("*").alias("n_shared"))
                .where(F.col("n_shared") * 100 >= F.col("n") * percent))

@@ -22,15 +22,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from duoclass.llm.common import batch_of, cut, drop, prepare, worker_state
+from duoclass.llm.partcache import PartCache
 from duoclass.llm.tokenfiles import unigram_pieces
 
 SAMPLE_DOCS = 1000   # about so many distinct labelled texts of a language are learned from
 ROUNDS = 3           # of expectation maximisation
-PART = 32            # letters scored at once; a longer run of letters is scored in such parts
-MAX_PIECE = 16       # letters of the longest piece used
+SHORT = 32           # letters up to which a run's probability can't leave the range of a double
 SMOOTH = 0.1         # added to every piece's expected count
 UNKNOWN = 1e-8       # probability of a letter outside the vocabulary, in every language
-CACHE = 600_000      # parts whose scores a worker keeps
+CACHE_BYTES = 96_000_000   # of scores of runs that a worker keeps
+CACHE_LETTERS = 100  # of the longest run whose score is kept
 BLOCK_CHARS = 2_000_000
 UNDETERMINED = "und"
 _LETTERS = regex.compile(r"\p{L}+")
@@ -41,21 +42,14 @@ def vocabulary(path: str | None = None) -> list[str]:
     out = {}
     for piece, _ in unigram_pieces(path):
         bare = piece[1:] if piece.startswith("▁") else piece
-        if len(piece) <= MAX_PIECE and (bare == "" or _LETTERS.fullmatch(bare)) and piece == piece.lower():
+        if (bare == "" or _LETTERS.fullmatch(bare)) and piece == piece.lower():
             out[piece] = None
     return list(out)
 
 
 def parts_of(text: str) -> list[str]:
-    """Runs of letters, lower-cased and marked at their start, in parts of ``PART``."""
-    out = []
-    for w in _LETTERS.findall(text.lower()):
-        w = "▁" + w
-        if len(w) <= PART:
-            out.append(w)
-        else:
-            out += [w[i:i + PART] for i in range(0, len(w), PART)]
-    return out
+    """Runs of letters, lower-cased and marked at their start."""
+    return ["▁" + w for w in _LETTERS.findall(text.lower())]
 
 
 class Model:
@@ -82,6 +76,8 @@ class Model:
     def log_probs(self, s: str) -> list[float]:
         """Logarithm of the summed probability of all segmentations, by language."""
         e, n = self.edges(s), len(s)
+        if n > SHORT:
+            return [self._scaled(e, n, self.longest, lang)[2] for lang in range(len(self.languages))]
         out = []
         for lang in range(len(self.languages)):
             a = [0.0] * (n + 1)
@@ -91,9 +87,33 @@ class Model:
             out.append(math.log(a[n]))
         return out
 
+    @staticmethod
+    def _scaled(e: list, n: int, longest: int, lang: int) -> tuple[list[float], list[float], float]:
+        """Forward sums of a run of any length: a[i] * exp(shift[i]) for each place, and the
+        logarithm of the last.  What lies ahead is scaled up whenever a sum becomes small."""
+        a, shift = [0.0] * (n + 1), [0.0] * (n + 1)
+        a[0], done, at = 1.0, 0.0, 0
+        for i, j, p in e:
+            if i != at:
+                at = i
+                if a[i] < 1e-100:
+                    up = 1.0 / a[i]
+                    done += math.log(a[i])
+                    for k in range(i, min(n, i + longest) + 1):
+                        a[k] *= up
+                shift[i] = done
+            a[j] += a[i] * p[lang]
+        shift[n] = done
+        return a, shift, math.log(a[n]) + done
+
     def expected(self, s: str, lang: int) -> tuple[list, list[float]]:
         """Expected uses of each piece over all segmentations (forward and backward)."""
         e, n = self.edges(s), len(s)
+        if n > SHORT:
+            a, up, total = self._scaled(e, n, self.longest, lang)
+            back = sorted(((n - j, n - i, p) for i, j, p in e), key=lambda x: x[0])
+            b, down, _ = self._scaled(back, n, self.longest, lang)
+            return e, [math.exp(math.log(a[i]) + up[i] + math.log(p[lang]) + math.log(b[n - j]) + down[n - j] - total) for i, j, p in e]
         a, b = [0.0] * (n + 1), [0.0] * (n + 1)
         a[0] = b[n] = 1.0
         for i, j, p in e:
@@ -173,23 +193,23 @@ def train(df: DataFrame, text_col: str = "text", lang_col: str = "lang", path: s
 
 
 class _Scores:
-    """Scores of the parts a worker has met, as rows of one matrix."""
+    """Scores of the runs a worker has met, as bytes of a row of doubles."""
 
     def __init__(self, model: Model):
-        self.model, self.row = model, {}
-        self.matrix = np.zeros((CACHE, len(model.languages)))
+        self.model = model
+        self.kept = PartCache(self._score, CACHE_BYTES)
+
+    def _score(self, parts: list[str]) -> list[bytes]:
+        return [np.array(self.model.log_probs(s)).tobytes() for s in parts]
 
     def rows(self, parts: list[str]) -> np.ndarray:
-        new = set(parts).difference(self.row)
-        if len(self.row) + len(new) > len(self.matrix):
-            self.row = {}
-            new = set(parts)
-            if len(new) > len(self.matrix):
-                self.matrix = np.zeros((len(new), self.matrix.shape[1]))
-        for s in new:
-            i = self.row[s] = len(self.row)
-            self.matrix[i] = self.model.log_probs(s)
-        return np.fromiter(map(self.row.__getitem__, parts), np.int64, len(parts))
+        """A row for each part; long runs are scored anew each time."""
+        if max(map(len, parts)) <= CACHE_LETTERS:
+            got = self.kept.values(parts)
+        else:
+            short = iter(self.kept.values([s for s in parts if len(s) <= CACHE_LETTERS]))
+            got = [next(short) if len(s) <= CACHE_LETTERS else self._score([s])[0] for s in parts]
+        return np.frombuffer(b"".join(got)).reshape(len(parts), -1)
 
 
 def _blocks(col):
@@ -219,7 +239,7 @@ def _predict(sent, key: str, names: list[str], text_at: int):
                     lens = np.array([len(x) for x in lists])
                     full = np.flatnonzero(lens)
                     starts = (np.cumsum(lens) - lens)[full]
-                    total[full] = np.add.reduceat(scores.matrix[scores.rows(flat)], starts, axis=0)
+                    total[full] = np.add.reduceat(scores.rows(flat), starts, axis=0)
                 for x, t in zip(lists, total):
                     if not x or not languages:
                         pred.append(UNDETERMINED)
@@ -238,7 +258,8 @@ def predict_language(df: DataFrame, model: Model, text_col: str = "text") -> Dat
 
     ``lang_pred`` is the likeliest learned language (of equals the first in order) and
     ``lang_score`` its probability against the others, 0 to 1.  A text that is null or
-    has no letter, or any text where nothing was learned, is ``und`` with score 0.
+    has no letter, or any text where nothing was learned, is ``und`` with score 0.  Rows that
+    repeat are predicted each; a text or a run of letters of any length is scored whole.
     Columns of ``df`` with these two names are replaced.
     """
     spark = df.sparkSession

@@ -197,7 +197,9 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'res
     "op9_decontaminate": """
 WITH t AS (SELECT 0 AS kind, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
 w AS (SELECT kind, id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') AS w FROM t WHERE id IS NOT NULL),
-g AS (SELECT DISTINCT kind, id, unnest(list_transform(range(1, len(w) - 3), lambda i: list_slice(w, i, i + 4))) AS g FROM w WHERE len(w) >= 5),
+ks AS (SELECT DISTINCT least(len(w), 5) AS k FROM w WHERE kind = 1 AND len(w) > 0),
+g AS (SELECT DISTINCT kind, id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: list_slice(w, i, i + k - 1))) AS g
+      FROM w JOIN ks ON len(w) >= k AND (kind = 0 OR k = least(len(w), 5))),
 n AS (SELECT id AS item_id, count(*) AS n_item FROM g WHERE kind = 1 GROUP BY id)
 SELECT d.id AS doc_id, item_id, n_item, count(*) AS n_shared
 FROM g d JOIN g b ON d.g = b.g AND d.kind = 0 AND b.kind = 1 JOIN n ON n.item_id = b.id

@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import html as htmllib
 import re
+import uuid
 from collections import Counter
 from hashlib import blake2b
 
@@ -46,11 +47,11 @@ from duoclass.llm.urlfilter import url_host
 LOW = 0.2          # branches of less importance go
 MIN_PAGES = 3      # of a host that show a node before it is judged
 GAMMA = 0.9        # weight of content, by style
-NEAREST = 8        # containers of a block that count it as their content
+MAX_DEPTH = 512    # open elements; deeper ones are read as their ancestor's text, as browsers do
 
 # HTML names (fixed values).
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title xmp svg math select object noframes".split())
+RAW = frozenset("script style template iframe textarea title svg select noframes".split())
 BLOCK = frozenset((
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer "
     "form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre search section "
@@ -75,6 +76,9 @@ ARTICLE_NOISE = frozenset("comment reply ad advert advertisement sponsored relat
 HEADER_WORDS = frozenset(["header", "topbar"])
 TITLED = frozenset("h1 h2 h3 h4 h5 h6 section".split())  # their ids are made from titles
 
+# Words that say where something is, not what it is: "site-footer" is a footer.
+PLACE_WORDS = frozenset("site page main top bottom left right global primary secondary box bar block container wrapper wrap list item items area inner outer section link links".split())
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
@@ -93,6 +97,12 @@ def _noise_name(name: str) -> bool:
     return bool(words) and NOISE_WORDS.issuperset(words)
 
 
+def _noise_place(name: str, more: frozenset = frozenset()) -> bool:
+    """The same, with words of place beside the noise words ("site-footer", not "modal-verbs")."""
+    words = set(_WORD.findall(name)) - PLACE_WORDS
+    return bool(words) and (NOISE_WORDS | more).issuperset(words)
+
+
 class Page:
     """The elements of a page (parent, signature, tag) and its text blocks in order."""
 
@@ -106,13 +116,14 @@ class Page:
     def _add(self, parent: int, tag: str, attrs: str) -> int:
         cls, noise = "", tag in NOISE_TAGS
         if attrs and "=" in attrs or "hidden" in attrs:
-            words, names = set(), []
+            words, names, places = set(), [], []
             for m in _ATTR.finditer(attrs):
                 name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
                 if name == "role":
                     noise = noise or value in NOISE_ROLES
                 elif name in ("class", "id"):
                     words.update(_WORD.findall(value))
+                    places += value.split()
                     if name == "class" or tag not in TITLED:
                         names += value.split()
                     if name == "class":
@@ -124,8 +135,8 @@ class Page:
             elif not NOISE_WORDS.isdisjoint(words) and self._inside_article(parent):
                 noise = noise or tag in BLOCK and any(map(_noise_name, names))
             elif tag not in ("html", "body"):
-                noise = noise or not NOISE_WORDS.isdisjoint(words)
-                noise = noise or (not HEADER_WORDS.isdisjoint(words) and not self._inside_article(parent))
+                more = frozenset() if HEADER_WORDS.isdisjoint(words) or self._inside_article(parent) else HEADER_WORDS
+                noise = noise or any(_noise_place(x, more) for x in places)
         if tag == "header":
             noise = noise or not self._inside_article(parent)
         self.parent.append(parent)
@@ -201,10 +212,10 @@ class Page:
                     if t in STOPS:
                         break
             node = stack[-1][0]
-            if tag in BLOCK:
+            if tag in BLOCK and len(stack) < MAX_DEPTH:
                 flush()
                 node = self._add(node, tag, attrs)
-            elif attrs:
+            elif attrs and len(stack) < MAX_DEPTH:
                 made = self._add(node, tag, attrs)
                 if self.noise[made]:
                     flush()
@@ -285,9 +296,7 @@ def _tree_rows(batches):
             rows = {(host, p, STYLE, _hash(" ".join(c))) for p, c in children.items()}
             for i, text in page.blocks:
                 h = None
-                for _ in range(NEAREST):
-                    if i <= 0:
-                        break
+                while i > 0:
                     if judged(page, kinds, i):
                         h = h or int.from_bytes(blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
                         rows.add((host, path[i], CONTENT, h))
@@ -362,15 +371,18 @@ def extract_main_text(df: DataFrame, url_col: str = "url", html_col: str = "html
 
     A null or empty page has no text.  Pages with a null url, or one without a host, are
     one site.  Rows of a host with the same page count as one page, and each gets its text.
-    A page that differs in any character is another one; where the tree would take all of a page's text, it takes none.  A column of ``df`` named ``main_text`` is replaced.
+    A page that differs in any character is another one; where the tree would take all of a
+    page's text, it takes none.  Pages of any length are read whole.  A column of ``df`` named ``main_text`` is replaced.
     """
     spark = df.sparkSession
     prepare(spark)
-    df = df.drop("main_text", "_host", "_site", "_low")
-    hosted = df.withColumn("_host", url_host(F.col(url_col)))
+    df = df.drop("main_text")
+    tag = uuid.uuid4().hex[:8]
+    own_host, site, gone = (f"{x}_{tag}" for x in ("_host", "_site", "_low"))
+    hosted = df.withColumn(own_host, url_host(F.col(url_col)))
     low = (F.col("m") >= MIN_PAGES) & (F.col("importance") < LOW) & (F.col("content") < LOW)
-    noise = cut(importances(hosted.select("_host", html_col)).where(low).select("host", "node"), "site-noise")
-    lists = noise.groupBy(F.col("host").alias("_site")).agg(F.collect_set("node").alias("_low"))
-    joined = hosted.join(small_or_shuffled(lists, noise.count()), F.col("_host") == F.col("_site"), "left").select(*df.columns, "_low")
+    noise = cut(importances(hosted.select(own_host, html_col)).where(low).select("host", "node"), "site-noise")
+    lists = noise.groupBy(F.col("host").alias(site)).agg(F.collect_set("node").alias(gone))
+    joined = hosted.join(small_or_shuffled(lists, noise.count()), F.col(own_host) == F.col(site), "left").select(*df.columns, gone)
     out = T.StructType([*df.schema.fields, T.StructField("main_text", T.StringType())])
     return joined.mapInArrow(_extract(out.names, df.columns.index(html_col), len(df.columns)), out)

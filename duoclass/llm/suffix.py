@@ -116,7 +116,7 @@ def _run_rows(min_len: int, k: int, content: bool):
                     for o, x in zip(out, (name, second, np.full(len(st), ids[i], np.int64), pack(st + lo, ln, again))):
                         o.append(x)
                     size += len(st)
-                if size > 200_000:
+                if size > 100_000:
                     yield _emit(out, content)
                     out, size = [[] for _ in range(4)], 0
             if size:

@@ -7,6 +7,8 @@ its aliases; within a component an allow rule beats a block rule.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,15 +56,43 @@ def _attribute(tag: Column, name: str) -> Column:
     return F.coalesce(*[F.nullif(x, F.lit("")) for x in one])
 
 
+def resolve(base: Column, target: Column) -> Column:
+    """A link's target as an absolute url; null where it is empty, a fragment, of a scheme
+    without ``//``, or the base is no absolute url.
+
+    Targets may be absolute, begin with ``//`` (the page's scheme), ``/`` (its host) or ``?``
+    (its path), or else lie beside the page; ``.`` and ``..`` parts of these are worked off.
+    """
+    scheme = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1)
+    origin = F.regexp_extract(base, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)", 1)
+    path = F.regexp_extract(base, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+    beside = F.concat(F.regexp_extract(path, r"^(.*/)", 1), target)
+    full = F.when(F.startswith(target, F.lit("/")), target).otherwise(F.when(F.startswith(beside, F.lit("/")), beside).otherwise(F.concat(F.lit("/"), beside)))
+    way, rest = F.regexp_extract(full, r"^([^?#]*)", 1), F.regexp_extract(full, r"^[^?#]*(.*)$", 1)
+    parts = F.split(way, "/")
+    kept = F.aggregate(parts, F.array().cast("array<string>"),
+                       lambda a, x: F.when(x == ".", a).when(x == "..", F.when(F.size(a) > 1, F.slice(a, F.lit(1), F.size(a) - 1)).otherwise(a))
+                       .otherwise(F.concat(a, F.array(x))))
+    # "a/." and "a/.." name folders
+    slash = F.when(F.element_at(parts, -1).isin(".", ".."), F.lit("/")).otherwise(F.lit(""))
+    plain = F.concat(origin, F.array_join(kept, "/"), slash, rest)
+    return (F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
+            .when((scheme == "") | (target == "") | F.startswith(target, F.lit("#")) | target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+            .when(F.startswith(target, F.lit("//")), F.concat(scheme, F.lit(":"), target))
+            .when(F.startswith(target, F.lit("?")), F.concat(origin, path, target))
+            .otherwise(plain))
+
+
 def page_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(src, dst): each page's canonical links and meta refreshes to absolute urls."""
+    """(src, dst): each page's canonical links and meta refreshes, as absolute urls."""
     tags = F.regexp_extract_all(F.col(html_col), F.lit(r"(?is)(<(?:link|meta)\b[^>]*>)"), 1)
     t = pages.select(F.col(url_col).alias("src"), F.explode(tags).alias("tag"))
     canonical = F.when(F.lower(_attribute(F.col("tag"), "rel")) == "canonical", _attribute(F.col("tag"), "href"))
     refresh = F.when(F.lower(_attribute(F.col("tag"), "http-equiv")) == "refresh",
                      F.nullif(F.regexp_extract(_attribute(F.col("tag"), "content"), r"(?i)url\s*=\s*['\"]?([^'\"\s]+)", 1), F.lit("")))
-    dst = F.replace(F.trim(F.coalesce(canonical, refresh)), F.lit("&amp;"), F.lit("&"))
-    return t.select("src", dst.alias("dst")).where(F.col("dst").contains("://") & F.col("src").isNotNull())
+    target = F.replace(F.trim(F.coalesce(canonical, refresh)), F.lit("&amp;"), F.lit("&"))
+    return t.select("src", target.alias("target")).where("target IS NOT NULL AND src IS NOT NULL").select(
+        "src", resolve(F.col("src"), F.col("target")).alias("dst")).where("dst IS NOT NULL")
 
 
 def _node(url: Column) -> Column:
@@ -76,7 +106,8 @@ def judge_urls(df: DataFrame, rules: list[tuple[str, str, str]], edges: DataFram
     ``edges`` is (src, dst) urls.  A url that a rule fits gets the rule's verdict.  Any
     other is allowed if an alias is allowed by a rule, blocked if an alias is blocked,
     and else allowed.  A null url, or one without ``://``, has an empty host and path,
-    no alias and no rule.  Columns of ``df`` with the four names are replaced.
+    no alias and no rule.  Rows that repeat are judged each; urls of any length are read
+    whole.  Columns of ``df`` with the four names are replaced.
     """
     prepare(df.sparkSession)
     u = F.col(url_col)
@@ -89,9 +120,14 @@ def judge_urls(df: DataFrame, rules: list[tuple[str, str, str]], edges: DataFram
     decided = ends.select("node", rule_of(url_host(F.col("url")), url_path(F.col("url")), rules)[1].alias("d")).where("d IS NOT NULL")
     group = (parts.join(decided.distinct(), "node").groupBy("component")
              .agg(F.when(F.max(F.col("d") == "allow"), "allow").otherwise("block").alias("alias_verdict")))
-    alias = parts.join(group, "component").select(F.col("node").alias("_alias"), "alias_verdict")
-    base = df.drop("host", "path", "rule", "verdict", "_alias", "alias_verdict")
-    out = base.withColumn("_node", F.when(F.col(url_col).contains("://"), _node(u)))
-    out = out.join(alias, out["_node"] == alias["_alias"], "left")
-    return out.select(*base.columns, host.alias("host"), path.alias("path"), name.alias("rule"),
-                      F.coalesce(verdict, F.col("alias_verdict"), F.lit("allow")).alias("verdict"))
+    tag = uuid.uuid4().hex[:8]
+    own, other, decision = f"_node_{tag}", f"_alias_{tag}", f"_verdict_{tag}"
+    alias = parts.join(group, "component").select(F.col("node").alias(other), F.col("alias_verdict").alias(decision))
+    base = df.drop("host", "path", "rule", "verdict") if url_col not in ("host", "path", "rule", "verdict") else df
+    named = base.withColumn(own, F.when(u.contains("://"), _node(u)))
+    new = [host.alias("host"), path.alias("path"), name.alias("rule"), F.coalesce(verdict, F.col(decision), F.lit("allow")).alias("verdict")]
+    kept = [c for c in base.columns if c not in ("host", "path", "rule", "verdict")]
+    # urls that are none take no part in the join
+    joined = named.where(F.col(own).isNotNull()).join(alias, F.col(own) == F.col(other), "left")
+    alone = named.where(F.col(own).isNull()).withColumn(decision, F.lit(None).cast("string"))
+    return joined.select(*kept, *new).unionByName(alone.select(*kept, *new))

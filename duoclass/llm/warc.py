@@ -99,7 +99,7 @@ def parse_arc_line(line: bytes, version: int | None) -> dict | None:
     p = line.rstrip(b"\r").split(b" ")
     if version is None:
         version = {5: 1, 10: 2}.get(len(p))
-    if version is None or len(p) != len(ARC_FIELDS[version].split()) or not p[-1].isdigit() or not re.fullmatch(rb"\d{12,14}", p[2]):
+    if version is None or len(p) != len(ARC_FIELDS[version].split()) or length_of(p[-1].decode("ascii", "replace")) is None or not re.fullmatch(rb"\d{12,14}", p[2]):
         return None
     names = ARC_FIELDS[version].split()
     return dict(zip(names, (x.decode("utf-8", "replace") for x in p))) | {"length": int(p[-1])}
@@ -149,6 +149,19 @@ def split_http(body: bytes) -> tuple[dict[str, str], bytes]:
     return fields, payload
 
 
+_ID = re.compile(r"-?\d{1,18}")
+
+
+def row_id_of(text: str | None) -> int | None:
+    """A row id from a header field; None where it is no integer."""
+    return int(text) if text and _ID.fullmatch(text) else None
+
+
+def length_of(text: str | None) -> int | None:
+    """A declared length; None where it is missing or no number of bytes."""
+    return int(text) if text and re.fullmatch(r"[0-9]{1,18}", text) else None
+
+
 def iso_date(d: str) -> str:
     """An ARC date (12 or 14 digits) in WARC form."""
     d = d.ljust(14, "0")
@@ -196,7 +209,7 @@ def _read_arc(with_body: bool):
             key = http.get("x-row-id", "-")
             digest = base32_sha1(payload)
             yield (record_id(head["URL"], head["Archive-date"], key, digest), head["URL"], head["IP-address"],
-                   iso_date(head["Archive-date"]), int(key) if key.lstrip("-").isdigit() else None, digest, len(payload), whole,
+                   iso_date(head["Archive-date"]), row_id_of(key), digest, len(payload), whole,
                    body if with_body else None)
 
     def run(batches):
@@ -276,7 +289,11 @@ def convert(spark: SparkSession, arc_path: str, warc_path: str, min_bytes: int =
 
 
 def warc_records(chunks):
-    """(header fields, block, whole?) of the records in a WARC file cut at empty lines."""
+    """(header fields, block, whole?) of the records in a WARC file cut at empty lines.
+
+    A record whose length is missing or no number has an empty block and whole = False;
+    reading goes on at the next record.
+    """
     head, body, got = None, [], 0
     for chunk in chunks:
         if head is None:
@@ -290,8 +307,11 @@ def warc_records(chunks):
             continue
         body.append(chunk)
         got += len(WARC_END) + len(chunk)
-        n = int(head.get("content-length", 0))
-        if got >= n:
+        n = length_of(head.get("content-length"))
+        if n is None:
+            yield head, b"", False
+            head = None
+        elif got >= n:
             yield head, WARC_END.encode().join(body)[:n], got == n
             head = None
     if head:
@@ -312,12 +332,13 @@ def _read_warc(batches):
             key = http.get("x-row-id", "-")
             kind = h.get("warc-type")
             # a revisit's block has no payload; its HTTP header still says the length
-            n = int(http.get("content-length", 0)) if kind == "revisit" else len(payload)
+            n = length_of(http.get("content-length")) if kind == "revisit" else len(payload)
+            whole = whole and n is not None
             digest = h.get("warc-payload-digest", "").removeprefix("sha1:")
             if kind == "response" and base32_sha1(payload) != digest:
                 whole = False
             yield (h.get("warc-record-id"), kind, h.get("warc-date"), h.get("warc-target-uri"), digest, h.get("warc-refers-to"),
-                   int(key) if key.lstrip("-").isdigit() else None, n, whole, payload if kind == "response" else None)
+                   row_id_of(key), n, whole, payload if kind == "response" else None)
 
     out, size = [], 0
     for r in _files(batches, rows):
@@ -355,4 +376,6 @@ def archive_pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) ->
     convert(spark, f"{base}/arc", f"{base}/warc")
     back = read_warc(spark, f"{base}/warc")
     to = back.where("type = 'response'").groupBy(F.col("record").alias("refers_to")).agg(F.max("row_id").alias("refers_id"))
-    return back.join(to, "refers_to", "left")
+    # records that refer to nothing, most of them, get keys of their own that match nothing
+    key = F.coalesce("refers_to", F.concat(F.lit("-"), F.col("record")))
+    return back.join(to.withColumnRenamed("refers_to", "to_record"), key == F.col("to_record"), "left").select(*back.columns, "refers_id")

@@ -30,8 +30,10 @@ def brute(docs, items, percent=80):
     out = set()
     for a, x in d.items():
         for b, y in i.items():
-            s = grams(y)
-            n = len(s & grams(x))
+            s = set()
+            for t in y:
+                s |= grams([t], min(5, len(words(t)))) if words(t) else set()
+            n = len(s & set().union(*(grams(x, k) for k in range(1, 6))))
             if a is not None and b is not None and s and n * 100 >= len(s) * percent:
                 out.add((a, b, len(s), n))
     return out
@@ -72,6 +74,18 @@ def test_awkward_rows(spark):
     assert got.count() == len(found(got))
 
 
+def test_short_items_word_for_word(spark):
+    """Items of one to four words are found as they stand, and only so."""
+    docs = [(1, "The quick, brown fox jumps over it", "", "", 0, 0, 0, ""), (2, "quick fox brown", "", "", 0, 0, 0, ""), (3, "fox", "", "", 0, 0, 0, ""),
+            (4, "a quick brown fox", "", "", 0, 0, 0, ""), (5, "", "", "", 0, 0, 0, ""), (6, None, "", "", 0, 0, 0, ""), (7, "...", "", "", 0, 0, 0, "")]
+    items = [(1, "quick brown fox", 0, ""), (2, "FOX", 0, ""), (3, "a quick brown fox", 0, ""), (4, "...", 0, ""), (5, "quick brown fox jumps over it", 0, ""),
+             (6, "fox brown", 0, "")]
+    df = spark.createDataFrame(docs, DOC_SCHEMA)
+    got = found(C.contained_items(df, spark.createDataFrame(items, ITEMS)))
+    assert {(a, b) for a, b, *_ in got} == {(1, 1), (4, 1), (1, 2), (2, 2), (3, 2), (4, 2), (4, 3), (1, 5), (2, 6)}
+    assert got == brute(docs, items)
+
+
 def test_empty_tables(spark):
     none, item = spark.createDataFrame([], DOC_SCHEMA), spark.createDataFrame([(1, prose(1, 20), 0, "")], ITEMS)
     assert C.contained_items(none, item).count() == 0
@@ -80,7 +94,7 @@ def test_empty_tables(spark):
 
 
 def test_sketch_is_the_bottom(spark):
-    sets = C.item_sets(spark.createDataFrame([(1, prose(1, 29), 0, "")], ITEMS), "item_id", "text", 5)
+    sets = C.item_sets(spark.createDataFrame([(1, prose(1, 29), 0, "")], ITEMS), "item_id", "text", 5)[0]
     low = sorted(r["h"] for r in sets.collect())
     got = sorted(r["h"] for r in C.sketches(sets, 80).collect())
     assert got == low[: len(low) - -(-len(low) * 80 // 100) + 1]

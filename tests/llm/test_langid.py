@@ -1,6 +1,8 @@
 """Language model: sums over segmentations by brute force, held-out accuracy, edge rows."""
 
 import math
+import random
+from fractions import Fraction
 
 import pytest
 
@@ -45,13 +47,50 @@ def test_expected_uses_cover_the_text():
 def test_parts():
     assert L.parts_of("Ab1cd, É!") == ["▁ab", "▁cd", "▁é"]
     assert L.parts_of("123 ½ ²") == []
-    long = L.parts_of("x" * 100)
-    assert "".join(long) == "▁" + "x" * 100 and max(map(len, long)) == L.PART
+    assert L.parts_of("x" * 1000) == ["▁" + "x" * 1000]
 
 
 def test_long_parts_do_not_vanish():
+    """Nothing is cut and nothing underflows: unknown letters, and the exact sum by fractions."""
     m = L.Model(["a"], {})
-    assert math.isfinite(m.log_probs("x" * L.PART)[0])
+    assert math.isclose(m.log_probs("x" * 5000)[0], 5000 * math.log(L.UNKNOWN), rel_tol=1e-12)
+    pieces = {"a": (0.3, 1e-9), "aa": (0.2, 0.25), "aaa": (1e-7, 0.1), "aaaaaaa": (0.0125, 1e-12)}
+    m = L.Model(["u", "v"], pieces)
+    for n in (31, 32, 33, 100, 700):
+        for lang, x in enumerate(m.log_probs("a" * n)):
+            sums = [Fraction(1)]
+            for i in range(1, n + 1):
+                sums.append(sum((Fraction(p[lang]) * sums[i - len(s)] for s, p in pieces.items() if len(s) <= i), Fraction(0)))
+            exact = math.log(sums[n].numerator) - math.log(sums[n].denominator)
+            assert math.isclose(x, exact, rel_tol=1e-12)
+            e, c = m.expected("a" * n, lang)
+            assert math.isclose(sum((j - i) * y for (i, j, _), y in zip(e, c)), n, rel_tol=1e-9)
+
+
+def test_predictions_equal_a_plain_scorer(spark):
+    """The whole stage beside sums by logarithms, without caches and blocks."""
+    r = random.Random(5)
+    docs = [(i, "".join(r.choice("abé ") for _ in range(r.choice([3, 40, 900]))) + "漢" * r.choice([0, 70]), r.choice(["x", "y"])) for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    m = L.train(df)
+
+    def total(text, lang):
+        out = 0.0
+        for s in L.parts_of(text):
+            a = [0.0] + [-math.inf] * len(s)
+            for i, j, p in m.edges(s):
+                x, y = a[j], a[i] + math.log(p[lang])
+                a[j] = max(x, y) + math.log1p(math.exp(-abs(x - y))) if x > -math.inf else y
+            out += a[-1]
+        return out
+
+    for r_ in L.predict_language(df, m).collect():
+        t = [total(r_["text"], k) for k in range(len(m.languages))]
+        if not L.parts_of(r_["text"]):
+            assert r_["lang_pred"] == "und"
+            continue
+        assert r_["lang_pred"] == m.languages[t.index(max(t))]
+        assert math.isclose(r_["lang_score"], 1 / sum(math.exp(x - max(t)) for x in t), rel_tol=1e-6)
 
 
 def test_held_out_accuracy(spark):

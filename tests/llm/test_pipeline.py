@@ -3,6 +3,7 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as E
@@ -102,3 +103,17 @@ def test_registered():
     q = E.queries()
     assert "pipeline" in q and all(any(x.startswith(f"op{n}_") for x in q) for n in range(1, 11))
     assert set(E.oracle_sql()) <= set(q)
+
+
+def test_clashing_columns_are_kept(spark):
+    """Input columns may have the names that operators use."""
+    names = ["_gone", "lang_pred", "lang_score", "sa_removed", "sa_kept", "kept", "component_id", "_text"]
+    docs = spark.read.parquet(f"{SF001}/documents.parquet").limit(60)
+    for n in names:
+        docs = docs.withColumn(n, F.concat(F.lit(n), F.col("doc_id").cast("string")))
+    docs = cut(docs, "t-clash")
+    for name, f in P.STAGES[:-1]:
+        out = f(spark, docs, SF001)
+        assert out.columns == docs.columns, name
+        for r in out.collect():
+            assert all(r[n] == f"{n}{r['doc_id']}" for n in names), name

@@ -158,3 +158,38 @@ def test_given_pages(spark):
 
 def test_empty_table(spark):
     assert S.extract_main_text(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_names_that_only_contain_a_noise_word():
+    """Such an element is no noise; names of noise words, with words of place, are."""
+    for name in ("modal-verbs", "ad-hoc", "social-structure", "notice-of-appeal", "menu-theory"):
+        assert S.main_text(S.Page(f'<body><div class="{name}"><p>lesson'), set()) == "lesson", name
+        assert S.main_text(S.Page(f'<body><div id="{name}"><p>lesson</div><p>more'), set()) == "lesson more", name
+    for name in ("cookie-banner", "site-footer", "main-menu", "sidebar left", "page_header", "ad-box"):
+        assert S.main_text(S.Page(f'<body><div class="{name}"><p>x</div><p>lesson'), set()) == "lesson", name
+
+
+def test_text_of_formulas_and_fallbacks_is_text():
+    page = S.Page("<article><p>a <math><mi>x</mi><mo>=</mo>1</math> b</p><noscript><p>shown</p></noscript><object>old</object><svg><text>no</text></svg></article>")
+    assert S.main_text(page, set()) == "a x=1 b shown old"
+
+
+def test_importance_does_not_depend_on_depth(spark):
+    """The same text, different on every page, is content of its container however deep it lies."""
+    def page(i, depth):
+        return "<body><div class=c>" + "<div>" * depth + f"<p>text {i} of its own</p>" + "</div>" * depth + "</div></body>"
+
+    got = []
+    for depth in (1, 20, 60):
+        rows = [(f"http://h{depth}.org/{i}", page(i, depth)) for i in range(6)]
+        out = S.importances(spark.createDataFrame(rows, "u string, html string").selectExpr("'h' AS host", "html")).collect()
+        path = S.Page(page(0, depth)).paths()
+        got.append({r["node"]: r["content"] for r in out}[path[2]])
+    assert got[0] == got[1] == got[2] == 1.0
+    assert S.main_text(S.Page("<div>" * 5000 + "deep" + "</div>" * 5000), set()) == "deep"
+
+
+def test_clashing_names_are_kept(spark):
+    df = spark.createDataFrame([(1, "http://h.org/", "<p>a", "x", "y", "z")], "page_id long, url string, html string, _host string, _site string, _low string")
+    r = S.extract_main_text(df).first()
+    assert (r["_host"], r["_site"], r["_low"], r["main_text"]) == ("x", "y", "z", "a")

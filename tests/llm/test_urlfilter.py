@@ -1,5 +1,7 @@
 """Rules, aliases and precedence of the URL filter."""
 
+from pyspark.sql import functions as F
+
 from duoclass.llm import urlfilter as U
 
 SCHEMA = "page_id long, url string, html string, host string, rule string"
@@ -74,3 +76,31 @@ def test_equal_rules_allow_first(spark):
     df = spark.createDataFrame([(1, "http://a.b/", None, "", "")], SCHEMA)
     rules = [("a.b", "/", "block"), ("a.b", "/", "allow")]
     assert U.judge_urls(df, rules, U.page_edges(df)).first()["verdict"] == "allow"
+
+
+def test_targets_are_resolved(spark):
+    base = "https://H.org/a/b/c.html?q=1#f"
+    cases = {"/x/../y?z#k": "https://H.org/y?z#k", "//d.net/1": "https://d.net/1", "d": "https://H.org/a/b/d", "./d/./e/..": "https://H.org/a/b/d/",
+             "../../../up": "https://H.org/up", "?p=2": "https://H.org/a/b/c.html?p=2", "http://o.net": "http://o.net", "#top": None, "": None,
+             "mailto:x@y": None, "..": "https://H.org/a/", "e?u=../v": "https://H.org/a/b/e?u=../v"}
+    df = spark.createDataFrame([(base, t, w) for t, w in cases.items()] + [("http://h.org", "d", "http://h.org/d"), ("no url", "d", None), (None, "d", None),
+                                                                           ("no url", "ftp://x.y/", "ftp://x.y/")], "u string, t string, w string")
+    for r in df.withColumn("g", U.resolve(F.col("u"), F.col("t"))).collect():
+        assert r["g"] == r["w"], r
+
+
+def test_relative_links_carry_decisions(spark):
+    rows = [(1, "http://a.com/p/q", '<meta http-equiv="refresh" content="0; url=//d.net/1">', "", ""),
+            (2, "http://c.org/x", link("/fr/y"), "", ""), (3, "http://example.com/de/x", link("../z"), "", ""), (4, "http://example.com/z", None, "", "")]
+    got = {r["page_id"]: r["verdict"] for r in judge(spark, rows).collect()}
+    assert got == {1: "block", 2: "allow", 3: "block", 4: "block"}
+
+
+def test_clashing_columns(spark):
+    """Columns with names that the operator uses inside are kept as they are."""
+    df = spark.createDataFrame([(r[0], r[1], r[2], "mine", "own", "x") for r in ROWS], "page_id long, url string, html string, _node string, _alias string, alias_verdict string")
+    out = U.judge_urls(df, U.RULES, U.page_edges(df))
+    assert out.columns == [*df.columns, "host", "path", "rule", "verdict"]
+    want = {r["page_id"]: r["verdict"] for r in judge(spark, ROWS).collect()}
+    for r in out.collect():
+        assert (r["_node"], r["_alias"], r["alias_verdict"]) == ("mine", "own", "x") and r["verdict"] == want[r["page_id"]]

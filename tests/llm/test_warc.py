@@ -111,3 +111,19 @@ def test_record_ids_are_urns():
     x = W.record_id("http://a", "2005", 1, "D")
     assert x == W.record_id("http://a", "2005", 1, "D") != W.record_id("http://a", "2005", 2, "D")
     assert x.startswith("<urn:uuid:") and x.endswith(">")
+
+
+def test_malformed_fields_are_not_whole():
+    """A foreign archive's bad length or row id doesn't end the job."""
+    assert [W.length_of(x) for x in ("12", "abc", "-1", "", None, "1.5")] == [12, None, None, None, None, None]
+    assert [W.row_id_of(x) for x in ("-7", "--5", "5x", "", None, "9" * 30)] == [-7, None, None, None, None, None]
+    chunks = [b"WARC/1.0\r\nContent-Length: abc", b"lost body", b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 4", b"body", b"WARC/1.0\r\nX: y"]
+    got = list(W.warc_records(chunks))
+    assert [(b, ok) for _, b, ok in got] == [(b"", False), (b"body", True), (b"", False)]
+    body = b"HTTP/1.1 200 OK\r\nX-Row-Id: --5\r\nContent-Length: q\r\n\r\npay"
+    head = b"WARC/1.0\r\nWARC-Type: revisit\r\nContent-Length: %d" % len(body)
+    import pyarrow as pa
+    rows = [("f", c) for c in [head, *body.split(b"\r\n\r\n"), b""]]
+    rb = pa.RecordBatch.from_arrays([pa.array([x for x, _ in rows]), pa.array([x for _, x in rows])], names=["f", "v"])
+    out = [r for b in W._read_warc([rb]) for r in b.to_pylist()]
+    assert len(out) == 1 and out[0]["row_id"] is None and out[0]["n_payload"] is None and out[0]["whole"] is False
