@@ -32,6 +32,8 @@ ROWS_PER_BUCKET = 2_000_000
 MAX_HEX_CHARS = 8        # 4 billion buckets
 MAX_KEY_BUCKETS = 65_536  # cut points that reach the driver, in key order
 BROADCAST_BUCKETS = 1 << 20  # an offsets table of ~16 MB
+# Size parameter of the quantile sketch (its rank error is about 1.7 / size).
+LEAST_SKETCH, MOST_SKETCH, SKETCH_PER_BUCKET = 1024, 65_535, 8
 SKETCH_ERROR = 1e-3      # of the row cap's thresholds; fixes the size of their sketch
 
 
@@ -81,20 +83,31 @@ def shuffled_index(df: DataFrame, key: str, seed: int | str, name: str = "ix",
     return out if keep_hash else out.drop(h)
 
 
+def quantile_sketch(df: DataFrame, col: str, k: int) -> DataFrame:
+    """One row with a mergeable quantile sketch (KLL) of a numeric column's values.
+
+    Its size is fixed by ``k``, however many rows there are.  Each input partition makes one;
+    they are merged in two levels, so no task receives one from every partition.
+    """
+    v = df.select(F.col(col).cast("double").alias("_q")).where("_q IS NOT NULL AND NOT isnan(_q)")
+    salts = max(1, math.isqrt(v.rdd.getNumPartitions()))
+    parts = v.groupBy((F.spark_partition_id() % salts).alias("_salt")).agg(F.kll_sketch_agg_double("_q", F.lit(k)).alias("_s"))
+    return parts.agg(F.kll_merge_agg_double("_s", F.lit(k)).alias("sketch"), F.count("*").alias("parts"))
+
+
 def quantile_cuts(df: DataFrame, col: str, n_buckets: int) -> list[float]:
     """``n_buckets - 1`` approximate quantiles of a numeric column, deduplicated.
 
-    ``DataFrame.approxQuantile`` passes the whole probability list in one call
-    (building thousands of literal columns one by one costs seconds); the sketch is
-    merged across partitions and only the cut points reach the driver - a list
-    whose length is the caller's bound.
+    Read from a sketch of fixed size on the executors; only the cut points reach the driver -
+    a list whose length is the caller's bound.
     """
     if n_buckets <= 1:
         return []
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    rel = min(1e-4, 0.1 / n_buckets)
-    q = df.select(F.col(col).cast("double").alias("_q")).approxQuantile("_q", probs, rel)
-    return sorted({float(c) for c in q if c is not None and not math.isnan(c)})
+    sketch = quantile_sketch(df, col, min(MOST_SKETCH, max(LEAST_SKETCH, SKETCH_PER_BUCKET * n_buckets)))
+    # a literal of one string: thousands of literal columns would take seconds to build
+    ranks = F.split(F.lit(",".join(repr(i / n_buckets) for i in range(1, n_buckets))), ",").cast("array<double>")
+    q = sketch.where("parts > 0").select(F.kll_sketch_get_quantile_double("sketch", ranks).alias("q")).first()
+    return sorted({float(c) for c in (q["q"] if q else []) if c is not None and not math.isnan(c)})
 
 
 def key_buckets(df: DataFrame, key: str, n_buckets: int, out: str = "_b") -> tuple[DataFrame, int]:

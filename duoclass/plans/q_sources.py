@@ -24,14 +24,17 @@ def dense_csv_scan(spark, sf):
 
 
 def scan_quarantine(spark, sf):
-    """Rows read, kept and set aside by each reader on lines with faults of all kinds."""
+    """Rows read, kept and set aside by each reader on lines with faults of all kinds, each
+    source read once: the counts are observed while good and bad rows are written."""
     lines = S.faulty_lines(table(spark, sf, "lineitem").select("l_orderkey", "l_quantity", "l_tax"))
-    parsed = {"csv": lambda d: TX.parse_dense_csv(d), "keyed": lambda d: TX.parse_keyed_sparse(d, width=101),
+    parsed = {"csv": lambda d: TX.parse_dense_csv(d, width=2), "keyed": lambda d: TX.parse_keyed_sparse(d, width=101),
               "svmlight": lambda d: TX.parse_svmlight(d, base=1)}
     out = None
     for name, parse in parsed.items():
-        report = TX.quarantine_report(parse(lines.filter(F.col("layout") == name).select("value")))
-        r = report.select(F.lit(name).alias("layout"), "n_rows", "n_ok", "n_bad")
+        good, bad, n = TX.scan(lines.filter(F.col("layout") == name).select("value"), parse)
+        kept = good.select(F.lit(1).alias("ok")).unionByName(bad.select(F.lit(0).alias("ok")))
+        r = kept.agg(F.sum("ok").alias("n_ok"), F.sum(1 - F.col("ok")).alias("n_bad")).select(
+            F.lit(name).alias("layout"), F.lit(n["n_rows"]).cast("long").alias("n_rows"), "n_ok", "n_bad")
         out = r if out is None else out.unionByName(r)
     return out
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from duoclass.plans import q_model, q_order, q_score, q_sources
+from duoclass.plans import q_model, q_order, q_score, q_sources, q_stream
 
 
 def all_queries() -> dict:
@@ -20,4 +20,4 @@ def all_oracles() -> dict:
 
 
 def _modules():
-    return [q_sources, q_score, q_order, q_model]
+    return [q_sources, q_score, q_order, q_model, q_stream]

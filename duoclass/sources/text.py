@@ -15,11 +15,13 @@ Layouts (one example per line):
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from duoclass.session import MAX_BROADCAST_CELLS
+from duoclass.session import MAX_BROADCAST_CELLS, scratch_path
 
 FEATS_TYPE = "array<struct<i:int,v:double>>"
 
@@ -65,23 +67,25 @@ def _all_ok(arr: Column, pred) -> Column:
 
 
 def csv_width(lines: DataFrame, value: str = "value", sep: str = ",") -> int:
-    """Feature width = the most fields of any line, less the label (one aggregate)."""
-    n = lines.agg(F.max(F.size(F.split(F.col(value), sep))).alias("n")).first()["n"]
-    return max(0, (n or 1) - 1)
+    """Feature width = the field count that most lines have (of equals the larger one), less
+    the label.  One aggregate; a line too long or too short decides nothing."""
+    counts = lines.groupBy(F.size(F.split(F.col(value), sep)).alias("n")).agg(F.count("*").alias("rows"))
+    top = counts.where("n > 0").agg(F.max(F.struct("rows", "n")).alias("top")).first()["top"]
+    return max(0, top["n"] - 1) if top else 0
 
 
 def parse_dense_csv(lines: DataFrame, value: str = "value", sep: str = ",",
-                    width: int | str | None = "max") -> DataFrame:
+                    width: int | str | None = "common") -> DataFrame:
     """``f0,...,label`` -> ``label DOUBLE, features ARRAY<DOUBLE>, ok``; other columns kept.
 
     ``ok`` is false where a field is no number or the field count isn't ``width + 1``.
-    ``width='max'`` takes the width from the longest line, so neither a blank nor a
-    short line at any place decides over the others; ``width=None`` takes every row of
-    two or more fields.  No row is removed here.
+    ``width='common'`` takes the field count that most lines have, so no blank, short or
+    overlong line decides over the others; ``width=None`` takes every row of two or more
+    fields.  No row is removed here.
     """
     fields = F.split(F.col(value), sep)
     n = F.size(fields)
-    w = csv_width(lines, value, sep) if width == "max" else width
+    w = csv_width(lines, value, sep) if width == "common" else width
     cells = F.transform(fields, lambda f: F.trim(f).try_cast("double"))
     out = (lines.withColumn("_cells", cells).withColumn("label", F.element_at("_cells", -1))
                 .withColumn("features", F.slice("_cells", 1, F.greatest(F.size("_cells") - 1, F.lit(0)))))
@@ -197,3 +201,28 @@ def quarantine_report(parsed: DataFrame) -> DataFrame:
     if "n_empty" in parsed.columns:
         aggs.append(F.sum(F.col("n_empty").cast("long")).alias("n_empty_tokens"))
     return parsed.agg(*aggs)
+
+
+def scan(lines: DataFrame, parse, good_path: str | None = None, value: str = "value") -> tuple[DataFrame, DataFrame, dict]:
+    """Read, parse and part the rows in one pass: (good rows, quarantine, counts).
+
+    ``parse`` is one of the parsers, with its parameters.  All rows are written once, parted
+    by ``ok``, below ``good_path`` (or the checkpoint root): the good ones as parsed, the bad
+    ones with their line.  The counts (``n_rows``, ``n_ok``, ``n_bad``, ``n_empty_tokens``)
+    are observed while writing, so they are of the same reading.  A null line is bad.
+    """
+    spark = lines.sparkSession
+    path = good_path or scratch_path(spark, "scan", uuid.uuid4().hex[:12])
+    line = f"_line_{uuid.uuid4().hex[:8]}"
+    parsed = parse(lines.withColumn(line, F.col(value)))
+    ok = F.coalesce(F.col("ok"), F.lit(False))
+    seen = Observation()
+    counts = [F.count(F.lit(1)).alias("n_rows"), F.sum(ok.cast("long")).alias("n_ok"), F.sum((~ok).cast("long")).alias("n_bad")]
+    if "n_empty" in parsed.columns:
+        counts.append(F.sum(F.col("n_empty").cast("long")).alias("n_empty_tokens"))
+    out = parsed.observe(seen, *counts).withColumn("ok", ok).withColumn(line, F.when(~ok, F.col(line)))
+    out.write.partitionBy("ok").parquet(path)
+    back = spark.read.schema(out.schema).parquet(path)
+    good = back.where("ok").drop("ok", line)
+    bad = back.where("NOT ok").select(F.col(line).alias("line"), *[c for c in lines.columns if c != value and c in back.columns])
+    return good, bad, {k: v or 0 for k, v in seen.get.items()}

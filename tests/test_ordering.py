@@ -138,3 +138,19 @@ def test_row_cap_sketch_is_bounded(spark):
     for n in (1, 37, 5000, 199_999):
         got = [(r["k"], r["ix"]) for r in O.first_rows(df, "k", n).collect()]
         assert sorted(got) == [(i + 1, i) for i in range(n)]
+
+
+def test_quantile_sketch_has_a_fixed_size(spark):
+    """Cut points come from a sketch whose size doesn't grow with the rows, near the true ranks."""
+    from duoclass.operators.ordering import quantile_cuts, quantile_sketch
+    size = []
+    for n in (20_000, 400_000):
+        df = spark.range(0, n, 1, 8).select(F.xxhash64("id").cast("double").alias("x"))
+        size.append(len(quantile_sketch(df, "x", 1024).first()["sketch"]))
+        cuts = quantile_cuts(df, "x", 50)
+        assert len(cuts) == 49 and cuts == sorted(cuts)
+        below = df.agg(*[F.avg((F.col("x") <= c).cast("double")) for c in cuts]).first()
+        assert max(abs(b - (i + 1) / 50) for i, b in enumerate(below)) < 0.01
+    assert size[1] < 1.3 * size[0] < 200_000
+    odd = spark.createDataFrame([(None,), (float("nan"),), (2.0,), (2.0,)], "x double")
+    assert quantile_cuts(odd, "x", 4) == [2.0] and quantile_cuts(odd.where("x > 5"), "x", 4) == [] and quantile_cuts(odd, "x", 1) == []

@@ -71,8 +71,33 @@ def test_ragged_csv_width(spark):
     raw = lines(spark, "1,2,3,0", "1,2,1", "x,1,0")
     w = E.feature_width(TX.good_rows(TX.parse_dense_csv(raw, width=None))).first()
     assert (w["n_rows"], w["min_width"], w["max_width"]) == (2, 2, 3)
-    fixed = TX.parse_dense_csv(raw)  # width from the longest line: the short row is quarantined
-    assert [r["ok"] for r in fixed.collect()] == [True, False, False]
+    fixed = TX.parse_dense_csv(raw)  # width that most lines have: the long row is quarantined
+    assert [r["ok"] for r in fixed.collect()] == [False, True, False]
+
+
+def test_one_overlong_line_decides_nothing(spark):
+    raw = lines(spark, *["1,2,0"] * 3, "1,2,3,0", *["3,4,1"] * 2, "", "")
+    assert len(TX.good_rows(TX.parse_dense_csv(raw)).collect()) == 5
+    assert TX.csv_width(raw) == 2 and TX.csv_width(lines(spark, "1,2", "1,2,3")) == 2
+    assert TX.csv_width(spark.createDataFrame([], "value string")) == 0
+
+
+def test_good_and_bad_rows_from_one_pass(spark):
+    """Kept + bad = read; the quarantine holds the lines as they were; the source is read once."""
+    raw = spark.createDataFrame([(1, "k\t1 1:2"), (2, "k\t1 x:2"), (3, None), (4, ""), (5, "k\t0 3:1 "), (6, "k\t1 9:1")], "n int, value string").repartition(3)
+    reads = spark.sparkContext.accumulator(0)
+
+    def count(it):
+        for pdf in it:
+            reads.add(len(pdf))
+            yield pdf
+
+    good, bad, n = TX.scan(raw.mapInPandas(count, raw.schema), lambda d: TX.parse_keyed_sparse(d, width=5))
+    assert n == {"n_rows": 6, "n_ok": 2, "n_bad": 4, "n_empty_tokens": 1} and reads.value == 6
+    assert sorted(r["n"] for r in good.collect()) == [1, 5] and good.columns == ["n", "key", "label", "feats", "n_empty"]
+    assert sorted((r["n"], r["line"]) for r in bad.collect() if r["n"] != 3) == [(2, "k\t1 x:2"), (4, ""), (6, "k\t1 9:1")]
+    none = TX.scan(spark.createDataFrame([], "value string"), lambda d: TX.parse_dense_csv(d, width=2))
+    assert none[0].count() == none[1].count() == 0 and none[2]["n_rows"] == 0
 
 
 def test_first_line_decides_nothing(spark):
