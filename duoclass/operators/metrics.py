@@ -186,11 +186,12 @@ def chance_agreement(df: DataFrame, truth: str, pred: str) -> DataFrame:
 
 
 def histogram(df: DataFrame, value: str, n_bins: int = 30, lo: float | None = None,
-              hi: float | None = None, group_cols: list[str] = ()) -> DataFrame:
+              hi: float | None = None, group_cols: list[str] = (), outside: bool = False) -> DataFrame:
     """Equal-width histogram: ``bin = least(n-1, floor((v - lo) / (hi - lo) * n))``
     with lo/hi the column's min/max unless given.  Returns (group, bin, lo_edge,
     hi_edge, count), empty bins included, so a group has ``n_bins`` rows.  Values outside
-    [lo, hi] are in no bin; null and NaN have no place on the axis.
+    [lo, hi] are in no bin, or with ``outside`` in bin -1 (below, open to minus infinity) and
+    bin ``n_bins`` (above); null and NaN have no place on the axis.
     """
     v = F.col(value).cast("double")
     seen = df.filter(v.isNotNull() & ~F.isnan(v))
@@ -201,13 +202,15 @@ def histogram(df: DataFrame, value: str, n_bins: int = 30, lo: float | None = No
     lo, hi = float(lo or 0.0), float(hi or 0.0)
     width = (hi - lo) if hi > lo else 1.0
     b = F.least(F.lit(n_bins - 1), F.floor((v - F.lit(lo)) / F.lit(width) * F.lit(n_bins))).cast("int")
-    counts = (seen.filter(v.between(lo, hi)).groupBy(*group_cols, b.alias("bin"))
+    if outside:
+        b = F.when(v < lo, -1).when(v > hi, n_bins).otherwise(b)
+    counts = (seen.filter(F.lit(outside) | v.between(lo, hi)).groupBy(*group_cols, b.alias("bin"))
               .agg(F.count(F.lit(1)).alias("_n")))
     # a map of a group's filled bins, then every bin: no join, n_bins entries at most
     by_group = counts.groupBy(*group_cols).agg(
         F.map_from_entries(F.collect_list(F.struct("bin", "_n"))).alias("_m"))
-    out = by_group.select(*group_cols, "_m", F.explode(F.sequence(F.lit(0), F.lit(n_bins - 1))).alias("bin"))
-    return out.select(*group_cols, "bin",
-                      (F.lit(lo) + F.col("bin") * F.lit(width) / F.lit(n_bins)).alias("lo_edge"),
-                      (F.lit(lo) + (F.col("bin") + 1) * F.lit(width) / F.lit(n_bins)).alias("hi_edge"),
+    out = by_group.select(*group_cols, "_m", F.explode(F.sequence(F.lit(-1 if outside else 0), F.lit(n_bins if outside else n_bins - 1))).alias("bin"))
+    low, high = (F.lit(lo) + (F.col("bin") + k) * F.lit(width) / F.lit(n_bins) for k in (0, 1))
+    return out.select(*group_cols, "bin", F.when(F.col("bin") < 0, -math.inf).otherwise(low).alias("lo_edge"),
+                      F.when(F.col("bin") >= n_bins, math.inf).otherwise(high).alias("hi_edge"),
                       F.coalesce(F.try_element_at("_m", F.col("bin")), F.lit(0)).cast("long").alias("count"))

@@ -12,8 +12,8 @@ e.g. per split), so a pass over L hidden layers is:
 No pass shuffles rows; the only exchanges carry per-partition moment rows, summed
 around one fixed centre so that they combine before the shuffle.  When the moments
 do not fit the bound (very many groups) they stay a table and are joined to the rows
-by group.  A model beyond ``MAX_MODEL_CELLS`` is scored in the relational form
-(:func:`affine_relational`: the affine layer as a join and an aggregate).
+by group.  :func:`score` refuses a model beyond ``MAX_MODEL_CELLS``; :func:`score_relational`
+takes the parameter table itself (each layer a join and an aggregate), whatever its size.
 """
 
 from __future__ import annotations
@@ -61,7 +61,7 @@ def _check_model_size(model: Model) -> None:
     if model.n_cells > MAX_MODEL_CELLS:
         raise ValueError(
             f"model has {model.n_cells} cells, above the bound {MAX_MODEL_CELLS}; "
-            "score its first layer with affine_relational()")
+            "use score_relational() on its parameter table")
 
 
 def _norm_key(k) -> tuple:
@@ -349,6 +349,33 @@ def batch_norm_long(df: DataFrame, unit: str = "unit", value: str = "z", scale:
     return j.withColumn(out, zh).drop("_mu", "_var")
 
 
+def score_relational(cells: DataFrame, rows: DataFrame, params: DataFrame, row: str = "row_id", eps: float = 1e-3) -> DataFrame:
+    """(<row>, y0, y1, p0, p1, pred): the whole network from its parameter table.
+
+    ``cells`` are the rows' stored input cells (<row>, col, value), ``rows`` all row ids (a
+    row without a cell is scored as well) and ``params`` (layer, name, i, j, value), two
+    outputs.  The model never reaches the driver but for a layer's bias vector.
+    """
+    last = params.where("name = 'W'").agg(F.max("layer").alias("l")).first()["l"]
+
+    def part(layer, name):
+        return params.where((F.col("layer") == layer) & (F.col("name") == name))
+
+    for layer in range(1, last + 1):
+        weights = part(layer, "W").select("i", "j", F.col("value").alias("w"))
+        bias = part(layer, "b").select("j", F.col("value").alias("b"))
+        z = affine_relational(cells, rows, weights, bias, row=row)
+        if layer == last:
+            break
+        scale = (part(layer, "scale").select(F.col("j").alias("unit"), F.col("value").alias("scale"))
+                 .join(part(layer, "beta").select(F.col("j").alias("unit"), F.col("value").alias("beta")), "unit"))
+        u = batch_norm_long(z, scale=scale, eps=eps)
+        cells = u.select(row, F.col("unit").alias("col"), relu(F.col("u")).alias("value"))
+    y = z.groupBy(row).agg(*[F.max(F.when(F.col("unit") == k, F.col("z"))).alias(f"y{k}") for k in (0, 1)])
+    p0, p1 = softmax2(F.col("y0"), F.col("y1"))
+    return y.select(row, "y0", "y1", p0.alias("p0"), p1.alias("p1"), argmax2(F.col("y0"), F.col("y1")).alias("pred"))
+
+
 def relu(c: Column) -> Column:
     return F.greatest(F.lit(0.0), c)
 

@@ -14,7 +14,7 @@ from duoclass.operators.encode import to_triples
 from duoclass.operators.model import Model, intmod_model
 from duoclass.operators.ordering import split_shuffled_fast
 from duoclass.operators.scoring import (affine, affine_relational, argmax2, batch_norm_long, dense_sparse_diff, relu as relu_col,
-                                        score, softmax2, weights_frame)
+                                        score, score_relational, softmax2, weights_frame)
 from duoclass.operators.vectors import dedupe_frame
 from duoclass.plans import sqlgen as Q
 from duoclass.plans.inputs import EMB_WIDTH, HIDDEN2, HIDDEN3, SEED, TRAIN_FRAC, embeddings_dense, mlp2, mlp3, table
@@ -201,8 +201,20 @@ def dense_sparse_reconcile(spark, sf):
                        F.sum(F.when(F.col("d") > F.lit(1e-9), 1).otherwise(0)).cast("long").alias("n_over_tol"))
 
 
+def score_params_table(spark, sf):
+    """Every row scored from the saved parameter table, each layer a join and an aggregate."""
+    from duoclass.sources.params_store import load_params_frame, save_params
+    root = scratch_path(spark, "params", uuid.uuid4().hex[:12])
+    save_params(spark, mlp3(), root, "mlp", 0)
+    emb = embeddings_dense(spark, sf)
+    cells = emb.select("vec_id", F.posexplode("features").alias("col", "v")).select("vec_id", "col", F.col("v").cast("double").alias("value"))
+    s = score_relational(cells, emb.select("vec_id"), load_params_frame(spark, root, "mlp"), row="vec_id")
+    return s.select("vec_id", *[r6(c).alias(c) for c in SCORE_COLS], "pred")
+
+
 QUERIES = {
     "score_mlp2": score_mlp2,
+    "score_params_table": score_params_table,
     "score_mlp3": score_mlp3,
     "accuracy": accuracy,
     "cross_entropy": cross_entropy,
@@ -275,6 +287,7 @@ yp AS (SELECT id, max(CASE WHEN j = 0 THEN y END) AS y0, max(CASE WHEN j = 1 THE
 ye AS (SELECT id, y0, y1, exp(y0 - greatest(y0, y1)) AS e0, exp(y1 - greatest(y0, y1)) AS e1 FROM yp)"""
 
 ORACLE = {
+    "score_params_table": f"WITH {_MLP3}\nSELECT id AS vec_id, {_R('y0')} AS y0, {_R('y1')} AS y1, {_R('p0')} AS p0, {_R('p1')} AS p1, pred FROM scored",
     "score_mlp2": f"WITH {_MLP2}\n{_SCORED_SELECT}",
     "score_mlp3": f"WITH {_MLP3}\n{_SCORED_SELECT}",
     "accuracy": f"WITH {_MLP2}\nSELECT {_R(f'avg(CASE WHEN pred = {_TRUTH_IX} THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END)')} AS accuracy FROM scored",

@@ -83,3 +83,12 @@ def test_histogram_explicit_bounds_drop_outside(spark):
     df = spark.range(100).select(F.col("id").cast("double").alias("v"))
     h = M.histogram(df, "v", 5, lo=10.0, hi=60.0).orderBy("bin").collect()
     assert [r["count"] for r in h] == [10, 10, 10, 10, 11]  # 10..60 inclusive, 60 in the last bin
+
+
+def test_histogram_counts_what_lies_outside(spark):
+    df = spark.createDataFrame([(x,) for x in (-9.0, -1.0, 0.0, 0.4, 1.0, 2.0, 3.0, None, float("nan"))], "v double")
+    inside = [(r["bin"], r["count"]) for r in M.histogram(df, "v", 2, lo=0, hi=1).orderBy("bin").collect()]
+    assert inside == [(0, 2), (1, 1)]
+    rows = M.histogram(df, "v", 2, lo=0, hi=1, outside=True).orderBy("bin").collect()
+    assert [(r["bin"], r["count"]) for r in rows] == [(-1, 2), (0, 2), (1, 1), (2, 2)]
+    assert rows[0]["lo_edge"] == -math.inf and rows[0]["hi_edge"] == 0 and rows[-1]["hi_edge"] == math.inf and rows[-1]["lo_edge"] == 1
