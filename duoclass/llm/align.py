@@ -29,7 +29,7 @@ from duoclass.llm.partcache import PartCache, blocks
 from duoclass.llm.tokenfiles import tokenizer_path
 
 MOST_PAIRS = 200_000       # pairs whose counts are broadcast, the most frequent ones; others are joined
-RUN_CACHE = 96_000_000     # bytes
+RUN_CACHE = 240_000        # runs that a worker keeps (some 400 bytes each)
 BLOCK_CHARS = 500_000
 OUT_LINKS = 500_000        # different links of one output batch
 

@@ -30,8 +30,7 @@ ROUNDS = 3           # of expectation maximisation
 SHORT = 32           # letters up to which a run's probability can't leave the range of a double
 SMOOTH = 0.1         # added to every piece's expected count
 UNKNOWN = 1e-8       # probability of a letter outside the vocabulary, in every language
-CACHE_BYTES = 96_000_000   # of scores of runs that a worker keeps
-CACHE_LETTERS = 100  # of the longest run whose score is kept
+CACHE = 400_000      # runs whose scores a worker keeps (some 200 bytes each)
 BLOCK_CHARS = 2_000_000
 UNDETERMINED = "und"
 _LETTERS = regex.compile(r"\p{L}+")
@@ -197,19 +196,14 @@ class _Scores:
 
     def __init__(self, model: Model):
         self.model = model
-        self.kept = PartCache(self._score, CACHE_BYTES)
+        self.kept = PartCache(self._score, CACHE)
 
     def _score(self, parts: list[str]) -> list[bytes]:
         return [np.array(self.model.log_probs(s)).tobytes() for s in parts]
 
     def rows(self, parts: list[str]) -> np.ndarray:
-        """A row for each part; long runs are scored anew each time."""
-        if max(map(len, parts)) <= CACHE_LETTERS:
-            got = self.kept.values(parts)
-        else:
-            short = iter(self.kept.values([s for s in parts if len(s) <= CACHE_LETTERS]))
-            got = [next(short) if len(s) <= CACHE_LETTERS else self._score([s])[0] for s in parts]
-        return np.frombuffer(b"".join(got)).reshape(len(parts), -1)
+        """A row for each part."""
+        return np.frombuffer(b"".join(self.kept.values(parts))).reshape(len(parts), -1)
 
 
 def _blocks(col):

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 import uuid
 from hashlib import blake2b
 
@@ -33,14 +34,15 @@ CAPACITY = 4096
 END_ID = 1
 GROUP_ROWS = 20_000       # pieces of one packing group, about
 ROOM = 64                 # a sequence with more than a ROOM-th of its capacity free is packed again
-WORD_CACHE = 24_000_000   # bytes
-RUN_CACHE = 64_000_000
+WORD_CACHE = 200_000      # words whose ids a worker keeps (some 200 bytes each)
+RUN_CACHE = 300_000       # and runs
 BLOCK_BYTES = 1_000_000
 OUT_IDS = 1_000_000       # ids of one output batch
 
-# Letters, digits and signs below U+0250 that no normal form changes and whose classes and
-# lower case are the same in every Unicode version; others are left to the library.
-_PLAIN = regex.compile("[!-~¡-įı-ɏ]+")
+# Runs, in UTF-8, of letters, digits and signs below U+0250 that no normal form changes and
+# whose classes and lower case are the same in every Unicode version; others are left to the
+# library, as are those with "<", which added tokens begin with.
+_PLAIN = re.compile(rb"(?:[!-;=-~]|\xc2[\xa1-\xbf]|\xc4[\x80-\xaf\xb1-\xbf]|[\xc3\xc5-\xc8][\x80-\xbf]|\xc9[\x80-\x8f])+")
 
 
 class WordBpe:
@@ -59,44 +61,55 @@ class WordBpe:
         d = json.loads(raw)
         kinds = [n["type"] for n in (d["normalizer"] or {}).get("normalizers", [])]
         pre = (d["pre_tokenizer"] or {}).get("pretokenizers", [])
-        self.pattern = None
+        plain = False
         if kinds == ["NFC", "Replace", "Lowercase"] and [p["type"] for p in pre] == ["Split", "ByteLevel"] \
                 and pre[0]["behavior"] == "Removed" and pre[0]["invert"] and not pre[1]["use_regex"] and not pre[1]["add_prefix_space"]:
-            self.pattern = regex.compile(pre[0]["pattern"]["Regex"])
-        if self.pattern is None or any(c.isspace() for t in d["added_tokens"] for c in t["content"]) \
+            plain = True
+        if not plain or any(c.isspace() for t in d["added_tokens"] for c in t["content"]) \
                 or any(t["lstrip"] or t["rstrip"] or t["normalized"] for t in d["added_tokens"]):
             raise ValueError("not a word-end BPE file whose words white space ends")
-        self.added = [t["content"] for t in d["added_tokens"]]
+        if any(not t["content"].startswith("<") for t in d["added_tokens"]):
+            raise ValueError("added tokens that don't begin with < are not supported")
         from duoclass.llm.bpe import byte_letters
 
         self.letters = "".join(byte_letters())
+        self.packed = [i.to_bytes(4, "little") for i in range(max(d["model"]["vocab"].values()) + 1)]
         self.words = PartCache(self._words, WORD_CACHE)
         self.runs = PartCache(self._runs, RUN_CACHE)
+        # a line end, which no run holds, is a word of its own that parts the runs
+        self.pattern = regex.compile(pre[0]["pattern"]["Regex"] + r"|\n")
 
     def _words(self, words: list[str]) -> list[bytes]:
-        out = []
+        out, packed, split, letters = [], self.packed, self.whole.model.tokenize, self.letters
         for w in words:
-            ids = [t.id for t in self.whole.model.tokenize(w.encode().decode("latin-1").translate(self.letters))]
-            out.append(np.array(ids, "<u4").tobytes())
+            if not w.isascii():
+                w = w.encode().decode("latin-1").translate(letters)
+            out.append(b"".join([packed[t.id] for t in split(w)]) if w != "\n" else b"")
         return out
 
     def _runs(self, runs: list[bytes]) -> list[bytes]:
         out: list = [None] * len(runs)
-        flat, owner = [], []
-        for i, r in enumerate(runs):
-            s = r.decode()
-            if _PLAIN.fullmatch(s) and not any(a in s for a in self.added):
-                words = self.pattern.findall(s.lower())
-                flat += words
-                owner.append((i, len(words)))
+        plain = [i for i, r in enumerate(runs) if _PLAIN.fullmatch(r)]
+        words = self.pattern.findall(b"\n".join([runs[i] for i in plain] + [b""]).decode().lower())
+        ids = self.words.values(words)
+        whole, lo, at = b"".join(ids), 0, 0
+        ends = iter(plain)
+        for w, x in zip(words, ids):
+            if w == "\n":
+                out[next(ends)] = whole[lo:at]
+                lo = at
             else:
-                out[i] = np.array(self.whole.encode(s, add_special_tokens=False).ids, "<u4").tobytes()
-        ids, at = self.words.values(flat), 0
-        for i, n in owner:
-            out[i] = b"".join(ids[at:at + n])
-            at += n
+                at += len(x)
+        if len(plain) < len(runs):
+            for i, r in enumerate(runs):
+                if out[i] is None:
+                    out[i] = b"".join(map(self.packed_any, self.whole.encode(r.decode(), add_special_tokens=False).ids))
         return out
 
+    @staticmethod
+    def packed_any(i: int) -> bytes:
+        return i.to_bytes(4, "little")
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text (in UTF-8)."""
         lists = [t.split() for t in texts]
@@ -111,7 +124,7 @@ class WordBpe:
         """The same for one long text, a block at a time."""
         out, at = [], 0
         while at < len(text):
-            space = regex.compile(rb"[ \t-\r]").search(text, at + BLOCK_BYTES)
+            space = re.compile(rb"[ \t-\r]").search(text, at + BLOCK_BYTES)
             end = space.start() if space else len(text)
             out += self.encode([text[at:end]])
             at = end

@@ -1,47 +1,45 @@
 """What a worker remembers of parts of texts (words, runs between spaces).
 
 Text is mostly made of parts met before, so what was found for a part is kept, in two
-generations bounded by their bytes: when the newer one is full it becomes the older one,
-and a part found in the older one moves to the newer.
+generations: when the newer one is full it becomes the older one, and a part found in the
+older one moves to the newer.  Long parts aren't kept, so a number of parts bounds the bytes.
 """
 
 from __future__ import annotations
 
-from sys import getsizeof
-
-ENTRY_BYTES = 110   # of a dictionary for each key, about
-
-
-def bytes_of(value) -> int:
-    if isinstance(value, tuple):
-        return getsizeof(value) + sum(map(getsizeof, value))
-    return getsizeof(value)
+LONGEST = 64   # letters (or bytes) of a part that is kept
 
 
 class PartCache:
-    """``make`` turns a list of new parts into a list of their values (never None)."""
+    """``make`` turns a list of new parts into a list of their values (never None); at most
+    ``entries`` short parts are kept, and those of the list at hand."""
 
-    def __init__(self, make, limit: int):
-        self.make, self.limit = make, limit // 2
+    def __init__(self, make, entries: int):
+        self.make, self.most = make, entries // 2
         self.new: dict = {}
         self.old: dict = {}
-        self.size = 0
 
     def values(self, parts: list) -> list:
-        got = list(map(self.new.get, parts))
+        new = self.new
+        got = list(map(new.get, parts))
         if None not in got:
             return got
-        missing = {p for p, v in zip(parts, got) if v is None}
-        found = {p: self.old[p] for p in missing if p in self.old}
-        todo = [p for p in missing if p not in found]
-        if todo:
-            found.update(zip(todo, self.make(todo)))
-        for p, v in found.items():
-            if self.size >= self.limit:
-                self.old, self.new, self.size = self.new, {}, 0
-            self.new[p] = v
-            self.size += ENTRY_BYTES + getsizeof(p) + bytes_of(v)
-        return [found[p] if v is None else v for p, v in zip(parts, got)]
+        missing = set(parts).difference(new)
+        again = missing & self.old.keys()
+        if again:
+            new.update(zip(again, map(self.old.__getitem__, again)))
+            missing -= again
+        if missing:
+            todo = list(missing)
+            new.update(zip(todo, self.make(todo)))
+            got = list(map(new.get, parts))
+            for p in [p for p in todo if len(p) > LONGEST]:
+                del new[p]
+        else:
+            got = list(map(new.get, parts))
+        if len(new) > self.most:
+            self.old, self.new = new, {}
+        return got
 
 
 def blocks(sizes: list[int], most: int):
