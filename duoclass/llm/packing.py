@@ -17,6 +17,7 @@ import math
 import re
 import uuid
 from hashlib import blake2b
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +35,8 @@ CAPACITY = 4096
 END_ID = 1
 GROUP_ROWS = 20_000       # pieces of one packing group, about
 ROOM = 64                 # a sequence with more than a ROOM-th of its capacity free is packed again
-WORD_CACHE = 200_000      # words whose ids a worker keeps (some 200 bytes each)
-RUN_CACHE = 300_000       # and runs
+WORD_CACHE = 400_000      # words whose ids a worker keeps (some 200 bytes each)
+RUN_CACHE = 800_000       # and runs
 BLOCK_BYTES = 1_000_000
 OUT_IDS = 1_000_000       # ids of one output batch
 
@@ -113,7 +114,7 @@ class WordBpe:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text (in UTF-8)."""
         lists = [t.split() for t in texts]
-        flat = self.runs.values([r for x in lists for r in x])
+        flat = self.runs.values(list(chain.from_iterable(lists)))
         out, at = [], 0
         for x in lists:
             out.append(b"".join(flat[at:at + len(x)]))

@@ -7,6 +7,9 @@ older one moves to the newer.  Long parts aren't kept, so a number of parts boun
 
 from __future__ import annotations
 
+from itertools import compress, repeat
+from operator import is_
+
 LONGEST = 64   # letters (or bytes) of a part that is kept
 
 
@@ -22,21 +25,21 @@ class PartCache:
     def values(self, parts: list) -> list:
         new = self.new
         got = list(map(new.get, parts))
-        if None not in got:
+        at = list(compress(range(len(parts)), map(is_, got, repeat(None))))
+        if not at:
             return got
-        missing = set(parts).difference(new)
+        missing = set(map(parts.__getitem__, at))
         again = missing & self.old.keys()
         if again:
             new.update(zip(again, map(self.old.__getitem__, again)))
             missing -= again
-        if missing:
-            todo = list(missing)
+        todo = list(missing)
+        if todo:
             new.update(zip(todo, self.make(todo)))
-            got = list(map(new.get, parts))
-            for p in [p for p in todo if len(p) > LONGEST]:
-                del new[p]
-        else:
-            got = list(map(new.get, parts))
+        for i in at:
+            got[i] = new[parts[i]]
+        for p in [p for p in todo if len(p) > LONGEST]:
+            del new[p]
         if len(new) > self.most:
             self.old, self.new = new, {}
         return got
