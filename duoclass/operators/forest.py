@@ -42,9 +42,13 @@ def forest_train(df: DataFrame, label: str = "label", features: str = "features"
 
 def forest_score(model: RandomForestClassificationModel, df: DataFrame, features: str = "features",
                  keep: list[str] | None = None) -> DataFrame:
-    """Class probabilities -> argmax class (``pred``) and ``p1`` = P(class 1)."""
+    """Class probabilities -> argmax class (``pred``) and ``p1`` = P(class 1).
+
+    A copy scores, as it holds no training summary: the summary goes to the tasks with its
+    session, which can't be sent once ``DataFrame.observe`` was used in it.
+    """
     keep = keep if keep is not None else [c for c in df.columns if c != features]
-    out = model.transform(_vec(df, features))
+    out = model.copy().transform(_vec(df, features))
     return out.select(*keep, F.col("prediction").cast("int").alias("pred"),
                       vector_to_array("probability")[1].alias("p1"))
 
