@@ -38,6 +38,7 @@ ROOM = 64                 # a sequence with more than a ROOM-th of its capacity
 WORD_CACHE = 400_000      # words whose ids a worker keeps (some 200 bytes each)
 RUN_CACHE = 800_000       # and runs
 BLOCK_BYTES = 1_000_000
+LOOKUP_BYTES = 50_000     # texts whose runs are looked up at once, so that what was found stays near
 OUT_IDS = 1_000_000       # ids of one output batch
 
 # Runs, in UTF-8, of letters, digits and signs below U+0250 that no normal form changes and
@@ -113,12 +114,14 @@ class WordBpe:
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of each text (in UTF-8)."""
-        lists = [t.split() for t in texts]
-        flat = self.runs.values(list(chain.from_iterable(lists)))
-        out, at = [], 0
-        for x in lists:
-            out.append(b"".join(flat[at:at + len(x)]))
-            at += len(x)
+        out = []
+        for lo, hi in blocks(list(map(len, texts)), LOOKUP_BYTES):
+            lists = [t.split() for t in texts[lo:hi]]
+            flat = self.runs.values(list(chain.from_iterable(lists)))
+            at = 0
+            for x in lists:
+                out.append(b"".join(flat[at:at + len(x)]))
+                at += len(x)
         return out
 
     def encode_long(self, text: bytes) -> bytes:

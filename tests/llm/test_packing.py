@@ -42,6 +42,17 @@ def test_ids_equal_library():
         assert np.frombuffer(x, "<u4").tolist() == ids_of(t)[:-1], repr(t[:60])
 
 
+def test_runs_are_looked_up_in_small_blocks():
+    """op12_packing: the runs of a batch are not looked up all at once."""
+    c, sizes = coder(), []
+    values = c.runs.values
+    c.runs.values = lambda parts: sizes.append(sum(map(len, parts))) or values(parts)
+    texts = [f"text {k} of a batch, " * 100 for k in range(200)] + ["", "x" * 60_000, " "]
+    got = c.encode([t.encode() for t in texts])
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [ids_of(t)[:-1] for t in texts]
+    assert len(sizes) > 5 and sorted(sizes)[-2] <= packing.LOOKUP_BYTES < max(sizes) == 60_000
+
+
 def test_long_text_in_blocks(monkeypatch):
     monkeypatch.setattr(packing, "BLOCK_BYTES", 500)
     c = coder()
