@@ -3,7 +3,9 @@
 Encoding a piece of text keeps its symbols in a doubly linked list and all adjacent
 mergeable pairs in a priority queue ordered by (merge rank, place).  Popping a pair
 merges it unless the entry is stale: one of its symbols was merged away or the pair
-standing there now is another one.  Decoding concatenates the vocabulary strings of
+standing there now is another one.  A short piece, as nearly all are, keeps its symbols and
+the ranks of its pairs in two lists instead and takes the least rank each time, the leftmost
+of equal ones, as the queue does.  Decoding concatenates the vocabulary strings of
 the ids and reads the bytes as UTF-8.
 
 Texts are cut into pieces by the tokenizer's pattern, so a piece met before in the
@@ -16,7 +18,7 @@ from __future__ import annotations
 import heapq
 import json
 from hashlib import blake2b
-from itertools import chain
+from itertools import chain, repeat
 
 import pyarrow as pa
 import regex
@@ -29,8 +31,10 @@ from duoclass.llm.tokenfiles import bpe_json
 
 # The split pattern of byte-level BPE files (a fixed value).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"""
-CACHE = 120_000        # pieces of one generation of the cache (some 25 MB)
+CACHE = 300_000        # pieces of one generation of the cache (some 75 MB)
 CACHE_CHARS = 64       # longer pieces are not kept
+SHORT = 40             # symbols of a piece that is merged in lists
+NO_RANK = 1 << 62      # of a pair that isn't merged
 OUT_IDS = 400_000      # ids of one output batch
 
 
@@ -49,6 +53,8 @@ class Bpe:
         self.rank = {}
         for r, (a, b) in enumerate(merges):
             self.rank[vocab[a], vocab[b]] = (r, vocab[a + b])
+        self.least = {pair: r for pair, (r, _) in self.rank.items()}
+        self.made = {r: made for r, made in self.rank.values()}
         size = max([*vocab.values(), *added.values()], default=-1) + 1
         self.bytes: list[bytes] = [b""] * size
         for s, i in vocab.items():
@@ -65,6 +71,8 @@ class Bpe:
     def merge(self, ids: list[int]) -> list[int]:
         """Merge the symbols of one piece to the end."""
         n = len(ids)
+        if n <= SHORT:
+            return self._merge_short(ids)
         rank = self.rank
         heap = []
         for i in range(n - 1):
@@ -103,6 +111,23 @@ class Bpe:
                     push(heap, (hit[0], h, hit[1]))
         return [x for x in ids if x >= 0]
 
+    def _merge_short(self, ids: list[int]) -> list[int]:
+        get = self.least.get
+        ranks = list(map(get, zip(ids, ids[1:]), repeat(NO_RANK)))
+        while ranks:
+            r = min(ranks)
+            if r == NO_RANK:
+                break
+            i = ranks.index(r)
+            made = self.made[r]
+            ids[i] = made
+            del ids[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = get((made, ids[i + 1]), NO_RANK)
+            if i:
+                ranks[i - 1] = get((ids[i - 1], made), NO_RANK)
+        return ids
+
     def piece(self, s: str) -> tuple[int, ...]:
         got = self.old.get(s)
         if got is None:

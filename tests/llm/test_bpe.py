@@ -51,6 +51,25 @@ def test_small_vocabulary_merges_in_rank_order():
     assert b.encode("abab") == [257, 257]
 
 
+def test_short_pieces_merge_as_the_queue_does(both, monkeypatch):
+    """op10_bpe: lists for short pieces, the queue for the rest, and a cache that holds a table's words."""
+    from duoclass.llm import bpe
+
+    mine = both[0]
+    r = random.Random(5)
+    pieces = ["".join(r.choice("aabcehinorst 'é字") for _ in range(r.randint(1, bpe.SHORT // 3))) for _ in range(3000)] + ["a" * k for k in range(1, 41)]
+    start = [[mine.single[b] for b in p.encode()] for p in pieces]
+    short = [mine._merge_short(list(x)) for x in start]
+    monkeypatch.setattr(bpe, "SHORT", 0)
+    assert [mine.merge(list(x)) for x in start] == short
+    monkeypatch.undo()
+    fresh, n = Bpe(**bpe_json()), 250_000
+    words = " ".join(f"w{k}" for k in range(n))
+    first = fresh.encode(words)
+    fresh.merge = None        # every piece is known by now
+    assert fresh.encode(words) == first
+
+
 def test_awkward_rows(spark, both):
     df = awkward_frame(spark).withColumnRenamed("source", "bpe_ids")
     out = encode_decode(df, "text")
