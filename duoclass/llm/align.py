@@ -29,13 +29,14 @@ from duoclass.llm.partcache import PartCache, blocks
 from duoclass.llm.tokenfiles import tokenizer_path
 
 MOST_PAIRS = 200_000       # pairs whose counts are broadcast, the most frequent ones; others are joined
-RUN_CACHE = 240_000        # runs that a worker keeps (some 400 bytes each)
+RUN_CACHE = 400_000        # runs that a worker keeps (some 350 bytes each)
+TOGETHER = 64              # runs that are tokenised in one string
 BLOCK_CHARS = 500_000
 OUT_LINKS = 500_000        # different links of one output batch
 
 
 class Aligner:
-    """Runs of text -> (groups as text, codes of links, counts), remembered by run."""
+    """Runs of text -> (groups as text, codes of links), remembered by run."""
 
     def __init__(self, raw_a: str, model_b: bytes):
         import sentencepiece
@@ -60,42 +61,59 @@ class Aligner:
         self.a_len = np.array([len(x) for x in self.a_bytes], np.int64)
         self.b_len = np.array([len(x) for x in self.b_bytes], np.int64)
         # what stands for a token in the text of groups: ids inside a group, the last A, the last B
-        self.a_text = np.array([f"{i}{end}" for end in ",|" for i in range(len(self.a_bytes))], object)
+        # (A's ids end with a point, until a text's tokens are counted)
+        self.a_text = np.array([f"{i}{end}" for end in ".|" for i in range(len(self.a_bytes))], object)
         self.b_text = np.array([f"{i}{end}" for end in ",;" for i in range(len(self.b_bytes))], object)
         self.runs = PartCache(self._align, RUN_CACHE)
 
     def code_of(self, a, b):
         return a * len(self.b_bytes) + b
 
+    def _encoded(self, strings: list[str]) -> list[tuple | None]:
+        """(A's ids, B's ids) of each string, None where the joined bytes of its tokens differ."""
+        ids_a = [e.ids for e in self.a.encode_batch_fast([" " + s for s in strings], add_special_tokens=False)]
+        ids_b = self.b.encode(strings, num_threads=1)
+        out: list = []
+        for s, x, y in zip(strings, ids_a, ids_b):
+            same = b"".join(map(self.a_bytes.__getitem__, x)) == b" " + s.encode() == b"".join(map(self.b_bytes.__getitem__, y))
+            out.append((x, y) if same else None)
+        return out
+
     def _align(self, keys: list[str]) -> list[tuple]:
-        """(groups, codes, a + b << 40 + groups << 80) of each run; (None,) where the joined
-        bytes of its tokens differ from it, and for a run whose ends aren't clean (see
-        ``runs_of``)."""
+        """(groups, codes) of each run; (None,) where the joined bytes of its tokens differ
+        from it, and for a run whose ends aren't clean (see ``runs_of``).
+
+        Clean runs are tokenised many in one string, as they stand in texts; those of a
+        string whose bytes differ are tokenised again one by one.
+        """
         out: list = [(None,)] * len(keys)
-        at = [i for i, k in enumerate(keys) if clean(k) or k[:1] == " "]
-        runs = [keys[i][1:] if keys[i][:1] == " " else keys[i] for i in at]
-        ids_a = [e.ids for e in self.a.encode_batch_fast([" " + r for r in runs], add_special_tokens=False)]
-        ids_b = self.b.encode(runs, num_threads=1)
-        good, size = [], []
-        for i, r in enumerate(runs):
-            text = b" " + r.encode()
-            if b"".join(map(self.a_bytes.__getitem__, ids_a[i])) == text == b"".join(map(self.b_bytes.__getitem__, ids_b[i])):
+        plain = [i for i, k in enumerate(keys) if clean(k)]
+        lots = [plain[lo:lo + TOGETHER] for lo in range(0, len(plain), TOGETHER)]
+        alone = [i for i, k in enumerate(keys) if k[:1] == " "]
+        good: list[int] = []
+        ids: list[tuple] = []
+        for lot, x in zip(lots, self._encoded([" ".join(map(keys.__getitem__, lot)) for lot in lots])):
+            if x is None:
+                alone += lot
+            else:
+                good += lot
+                ids.append(x)
+        for i, x in zip(alone, self._encoded([keys[i][keys[i][:1] == " ":] for i in alone])):
+            if x is not None:
                 good.append(i)
-                size.append(len(text))
+                ids.append(x)
         if not good:
             return out
-        n_a = np.array([len(ids_a[i]) for i in good])
-        n_b = np.array([len(ids_b[i]) for i in good])
-        a = np.fromiter(chain.from_iterable(ids_a[i] for i in good), np.int64, n_a.sum())
-        b = np.fromiter(chain.from_iterable(ids_b[i] for i in good), np.int64, n_b.sum())
+        # a run's bytes with the space before it; marked runs have that space already
+        till = np.cumsum([len(keys[i].encode()) + (keys[i][:1] != " ") for i in good])
+        a = np.fromiter(chain.from_iterable(x for x, _ in ids), np.int64)
+        b = np.fromiter(chain.from_iterable(y for _, y in ids), np.int64)
         end_a, end_b = np.cumsum(self.a_len[a]), np.cumsum(self.b_len[b])
         mark = np.zeros(int(end_a[-1]) + 1, np.uint8)
         mark[end_a] = 1
         mark[end_b] |= 2
         ends = np.flatnonzero(mark)                      # each ends exactly one overlap
         codes = self.code_of(a[np.searchsorted(end_a, ends)], b[np.searchsorted(end_b, ends)])
-        both = mark[ends] == 3
-        group = np.cumsum(both) - both                   # of each overlap
         stop_a, stop_b = mark[end_a] == 3, mark[end_b] == 3
         group_a, group_b = np.cumsum(stop_a) - stop_a, np.cumsum(stop_b) - stop_b
         till_a, till_b = np.cumsum(np.bincount(group_a)), np.cumsum(np.bincount(group_b))
@@ -106,12 +124,12 @@ class Aligner:
         texts[place_a] = self.a_text[a + stop_a * len(self.a_bytes)]
         texts[place_b] = self.b_text[b + stop_b * len(self.b_bytes)]
         texts = texts.tolist()
-        last = np.searchsorted(ends, np.cumsum(size), "right")
-        first = np.concatenate([[0], last[:-1]])
-        n_groups = group[last - 1] - group[first] + 1
-        upto = np.cumsum(n_a + n_b)
-        for i, lo, hi, t1, x, y, g in zip(good, first.tolist(), last.tolist(), upto.tolist(), n_a.tolist(), n_b.tolist(), n_groups.tolist()):
-            out[at[i]] = ("".join(texts[t1 - x - y:t1]), codes[lo:hi].tobytes(), x + (y << 40) + (g << 80))
+        last = np.searchsorted(ends, till, "right").tolist()
+        upto = (np.searchsorted(end_a, till, "right") + np.searchsorted(end_b, till, "right")).tolist()
+        lo = t0 = 0
+        for i, hi, t1 in zip(good, last, upto):
+            out[i] = ("".join(texts[t0:t1]), codes[lo:hi].tobytes())
+            lo, t0 = hi, t1
         return out
 
     def align(self, texts: list[str]) -> list[tuple | None]:
@@ -130,11 +148,11 @@ class Aligner:
                     if own[0][0] is None:
                         out.append(None)
                         continue
-            groups, codes, counts = zip(*own)
-            n = sum(counts)
-            low = (1 << 40) - 1
-            out.append((n & low, n >> 40 & low, n >> 80, hashlib.sha256("".join(groups)[:-1].encode()).hexdigest(),
-                        np.frombuffer(b"".join(codes), np.int64)))
+            groups, codes = zip(*own)
+            g = "".join(groups)
+            n_groups = g.count(";")
+            out.append((g.count(".") + g.count("|"), g.count(",") + n_groups, n_groups,
+                        hashlib.sha256(g[:-1].replace(".", ",").encode()).hexdigest(), np.frombuffer(b"".join(codes), np.int64)))
         return out
 
 
